@@ -1,0 +1,176 @@
+"""Operators 1, 2, 4 and 8 against brute force, and their edge cases."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from msgloom.llm import ans_files, bpe, secret_scan, topk_search
+from msgloom.llm.common import shared_folder, table
+
+EDGES = [
+    (1, ""),
+    (2, None),
+    (3, "plain words, plain words"),
+    (3, "plain words, plain words"),
+    (4, "a" * 200_000),
+    (5, " " * 100_000 + "x" + "\n\t " * 50_000),
+    (6, "word and  more\n\n " * 20_000),
+    (7, "İstanbul ΣΣ é \U0001f600 ‍ x y \x1c z"),
+    (None, "no id"),
+]
+
+
+def edge_docs(spark):
+    rows = [(k, t, "extra", 7) for k, t in EDGES]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_tokens int")
+
+
+def test_topk_matches_brute_force(spark, sf_dir):
+    rows = {r.vec_id: np.floor(256 * np.array(r.embedding, np.float64)).astype(int) for r in table(spark, sf_dir, "embeddings").collect()}
+    want = []
+    for q in sorted(rows):
+        if q % 50 == 0:
+            ranked = sorted((-int(rows[q] @ v), c) for c, v in rows.items() if c != q)[:5]
+            want += [(q, rank, c, -s) for rank, (s, c) in enumerate(ranked, 1)]
+    got = sorted(tuple(r) for r in topk_search.op1_topk_search(spark, sf_dir).collect())
+    assert got == want
+
+
+def test_topk_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [nan, 1.0]), (4, [inf]), (5, None), (6, [None, 1.0]), (7, []), (8, [0.5]), (None, [1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    vectors = topk_search.integer_vectors(df, "vec_id", "embedding", 256.0)
+    got = [tuple(r) for r in topk_search.topk(vectors.where("id = 0"), vectors, 5).orderBy("rank").collect()]
+    one = 256 * 256
+    assert got == [(0, 1, 1, one), (0, 2, 2, one), (0, 3, 2, one), (0, 4, 8, one // 2), (0, 5, 7, 0)]
+    assert topk_search.topk(vectors.where("id = 99"), vectors, 5).count() == 0
+    assert topk_search.topk(vectors.where("id = 0"), vectors.where("id = 0"), 5).count() == 0
+
+
+def test_bpe_equals_the_library_on_whole_texts(spark, sf_dir):
+    enc = bpe.encoding()
+    for df in (table(spark, sf_dir, "documents").select("doc_id", "text"), edge_docs(spark)):
+        rows = bpe.decode(bpe.encode(df)).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            text = r.text or ""
+            if len(text) <= 120_000:
+                assert r.token_ids == enc.encode_ordinary(text)
+            assert bytes(r.decoded) == text.encode()
+
+
+def test_bpe_cuts_where_the_pattern_cannot_match_across():
+    enc = bpe.encoding()
+    text = ("it's  so\n\n  odd, 12 é word " * 9000)[: 3 * bpe.LONG]
+    assert len(list(bpe.pieces(text))) > 3
+    assert bpe.encode_text(text, enc) == enc.encode_ordinary(text)
+    assert bpe.encode_text("é" * (bpe.LONG + 5) + " end", enc) == enc.encode_ordinary("é" * (bpe.LONG + 5) + " end")
+
+
+def test_bpe_query_digests(spark, sf_dir):
+    enc = bpe.encoding()
+    texts = dict(table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    for r in bpe.op2_byte_bpe(spark, sf_dir).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def brute_secrets(text):
+    kinds = {
+        "assign": (r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    found = [(m.start(), k, kind, m.end()) for k, (kind, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m)]
+    return [f"{kind}:{s}:{e}" for s, _, kind, e in sorted(found)]
+
+
+def test_secret_base_spans_match_brute_force(spark, sf_dir):
+    texts = dict(table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    for r in secret_scan.op4_secrets(spark, sf_dir).collect():
+        want = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def der(tag, body):
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")
+    return bytes([tag]) + size + body
+
+
+def test_secret_structures_are_confirmed():
+    rsa = der(0x30, b"".join(der(2, n) for n in [b"\0", b"\x7f" * 64, b"\1\0\1", b"\x11" * 64, b"\3" * 32, b"\5" * 32, b"\7" * 32, b"\x09" * 32, b"\x0b" * 32]))
+    wrapped = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, rsa))
+    text64 = base64.b64encode(rsa).decode()
+    signed = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"s" * 32))
+    kinds = lambda t: sorted(k for k, _, _ in secret_scan.confirmed_spans(t))
+    assert kinds(f"x {text64} y") == ["key"]
+    assert kinds(base64.b64encode(wrapped).decode()) == ["key"]
+    assert kinds(rsa.hex()) == ["key"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{text64}\n-----END RSA PRIVATE KEY-----") == ["armoured"]
+    assert kinds(f"bearer {signed}") == ["signed"]
+    assert kinds("M" * 60) == kinds(text64[:-8]) == kinds("30" * 40) == kinds("eyJhbGciOiJI.eyJzdWIi.ssssssssssssssssss") == []
+
+
+def test_secret_edges(spark):
+    rows = secret_scan.scan(edge_docs(spark)).collect()
+    assert len(rows) == len(EDGES) and all(r.lang == "extra" for r in rows)
+    found = {r.doc_id: [tuple(s) for s in r.secret_spans] for r in rows if r.secret_spans}
+    assert found == {4: [("hex", 0, 200_000)]}
+    df = spark.createDataFrame([(1, 'a password: "hunter22x" b'), (2, None)], "doc_id long, text string")
+    assert [r.text for r in secret_scan.redact(df).orderBy("doc_id").collect()] == ['a [assign]" b', None]
+    assert secret_scan.scan(df.limit(0)).count() == 0
+
+
+def whole_ids(text):
+    return ans_files.tokenizer(ans_files.VOCABULARY).encode(text or "", add_special_tokens=False).ids + [1]
+
+
+def test_ans_query_matches_the_library(spark, sf_dir):
+    texts = dict(table(spark, sf_dir, "documents").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in ans_files.op8_ans_files(spark, sf_dir).collect()}
+    start = 0
+    for doc_id in sorted(texts):
+        ids = np.array(whole_ids(texts[doc_id]), "<u4")
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(texts)
+
+
+def test_ans_edges_and_order(spark, monkeypatch):
+    monkeypatch.setattr(ans_files, "SHARD_DOCS", 2)
+    path = shared_folder(spark)
+    ans_files.write_files(edge_docs(spark), path)
+    rows = sorted(ans_files.read_files(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 2, 3, 3, 4, 5, 6, 7]
+    texts = dict(EDGES)
+    at = 0
+    for r in rows:
+        assert r.start == at and np.frombuffer(r.ids, "<u4").tolist() == whole_ids(texts[r.doc_id])
+        at += len(r.ids) // 4
+    path = shared_folder(spark)
+    ans_files.write_files(edge_docs(spark).limit(0), path)
+    assert ans_files.read_files(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("n, kinds", [(1, 1), (100, 3), (70_000, 40_000), (1_200_000, 500)])
+def test_ans_blocks_round_trip_from_any_checkpoint(n, kinds):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n), kinds).astype(np.uint32)
+    coder = ans_files.Coder(*ans_files.unpack_table(ans_files.pack_table(*ans_files.frequency_table(ids))))
+    data = ans_files.pack_block(coder, [5, None], [n, 0], ids)
+    block = ans_files.Block(data, coder)
+    assert block.doc_ids == [5, None] and np.array_equal(block.ids(), ids)
+    last = len(block.marks) - 1
+    assert np.array_equal(block.part(last), ids[last * ans_files.CHECKPOINT * len(block.marks[0][0]) :])
+    with pytest.raises(ValueError, match="checksum"):
+        ans_files.Block(data[:40] + bytes([data[40] ^ 1]) + data[41:], coder)
