@@ -2,6 +2,8 @@
 
 from msgloom.llm.ans_files import op8_ans_files
 from msgloom.llm.bpe import op2_byte_bpe
+from msgloom.llm.language_id import op9_language_id
+from msgloom.llm.near_dup import op7_near_dup
 from msgloom.llm.secret_scan import op4_secrets
 from msgloom.llm.topk_search import OP1_SQL, op1_topk_search
 
@@ -9,7 +11,9 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_secrets": op4_secrets,
+    "op7_near_dup": op7_near_dup,
     "op8_ans_files": op8_ans_files,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLES = {"op1_topk_search": OP1_SQL}
