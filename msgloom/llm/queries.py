@@ -2,8 +2,11 @@
 
 from msgloom.llm.ans_files import op8_ans_files
 from msgloom.llm.bpe import op2_byte_bpe
+from msgloom.llm.decontaminate import op10_decontaminate
 from msgloom.llm.language_id import op9_language_id
 from msgloom.llm.near_dup import op7_near_dup
+from msgloom.llm.pii import op6_pii
+from msgloom.llm.quality import op5_quality
 from msgloom.llm.secret_scan import op4_secrets
 from msgloom.llm.topk_search import OP1_SQL, op1_topk_search
 
@@ -11,9 +14,12 @@ QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
+    "op6_pii": op6_pii,
     "op7_near_dup": op7_near_dup,
     "op8_ans_files": op8_ans_files,
     "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {"op1_topk_search": OP1_SQL}
