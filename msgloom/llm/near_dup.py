@@ -158,6 +158,14 @@ def components(links: DataFrame) -> DataFrame:
             return roots.select("node", "root")
 
 
+def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``gone`` (one column of distinct ids); rows with a null id stay."""
+    gone = staged(gone)
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return df.join(gone, id_col, "left_anti")
+
+
 def renamed(df: DataFrame, side: str) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns))
 

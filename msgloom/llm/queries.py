@@ -4,6 +4,7 @@ from msgloom.llm.ans_files import op8_ans_files
 from msgloom.llm.bpe import op2_byte_bpe
 from msgloom.llm.decontaminate import op10_decontaminate
 from msgloom.llm.language_id import op9_language_id
+from msgloom.llm.license_scan import op3_license
 from msgloom.llm.near_dup import op7_near_dup
 from msgloom.llm.pii import op6_pii
 from msgloom.llm.quality import op5_quality
@@ -13,6 +14,7 @@ from msgloom.llm.topk_search import OP1_SQL, op1_topk_search
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_license": op3_license,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
