@@ -1,0 +1 @@
+"""Spark jobs that turn messages into schedule events and into training and evaluation data."""
