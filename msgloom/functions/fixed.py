@@ -44,7 +44,7 @@ PAYMENT = (
 )
 PAYMENT_TIME = "(?:(\\d{4})[./](\\d{2})[./](\\d{2})|(\\d{2})/(\\d{2}))\\s+(\\d{2}):(\\d{2})"
 SURFACE_CUES = "\\d{1,2}\\s*시|\\d{1,2}\\s*일|\\d{1,2}/\\d{1,2}|내일|모레|글피|다음\\s*주|이번\\s*주|오전|오후|저녁|요일"
-EXPLICIT_DAY = "\\d{1,2}\\s*월|\\d{1,2}\\s*/\\s*\\d{1,2}|\\d{1,2}\\s*일"
+EXPLICIT_DAY = "\\d{1,2}\\s*/\\s*\\d{1,2}|\\d{1,2}\\s*월\\s*\\d{1,2}"
 
 # --- titles, places, names ---------------------------------------------------
 DEFAULT_TITLE = "일정"
@@ -56,7 +56,10 @@ ONLINE_PLACES = (
     "줌", "구글밋", "구글 밋", "팀즈", "웹엑스", "페이스타임", "스카이프", "행아웃", "웨일온",
     "온라인", "화상", "전화", "zoom", "google meet", "teams", "webex", "skype", "hangout", "facetime",
 )
-ONLINE_TOOLS = ("줌", "zoom", "화상", "온라인", "구글밋", "팀즈", "teams", "webex", "meet")
+ONLINE_TOOLS = (
+    "줌", "구글밋", "구글미트", "미트", "팀즈", "페이스타임", "전화", "화상",
+    "온라인", "웹엑스", "행아웃", "스카이프", "비대면", "영상통화", "보이스톡",
+)
 BOILERPLATE = ("스레드 협의 확정",)
 ATTENDEES_LINE = "참석자: "
 ORGANIZER_LINE = "주최: "

@@ -195,10 +195,15 @@ def names_online_tool(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(k)) for k in fixed.ONLINE_TOOLS))
 
 
+def is_online_tool(place: Column) -> Column:
+    """The place names a tool or is part of one's name."""
+    return reduce(lambda a, b: a | b, (F.contains(place, F.lit(k)) | F.contains(F.lit(k), place) for k in fixed.ONLINE_TOOLS))
+
+
 def location_grounded(location: Column, text: Column) -> Column:
     """The place is in the text (both normalised), or both speak of an online tool."""
     place, said = normal(location), normal(text)
-    return (place != "") & (F.contains(said, place) | (names_online_tool(place) & names_online_tool(said)))
+    return (place != "") & (F.contains(said, place) | (is_online_tool(place) & names_online_tool(said)))
 
 
 def is_physical(location: Column) -> Column:

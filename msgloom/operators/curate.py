@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgloom.functions import fixed
-from msgloom.functions.text import blank, has_surface_cue, normal, said_text, stripped
+from msgloom.functions.text import blank, has_surface_cue, normal, said_text, stripped, thread_text
 from msgloom.functions.tokens import received_date, resolve_date
 
 
@@ -45,7 +45,7 @@ def agreed_negatives(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def is_date_leak(events: Column, message: Column, thread: Column) -> Column:
     """a turn of a thread whose gold date is absolute though no text names a day."""
     absolute = F.exists(events, lambda e: F.coalesce(e["date"], F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}"))
-    return F.coalesce((F.size(thread) > 0) & absolute & ~said_text(message, thread).rlike(fixed.EXPLICIT_DAY), F.lit(False))
+    return F.coalesce((F.size(thread) > 0) & absolute & ~F.concat(F.coalesce(message, F.lit("")), thread_text(thread)).rlike(fixed.EXPLICIT_DAY), F.lit(False))
 
 
 def without_confidence(events: Column) -> Column:

@@ -140,6 +140,47 @@ def better_base(old: str, new: str) -> str:
     return old
 
 
+def fold_events(rows: list[dict], stored: list[dict]) -> set[str]:
+    """Takes rows of one channel and start, in order of arrival, into the list of stored events; the keys of those made or changed."""
+    span = fixed.MERGE_DAYS * 86_400_000
+    touched: set[str] = set()
+    by_room: dict[str, dict] = {}
+    by_title: dict[str, list[dict]] = {}
+    keys = {r["event_key"] for r in stored}
+
+    def index(row: dict) -> None:
+        if row["status"] != "DISMISSED":
+            if (row["room"] or "").strip():
+                by_room[row["room"]] = row
+            by_title.setdefault(row["base_title"] or "", []).append(row)
+
+    for row in sorted(stored, key=lambda r: (r["created_at"], r["seq"])):
+        index(row)
+    for row in rows:
+        room, base = row["room"] or "", row["base_title"] or ""
+        recent = lambda r, row=row: r is not None and row["created_at"] - r["created_at"] <= span
+        target = by_room.get(room) if room.strip() else None
+        target = target if recent(target) else None
+        if target is None and base.strip():
+            newest = next((r for r in reversed(by_title.get(base, [])) if r["base_title"] == base and recent(r)), None)
+            if newest is not None and (not room.strip() or not (newest["room"] or "").strip() or newest["room"] == room):
+                target = newest
+        if target is not None:
+            target["merged"] += 1
+            best = better_base(target["base_title"] or "", base)
+            if best != (target["base_title"] or "") and best.strip():
+                target["base_title"], target["title"] = best, best.strip()
+                by_title.setdefault(best, []).append(target)
+                by_title[best].sort(key=lambda r: (r["created_at"], r["seq"]))
+            touched.add(target["event_key"])
+        elif row["event_key"] not in keys:
+            keys.add(row["event_key"])
+            touched.add(row["event_key"])
+            stored.append(row := {**row, "merged": 0})
+            index(row)
+    return touched
+
+
 def merge_events(events: DataFrame) -> DataFrame:
     """Events (channel, start, room, base_title, sender, title, event_key, status, created_at, seq) after merging.
 
@@ -161,37 +202,8 @@ def merge_events(events: DataFrame) -> DataFrame:
     schema = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long, merged long"
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        span = fixed.MERGE_DAYS * 86_400_000
         stored: list[dict] = []
-        by_room: dict[str, dict] = {}
-        by_title: dict[str, list[dict]] = {}
-        keys: set[str] = set()
-        for row in group.sort_values(["created_at", "seq"]).to_dict("records"):
-            room, base = row["room"] or "", row["base_title"] or ""
-            target = by_room.get(room) if room.strip() else None
-            if target is not None and row["created_at"] - target["created_at"] > span:
-                target = None
-            if target is None and base.strip():
-                newest = next((r for r in reversed(by_title.get(base, [])) if r["base_title"] == base and row["created_at"] - r["created_at"] <= span), None)
-                if newest is not None and (not room.strip() or not (newest["room"] or "").strip() or newest["room"] == room):
-                    target = newest
-            if target is not None:
-                target["merged"] += 1
-                best = better_base(target["base_title"] or "", base)
-                if best != (target["base_title"] or "") and best.strip():
-                    target["base_title"], target["title"] = best, best.strip()
-                    by_title.setdefault(best, []).append(target)
-                    by_title[best].sort(key=lambda r: (r["created_at"], r["seq"]))
-                continue
-            if row["event_key"] in keys:
-                continue
-            keys.add(row["event_key"])
-            row["merged"] = 0
-            stored.append(row)
-            if row["status"] != "DISMISSED":
-                if room.strip():
-                    by_room[room] = row
-                by_title.setdefault(base, []).append(row)
+        fold_events(group.sort_values(["created_at", "seq"]).to_dict("records"), stored)
         return pd.DataFrame(stored, columns=[c.split()[0] for c in schema.split(", ")])
 
     return rows.groupBy("channel", "start", "_within", "_part").applyInPandas(fold, schema)

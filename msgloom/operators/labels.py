@@ -67,14 +67,14 @@ def guard_relabel(location: Column, attendees: Column, new_location: Column, new
     """Struct of location, attendees and dropped after a relabelling.
 
     A place is only filled in, and only if the text holds it; of old and new attendees those
-    that the text holds stay.
+    that the text holds stay; dropped are old ones that it does not.
     """
     nobody = F.array().cast("array<string>")
     place = F.when(~blank(location), location).when(~blank(new_location) & location_grounded(new_location, text), new_location)
     everyone = F.array_union(F.coalesce(attendees, nobody), F.coalesce(new_attendees, nobody))
     said = normal(text)
     kept = F.filter(everyone, lambda a: ~blank(a) & F.contains(said, normal(a)))
-    return F.struct(place.alias("location"), kept.alias("attendees"), F.array_except(everyone, kept).alias("dropped"))
+    return F.struct(place.alias("location"), kept.alias("attendees"), F.array_except(F.coalesce(attendees, nobody), kept).alias("dropped"))
 
 
 def verdict_totals(df: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def plan_balance(plan: DataFrame) -> DataFrame:
     """Shares of the planned rows against their least ones: name, share, target, ok."""
     total = F.greatest(F.lit(1), F.sum("count"))
     share = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0)) / total
-    checks = [("no_schedule", F.col("edge_case") == "no_schedule", 0.25), ("multi_event", F.col("edge_case") == "multi_event", 0.05), ("recurring", F.col("edge_case") == "recurring", 0.03), ("past", F.col("edge_case") == "past", 0.03)]
+    checks = [("no_schedule", F.col("edge_case") == "no_schedule", 0.25), ("multi_event", F.col("edge_case") == "multi_event", 0.05), ("recurring", F.col("edge_case") == "recurring", 0.03), ("past_time", F.col("edge_case") == "past_time", 0.03)]
     checks += [(f"language_{k}", F.col("language") == k, t) for k, t in (("ko", 0.60), ("en", 0.25), ("mixed", 0.15))]
     found = plan.agg(F.array(*(F.struct(F.lit(n).alias("name"), share(c).alias("share"), F.lit(t).alias("target")) for n, c, t in checks)).alias("checks"))
     rows = found.select(F.explode("checks").alias("c")).select("c.*")

@@ -100,7 +100,7 @@ PLAN = Frame(
         {
             "scenario_id": "concat('s', CAST(o_custkey % 97 AS STRING))",
             "produced_id": "concat('s', CAST(o_orderkey % 89 AS STRING))",
-            "edge_case": case("o_orderkey % 6", ["no_schedule", "multi_event", "recurring", "past", "plain", "plain"]),
+            "edge_case": case("o_orderkey % 6", ["no_schedule", "multi_event", "recurring", "past_time", "plain", "plain"]),
             "language": case("o_orderkey % 7", ["ko", "ko", "ko", "ko", "en", "en", "mixed"]),
             "wanted": "CAST(20 + o_custkey % 30 AS BIGINT)",
         },

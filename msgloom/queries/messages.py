@@ -210,7 +210,7 @@ def d24_personal_name(spark, sf_dir):
     return messages(spark, sf_dir).select("event_id", text.is_personal_name(F.col("sender")).alias("personal"))
 
 
-@query(f"{M}, n AS (SELECT event_id, lower(regexp_replace(coalesce(place, ''), '[ \\t\\n]+', '', 'g')) AS p, lower(regexp_replace(body, '[ \\t\\n]+', '', 'g')) AS b FROM m) SELECT event_id, p AS place, p <> '' AND (strpos(b, p) > 0 OR (({' OR '.join(f"strpos(p, '{k}') > 0" for k in fixed.ONLINE_TOOLS)}) AND ({' OR '.join(f"strpos(b, '{k}') > 0" for k in fixed.ONLINE_TOOLS)}))) AS grounded FROM n")
+@query(f"{M}, n AS (SELECT event_id, lower(regexp_replace(coalesce(place, ''), '[ \\t\\n]+', '', 'g')) AS p, lower(regexp_replace(body, '[ \\t\\n]+', '', 'g')) AS b FROM m) SELECT event_id, p AS place, p <> '' AND (strpos(b, p) > 0 OR (({' OR '.join(f"strpos(p, '{k}') > 0 OR strpos('{k}', p) > 0" for k in fixed.ONLINE_TOOLS)}) AND ({' OR '.join(f"strpos(b, '{k}') > 0" for k in fixed.ONLINE_TOOLS)}))) AS grounded FROM n")
 def d27_d28_grounded_location(spark, sf_dir):
     return messages(spark, sf_dir).select("event_id", text.normal(F.col("place")).alias("place"), text.location_grounded(F.col("place"), F.col("body")).alias("grounded"))
 
