@@ -8,6 +8,7 @@ digits, seven or more). Loopy message passing spreads what is known of one menti
 others, so that a number is labelled alike wherever the document repeats it. Tokens that
 the field is sure of, outside the base spans, are added.
 
+Without evidence against it, similar tokens are expected to agree.
 Potentials are fitted by pseudo-likelihood on a sample of about SAMPLE documents that have
 candidates, drawn by a hash of the id, with the base spans as labels.
 
@@ -64,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
         found += [("email", *m.span()) for m in _EMAIL.finditer(text)]
     if not _DIGIT.search(text):
         return found
-    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 14 <= len(digits) <= 19 and passes_luhn(digits):
@@ -185,6 +186,7 @@ def fit(samples: list[tuple[Graph, np.ndarray]]) -> Field | None:
     skip = np.concatenate([g.skip + o for (g, _), o in zip(samples, offsets, strict=False)])
     field = Field(np.zeros((WIDTH, k)), np.zeros((k, k)), np.eye(k))
     parts = [field.unary, field.chain, field.skip]
+    priors = [np.zeros_like(field.unary), np.zeros_like(field.chain), np.eye(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     rows = np.arange(len(y))
     for step in range(1, STEPS + 1):
@@ -205,8 +207,8 @@ def fit(samples: list[tuple[Graph, np.ndarray]]) -> Field | None:
         np.add.at(by_skip, y[skip[:, 0]], error[skip[:, 1]])
         np.add.at(by_skip, y[skip[:, 1]], error[skip[:, 0]])
         by_skip = (by_skip + by_skip.T) / 2
-        for part, slope, (first, second) in zip(parts, (by_unary, by_chain, by_skip), moments, strict=True):
-            slope = slope + 1e-5 * part
+        for part, slope, prior, (first, second) in zip(parts, (by_unary, by_chain, by_skip), priors, moments, strict=True):
+            slope = slope + 1e-5 * (part - prior)
             first *= 0.9
             first += 0.1 * slope
             second *= 0.999
