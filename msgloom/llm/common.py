@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 SLICE_ROWS = 1024
 SLICE_BYTES = 8 << 20
 
+#: The folder of each application that has none set.
+_OWN: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a laptop) a folder of this machine is set.
+    Only where that setting is missing (tests, a laptop) a folder of this machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        root = _OWN[application]
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
