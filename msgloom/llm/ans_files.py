@@ -8,8 +8,9 @@ numpy handles side by side. A block carries its documents' ids and lengths, the
 starting states, the same states again every CHECKPOINT steps with the place in the
 payload, and a CRC-32, so blocks, and parts of blocks, decode in parallel and damage is seen.
 
-A file set is a Parquet folder of rows (shard, segment, block, offset, n_symbols, table,
-payload): ``table`` is set in the first block of a segment only, ``payload`` is the block.
+A file set is a Parquet folder of rows (shard, segment, offset, n_symbols, table, blocks), one
+for each segment. Reading takes the shards' sizes from the narrow columns and decodes every
+segment where it is read, so no payload is shuffled.
 
 Cases: a null or empty text has the end id alone; a null doc_id sorts first; equal doc_ids
 are ordered by their text; an empty table makes no rows; extra columns are left out.
@@ -37,11 +38,13 @@ MAGIC = b"RANS"
 SCALE = 20
 LOW = 1 << 31
 LANES = 1024
-BLOCK = 1 << 19
-SEGMENT = 1 << 23
+BLOCK = 1 << 18
+SEGMENT = 1 << 21
 CHECKPOINT = 256
-#: Documents a shard, and how many words a worker remembers the ids of.
+#: Documents a shard; shards up to which the list of their first places may be broadcast (16 bytes each), else it is joined by a shuffle.
 SHARD_DOCS = 5000
+BROADCAST_SHARDS = 500_000
+#: Words a worker remembers the ids of.
 MEMO_WORDS = 600_000
 
 
@@ -201,28 +204,28 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-FILE_SCHEMA = "shard int, segment int, block int, offset long, n_symbols long, table binary, payload binary"
+FILE_SCHEMA = "shard int, segment int, offset long, n_symbols long, table binary, blocks array<binary>"
 
 
 def _packer(path: str, end_id: int):
-    def segment_rows(shard: int, segment: int, offset: int, doc_ids: list, parts: list[np.ndarray]) -> Iterator[dict]:
+    def segment_row(shard: int, segment: int, offset: int, doc_ids: list, parts: list[np.ndarray]) -> dict:
         ids = np.concatenate(parts)
         symbols, freqs = frequency_table(ids)
-        coder, start, block, first = Coder(symbols, freqs), 0, 0, 0
-        held = 0
+        coder, start, first, held = Coder(symbols, freqs), 0, 0, 0
+        packed = []
         for k, part in enumerate(parts):
             held += len(part)
             if held >= BLOCK or k == len(parts) - 1:
-                data = pack_block(coder, doc_ids[first : k + 1], [len(p) for p in parts[first : k + 1]], ids[start : start + held])
-                yield {"shard": shard, "segment": segment, "block": block, "offset": offset + start, "n_symbols": held, "table": pack_table(symbols, freqs) if block == 0 else None, "payload": data}
-                start, block, first, held = start + held, block + 1, k + 1, 0
+                packed.append(pack_block(coder, doc_ids[first : k + 1], [len(p) for p in parts[first : k + 1]], ids[start : start + held]))
+                start, first, held = start + held, k + 1, 0
+        return {"shard": shard, "segment": segment, "offset": offset, "n_symbols": len(ids), "table": pack_table(symbols, freqs), "blocks": packed}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from msgloom.llm.common import slices
 
-        schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("block", pa.int32()), ("offset", pa.int64()), ("n_symbols", pa.int64()), ("table", pa.binary()), ("payload", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("offset", pa.int64()), ("n_symbols", pa.int64()), ("table", pa.binary()), ("blocks", pa.list_(pa.binary()))])
         shard, segment, offset, held = TaskContext.get().partitionId(), 0, 0, 0
         doc_ids: list = []
         parts: list[np.ndarray] = []
@@ -235,12 +238,10 @@ def _packer(path: str, end_id: int):
                     parts.append(np.concatenate([ids, end]))
                     held += len(parts[-1])
                     if held >= SEGMENT:
-                        for row in segment_rows(shard, segment, offset, doc_ids, parts):
-                            yield pa.RecordBatch.from_pylist([row], schema)
+                        yield pa.RecordBatch.from_pylist([segment_row(shard, segment, offset, doc_ids, parts)], schema)
                         segment, offset, held, doc_ids, parts = segment + 1, offset + held, 0, [], []
         if parts:
-            for row in segment_rows(shard, segment, offset, doc_ids, parts):
-                yield pa.RecordBatch.from_pylist([row], schema)
+            yield pa.RecordBatch.from_pylist([segment_row(shard, segment, offset, doc_ids, parts)], schema)
 
     return run
 
@@ -259,33 +260,26 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
     sizes = files.groupBy("shard").agg(F.sum("n_symbols").alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    tables = files.where("table IS NOT NULL").select("shard", "segment", F.col("table").alias("codes"))
-    blocks = files.drop("table").join(tables, ["shard", "segment"]).join(before, "shard")
-    blocks = blocks.select("codes", "payload", (F.col("shard_start") + F.col("offset")).alias("start"))
+    if sizes.count() <= BROADCAST_SHARDS:
+        before = F.broadcast(before)
+    segments = files.join(before, "shard").select("table", "blocks", (F.col("shard_start") + F.col("offset")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, Coder] | None = None
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                if last is None or last[0] != row["codes"]:
-                    last = row["codes"], Coder(*unpack_table(row["codes"]))
-                block = Block(row["payload"], last[1])
-                ids = block.ids().astype("<u4")
-                ends = np.cumsum(block.lengths)
-                starts = ends - block.lengths
-                for at in range(0, len(ends), 256):
-                    to = min(at + 256, len(ends))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(block.doc_ids[at:to], pa.int64()),
-                            pa.array(row["start"] + starts[at:to], pa.int64()),
-                            pa.array([ids[s:e].tobytes() for s, e in zip(starts[at:to], ends[at:to], strict=True)], pa.binary()),
-                        ],
-                        names=["doc_id", "start", "ids"],
-                    )
-
-    return blocks.mapInArrow(run, "doc_id long, start long, ids binary")
+                coder, at = Coder(*unpack_table(batch.column("table")[k].as_py())), batch.column("start")[k].as_py()
+                for data in batch.column("blocks")[k].as_py():
+                    block = Block(data, coder)
+                    ids = block.ids().astype("<u4")
+                    ends = np.cumsum(block.lengths)
+                    starts = ends - block.lengths
+                    for first in range(0, len(ends), 256):
+                        last = min(first + 256, len(ends))
+                        texts = [ids[s:e].tobytes() for s, e in zip(starts[first:last], ends[first:last], strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids[first:last], pa.int64()), pa.array(at + starts[first:last], pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "start", "ids"])
+                    at += len(ids)
+
+    return segments.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def op8_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
