@@ -19,6 +19,7 @@ are ordered by their text; an empty table makes no rows; extra columns are left
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,13 @@ CHECKPOINT = 256
 SHARD_DOCS = 5000
 BROADCAST_SHARDS = 500_000
 #: Words a worker remembers the ids of.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
+
+#: Precomposed Latin letters, without the one whose lower case is two characters, then marks without an apostrophe.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*)([.,;:!?|#$%&*()\"+=/\[\]-]*)")
+#: The letters that byte-level tokenizers write for the 256 bytes: printable ones stand for themselves, others follow from U+0100.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,21 +188,46 @@ class WordIds:
     """Ids of whole texts by way of the ids of their words.
 
     The tokenizer drops white space and no rule of it looks across a space, so a text's ids
-    are those of its space-separated parts in order. Parts are remembered, up to MEMO_WORDS
-    of them, then the memory starts afresh.
+    are those of its space-separated parts in order. A part that is a Latin word with marks
+    behind it is two pieces for the tokenizer's splitting rule, each of which its merge
+    model takes directly; any other part goes through the whole tokenizer. Parts are
+    remembered, up to MEMO_WORDS of them, then the memory starts afresh.
     """
 
     def __init__(self, path: str) -> None:
-        self.coder, self.memo = tokenizer(path), {"": b""}
+        self.coder = tokenizer(path)
+        self.model = self.coder.model
+        self.clear()
+
+    def clear(self) -> None:
+        self.memo: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            shown = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            found = self.pieces[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
+        return found
+
+    def learn(self, words: list[str]) -> None:
+        rest = []
+        for word in words:
+            m = _SIMPLE.fullmatch(word)
+            if m:
+                self.memo[word] = self.piece(m[1].lower()) + self.piece(m[2])
+            else:
+                rest.append(word)
+        for word, got in zip(rest, self.coder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(got.ids, "<u2").tobytes()
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         new = list(set().union(*split).difference(self.memo))
         if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {"": b""}
+            self.clear()
             new = list(set().union(*split).difference(self.memo))
-        for word, got in zip(new, self.coder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(got.ids, "<u2").tobytes()
+        self.learn(new)
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u2") for words in split]
 
 
