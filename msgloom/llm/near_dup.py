@@ -8,11 +8,13 @@
 3. In each bucket (band key) every class meets the bucket's smallest one. Of the pairs that
    the signatures' bit counts, corrected for chance collisions, do not rule out, each class
    keeps its smallest partner, and the link is confirmed on the full sets.
-4. What is still to find joins two components. Buckets that hold one component are done;
-   in the others, classes of different components meet, filtered by their signatures. First
-   the likeliest pair for each two components is confirmed, then, with the components those
-   links leave, all the rest. So no link between components is lost, and the
-   many pairs inside a group of near copies are never made.
+4. What is still to find joins two components. Buckets that hold one component are done. In
+   the others, PIVOT_ROUNDS times, every class meets one pivot of the bucket, drawn anew, and
+   the likeliest link of each is confirmed; that connects groups of near copies.
+5. What is left are buckets with classes that seem unlinked. There every two classes of
+   different components are compared, by signature and then on the full sets, inside the
+   join, which gives only the links. So none is lost, and neither the pairs of a group of
+   near copies nor those that fail are ever made into rows.
 
 Links and components stay in DataFrames throughout; components spread by smallest labels
 with pointer jumping. Each step is written to the shared folder.
@@ -39,6 +41,8 @@ MISS = 1e-6
 #: Low bits kept of a minimum, and minima that go into the signature (8 words of 64 bits).
 BITS = 4
 LANES = 128
+#: Rounds in which the classes of an open bucket meet a pivot.
+PIVOT_ROUNDS = 3
 #: Standard deviations by which an estimate may fall short of the threshold and still be confirmed.
 SLACK = 6
 #: Ids up to which the list of classes whose sets are needed may be broadcast (16 bytes each); else it is joined by a shuffle.
@@ -217,23 +221,37 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     found = components(staged(confirmed(first)))
     rooted = signed.join(needed, "node", "left_semi").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    for best_only in (True, False):
-        rooted = staged(rooted)
-        open_rows = shared.select("bucket", "node").join(rooted, "node")
-        mixed_buckets = open_rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        open_rows = staged(open_rows.join(mixed_buckets, "bucket"))
-        left, right = renamed(open_rows, "a"), renamed(open_rows, "b")
-        apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & (estimate(minima) >= level)
-        met = left.join(right, apart).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_root", "b_root", estimate(minima).alias("near"))
-        if best_only:
-            best = F.max(F.struct("near", "a", "b")).alias("best")
-            met = met.groupBy("a_root", "b_root").agg(best).select("best.a", "best.b", "a_root", "b_root")
-        else:
-            met = met.drop("near").distinct()
-        links = staged(confirmed(met).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
-        if not links.isEmpty():
-            merged = components(links).select(F.col("node").alias("root"), F.col("root").alias("merged"))
-            rooted = rooted.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+    def open_rows() -> DataFrame:
+        """bucket, node, root and signature of the buckets that hold several components."""
+        rows = shared.select("bucket", "node").join(rooted, "node")
+        several = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        return staged(rows.join(several, "bucket"))
+
+    def merged(links: DataFrame) -> DataFrame:
+        """``rooted`` after links (a, b) between roots."""
+        links = staged(links.distinct())
+        if links.isEmpty():
+            return rooted
+        roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("merged"))
+        return staged(rooted.join(roots, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged"))
+
+    rooted = staged(rooted)
+    for turn in range(PIVOT_ROUNDS):
+        rows = open_rows()
+        pivots = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root", *_SIGNATURE), F.xxhash64("node", F.lit(turn))).alias("p"))
+        pivots = pivots.select("bucket", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("node", "root", *_SIGNATURE)))
+        near = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", *_SIGNATURE))).join(pivots, "bucket")
+        near = near.withColumn("near", estimate(minima)).where((F.col("a_root") != F.col("b_root")) & (F.col("near") >= level))
+        best = near.groupBy(F.col("a_node").alias("a")).agg(F.max(F.struct("near", "b_node", "a_root", "b_root")).alias("best"))
+        links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"))
+        rooted = merged(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+
+    rows = open_rows().join(sets.select(F.col("doc_id").alias("node"), "items"), "node")
+    left, right = renamed(rows, "a"), renamed(rows, "b")
+    common = F.size(F.array_intersect("a_items", "b_items")).cast("long")
+    linked = 100 * common >= percent * (F.size("a_items").cast("long") + F.size("b_items") - common)
+    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & (estimate(minima) >= level) & linked
+    rooted = merged(left.join(right, apart).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
 
     named = classes.select("set_key", "node").join(rooted.select("node", "root"), "node", "left")
     named = named.select("set_key", F.coalesce("root", "node").alias("root"))
