@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 #: Bounds of what a Python task holds at once: rows and bytes of one slice of an Arrow batch.
 SLICE_ROWS = 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 #: The folder of each application that has none set.
 _OWN: dict[str, str] = {}

@@ -33,7 +33,7 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents a language that the model is fitted on, about; rounds of fitting; words a worker remembers.
 SAMPLE = 800
 ROUNDS = 2
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 UNKNOWN = "und"
 #: Longest piece used, length of the parts in which a longer word is scored, probability of a character outside all pieces.
 PIECE_CHARS = 12
