@@ -45,9 +45,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text; ``decodes`` says that their bytes are the text's again."""
-    coded = bpe.decode(bpe.encode(docs))
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("decodes"))
+    coded = bpe.round_trip(docs)
+    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decodes")
 
 
 STAGES = [

@@ -18,6 +18,7 @@ import base64
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
@@ -72,7 +73,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", ra
 
     def make():
         enc = encoding(rank_file)
-        return lambda texts: [[encode_text(t, enc) for t in texts]]
+        return lambda texts: [[np.array(encode_text(t, enc), np.int32) for t in texts]]
 
     return append_columns(df, [text_col], f"`{ids_col}` array<int>", make)
 
@@ -87,6 +88,22 @@ def decode(df: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded"
     return append_columns(df, [ids_col], f"`{bytes_col}` binary", make)
 
 
+def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", same_col: str = "decodes", rank_file: str = RANK_FILE) -> DataFrame:
+    """``df`` with the ids and whether they decode to the text's bytes again, in one Python pass."""
+
+    def make():
+        enc = encoding(rank_file)
+
+        def step(texts):
+            ids = [encode_text(t, enc) for t in texts]
+            same = [enc.decode_bytes(i) == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(ids, texts, strict=True)]
+            return [[np.array(i, np.int32) for i in ids], same]
+
+        return step
+
+    return append_columns(df, [text_col], f"`{ids_col}` array<int>, `{same_col}` boolean", make)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: the count of ids and digests of the ids and of the decoded bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
