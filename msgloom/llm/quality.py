@@ -71,7 +71,7 @@ def features(text: str | None) -> np.ndarray:
     words = text.lower().split()
     own = {w.strip(_EDGE) for w in set(words)}
     own.update(forms(text, words))
-    return np.fromiter(map(xxhash.xxh32_intdigest, own), np.int64, len(own))
+    return np.fromiter(map(xxhash.xxh32_intdigest, own), np.uint32, len(own))
 
 
 @dataclass
@@ -97,15 +97,16 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     """Adam on the likelihood of the grades with a quadratic penalty; thresholds stay ordered by their steps' logarithms."""
     even = np.log(np.arange(1, GRADES) / (GRADES - np.arange(1, GRADES)))
     if not rows:
-        return Model(np.zeros(0, np.int64), np.zeros(0), even)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), even)
     flat = np.concatenate(rows)
     hashes, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
     used = counts >= MIN_DOCS
-    place = np.cumsum(used) - 1
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    place = (np.cumsum(used) - 1).astype(np.int32)
     keep = used[index]
-    doc, column = doc[keep], place[index[keep]]
+    column = place[index[keep]]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[keep]
     n, m = len(rows), int(used.sum())
+    del flat, index, keep
     w, free = np.zeros(m), np.array([even[0], *np.log(np.diff(even))])
     moments = [np.zeros(m + len(free)), np.zeros(m + len(free))]
     share = np.bincount(grades, minlength=GRADES) / n
@@ -150,10 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(id_col, F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
     # the sample is bounded, so it may be broadcast
     joined = texts.join(F.broadcast(graded), id_col).select("grade", "text")
-    rows = append_columns(joined, ["text"], "hashes array<long>", lambda: lambda t: [[features(x) for x in t]]).select("grade", "hashes")
-    got = rows.toPandas()
-    order = sorted(range(len(got)), key=lambda k: (int(got.grade[k]), len(got.hashes[k]), int(np.sum(got.hashes[k]))))
-    return fit([np.asarray(got.hashes[k], np.int64) for k in order], got.grade.to_numpy(np.int64)[order])
+    rows = append_columns(joined, ["text"], "hashes binary", lambda: lambda t: [[features(x).astype("<u4").tobytes() for x in t]])
+    got = sorted((int(g), bytes(h)) for g, h in rows.select("grade", "hashes").collect())
+    return fit([np.frombuffer(h, "<u4") for _, h in got], np.array([g for g, _ in got], np.int64))
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
