@@ -57,7 +57,9 @@ _BYTE_LETTERS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enu
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols in ascending order and their frequencies, each at least 1, with the sum 2**SCALE."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << SCALE
     freqs = np.maximum(1, counts * (total - len(symbols)) // counts.sum()).astype(np.int64)
     freqs[np.argmax(freqs)] += total - freqs.sum()
@@ -184,6 +186,18 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Memo(dict):
+    """Remembers what ``make`` gives for each text."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str) -> bytes:
+        found = self[text] = self.make(text)
+        return found
+
+
 class WordIds:
     """Ids of whole texts by way of the ids of their words.
 
@@ -191,43 +205,31 @@ class WordIds:
     are those of its space-separated parts in order. A part that is a Latin word with marks
     behind it is two pieces for the tokenizer's splitting rule, each of which its merge
     model takes directly; any other part goes through the whole tokenizer. Parts are
-    remembered, up to MEMO_WORDS of them, then the memory starts afresh.
+    remembered; a memory of over MEMO_WORDS of them starts afresh with the next slice.
     """
 
     def __init__(self, path: str) -> None:
         self.coder = tokenizer(path)
         self.model = self.coder.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.memo: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.memo = Memo(self.part)
+        self.pieces = Memo(self.piece)
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
-        if found is None:
-            shown = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = self.pieces[text] = np.array([t.id for t in self.model.tokenize(shown)], "<u2").tobytes()
-        return found
+        shown = text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(shown)] if text else []
+        return struct.pack(f"<{len(ids)}H", *ids)
 
-    def learn(self, words: list[str]) -> None:
-        rest = []
-        for word in words:
-            m = _SIMPLE.fullmatch(word)
-            if m:
-                self.memo[word] = self.piece(m[1].lower()) + self.piece(m[2])
-            else:
-                rest.append(word)
-        for word, got in zip(rest, self.coder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(got.ids, "<u2").tobytes()
+    def part(self, text: str) -> bytes:
+        m = _SIMPLE.fullmatch(text)
+        if m:
+            return self.pieces[m[1].lower()] + self.pieces[m[2]]
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = list(set().union(*split).difference(self.memo))
-        self.learn(new)
+        for memo in (self.memo, self.pieces):
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+        split = ((t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts)
         return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u2") for words in split]
 
 
