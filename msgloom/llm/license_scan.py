@@ -1,6 +1,6 @@
 """Operator 3: licence scan by a trained paragraph classifier.
 
-A paragraph is a line. Its features are hashed n-grams of one to three words, kept only if
+A paragraph is a run of non-blank lines. Its features are hashed n-grams of one to three words, kept only if
 the training notices have them, and a multinomial logistic regression weighs them for each
 licence family and for "unknown". Training paragraphs are varied copies of public notices
 (words dropped, cropped, put inside running text) and, as unknown, lines of a hashed sample
@@ -9,8 +9,12 @@ fitted on a held-out part calibrates the probabilities; a paragraph whose best f
 below MIN_PROBABILITY is unknown. A prediction counts only if the paragraph also holds
 enough word pairs of one of the family's notices.
 
-A line without any word that is peculiar to the notices scores as unknown for certain, so
-only lines that have one are classified; all lines of all texts are looked at.
+What is classified are the least groups of neighbouring lines of a paragraph, single lines
+among them, that hold enough word pairs of a notice; a prediction counts in no others, so
+none is lost. A group that is one grows by neighbouring lines that go on with the notice,
+and groups of one family that share a line become one. Short notices are too short to share
+pairs with the long ones, and so are templates of their own; ``Model.scan`` gives licences
+alone, ``Model.notices`` those and short notices.
 
 Cases: null and empty texts have no paragraphs; repeated rows are scanned each; sample
 lines that hold a notice are not used as unknown; extra columns stay; an empty table gives
@@ -96,6 +100,8 @@ LOOKALIKES = (
     "This work is under way and may be used later.",
     "The bar lost its license for the second time.",
 )
+#: Notices that stand alone and grant nothing.
+SHORT_NOTICES = {"reserved": ("All rights reserved.",)}
 UNKNOWN = "unknown"
 SAMPLE = 400
 VARIANTS = 40
@@ -122,6 +128,23 @@ def pairs(words: list[str]) -> set[tuple[str, ...]]:
 #: Word pairs of each notice.
 TEMPLATES = {family: [pairs(words_of(n)) for n in notices] for family, notices in NOTICES.items()}
 
+SHORT_TEMPLATES = {family: [pairs(words_of(n)) for n in notices] for family, notices in SHORT_NOTICES.items()}
+
+
+def by_pair(*tables: dict[str, list[set]]) -> dict[tuple[str, ...], list[tuple[str, frozenset]]]:
+    """The templates that have a word pair, with their families."""
+    having: dict[tuple[str, ...], list[tuple[str, frozenset]]] = {}
+    for table_ in tables:
+        for family, templates in table_.items():
+            for template in map(frozenset, templates):
+                for pair in template:
+                    having.setdefault(pair, []).append((family, template))
+    return having
+
+
+LICENCES = by_pair(TEMPLATES)
+ALL_NOTICES = by_pair(TEMPLATES, SHORT_TEMPLATES)
+
 
 def template_share(words: list[str], families: list[str]) -> float:
     """The largest share of a notice of these families that the words hold."""
@@ -133,6 +156,54 @@ def is_background(words: list[str]) -> bool:
     return bool(words) and template_share(words, list(TEMPLATES)) < MIN_SHARE / 2
 
 
+def least_groups(lines: list[list[str]], having: dict) -> list[tuple[int, int, str, frozenset]]:
+    """(first line, last line, family, template): groups with MIN_SHARE of a template's pairs of which no part has it."""
+    met: dict[tuple[str, frozenset], list[tuple[int, int, tuple[str, ...]]]] = {}
+    word, at = "", 0
+    for k, words in enumerate(lines):
+        for nxt in words:
+            for owner in having.get((word, nxt), ()):
+                met.setdefault(owner, []).append((at, k, (word, nxt)))
+            word, at = nxt, k
+    groups = []
+    for (family, template), found in met.items():
+        count: dict[tuple[str, ...], int] = {}
+        left, start_of = 0, {}
+        for _, last, pair in found:
+            count[pair] = count.get(pair, 0) + 1
+            while len(count) / len(template) >= MIN_SHARE:
+                start_of[last], _, gone = found[left]
+                count[gone] -= 1
+                if not count[gone]:
+                    del count[gone]
+                left += 1
+        # starts and ends grow together: the latest start of each end, the first end of each start
+        end_of: dict[int, int] = {}
+        for last, first in start_of.items():
+            end_of.setdefault(first, last)
+        groups += [(first, last, family, template) for first, last in end_of.items()]
+    return groups
+
+
+def grown(lines: list[list[str]], i: int, j: int, template: frozenset) -> tuple[int, int]:
+    """The group with neighbouring lines at least half of whose pairs are the template's, one of them new."""
+    words = [w for line in lines[i : j + 1] for w in line]
+    have = pairs(words) & template
+    for step in (-1, 1):
+        k = i if step < 0 else j
+        while 0 <= (k := k + step) < len(lines):
+            line = lines[k]
+            if not line:
+                continue
+            more = pairs([*line, words[0]] if step < 0 else [words[-1], *line])
+            if not (more & template) - have or 2 * len(more & template) < len(more):
+                break
+            have |= more & template
+            words = [*line, *words] if step < 0 else [*words, *line]
+            i, j = min(i, k), max(j, k)
+    return i, j
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -140,34 +211,68 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
-    triggers: frozenset[str]
 
-    def classify(self, line: str) -> tuple[str, float]:
-        """Family and calibrated probability; UNKNOWN below the threshold or without a template that agrees."""
-        words = words_of(line)
-        if self.triggers.isdisjoint(words):
-            return UNKNOWN, 1.0
+    def predict(self, words: list[str]) -> tuple[str, float, float]:
+        """Best family, its calibrated probability and that of UNKNOWN."""
         at = [self.place[g] for g in grams(words) if g in self.place]
         score = (self.weights[at].sum(0) + self.bias) / self.temperature
         p = np.exp(score - score.max())
         p /= p.sum()
         best = int(p.argmax())
-        family = self.families[best]
-        if family == UNKNOWN or p[best] < MIN_PROBABILITY or template_share(words, [family]) < MIN_SHARE:
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)])
-        return family, float(p[best])
+        return self.families[best], float(p[best]), float(p[self.families.index(UNKNOWN)])
 
-    def scan(self, text: str) -> tuple[list[tuple[str, int, int, float]], int]:
-        """Confirmed (family, start, end, probability) by line, and the number of non-blank lines."""
-        found, at, lines = [], 0, 0
-        for line in text.split("\n"):
+    def classify(self, line: str) -> tuple[str, float]:
+        """Family and calibrated probability; UNKNOWN below the threshold or without a template that agrees."""
+        words = words_of(line)
+        family, p, unknown = self.predict(words)
+        if family == UNKNOWN or p < MIN_PROBABILITY or template_share(words, [family]) < MIN_SHARE:
+            return UNKNOWN, unknown
+        return family, p
+
+    def paragraph(self, lines: list[list[str]], having: dict) -> list[tuple[str, int, int, float]]:
+        """Confirmed (family, first line, last line, probability) of a paragraph's words by line."""
+        seen: dict[tuple[int, int], tuple[str, float, float]] = {}
+        hits = []
+        for i, j, family, template in least_groups(lines, having):
+            if (i, j) not in seen:
+                seen[i, j] = self.predict([w for line in lines[i : j + 1] for w in line])
+            best, p, _ = seen[i, j]
+            if best == family and p >= MIN_PROBABILITY:
+                hits.append((family, *grown(lines, i, j, template), p))
+        joined: list[tuple[str, int, int, float]] = []
+        for family, i, j, p in sorted(hits):
+            if joined and joined[-1][0] == family and i <= joined[-1][2]:
+                _, first, last, q = joined.pop()
+                i, j, p = first, max(j, last), max(p, q)
+            joined.append((family, i, j, p))
+        kept: list[tuple[str, int, int, float]] = []
+        for hit in sorted(joined, key=lambda h: (-h[3], h[1], h[0])):
+            if all(hit[2] < k[1] or hit[1] > k[2] for k in kept):
+                kept.append(hit)
+        return sorted(kept, key=lambda h: h[1])
+
+    def _scan(self, text: str, having: dict) -> tuple[list[tuple[str, int, int, float]], int]:
+        found, at, paragraphs = [], 0, 0
+        ends: list[tuple[int, int]] = []
+        lines: list[list[str]] = []
+        for line in [*text.split("\n"), ""]:
             if line and not line.isspace():
-                lines += 1
-                family, p = self.classify(line)
-                if family != UNKNOWN:
-                    found.append((family, at, at + len(line), p))
+                ends.append((at, at + len(line)))
+                lines.append(words_of(line))
+            elif lines:
+                paragraphs += 1
+                found += [(family, ends[i][0], ends[j][1], p) for family, i, j, p in self.paragraph(lines, having)]
+                ends, lines = [], []
             at += len(line) + 1
-        return found, lines
+        return found, paragraphs
+
+    def scan(self, text: str) -> tuple[list[tuple[str, int, int, float]], int]:
+        """Confirmed licences (family, start, end, probability) by lines, and the number of paragraphs."""
+        return self._scan(text, LICENCES)
+
+    def notices(self, text: str) -> tuple[list[tuple[str, int, int, float]], int]:
+        """Licences and short notices, else like ``scan``."""
+        return self._scan(text, ALL_NOTICES)
 
 
 def training_rows(background: list[str], rng: random.Random) -> list[tuple[list[str], str]]:
@@ -224,9 +329,7 @@ def fit(background: list[str], seed: int = 3) -> Model:
         return float((np.log(np.exp(s).sum(1)) - s[np.arange(held), y[:held]]).mean())
 
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0), key=loss)
-    common = {word for words in map(words_of, background) if is_background(words) for word in words}
-    triggers = {word for notices in NOTICES.values() for n in notices for word in words_of(n)} - common
-    return Model(families, place, w, b, temperature, frozenset(t for t in triggers if not t.isdigit()))
+    return Model(families, place, w, b, temperature)
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
@@ -244,7 +347,7 @@ def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def make():
         def step(texts):
-            got = [shared.value.scan(t or "") for t in texts]
+            got = [shared.value.notices(t or "") for t in texts]
             names = ("family", "start", "end", "probability")
             return [[n for _, n in got], [[dict(zip(names, s, strict=True)) for s in spans] for spans, _ in got]]
 

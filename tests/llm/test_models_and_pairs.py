@@ -1,6 +1,7 @@
 """Operators 3, 5, 6, 7, 9, 10 against brute force or held-out accuracy, and their edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -263,6 +264,36 @@ def test_licence_variants_and_lookalikes(licences):
         assert licences.classify(text)[0] == license_scan.UNKNOWN
 
 
+def test_licence_short_and_wrapped_notices(spark, licences):
+    bare = "Some words of a page.\nAll rights reserved."
+    bsd = "# Redistribution and use in source and binary forms, with or without modification,\n# are permitted provided that the following conditions are met"
+    gpl = "This program is free software: you can redistribute it and/or modify it under\nthe terms of the GNU General Public License as published by the Free\nSoftware Foundation."
+    torn = gpl.replace("\n", "\n\n", 1)
+    rows = spark.createDataFrame([(1, bare), (2, f"x\n\n{bsd}\n\ny"), (3, f"int main() {{\n{gpl}\nreturn nothing"), (4, torn)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_paragraphs, [(s.family, r.text[s.start : s.end]) for s in r.licenses]) for r in license_scan.scan(rows, licences).collect()}
+    assert got == {1: (1, [("reserved", "All rights reserved.")]), 2: (3, [("bsd", bsd)]), 3: (1, [("gpl", gpl)]), 4: (2, [])}
+
+
+def test_licence_query_reports_every_reservation(spark, sf_dir, licences):
+    for r in license_scan.scan(table(spark, sf_dir, "documents"), licences).collect():
+        assert sum(s.family == "reserved" for s in r.licenses) == (r.text or "").split("\n").count("All rights reserved.")
+
+
+def test_licence_groups_equal_brute_force(licences):
+    rng, vocabulary = random.Random(5), [w for n in license_scan.NOTICES["gpl"] + license_scan.NOTICES["mit"] for w in license_scan.words_of(n)]
+    for _ in range(60):
+        lines = [[rng.choice(vocabulary) if rng.random() < 0.3 else "x" for _ in range(rng.randrange(5))] for _ in range(3)]
+        whole = license_scan.words_of(rng.choice(license_scan.NOTICES["gpl"]))
+        cuts = sorted(rng.randrange(len(whole) + 1) for _ in range(2))
+        lines += [whole[: cuts[0]], whole[cuts[0] : cuts[1]], [], whole[cuts[1] :]]
+        want = set()
+        for family, templates in license_scan.TEMPLATES.items():
+            for t in templates:
+                full = [(i, j) for i in range(len(lines)) for j in range(i, len(lines)) if len(license_scan.pairs([w for line in lines[i : j + 1] for w in line]) & t) / len(t) >= license_scan.MIN_SHARE]
+                want |= {(i, j, family, frozenset(t)) for i, j in full if not any((a, b) != (i, j) and i <= a and b <= j for a, b in full)}
+        assert set(license_scan.least_groups(lines, license_scan.LICENCES)) == want
+
+
 def test_licence_edges(spark, licences):
     got = license_scan.scan(edge_docs(spark), licences).collect()
     assert len(got) == len(EDGES) and all(r.licenses == [] for r in got)
