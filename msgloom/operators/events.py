@@ -186,7 +186,8 @@ def merge_events(events: DataFrame) -> DataFrame:
 
     Each event, in order of arrival, joins the newest stored one of its room, else of its base
     title, else is stored unless its key is. Joining changes a title at most, never the time
-    it counts from. ``merged`` counts what an event took in.
+    it counts from. ``merged`` counts what an event took in; ``attendees``, if given, stay those
+    of the event that was stored.
 
     Matches need the same channel and start, so those are the group. As nothing older than
     MERGE_DAYS matches, a group is cut where it pauses longer than that; without a start it
@@ -195,11 +196,12 @@ def merge_events(events: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     within = F.when(F.col("start").isNull(), F.coalesce(unless_blank(F.col("room")), F.col("base_title")))
+    extra = ", attendees array<string>" if "attendees" in events.columns else ""
     rows = events.withColumn("_within", within)
     arrival = Window.partitionBy("channel", "start", "_within").orderBy("created_at", "seq")
     pause = F.col("created_at") - F.lag("created_at").over(arrival) > fixed.MERGE_DAYS * 86_400_000
     rows = rows.withColumn("_part", F.sum(F.when(pause, 1).otherwise(0)).over(arrival))
-    schema = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long, merged long"
+    schema = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long, merged long" + extra
 
     def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         stored: list[dict] = []
@@ -211,7 +213,7 @@ def merge_events(events: DataFrame) -> DataFrame:
 
 def with_roster_title(events: DataFrame) -> DataFrame:
     """W4's first step: attendees with the message's numbered names, and the title composed anew where there are any."""
-    names = roster(F.col("message"))
+    names = roster(F.coalesce("message", F.lit("")))
     everyone = F.array_distinct(F.filter(F.concat(F.coalesce("attendees", F.array().cast("array<string>")), names), lambda a: ~blank(a)))
     retitled = F.when((F.size(names) > 0) & ~blank(F.col("base_title")), compose_title(F.col("base_title"), F.col("sender"))).otherwise(F.col("title"))
     return events.withColumn("title", retitled).withColumn("attendees", everyone)

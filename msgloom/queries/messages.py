@@ -424,3 +424,10 @@ def w4_merge_events(spark, sf_dir):
 def u3_attendee_union(spark, sf_dir):
     rows = messages(spark, sf_dir).where("k % 16 <> 13 AND k % 16 <> 4").withColumns({"attendees": F.array("sender"), "base_title": F.col("title"), "message": F.col("body")})
     return events.with_roster_title(rows).select("event_id", F.array_join(F.array_sort("attendees"), ",").alias("attendees"))
+
+
+@query()
+def u3_roster_union(spark, sf_dir):
+    """The whole of U3 and W4's first step: all messages, those with a roster too, and their titles."""
+    rows = messages(spark, sf_dir).withColumns({"attendees": F.array("sender"), "base_title": F.coalesce("title", F.lit("")), "message": F.col("body")})
+    return events.with_roster_title(rows).select("event_id", "attendees", "title")

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from msgloom.functions import anonymize, similarity, text
 from msgloom.operators import conversation, events, generate, labels
+from msgloom.plans.message_flow import to_events
+from msgloom.queries.all import QUERIES
+from msgloom.queries.messages import messages
 from msgloom.sources import io
 
 
@@ -76,6 +79,35 @@ def test_merge_events(spark):
     assert events.merge_events(event_rows(spark, [])).count() == 0
 
 
+def test_roster_reaches_every_message(spark, sf_dir):
+    rows = {r.event_id: r for r in messages(spark, sf_dir).collect()}
+    got = {r.event_id: r for r in QUERIES["u3_roster_union"](spark, sf_dir).collect()}
+    assert set(got) == set(rows)
+    named = {4: ["민수진", "영희", "Tom Lee"], 13: ["Anna", "이영"]}
+    machine = ("010-1234-5678", "team@corp.com", "나")
+    tag = {"김민수 한빛상사 영업": "김민수(한빛상사)", "[Web발신] 국민은행": "국민은행", "박서준": "박서준"}
+    met = 0
+    for k, r in rows.items():
+        names = named.get(r.k % 16, [])
+        assert got[k].attendees == list(dict.fromkeys([r.sender, *names])), r
+        if not names or not (r.title or "").strip():
+            assert got[k].title == r.title
+            continue
+        met += 1
+        base = r.title.strip()
+        assert got[k].title == (base if r.sender in machine or tag[r.sender] in base else f"{base} [{tag[r.sender]}]"), r
+    assert met > 20
+
+
+def test_events_carry_the_roster(spark):
+    columns = "channel string, sender string, room string, seq long, seconds long, received_at string, message string, output string"
+    text = '{"is_schedule": true, "title": "회식", "date": "내일", "attendees": ["영희"]}'
+    rows = [("sms", "박서준", "", 1, 10, "2026-06-15T10:00:00+09:00", "명단 1. 민수진 2. 영희", text), ("sms", "박서준", "", 2, 20, "2026-06-16T10:00:00+09:00", None, text.replace("회식", "면접"))]
+    aliases = spark.createDataFrame([], "sender string, token string")
+    got = {r.base_title: r for r in to_events(spark.createDataFrame(rows, columns), aliases, F.lit("2026-06-15").cast("date")).collect()}
+    assert got["회식"].attendees == ["영희", "민수진"] and got["회식"].title == "회식 [박서준]" and got["면접"].attendees == ["영희"]
+
+
 def test_masks_in_one_pass():
     assert anonymize.masked("a@b.co 010-1234-5678 http://x.y/z 123456-1234567") == "user@example.com 010-0000-0000 http://example.com 000000-0000000"
     assert anonymize.masked("2026-06-05") == "000-000-000000" and anonymize.masked("2026-06-05", protect_dates=True) == "2026-06-05"
