@@ -80,10 +80,19 @@ def d5_user_block(spark, sf_dir):
     FROM d LEFT JOIN v ON d.event_id = v.event_id WHERE d.target IS NOT NULL AND d.target - d.recv < 7 GROUP BY d.event_id, d.target, d.recv"""
 )
 def d6_relativize(spark, sf_dir):
-    """Absolute dates less than a week ahead, or past, as tokens."""
-    rows = messages(spark, sf_dir).withColumn("target", tokens.resolve_date(F.col("recv"), F.col("date"))).where(F.datediff("target", "recv") < 7)
-    told = tokens.relativize_date(F.col("recv"), F.col("target").cast("string"), F.col("body"))
-    return rows.select("event_id", told.alias("told")).select("event_id", F.col("told.value").alias("token"))
+    """The rows of its SQL: absolute dates less than a week ahead, or past, as tokens; d6_relativize_all has all."""
+    return told_dates(messages(spark, sf_dir)).where(F.datediff("target", "recv") < 7).select("event_id", F.col("told.value").alias("token"))
+
+
+def told_dates(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("target", tokens.resolve_date(F.col("recv"), F.col("date")))
+    return rows.withColumn("told", tokens.relativize_date(F.col("recv"), F.col("target").cast("string"), F.col("body")))
+
+
+@query()
+def d6_relativize_all(spark, sf_dir):
+    """The absolute dates of all messages, however far ahead, as tokens with the way they were found."""
+    return told_dates(messages(spark, sf_dir)).select("event_id", F.col("told.value").alias("token"), F.col("told.method").alias("method"))
 
 
 def _first(pattern: str, build: str) -> str:
@@ -141,11 +150,22 @@ ONLINE = " OR ".join(f"strpos(lower(trim(place)), '{k}') > 0" for k in fixed.ONL
     FROM e WHERE start IS NOT NULL"""
 )
 def d11_calendar_row(spark, sf_dir):
+    """The rows of its SQL, which has no hour 24; d11_calendar_row_all has all."""
+    return calendar_rows(messages(spark, sf_dir).where(~F.col("has_time") | (F.col("hour") < 24))).where("r IS NOT NULL").select("event_id", "r.location", "r.description", "r.start_millis")
+
+
+@query()
+def d11_calendar_row_all(spark, sf_dir):
+    """All messages; without a readable start, as of a bare hour 24, the fields are null."""
+    return calendar_rows(messages(spark, sf_dir)).select("event_id", "r.location", "r.description", "r.start_millis")
+
+
+def calendar_rows(rows: DataFrame) -> DataFrame:
     when = tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), clock().cast("struct<hour:int,minute:int,marker:string>"))
-    rows = messages(spark, sf_dir).where(~F.col("has_time") | (F.col("hour") < 24)).withColumn("w", when)
+    rows = rows.withColumn("w", when)
     event = F.struct(F.col("title"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.all_day").alias("all_day"), F.col("place").alias("location"), F.lit(None).cast("string").alias("description"))
     row = events.calendar_row(event, F.array().cast("array<string>"), F.lit(None).cast("string"))
-    return rows.select("event_id", row.alias("r")).where("r IS NOT NULL").select("event_id", "r.location", "r.description", "r.start_millis")
+    return rows.select("event_id", row.alias("r"))
 
 
 @query(f"{M}, n AS (SELECT *, {TAG} AS tag, {TITLE} AS base FROM m) SELECT event_id, {TITLED} AS shown FROM n")

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgloom.functions import fixed, tokens
+from msgloom.queries.all import QUERIES
+from msgloom.queries.messages import messages
 
 DAYS = [dt.date(2027, 12, 25) + dt.timedelta(k) for k in range(0, 140, 3)] + [dt.date(2028, 2, 29), dt.date(2026, 1, 31), dt.date(2026, 12, 31)]
 TOKENS = (
@@ -112,3 +114,41 @@ def test_relativize(spark):
     df = spark.createDataFrame(rows, "r string, d string, m string, value string, method string")
     for r in df.select("value", "method", tokens.relativize_date(F.col("r").cast("date"), F.col("d"), F.col("m")).alias("got")).collect():
         assert (r.got.value, r.got.method) == (r.value, r.method)
+
+
+def candidates(received, target):
+    offset, letter = (target - received).days, fixed.WEEKDAYS[target.weekday()]
+    found = [{0: "오늘", 1: "내일", 2: "모레", 3: "글피"}.get(offset), f"{target.day}일", *(w + letter for w in ("이번주", "다음주", "다다음주")), "이번주말", "다음주말"]
+    found += [f"{offset // 7}주후"] if offset >= 7 and offset % 7 == 0 else []
+    found += [f"{m}개월후" for m in (round(offset / 30.0) + k for k in (-1, 0, 1)) if m >= 1] if offset >= 28 else []
+    found += [f"{y}년후" for y in (round(offset / 365.0) + k for k in (0, 1)) if y >= 1] if offset >= 365 else []
+    return [c for c in [*found, f"{offset}일후" if offset >= 1 else None] if c]
+
+
+def test_all_dates_as_tokens(spark, sf_dir):
+    got = {r.event_id: r for r in QUERIES["d6_relativize_all"](spark, sf_dir).collect()}
+    rows = messages(spark, sf_dir).collect()
+    assert set(got) == {r.event_id for r in rows}
+    used = set()
+    for r in rows:
+        target = resolve(r.recv, r.date)
+        fits = [c for c in candidates(r.recv, target) if resolve(r.recv, c) == target] if target else []
+        said = [c for c in fits if c in (r.body or "").replace(" ", "")]
+        want = (None, "passthrough") if target is None else (said[0], "message-match") if said else (fits[0], "canonical") if fits else (str(target), "absolute-kept")
+        assert (got[r.event_id].token, got[r.event_id].method) == want, r
+        used.add(re.sub(r"\d+", "", want[0] or ""))
+    assert {"주후", "개월후", "년후"} & used and {"다음주화"} & used
+
+
+def test_calendar_rows_of_every_hour(spark, sf_dir):
+    got = {r.event_id: r.start_millis for r in QUERIES["d11_calendar_row_all"](spark, sf_dir).collect()}
+    rows = messages(spark, sf_dir).collect()
+    assert set(got) == {r.event_id for r in rows}
+    late = [r for r in rows if r.has_time and r.hour == 24]
+    for r in late:
+        hour = {fixed.NOON: 12, fixed.MIDNIGHT: 0}.get(r.marker)
+        day = resolve(r.recv, r.date) if r.date is not None else r.recv
+        # 24:00 is no clock time, except where a marker names noon or midnight
+        want = None if day is None or hour is None else int(dt.datetime(day.year, day.month, day.day, hour, tzinfo=dt.timezone(dt.timedelta(hours=9))).timestamp() * 1000)
+        assert got[r.event_id] == want, r
+    assert any(got[r.event_id] is not None for r in late)
