@@ -151,7 +151,7 @@ def seed_records(seeds: DataFrame, prefix: str, channel: str, order: str = "row_
     i = F.col(order)
     day = F.date_add(F.lit("2026-06-01").cast("date"), (i % 6).cast("int"))
     at = F.concat(day.cast("string"), F.lit("T"), two_digits((8 + i % 12).cast("int")), F.lit(":"), two_digits((i * 7 % 60).cast("int")), F.lit(f":00{fixed.DEFAULT_ZONE}"))
-    return seeds.select(F.concat(F.lit(f"{prefix}_"), F.lpad(i.cast("string"), 3, "0")).alias("scenario_id"), at.alias("received_at"), F.lit(channel).alias("channel"), "sender", "message", F.lit('{"is_schedule":false}').alias("gold"))
+    return seeds.select(F.format_string("%s_%03d", F.lit(prefix), i).alias("scenario_id"), at.alias("received_at"), F.lit(channel).alias("channel"), "sender", "message", F.lit('{"is_schedule":false}').alias("gold"))
 
 
 def label_errors(df: DataFrame) -> DataFrame:

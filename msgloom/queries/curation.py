@@ -474,9 +474,17 @@ def g6_confirm_samples(spark, sf_dir):
 
 @query("SELECT 'ad_' || lpad(event_id::VARCHAR, 3, '0') AS scenario_id, strftime(DATE '2026-06-01' + CAST(event_id % 6 AS INT), '%Y-%m-%d') || printf('T%02d:%02d:00+09:00', CAST(8 + event_id % 12 AS INT), CAST(event_id * 7 % 60 AS INT)) AS received_at FROM events WHERE event_id < 1000")
 def g7_seed_records(spark, sf_dir):
-    """The first thousand ids have three digits."""
-    seeds = messages(spark, sf_dir).where("event_id < 1000").select(F.col("event_id").alias("row_ord"), "sender", F.col("body").alias("message"))
-    return generate.seed_records(seeds, "ad", "sms").select("scenario_id", "received_at")
+    """The rows of its SQL, ids of up to three digits; g7_seed_records_all has all."""
+    return seed_records(messages(spark, sf_dir).where("event_id < 1000")).select("scenario_id", "received_at")
+
+
+@query()
+def g7_seed_records_all(spark, sf_dir):
+    return seed_records(messages(spark, sf_dir))
+
+
+def seed_records(rows: DataFrame) -> DataFrame:
+    return generate.seed_records(rows.select(F.col("event_id").alias("row_ord"), "sender", F.col("body").alias("message")), "ad", "sms")
 
 
 @query(f"{M} SELECT event_id, 's' || event_id AS scenario_id, CAST(1 AS BIGINT) AS rows FROM m")

@@ -108,6 +108,13 @@ def test_events_carry_the_roster(spark):
     assert got["회식"].attendees == ["영희", "민수진"] and got["회식"].title == "회식 [박서준]" and got["면접"].attendees == ["영희"]
 
 
+def test_seed_records_of_any_size(spark, sf_dir):
+    seeds = spark.createDataFrame([(k, "s", "m") for k in (0, 7, 100, 999, 1000, 1009, 123456)], "row_ord long, sender string, message string")
+    assert [r.scenario_id for r in generate.seed_records(seeds, "ad", "sms").orderBy("row_ord").collect()] == ["ad_000", "ad_007", "ad_100", "ad_999", "ad_1000", "ad_1009", "ad_123456"]
+    ids = [r.event_id for r in messages(spark, sf_dir).collect()]
+    assert sorted(r.scenario_id for r in QUERIES["g7_seed_records_all"](spark, sf_dir).collect()) == sorted(f"ad_{k:03d}" for k in ids)
+
+
 def test_masks_in_one_pass():
     assert anonymize.masked("a@b.co 010-1234-5678 http://x.y/z 123456-1234567") == "user@example.com 010-0000-0000 http://example.com 000000-0000000"
     assert anonymize.masked("2026-06-05") == "000-000-000000" and anonymize.masked("2026-06-05", protect_dates=True) == "2026-06-05"
