@@ -120,6 +120,20 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
 
 
+def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
+    """All rows in the order of their hash, with shuffle_key and place from 1 on; ``key`` must be unique.
+
+    Rows are dealt by ranges of the hash's first three digits, of which 4,096 counts at most
+    are summed up; a row's place is that sum and its number among its range.
+    """
+    rows = df.withColumn("shuffle_key", hash_order(key, seed)).withColumn("_range", F.substring("shuffle_key", 1, 3))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = counts.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("shuffle_key"))
+    numbered = rows.repartitionByRange("_range").withColumn("_number", number)
+    return numbered.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_number")).drop("_range", "_number", "_before")
+
+
 def capped_selection(rows: DataFrame, cap: int, negative_share: float, seed: int = 0) -> DataFrame:
     """About ``cap`` rows with this share of negatives.
 

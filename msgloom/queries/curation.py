@@ -205,11 +205,14 @@ def w8_quota(spark, sf_dir):
 
 @query(f"{M}, r AS (SELECT event_id, row_number() OVER (ORDER BY md5(event_id || '|7')) AS place FROM m) SELECT event_id, place FROM r WHERE place <= 100")
 def w13_shuffle(spark, sf_dir):
-    best = messages(spark, sf_dir).select("event_id").orderBy(curate.hash_order(F.col("event_id"), 7)).limit(100)
-    from pyspark.sql import Window
+    """The rows of its SQL, the first hundred; w13_shuffle_all has all."""
+    return w13_shuffle_all(spark, sf_dir).where("place <= 100").select("event_id", "place")
 
-    # a hundred rows at most reach this window
-    return best.withColumn("place", F.row_number().over(Window.orderBy(curate.hash_order(F.col("event_id"), 7))))
+
+@query()
+def w13_shuffle_all(spark, sf_dir):
+    """All messages in shuffled order, with shuffle key and place."""
+    return curate.shuffled(messages(spark, sf_dir).select("event_id"), F.col("event_id"), 7)
 
 
 @query(f"{M} SELECT channel, source_ord, kind, count(*) AS rows FROM (SELECT channel, 0 AS source_ord, 'keep' AS kind FROM m WHERE channel <> 'sms' UNION ALL SELECT channel, 1, 'pool' FROM m WHERE channel = 'sms') GROUP BY ALL")

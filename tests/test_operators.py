@@ -1,5 +1,7 @@
 """Operators whose results SQL does not state, and edge cases: nulls, ties, empty arrays."""
 
+import hashlib
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +117,13 @@ def test_seed_records_of_any_size(spark, sf_dir):
     assert sorted(r.scenario_id for r in QUERIES["g7_seed_records_all"](spark, sf_dir).collect()) == sorted(f"ad_{k:03d}" for k in ids)
 
 
+def test_shuffle_keeps_all_rows(spark, sf_dir):
+    ids = [r.event_id for r in messages(spark, sf_dir).collect()]
+    want = sorted(ids, key=lambda k: hashlib.md5(f"{k}|7".encode()).hexdigest())
+    got = QUERIES["w13_shuffle_all"](spark, sf_dir).collect()
+    assert [(r.event_id, r.place) for r in got] == [(k, n + 1) for n, k in enumerate(want)]
+
+
 def test_masks_in_one_pass():
     assert anonymize.masked("a@b.co 010-1234-5678 http://x.y/z 123456-1234567") == "user@example.com 010-0000-0000 http://example.com 000000-0000000"
     assert anonymize.masked("2026-06-05") == "000-000-000000" and anonymize.masked("2026-06-05", protect_dates=True) == "2026-06-05"
