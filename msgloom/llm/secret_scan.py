@@ -2,9 +2,11 @@
 
 Three plain patterns give the base spans. Beyond them, candidates that look encoded are
 decoded and parsed, and reported only if their structure holds: armoured private keys
-(their body must be a key), base64 or hex text that decodes to a DER private key whose
-nested lengths fill it exactly or to an OpenSSH key record, and signed tokens whose
-header is JSON with an algorithm.
+(their body, without header lines, must be a key or say that it is encrypted), base64,
+base64url or hex text that decodes to a DER private key whose nested lengths fill it exactly,
+to an OpenSSH key record or to an armoured key, and signed tokens whose header is JSON with
+an algorithm. Encoded text may go on over line ends, also over escaped ones as in JSON;
+where it ends follows from the lengths in it.
 
 Cases: null text counts as empty; an empty text or table gives no spans or rows; repeated
 rows are scanned each; extra columns stay, those with the name of a new one are replaced.
@@ -31,9 +33,16 @@ _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*
 _CUES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
-_BASE64 = re.compile(r"M[A-Za-z0-9+/]{39,}={0,2}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]{20,}={0,2}")
-_UPPER_HEX = re.compile(r"30[0-9A-F]{46,}")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_HEADER = re.compile(r"[ \t]*[A-Za-z0-9-]+:.*")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s_-]{16,}")
+_ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
+_WRAP = re.compile(r"\r?\n[ \t]*|(?:\\+r)?\\+n")
+_SIX, _FOUR = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
+#: Where encoded keys may start: a DER sequence, an OpenSSH record, "-----BEGIN" at its place in a group of three bytes.
+_START64 = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi|LS0tLUJFR0lOI|LS0tQkVHSU4g)")
+_START16 = re.compile(r"(?=30(?:[0-7]|8[1-4])[0-9A-Fa-f]{9}|6[fF]70656[eE]7373682[dD]6|2[dD]2[dD]2[dD]2[dD]2[dD]424547494[eE])")
+_CUT_DASHES = {"LS0tLUJF": b"-", "LS0tQkVH": b"--"}
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
 
 Span = tuple[str, int, int]
@@ -111,19 +120,107 @@ def is_signed_token(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def is_armoured_key(m: re.Match) -> bool:
+    """Whether the body of an armour, with header lines or escaped line ends, is a key or an encrypted one."""
+    lines = _ESCAPED.sub("\n", m.group(2)).replace("\\/", "/").split("\n")
+    heads = [line for line in lines if _HEADER.fullmatch(line.rstrip("\r"))]
+    body = "\n".join(line for line in lines if line not in heads)
+    if "ENCRYPTED" in m.group(1) or any("ENCRYPTED" in h for h in heads):
+        return bool(_BODY.fullmatch(body))
+    return is_private_key(decoded64(body))
+
+
+def taken(text: str, at: int, size: int | None, letters: re.Pattern) -> tuple[str, int] | None:
+    """``size`` encoded letters from ``at`` on over line ends, up to the end of a run of them, and that end; all without a size."""
+    parts, left = [], len(text) if size is None else size
+    while True:
+        part = letters.match(text, at, min(len(text), at + left + 1))
+        if part.end() - at > left:
+            return None
+        parts.append(part.group())
+        left, at = left - len(parts[-1]), part.end()
+        wrap = left and _WRAP.match(text, at)
+        follows = wrap and letters.match(text, wrap.end(), wrap.end() + 1).group()
+        if not follows:
+            return ("".join(parts), at) if size is None or not left else None
+        at = wrap.end()
+
+
+def place_of(text: str, at: int, count: int, letters: re.Pattern) -> int:
+    """Where ``count`` encoded letters from ``at`` on end."""
+    while True:
+        end = letters.match(text, at, min(len(text), at + count)).end()
+        count -= end - at
+        if count <= 0 or not (wrap := _WRAP.match(text, end)):
+            return end
+        at = wrap.end()
+
+
+def bytes_of(letters: str, bits: int) -> bytes:
+    if bits == 4:
+        return bytes.fromhex(letters[: len(letters) // 2 * 2])
+    return decoded64(letters[:-1] if len(letters) % 4 == 1 else letters)
+
+
+def record_size(data: bytes) -> int:
+    """Length of an OpenSSH key record: names, the number of keys, public keys and the private part; all of the data if that is cut off."""
+    at, strings, k = 15, 3, 0
+    while k < strings and at + 4 <= len(data):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        k += 1
+        if k == 3:
+            strings += int.from_bytes(data[at : at + 4], "big") + 1
+            at += 4
+    return at if k == strings and at <= len(data) else len(data)
+
+
+def encoded_keys(text: str, bits: int) -> Iterator[Span]:
+    """Private keys as base64 (six bits a letter) or hex (four)."""
+    starts, letters = (_START64, _SIX) if bits == 6 else (_START16, _FOUR)
+    done = 0
+    for m in starts.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        head = bytes_of(text[at : at + (8 if bits == 6 else 12)], bits)
+        if head[0] == 0x30:
+            width = head[1] & 0x7F if head[1] & 0x80 else 0
+            if width > 4:
+                continue
+            size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+            got = size >= 20 and taken(text, at, -(-size * 8 // bits), letters)
+            if not got or not is_private_key(bytes_of(got[0], bits)):
+                continue
+            end = got[1]
+        else:
+            lead = _CUT_DASHES.get(text[at : at + 8], b"")
+            every, _ = taken(text, at, None, letters)
+            data = lead + bytes_of(every, bits)
+            if data.startswith(b"openssh-key-v1\0"):
+                if not is_private_key(data):
+                    continue
+                size = record_size(data)
+            else:
+                armour = _ARMOUR.match(data.decode("latin-1"))
+                if not armour or not is_armoured_key(armour):
+                    continue
+                size = armour.end() - len(lead)
+                size += len(data[armour.end() :]) - len(data[armour.end() :].lstrip())
+            end = place_of(text, at, -(-size * 8 // bits), letters)
+        if bits == 6:
+            end += len(re.match("={0,2}", text[end : end + 2]).group())
+        yield ("key", at, end)
+        done = end
+
+
 def confirmed_spans(text: str) -> Iterator[Span]:
     """Candidates whose decoded structure is that of a key or signed token."""
     armoured = []
     if "-----BEGIN" in text:
-        armoured = [m for m in _ARMOUR.finditer(text) if "ENCRYPTED" in m.group(1) or is_private_key(decoded64(m.group(2)))]
-        yield from (("armoured", *m.span()) for m in armoured)
-    inside = lambda m: any(a.start() <= m.start() and m.end() <= a.end() for a in armoured)
-    yield from (("key", *m.span()) for m in _BASE64.finditer(text) if not inside(m) and is_private_key(decoded64(m.group())))
-    for pattern in (_HEX, _UPPER_HEX):
-        for m in pattern.finditer(text):
-            digits = m.group()
-            if digits.startswith("30") and len(digits) % 2 == 0 and is_private_key(bytes.fromhex(digits)):
-                yield ("key", *m.span())
+        armoured = [m.span() for m in _ARMOUR.finditer(text) if is_armoured_key(m)]
+        yield from (("armoured", *span) for span in armoured)
+    for bits in (6, 4):
+        yield from (k for k in encoded_keys(text, bits) if not any(a <= k[1] and k[2] <= b for a, b in armoured))
     if "eyJ" in text:
         yield from (("signed", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m.group()))
 

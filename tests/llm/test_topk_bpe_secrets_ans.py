@@ -120,6 +120,35 @@ def test_secret_structures_are_confirmed():
     assert kinds("M" * 60) == kinds(text64[:-8]) == kinds("30" * 40) == kinds("eyJhbGciOiJI.eyJzdWIi.ssssssssssssssssss") == []
 
 
+def test_secret_forms_of_keys():
+    rsa = der(0x30, b"".join(der(2, n) for n in [b"\0", b"\x7f" * 64, b"\1\0\1", b"\x11" * 64, b"\3" * 32, b"\5" * 32, b"\7" * 32, b"\xfb" * 32, b"\xff" * 32]))
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    record = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"p" * 51) + string(b"q" * 136)
+    text64 = base64.b64encode(rsa).decode()
+    wrapped = "\n".join(text64[k : k + 64] for k in range(0, len(text64), 64))
+    armour = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped}\n-----END RSA PRIVATE KEY-----\n"
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011223344556677\n\n"
+    encrypted = f"-----BEGIN RSA PRIVATE KEY-----\n{heads}{base64.b64encode(bytes(range(160))).decode()}\n-----END RSA PRIVATE KEY-----"
+    url = base64.urlsafe_b64encode(rsa).decode().rstrip("=")
+    assert "-" in url and "_" in url
+    mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(rsa.hex()))
+    forms = [
+        (record.hex(), "key"), (record.hex().upper(), "key"), (mixed, "key"), (base64.b64encode(record).decode(), "key"),
+        (base64.b64encode(armour.encode()).decode(), "key"), (base64.b64encode(b"\n".join([b"note", armour.encode()])).decode()[8:], "key"), (armour.encode().hex(), "key"),
+        (wrapped, "key"), (wrapped.replace("\n", "\r\n    "), "key"), (wrapped.replace("\n", "\\n"), "key"), (url, "key"),
+        (encrypted, "armoured"), (armour.strip().replace("\n", "\\n"), "armoured"), (encrypted.replace("\n", "\\n"), "armoured"),
+    ]
+    for form, kind in forms:
+        for text in (form, f"key: {form} and on", f"first\n{form}\nnext words"):
+            at = text.index(form)
+            got = list(secret_scan.confirmed_spans(text))
+            assert [k for k, *_ in got] == [kind], (form[:60], got)
+            # an armour inside base64 may start within a group of three bytes
+            assert at <= got[0][1] <= at + 4 and got[0][2] == at + len(form), (form[:60], got, at, len(form))
+    for text in (wrapped[:-8], mixed[:-2], record.hex()[:60], "-----BEGIN RSA PRIVATE KEY-----\nKey: of the house\n-----END RSA PRIVATE KEY-----", "MII" * 5000, "30" * 5000, "LS0tLS1CRUdJTi" * 300):
+        assert list(secret_scan.confirmed_spans(text)) == [], text[:60]
+
+
 def test_secret_edges(spark):
     rows = secret_scan.scan(edge_docs(spark)).collect()
     assert len(rows) == len(EDGES) and all(r.lang == "extra" for r in rows)
