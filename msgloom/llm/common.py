@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bounds of what a Python task holds at once: rows and bytes of one slice of an Arrow batch.
 SLICE_ROWS = 1024
 SLICE_BYTES = 1 << 20
 
-#: The folder of each application that has none set.
+#: The folder of each local application that has none set, and where each staged frame is.
 _OWN: dict[str, str] = {}
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,22 +28,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a laptop) a folder of this machine is used.
+    Without that setting the checkpoint folder of the session counts, and on one machine
+    (tests, a laptop) a folder of its own. On a cluster without either this is an error,
+    since executors would write to disks that the others don't see.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        application = spark.sparkContext.applicationId
-        if application not in _OWN:
-            _OWN[application] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        root = _OWN[application]
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        root = _OWN[context.applicationId]
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: its lineage ends there."""
+def staged(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: its lineage ends there.
+
+    The files of the staged frames ``done``, which nothing reads from now on, are deleted.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[found] = path
+    discard(*done)
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of staged frames that nothing reads from now on."""
+    for df in frames:
+        place = _PLACES.pop(df, None)
+        if place is not None:
+            session = df.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with a number the first such name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    k = 0
+    while (found := f"{name}_{k}" if k else name).lower() in taken:
+        k += 1
+    return found
+
+
+def named(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -53,18 +90,19 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
-def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable) -> DataFrame:
-    """``df`` with the columns of ``ddl`` added, without a shuffle.
+def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable, into: str | None = None) -> DataFrame:
+    """``df`` with the columns of ``ddl`` added, without a shuffle; with ``into`` as one struct column of that name.
 
     ``make()`` runs once a task and returns a function from the input columns (lists of
     Python values) to one list a new column. A column of ``df`` that has the name of a
-    new one is replaced.
+    new one is replaced; a caller that must keep it gives a fresh name as ``into``.
     """
     added = StructType.fromDDL(ddl)
-    new = {f.name.lower() for f in added.fields}
-    base = df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in new or c in inputs))
+    fields = added.fields if into is None else [StructField(into, added)]
+    new = {f.name.lower() for f in fields}
+    base = df.select(*named([c for c in df.columns if c.lower() not in new or c in inputs]))
     keep = [c for c in base.columns if c.lower() not in new]
-    schema = StructType([base.schema[c] for c in keep] + added.fields)
+    schema = StructType([base.schema[c] for c in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -74,8 +112,9 @@ def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable) -
         for batch in batches:
             for part in slices(batch):
                 got = step(*(part.column(c).to_pylist() for c in inputs))
-                arrays = [part.column(c) for c in keep]
-                arrays += [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
+                if into is not None:
+                    made = [pa.StructArray.from_arrays(made, names=added.names)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=schema.names)
 
     return base.mapInArrow(run, schema)

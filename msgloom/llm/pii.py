@@ -10,7 +10,7 @@ the field is sure of, outside the base spans, are added.
 
 Without evidence against it, similar tokens are expected to agree.
 Potentials are fitted by pseudo-likelihood on a sample of about SAMPLE documents that have
-candidates, drawn by a hash of the id, with the base spans as labels.
+candidates, NODES of them at most, drawn by a hash of the id, with the base spans as labels.
 
 Cases: null text counts as empty; texts without candidates give no spans; repeated rows
 are scanned each; rows with a null id are not trained on; with nothing to train on only
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,13 +35,17 @@ RANK = {kind: k for k, kind in enumerate(KINDS)}
 LABELS = ("outside", *KINDS)
 #: Documents fitted on, about; steps of the fit; rounds of message passing; share of belief needed to add a span.
 SAMPLE = 1500
+#: Candidates up to which a document may be in the sample, which bounds what reaches the driver.
+NODES = 4000
 STEPS = 150
 ROUNDS = 10
 SURE = 0.95
 WIDTH = 1 << 12
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+#: A match ends with its last digit, so one that starts within a run of digits would be none of the leftmost.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -58,11 +63,23 @@ def passes_luhn(digits: str) -> bool:
     return (doubled + sum(int(d) for d in digits[::-2])) % 10 == 0
 
 
+def emails(text: str) -> Iterator[Span]:
+    """Addresses, found from each at sign to both sides, so that no run of letters is walked twice."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(_LOCAL))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        done = at + 1
+        if domain:
+            done = domain.end()
+            yield ("email", start, done)
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[Span]:
-    """Leftmost non-overlapping matches of each kind; matches that fail the kind's test are dropped."""
-    found: list[Span] = []
-    if "@" in text:
-        found += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+    """Leftmost non-overlapping matches of each kind, in time linear in the text; matches that fail the kind's test are dropped."""
+    found: list[Span] = list(emails(text))
     if not _DIGIT.search(text):
         return found
     found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split("."))]
@@ -241,13 +258,24 @@ def added_spans(text: str, found: list[Span], field: Field | None) -> list[Span]
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field | None:
+    """A field from about ``sample`` documents; of each, its graph's numbers and labels reach the driver, not its text."""
     usable = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[0-9@]"))
     n = usable.count()
     scale = 1 << 30
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("pii"), F.col(id_col)), F.lit(scale)) < int(min(1.0, sample / max(1, n)) * scale))
-    texts = sorted(r[0] for r in drawn.select(text_col).collect())
-    graphs = [(graph(t), t) for t in texts]
-    return fit([(g, node_labels(g, base_spans(t))) for g, t in graphs if g is not None])
+
+    def step(texts):
+        made = [(graph(t), t) for t in texts]
+        keep = [(g, t) if g is not None and len(g.spans) <= NODES else None for g, t in made]
+        columns = [[None if k is None else getattr(k[0], name).astype("<i4").tobytes() for k in keep] for name in ("features", "chain", "skip")]
+        return [*columns, [None if k is None else node_labels(k[0], base_spans(k[1])).astype("<i4").tobytes() for k in keep]]
+
+    made = append_columns(drawn.select(F.col(text_col).alias("text")), ["text"], "features binary, chain binary, skip binary, labels binary", lambda: step).drop("text")
+    samples = []
+    for row in sorted(tuple(map(bytes, r)) for r in made.where("labels IS NOT NULL").collect()):
+        features, chain, skip, labels = (np.frombuffer(x, "<i4").astype(np.int64) for x in row)
+        samples.append((Graph([(0, 0)] * len(labels), features.reshape(len(labels), -1), chain.reshape(-1, 2), skip.reshape(-1, 2)), labels))
+    return fit(samples)
 
 
 def scan(df: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Three plain patterns give the base spans. Beyond them, candidates that look encoded are
 decoded and parsed, and reported only if their structure holds: armoured private keys
-(their body, without header lines, must be a key or say that it is encrypted), base64,
+(their body, without header lines, must be a key, a wrapped encrypted key, or, under header
+lines that name cipher and vector, whole blocks), base64,
 base64url or hex text that decodes to a DER private key whose nested lengths fill it exactly,
 to an OpenSSH key record or to an armoured key, and signed tokens whose header is JSON with
 an algorithm. Encoded text may go on over line ends, also over escaped ones as in JSON;
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.llm.common import append_columns, table
+from msgloom.llm.common import append_columns, named, table
 
 #: In the order in which spans of one start are listed; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "armoured", "key", "signed")
@@ -34,8 +35,8 @@ _CUES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*)-----END \1-----")
+_ARMOUR_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
 _HEADER = re.compile(r"[ \t]*[A-Za-z0-9-]+:.*")
-_BODY = re.compile(r"[A-Za-z0-9+/=\s_-]{16,}")
 _ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
 _WRAP = re.compile(r"\r?\n[ \t]*|(?:\\+r)?\\+n")
 _SIX, _FOUR = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
@@ -43,7 +44,9 @@ _SIX, _FOUR = re.compile(r"[A-Za-z0-9+/_-]*"), re.compile(r"[0-9A-Fa-f]*")
 _START64 = re.compile(r"(?=M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjE|LS0tLS1CRUdJTi|LS0tLUJFR0lOI|LS0tQkVHSU4g)")
 _START16 = re.compile(r"(?=30(?:[0-7]|8[1-4])[0-9A-Fa-f]{9}|6[fF]70656[eE]7373682[dD]6|2[dD]2[dD]2[dD]2[dD]2[dD]424547494[eE])")
 _CUT_DASHES = {"LS0tLUJF": b"-", "LS0tQkVH": b"--"}
-_SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9_-]*")
+_JSON = json.JSONDecoder()
+_DEK = re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+,\s*[0-9A-Fa-f]{16,}\s*")
 
 Span = tuple[str, int, int]
 
@@ -87,15 +90,20 @@ def elements(data: bytes) -> list[tuple[int, bytes]] | None:
     return found
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """Whether the bytes are a wrapped encrypted key: an algorithm (identifier and parameters) and an octet string."""
+    outer = elements(data)
+    inner = elements(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not inner or [tag for tag, _ in inner] != [0x30, 0x04]:
+        return False
+    algorithm = elements(inner[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and len(inner[1][1]) >= 16
+
+
 def is_private_key(data: bytes) -> bool:
     """Whether the bytes are an RSA, elliptic-curve or wrapped private key, or an OpenSSH key record."""
     if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at <= len(data)
+        return record_end(data) is not None
     outer = elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -111,6 +119,44 @@ def is_private_key(data: bytes) -> bool:
     return tags[1] == 0x04 and inner[0][1] == b"\x01" and len(inner[1][1]) in (20, 24, 28, 32, 48, 66)
 
 
+def opens_json(text: str, at: int, end: int) -> bool:
+    """Whether base64 text from ``at`` to ``end`` may decode to one JSON value; longer and longer starts of it are tried."""
+    size = 64
+    while size < end - at:
+        part = decoded64(text[at : at + size]).decode("latin-1")
+        try:
+            _, stop = _JSON.raw_decode(part)
+        except json.JSONDecodeError as error:
+            # an error well before the cut is one of the whole, but for strings, whose place is their start
+            if not part or (error.pos < len(part) - 8 and not error.msg.startswith("Unterminated")):
+                return False
+        except RecursionError:
+            return False
+        else:
+            if part[stop:].strip():
+                return False
+        size *= 2
+    return True
+
+
+def signed_tokens(text: str) -> Iterator[Span]:
+    """Signed tokens: three runs joined by dots, of which the first, from an ``eyJ`` on, and the second decode to JSON objects.
+
+    Each run is walked once, however many starts it has, and a start is decoded only as far as it reads as JSON.
+    """
+    done = end = middle = last = 0
+    at = text.find("eyJ")
+    while at >= 0:
+        if at >= end:
+            end = _RUN.match(text, at).end()
+            middle = _RUN.match(text, end + 1).end() if text.startswith(".", end) else end
+            last = _RUN.match(text, middle + 1).end() if middle > end + 1 and text.startswith(".", middle) else middle
+        if at >= done and end - at >= 11 and last - middle > 16 and opens_json(text, at, end) and is_signed_token(text[at:last]):
+            yield ("signed", at, last)
+            done = last
+        at = text.find("eyJ", at + 1)
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     try:
@@ -125,16 +171,18 @@ def is_armoured_key(m: re.Match) -> bool:
     lines = _ESCAPED.sub("\n", m.group(2)).replace("\\/", "/").split("\n")
     heads = [line for line in lines if _HEADER.fullmatch(line.rstrip("\r"))]
     body = "\n".join(line for line in lines if line not in heads)
-    if "ENCRYPTED" in m.group(1) or any("ENCRYPTED" in h for h in heads):
-        return bool(_BODY.fullmatch(body))
-    return is_private_key(decoded64(body))
+    data = decoded64(body)
+    if any("ENCRYPTED" in h for h in heads):
+        # enciphered in blocks of eight bytes or more, under the cipher and vector that the header names
+        return any(_DEK.fullmatch(h.rstrip("\r")) for h in heads) and len(data) >= 32 and len(data) % 8 == 0
+    return is_encrypted_key(data) if "ENCRYPTED" in m.group(1) else is_private_key(data)
 
 
-def taken(text: str, at: int, size: int | None, letters: re.Pattern) -> tuple[str, int] | None:
-    """``size`` encoded letters from ``at`` on over line ends, up to the end of a run of them, and that end; all without a size."""
-    parts, left = [], len(text) if size is None else size
+def taken(text: str, at: int, size: int, letters: re.Pattern, whole: bool = True) -> tuple[str, int] | None:
+    """``size`` encoded letters from ``at`` on over line ends, and their end, None unless a run ends there; or, not ``whole``, up to ``size``."""
+    parts, left = [], size
     while True:
-        part = letters.match(text, at, min(len(text), at + left + 1))
+        part = letters.match(text, at, min(len(text), at + left + whole))
         if part.end() - at > left:
             return None
         parts.append(part.group())
@@ -142,7 +190,7 @@ def taken(text: str, at: int, size: int | None, letters: re.Pattern) -> tuple[st
         wrap = left and _WRAP.match(text, at)
         follows = wrap and letters.match(text, wrap.end(), wrap.end() + 1).group()
         if not follows:
-            return ("".join(parts), at) if size is None or not left else None
+            return ("".join(parts), at) if not (whole and left) else None
         at = wrap.end()
 
 
@@ -162,16 +210,58 @@ def bytes_of(letters: str, bits: int) -> bytes:
     return decoded64(letters[:-1] if len(letters) % 4 == 1 else letters)
 
 
-def record_size(data: bytes) -> int:
-    """Length of an OpenSSH key record: names, the number of keys, public keys and the private part; all of the data if that is cut off."""
+def record_end(data: bytes, known: int | None = None) -> int | None:
+    """Where an OpenSSH key record ends: three names, the number of keys, as many public keys, the private part.
+
+    None if it has not that form or does not end within ``known`` bytes (those of the data
+    unless given); an end past the data if it may go on there.
+    """
+    known = len(data) if known is None else known
     at, strings, k = 15, 3, 0
-    while k < strings and at + 4 <= len(data):
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    while k < strings:
+        if at + 4 > len(data):
+            break
+        size = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + size
         k += 1
         if k == 3:
-            strings += int.from_bytes(data[at : at + 4], "big") + 1
+            keys = int.from_bytes(data[at : at + 4], "big")
+            if at + 4 > len(data):
+                break
+            if not 1 <= keys <= known // 4:
+                return None
+            strings += keys + 1
             at += 4
-    return at if k == strings and at <= len(data) else len(data)
+        elif k == strings and (size < 8 or size % 8):
+            return None
+    if k < strings:
+        at = max(at + 4, len(data) + 1)
+    return at if at <= known else None
+
+
+def framed_key(text: str, at: int, lead: bytes, bits: int, letters: re.Pattern) -> int | None:
+    """Length in bytes of the OpenSSH record or armoured key that the letters from ``at`` on encode, read no further than it goes; else None."""
+    size = 512
+    while True:
+        got, _ = taken(text, at, size, letters, whole=False)
+        data = lead + bytes_of(got, bits)
+        more = len(got) == size
+        if data.startswith(b"openssh-key-v1\0"):
+            end = record_end(data, len(data) + (len(text) - at if more else 0))
+            if end is None or end <= len(data):
+                return end
+        else:
+            shown = data.decode("latin-1")
+            armour = _ARMOUR.match(shown)
+            if armour:
+                rest = shown[armour.end() :]
+                return armour.end() - len(lead) + len(rest) - len(rest.lstrip()) if is_armoured_key(armour) else None
+            head = _ARMOUR_HEAD.match(shown)
+            if not head or (shown.find("-----", head.end(), len(shown) - 64) >= 0):
+                return None
+        if not more:
+            return None
+        size *= 4
 
 
 def encoded_keys(text: str, bits: int) -> Iterator[Span]:
@@ -182,10 +272,11 @@ def encoded_keys(text: str, bits: int) -> Iterator[Span]:
         at = m.start()
         if at < done:
             continue
-        head = bytes_of(text[at : at + (8 if bits == 6 else 12)], bits)
+        head = bytes_of(taken(text, at, 16 if bits == 6 else 24, letters, whole=False)[0], bits)
         if head[0] == 0x30:
             width = head[1] & 0x7F if head[1] & 0x80 else 0
-            if width > 4:
+            # every private key begins with a version of one byte
+            if width > 4 or head[2 + width : 4 + width] != b"\x02\x01":
                 continue
             size = 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
             got = size >= 20 and taken(text, at, -(-size * 8 // bits), letters)
@@ -193,19 +284,9 @@ def encoded_keys(text: str, bits: int) -> Iterator[Span]:
                 continue
             end = got[1]
         else:
-            lead = _CUT_DASHES.get(text[at : at + 8], b"")
-            every, _ = taken(text, at, None, letters)
-            data = lead + bytes_of(every, bits)
-            if data.startswith(b"openssh-key-v1\0"):
-                if not is_private_key(data):
-                    continue
-                size = record_size(data)
-            else:
-                armour = _ARMOUR.match(data.decode("latin-1"))
-                if not armour or not is_armoured_key(armour):
-                    continue
-                size = armour.end() - len(lead)
-                size += len(data[armour.end() :]) - len(data[armour.end() :].lstrip())
+            size = framed_key(text, at, _CUT_DASHES.get(text[at : at + 8], b""), bits, letters)
+            if size is None:
+                continue
             end = place_of(text, at, -(-size * 8 // bits), letters)
         if bits == 6:
             end += len(re.match("={0,2}", text[end : end + 2]).group())
@@ -221,8 +302,7 @@ def confirmed_spans(text: str) -> Iterator[Span]:
         yield from (("armoured", *span) for span in armoured)
     for bits in (6, 4):
         yield from (k for k in encoded_keys(text, bits) if not any(a <= k[1] and k[2] <= b for a, b in armoured))
-    if "eyJ" in text:
-        yield from (("signed", *m.span()) for m in _SIGNED.finditer(text) if is_signed_token(m.group()))
+    yield from signed_tokens(text)
 
 
 def listed(spans: list[Span]) -> str:
@@ -260,8 +340,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
         return lambda texts: [[clean(t) for t in texts]]
 
-    order = df.columns
-    return append_columns(df.withColumn("__raw", df[text_col]), ["__raw"], f"`{text_col}` string", make).select(*order)
+    return append_columns(df, [text_col], f"`{text_col}` string", make).select(*named(df.columns))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
