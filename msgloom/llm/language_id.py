@@ -1,12 +1,15 @@
 """Operator 9: language identification by segmentation-marginalised unigrams.
 
-The pieces of a fixed public vocabulary get a probability in each language. The probability
-of a word is the sum over all ways to cut it into pieces of the product of their
-probabilities, which a forward pass finds; that of a text is the product over its words.
+The pieces of a fixed public vocabulary, all of them, in lower case as the texts are, get a
+probability in each language. The probability of a word (a run of letters of any length) is
+the sum over all ways to cut it into pieces of the product of their probabilities, which a
+forward pass finds; that of a text is the product over its words. Short words go through
+it side by side; longer ones by a pass that rescales as it goes and holds a bounded stretch.
 The probabilities are fitted by expectation maximisation (forward and backward passes) on
-word counts of a sample of labelled rows: at most about SAMPLE documents of each language,
-drawn by a hash of the id. Word counting for the sample runs in Spark; what reaches the
-driver is bounded by the sample.
+word counts of a sample of labelled rows: about SAMPLE documents of each language, drawn by
+a hash of the id. There alone, runs of over FIT_CHARS letters count as parts of that
+length. Word counting for the sample runs in Spark; what reaches the driver is bounded by
+the sample. The model holds one probability a piece and language.
 
 Predicting looks at every letter run of the whole text and uses no other column.
 
@@ -35,22 +38,29 @@ SAMPLE = 800
 ROUNDS = 2
 MEMO_WORDS = 150_000
 UNKNOWN = "und"
-#: Longest piece used, length of the parts in which a longer word is scored, probability of a character outside all pieces.
-PIECE_CHARS = 12
-WORD_CHARS = 30
+#: Letters of a word that needs no rescaling, stretch of a longer one held at once, letters of a part of a run in the fit.
+SHORT = 30
+STRETCH = 4096
+FIT_CHARS = 120
+#: Languages up to which their sampling rates may be broadcast (some bytes each); else they are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
+#: Probability of a character outside all pieces.
 FLOOR = 1e-8
 SMOOTH = 0.1
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SLOTS = np.uint64((1 << 18) - 1)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Letter runs in lower case; runs of over WORD_CHARS letters in parts of that length."""
-    found = _WORD.findall(text.lower()) if text else []
-    if not any(len(w) > WORD_CHARS for w in found):
-        return found
-    return [w[k : k + WORD_CHARS] for w in found for k in range(0, len(w), WORD_CHARS)]
+    """Letter runs in lower case."""
+    return _WORD.findall(text.lower()) if text else []
+
+
+def parts_of(words: list[str]) -> list[str]:
+    """Words for the fit: those of over FIT_CHARS letters in parts of that length."""
+    return [w[k : k + FIT_CHARS] for w in words for k in range(0, len(w), FIT_CHARS)]
 
 
 def has_letter(words: list[str]) -> bool:
@@ -58,18 +68,27 @@ def has_letter(words: list[str]) -> bool:
 
 
 class Pieces:
-    """The vocabulary's pieces by hash, to find all pieces in many words at once."""
+    """The vocabulary's pieces by hash, to find all pieces in many words at once. Pieces that differ in case only are one."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        texts = {model.id_to_piece(k) for k in range(model.vocab_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
-        texts = sorted(t for t in texts if len(t) <= PIECE_CHARS and t == t.lower())
-        self.n = len(texts)
-        hashes = np.array([self._hash(t) for t in texts], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order.astype(np.int32)
+        texts = {model.id_to_piece(k).lower() for k in range(model.vocab_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
+        texts = sorted(texts)
+        self.n, self.longest = len(texts), max(map(len, texts))
+        self.hashes = np.array([self._hash(t) for t in texts], np.uint64)
+        # a table by some bits of the hash; pieces that find their place taken go to one by other bits, and so on
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(self.n, dtype=np.int32)
+        while len(left):
+            shift = np.uint64(5 + 19 * (len(self.tables) % 2) + len(self.tables) // 2)
+            slots = (self.hashes[left] >> shift) & _SLOTS
+            _, first = np.unique(slots, return_index=True)
+            table = np.full(int(_SLOTS) + 1, -1, np.int32)
+            table[slots[first]] = left[first]
+            self.tables.append((shift, table))
+            left = np.delete(left, first)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -79,22 +98,34 @@ class Pieces:
             h ^= h >> 29
         return h
 
-    def arcs(self, words: list[str]) -> np.ndarray:
-        """arcs[w, i, l - 1]: the piece of l characters that starts at i in word w (with its word mark), or -1."""
-        width = 1 + max(map(len, words))
-        codes = np.zeros((len(words), width), np.uint64)
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1."""
+        out = np.full(hashes.shape, -1, np.int32)
+        for shift, table in self.tables:
+            got = table[(hashes >> shift) & _SLOTS]
+            np.copyto(out, got, where=(got >= 0) & (self.hashes[got] == hashes))
+        return out
+
+    def arcs(self, words: list[str], start: int = 0, length: int | None = None) -> np.ndarray:
+        """arcs[w, i, l - 1]: the piece of l characters that starts at start + i in word w (with its word mark), or -1; ``length`` places, all unless given."""
+        width = 1 + max(map(len, words)) - start if length is None else length
+        ahead = width if length is None else width + self.longest - 1
+        codes = np.zeros((len(words), ahead), np.uint64)
         for k, word in enumerate(words):
-            codes[k, : 1 + len(word)] = [0x2581 + 1, *(ord(c) + 1 for c in word)]
-        out = np.full((len(words), width, PIECE_CHARS), -1, np.int32)
+            shown = ("\u2581" + word[:ahead])[:ahead] if start == 0 else word[start - 1 : start - 1 + ahead]
+            codes[k, : len(shown)] = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), "<u4")
+        there = codes > 0
+        codes += there
+        out = np.full((len(words), width, self.longest), -1, np.int32)
         with np.errstate(over="ignore"):
             running = np.zeros_like(codes)
-            for l in range(1, min(PIECE_CHARS, width) + 1):
-                reach = width - l + 1
+            for l in range(1, min(self.longest, ahead) + 1):
+                reach = ahead - l + 1
                 running = (running[:, :reach] + codes[:, l - 1 :]) * _MULTIPLIER
                 running ^= running >> np.uint64(29)
-                at = np.minimum(np.searchsorted(self.hashes, running), self.n - 1)
-                hit = (self.hashes[at] == running) & (codes[:, l - 1 :] > 0)
-                out[:, :reach, l - 1] = np.where(hit, self.ids[at], -1)
+                reach = min(reach, width)
+                found = self.find(running[:, :reach])
+                out[:, :reach, l - 1] = np.where(there[:, l - 1 : l - 1 + reach], found, -1)
         return out
 
 
@@ -110,15 +141,58 @@ class Model:
         out = np.empty((len(words), len(self.languages)))
         for start in range(0, len(words), 4096):
             part = words[start : start + 4096]
-            order = np.argsort([len(w) for w in part], kind="stable")
-            for rows in np.array_split(order, 1 + len(part) // 512):
+            sizes = np.array([len(w) for w in part])
+            order = np.argsort(sizes, kind="stable")
+            short = order[sizes[order] <= SHORT]
+            for rows in np.array_split(short, 1 + len(short) // 512):
                 if len(rows):
                     chosen = [part[r] for r in rows]
                     alpha = forward(pieces.arcs(chosen), self.probabilities)
                     out[start + rows] = np.log(alpha[np.arange(len(rows)), [1 + len(w) for w in chosen]])
+            long = order[len(short) :]
+            for rows in np.array_split(long, 1 + len(long) // 32):
+                if len(rows):
+                    out[start + rows] = long_scores([part[r] for r in rows], self.probabilities, pieces)
         return out
 
 
+def long_scores(words: list[str], probabilities: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """Log probability of each word, of any length, in each language.
+
+    The forward pass goes over stretches of the words; what it carries on, the sums at the
+    next places that pieces may reach, is divided by its largest every few characters, for
+    each word and language by itself.
+    """
+    sizes = np.array([1 + len(w) for w in words])
+    n, ahead = len(words), pieces.longest
+    out, scale = np.empty((n, probabilities.shape[1])), np.zeros((n, probabilities.shape[1]))
+    carried = np.zeros((n, ahead + 1, probabilities.shape[1]))
+    carried[:, 0] = 1
+    start, stretch = 0, max(64, STRETCH // n)
+    while start < sizes.max():
+        length = int(min(stretch, sizes.max() - start))
+        arcs = pieces.arcs(words, start, length)
+        alpha = np.zeros((n, length + ahead + 1, probabilities.shape[1]))
+        alpha[:, : ahead + 1] = carried
+        for at in range(length):
+            if at % 8 == 0:
+                top = alpha[:, at : at + ahead + 1].max(1)
+                top[top == 0] = 1
+                alpha[:, at : at + ahead + 1] /= top[:, None]
+                scale += np.log(top)
+            alpha[:, at + 1] += FLOOR * alpha[:, at]
+            for l in range(1, ahead + 1):
+                rows = np.flatnonzero(arcs[:, at, l - 1] >= 0)
+                if len(rows):
+                    alpha[rows, at + l] += alpha[rows, at] * probabilities[arcs[rows, at, l - 1]]
+            ends = np.flatnonzero(sizes == start + at + 1)
+            if len(ends):
+                out[ends] = np.log(alpha[ends, at + 1]) + scale[ends]
+        carried = alpha[:, length : length + ahead + 1]
+        start += length
+    return out
+
+
 def forward(arcs: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """alpha[w, i]: the probability of the first i characters, summed over all segmentations."""
     n, width, most = arcs.shape
@@ -134,26 +208,57 @@ def forward(arcs: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_lattice(arcs: np.ndarray, log_p: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the forward and backward sums of one language, for words of any length."""
+    n, width, most = arcs.shape
+    weight = np.where(arcs >= 0, log_p[arcs], -np.inf)
+    alpha, beta = np.full((n, width + 1), -np.inf), np.full((n, width + 1), -np.inf)
+    alpha[:, 0] = 0
+    for end in range(1, width + 1):
+        terms = [alpha[:, end - 1] + math.log(FLOOR)] + [alpha[:, end - l] + weight[:, end - l, l - 1] for l in range(1, min(end, most) + 1)]
+        alpha[:, end] = np.logaddexp.reduce(terms)
+    beta[np.arange(n), ends] = 0
+    for start in range(width - 1, -1, -1):
+        terms = [beta[:, start], beta[:, start + 1] + math.log(FLOOR)] + [beta[:, start + l] + weight[:, start, l - 1] for l in range(1, min(most, width - start) + 1)]
+        beta[:, start] = np.logaddexp.reduce(terms)
+    return alpha, beta
+
+
 def expected_counts(words: list[str], counts: np.ndarray, p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """How often each piece is expected in the words under the probabilities ``p`` of one language."""
     total = np.zeros(len(p))
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for rows in np.array_split(order, 1 + len(words) // 2048):
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    sizes = np.array([len(w) for w in words])
+    order = np.argsort(sizes, kind="stable")
+    short = order[sizes[order] <= SHORT]
+    long = order[len(short) :]
+    for rows in [*np.array_split(short, 1 + len(short) // 2048), *np.array_split(long, 1 + len(long) // 256)]:
         if not len(rows):
             continue
         chosen = [words[r] for r in rows]
         arcs = pieces.arcs(chosen)
         n, width, most = arcs.shape
         ends = np.array([1 + len(w) for w in chosen])
+        places = np.arange(n)
+        if sizes[rows[-1]] > SHORT:
+            alpha, beta = log_lattice(arcs, log_p, ends)
+            whole = alpha[places, ends]
+            for l in range(1, min(most, width) + 1):
+                piece = arcs[:, : width - l + 1, l - 1]
+                hit = piece >= 0
+                weight = np.exp(alpha[:, : width - l + 1] + log_p[piece] + beta[:, l : width + 1] - whole[:, None]) * counts[rows][:, None]
+                total += np.bincount(piece[hit], weight[hit], len(p))
+            continue
         alpha = forward(arcs, p[:, None])[:, :, 0]
         beta = np.zeros((n, width + 1))
-        beta[np.arange(n), ends] = 1
+        beta[places, ends] = 1
         for start in range(width - 1, -1, -1):
             beta[:, start] += FLOOR * beta[:, start + 1]
             for l in range(1, min(most, width - start) + 1):
                 piece = arcs[:, start, l - 1]
                 beta[:, start] += np.where(piece >= 0, p[piece] * beta[:, start + l], 0)
-        share = counts[rows] / alpha[np.arange(n), ends]
+        share = counts[rows] / alpha[places, ends]
         for l in range(1, min(most, width) + 1):
             piece = arcs[:, : width - l + 1, l - 1]
             hit = piece >= 0
@@ -180,13 +285,13 @@ def fit(counted: dict[str, dict[str, int]], pieces: Pieces, rounds: int = ROUNDS
 def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> Model:
     """A model from a hashed sample of about ``sample`` of the labelled documents of each language."""
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     scale = 1 << 30
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(scale))
-    wanted = F.lit(False)
-    for language, n in sizes.items():
-        wanted = wanted | ((F.col(lang_col) == language) & (draw < math.ceil(min(1.0, sample / n) * scale)))
-    one = append_columns(rows.where(wanted).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), ["text"], "words array<string>", lambda: lambda texts: [[words_of(t) for t in texts]])
+    rates = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.ceil(F.least(F.lit(1.0), F.lit(sample) / F.count("*")) * scale).alias("rate"))
+    if rates.count() <= BROADCAST_LANGUAGES:
+        rates = F.broadcast(rates)
+    drawn = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text")).join(rates, "lang").where("draw < rate")
+    one = append_columns(drawn.select("lang", "text"), ["text"], "words array<string>", lambda: lambda texts: [[parts_of(words_of(t)) for t in texts]])
     counts = one.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
     counted: dict[str, dict[str, int]] = {}
     for lang, word, n in counts.collect():
@@ -243,15 +348,15 @@ class Scorer:
         return names, sure
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score, the posterior of the predicted language under equal priors."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", into: str | None = None) -> DataFrame:
+    """``df`` with lang_pred and score, the posterior of the predicted language under equal priors; with ``into`` as a struct of that name."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         scorer = Scorer(shared.value)
         return lambda texts: list(scorer.predict(texts))
 
-    return append_columns(df, [text_col], "lang_pred string, score double", make)
+    return append_columns(df, [text_col], "lang_pred string, score double", make, into)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,8 +1,10 @@
 """Operators 3, 5, 6, 7, 9, 10 against brute force or held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -147,6 +149,50 @@ def test_forward_pass_sums_all_segmentations():
     assert np.allclose(language_id.forward(arcs[None], p)[0, -1], total(0))
 
 
+def brute_log_score(word, p, pieces):
+    """Log of the sum over all segmentations, one column a language, by exact sums of logarithms."""
+    known = {int(h): k for k, h in enumerate(pieces.hashes)}
+    text = "\u2581" + word
+    at = [np.zeros(p.shape[1])] + [None] * len(text)
+    for end in range(1, len(text) + 1):
+        terms = [at[end - 1] + np.log(language_id.FLOOR)]
+        for l in range(1, min(end, pieces.longest) + 1):
+            piece = known.get(language_id.Pieces._hash(text[end - l : end]))
+            if piece is not None:
+                terms.append(at[end - l] + np.log(p[piece]))
+        at[end] = np.logaddexp.reduce(terms)
+    return at[-1]
+
+
+def test_long_words_score_as_brute_force(monkeypatch):
+    pieces = language_id.shared_pieces()
+    assert pieces.longest > 12 and np.array_equal(pieces.find(pieces.hashes), np.arange(pieces.n))
+    p = np.random.default_rng(2).random((pieces.n + 1, 2)) / 5000
+    p[-1] = 0
+    model = language_id.Model(["a", "b"], p)
+    words = ["theory", "internationalisation", "x" * 31, "theoryofcomputation" * 11, "q" * 900, "das" * 300, "言語" * 120, "a" * 30, "b"]
+    want = np.array([brute_log_score(w, p, pieces) for w in words])
+    assert np.allclose(model.word_scores(words, pieces), want)
+    monkeypatch.setattr(language_id, "STRETCH", 70)
+    assert np.allclose(model.word_scores(words, pieces), want)
+
+
+def test_expected_counts_are_slopes_of_the_score():
+    """The expected number of uses of a piece is the slope of the log score by the logarithm of its probability."""
+    pieces = language_id.shared_pieces()
+    words, counts = ["theory", "theorytheorytheorytheorytheorytheory", "house"], np.array([2.0, 3.0, 1.0])
+    p = np.append(np.random.default_rng(3).random(pieces.n) / 5000, 0)
+    got = language_id.expected_counts(words, counts, p, pieces)
+    total = lambda q: sum(c * brute_log_score(w, q[:, None], pieces)[0] for w, c in zip(words, counts, strict=True))
+    used = np.flatnonzero(got)
+    assert len(used) > 10
+    for piece in used[:: max(1, len(used) // 12)]:
+        up, down = p.copy(), p.copy()
+        up[piece] *= 1 + 1e-4
+        down[piece] *= 1 - 1e-4
+        assert np.isclose((total(up) - total(down)) / 2e-4, got[piece], rtol=1e-4, atol=1e-8)
+
+
 def test_language_query_held_out_accuracy(spark, sf_dir):
     docs = {r.doc_id: r for r in table(spark, sf_dir, "documents").collect()}
     rows = language_id.op9_language_id(spark, sf_dir).collect()
@@ -243,6 +289,37 @@ def test_pii_edges(spark):
     assert pii.base_spans("1" * 5000 + ".1.1.1") == []
 
 
+def test_pii_patterns_on_random_and_very_long_texts():
+    rng = random.Random(1)
+    parts = ["a", "b.", "@", "@", "1", "255", ".", "-", "_", "é", "%", " ", "+1", "(", "000"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 22)))
+        assert [f"{k}:{s}:{e}" for k, s, e in sorted(pii.base_spans(text), key=lambda s: (s[1], pii.RANK[s[0]]))] == brute_pii(text)
+    start = time.monotonic()
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "a@" * 500_000, "1." * 500_000, "+1" * 500_000):
+        pii.base_spans(text)
+    assert time.monotonic() - start < 10
+
+
+def test_messages_on_a_tree_equal_enumeration():
+    rng = np.random.default_rng(6)
+    k = len(pii.LABELS)
+    skip = rng.normal(size=(k, k))
+    field = pii.Field(rng.normal(size=(pii.WIDTH, k)), rng.normal(size=(k, k)), (skip + skip.T) / 2)
+    g = pii.Graph([(n, n + 1) for n in range(5)], rng.integers(0, pii.WIDTH, (5, 3)), np.array([[0, 1], [3, 4]]), np.array([[0, 2], [1, 4]]))
+    own = field.unary[g.features].sum(1)
+    want = np.zeros((5, k))
+    for labels in itertools.product(range(k), repeat=5):
+        score = sum(own[n, y] for n, y in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in g.chain) + sum(field.skip[labels[a], labels[b]] for a, b in g.skip)
+        want[np.arange(5), labels] += np.exp(score)
+    monkey = pii.ROUNDS
+    try:
+        pii.ROUNDS = 60
+        assert np.allclose(field.beliefs(g), want / want.sum(1, keepdims=True), atol=1e-6)
+    finally:
+        pii.ROUNDS = monkey
+
+
 # --- licences ----------------------------------------------------------------
 @pytest.fixture(scope="module")
 def licences(spark, sf_dir):
