@@ -11,13 +11,20 @@ for all windows of a text at once; the windows that stay above the threshold run
 WAND, which finds every item above it. A found item counts if enough word shingles of its
 question (all sentences but the last) and its answer (the last one) stand in the passage.
 
-Items are indexed by length class, and in parts of at most PART_BYTES of text, each of
-which is broadcast and met by all documents in turn, so no broadcast outgrows that bound.
-Statistics are those of a part.
-
-Cases: null and empty texts match nothing; items of fewer than SHINGLE words, which
-ordinary text would match, are left out, as are null ones; repeated items are reported
-each; repeated documents are matched each; empty tables give no matches; extra columns stay.
+Statistics (the number of items, their mean length, in how many items each word is) are
+those of all items, computed in Spark. Items are indexed by length class. A benchmark of
+more than PART_BYTES of text is dealt to parts; one part's index at a time is broadcast, and
+between parts the matches are staged and the broadcast is freed, so neither memory nor
+scores depend on how many there are.
+
+Items of fewer than SHINGLE words have too few words for a score and are matched as whole
+phrases, word by word, instead; their score and overlaps are 1. An item of one or two
+common words is thus found wherever these words are.
+
+Cases: null and empty texts match nothing; null items and those without a word are left
+out; repeated items are reported each; repeated documents are matched each; hits are in
+order of item_id; empty tables give no matches; extra columns stay, one with the name of
+the result is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.llm.common import append_columns, table
+from msgloom.llm.common import append_columns, fresh, named, staged, table
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and shares of its shingles that must be there.
@@ -65,6 +72,41 @@ def question_and_answer(text: str) -> tuple[set, set]:
     return grams([w for p in parts[:-1] for w in p]), grams(parts[-1])
 
 
+@dataclass
+class Statistics:
+    """Of all items that are indexed: their number, mean length in words, and in how many each word is."""
+
+    n: int
+    mean: float
+    found: dict[str, int]
+
+
+def statistics(texts: list[str]) -> Statistics:
+    """Statistics of items in memory, as ``match`` has them computed by Spark."""
+    split = [w for w in map(words_of, texts) if len(w) >= SHINGLE]
+    found: dict[str, int] = {}
+    for words in split:
+        for w in set(words):
+            found[w] = found.get(w, 0) + 1
+    return Statistics(len(split), sum(map(len, split)) / max(1, len(split)), found)
+
+
+class Phrases:
+    """Items of fewer than SHINGLE words, found as whole phrases."""
+
+    def __init__(self) -> None:
+        self.items: dict[tuple[str, ...], list[int | None]] = {}
+
+    def add(self, words: list[str], item_id: int | None) -> None:
+        self.items.setdefault(tuple(words), []).append(item_id)
+
+    def hits(self, words: list[str]) -> list[int | None]:
+        found: set[tuple[str, ...]] = set()
+        for size in {len(p) for p in self.items}:
+            found |= self.items.keys() & set(zip(*(words[k:] for k in range(size)), strict=False))
+        return [item for phrase in found for item in self.items[phrase]]
+
+
 @dataclass
 class Index:
     """Items of one length class. Word number 0 stands for all words outside the index."""
@@ -76,7 +118,7 @@ class Index:
     impacts: list[list[float]] = field(default_factory=lambda: [[]])
     checks: list[tuple[set, set]] = field(default_factory=list)
 
-    def finish(self, texts: list[str]) -> Index:
+    def finish(self, texts: list[str], known: Statistics) -> Index:
         counts: list[dict[int, int]] = []
         sizes = []
         for text in texts:
@@ -88,11 +130,9 @@ class Index:
                 t = self.words.setdefault(w, len(self.words) + 1)
                 own[t] = own.get(t, 0) + 1
             counts.append(own)
-        n, mean = len(texts), sum(sizes) / len(sizes)
-        found = np.zeros(len(self.words) + 1)
-        for own in counts:
-            found[list(own)] += 1
-        idf = np.log(1 + (n - found + 0.5) / (found + 0.5))
+        n, mean = len(texts), known.mean
+        found = np.array([0, *(known.found[w] for w in self.words)])
+        idf = np.log(1 + (known.n - found + 0.5) / (found + 0.5))
         self.items = [[] for _ in found]
         self.impacts = [[] for _ in found]
         for item, own in enumerate(counts):
@@ -186,53 +226,73 @@ class Index:
         return best
 
 
-def build(rows: list[tuple[int | None, str | None]]) -> list[Index]:
-    """One index for each length class (at most 64, 256, 1024, ... words) that has items."""
+def build(rows: list[tuple[int | None, str | None]], known: Statistics | None = None) -> tuple[list[Index], Phrases]:
+    """One index for each length class (at most 64, 256, 1024, ... words) that has items, and the phrases."""
+    known = known or statistics([text or "" for _, text in rows])
     classes: dict[int, list[tuple[int | None, str]]] = {}
+    phrases = Phrases()
     for item_id, text in rows:
-        n = len(words_of(text))
-        if n >= SHINGLE:
+        words = words_of(text)
+        if len(words) >= SHINGLE:
             size = 64
-            while size < n:
+            while size < len(words):
                 size *= 4
             classes.setdefault(size, []).append((item_id, text or ""))
+        elif words:
+            phrases.add(words, item_id)
     made = []
     for _, group in sorted(classes.items()):
         longest = max(len(words_of(text)) for _, text in group)
-        made.append(Index(longest, [k for k, _ in group]).finish([text for _, text in group]))
-    return made
+        made.append(Index(longest, [k for k, _ in group]).finish([text for _, text in group], known))
+    return made, phrases
+
+
+HIT = "item_id:long,score:double,question_overlap:double,answer_overlap:double"
+
+
+def found_items(words: list[str], indexes: list[Index], phrases: Phrases) -> list[dict]:
+    if not words:
+        return []
+    hits = [(index.ids[item], *got) for index in indexes for item, got in index.hits(words).items()]
+    hits += [(item, 1.0, 1.0, 1.0) for item in phrases.hits(words)]
+    hits.sort(key=lambda h: (h[0] is not None, h[0] or 0, h[1:]))
+    return [dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), h, strict=True)) for h in hits]
 
 
-def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``df`` with benchmark_hits: item_id, score, question_overlap, answer_overlap of the items each text holds."""
+def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", hits_col: str = "benchmark_hits") -> DataFrame:
+    """``df`` with ``hits_col``: item_id, score, question_overlap, answer_overlap of the items each text holds."""
     rows = items.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    kind = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
+    dealt = append_columns(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))), ["text"], "words array<string>", lambda: lambda texts: [[words_of(t) for t in texts]])
+    if parts > 1:
+        dealt = staged(dealt)
+    long = dealt.where(F.size("words") >= SHINGLE)
+    n, mean = long.agg(F.count("*"), F.avg(F.size("words"))).first()
+    each = long.select("part", F.explode(F.array_distinct("words")).alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("found"))
+    if parts > 1:
+        counts = staged(counts)
     context = df.sparkSession.sparkContext
-    for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = context.broadcast(build([(r.item_id, r.text) for r in own]))
+    columns = [fresh(df, f"hits_of_part_{part}") for part in range(parts)]
+    before = None
+    for part, column in enumerate(columns):
+        own = dealt.where(F.col("part") == part).select("item_id", "text").orderBy("item_id", "text").collect()
+        words = counts if parts == 1 else counts.join(each.where(F.col("part") == part).select("word").distinct(), "word", "left_semi")
+        known = Statistics(n, mean or 0.0, {r.word: r.found for r in words.collect()})
+        shared = context.broadcast(build([(r.item_id, r.text) for r in own], known))
 
         def make(shared=shared):
-            indexes = shared.value
-
-            def step(texts):
-                found = []
-                for text in texts:
-                    words = words_of(text)
-                    hits = []
-                    for index in indexes:
-                        for item, got in sorted(index.hits(words).items()) if words else ():
-                            hits.append(dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), (index.ids[item], *got), strict=True)))
-                    found.append(hits)
-                return [found]
-
-            return step
-
-        df = append_columns(df, [text_col], f"benchmark_hits_{part} {kind}", make)
-    each = [f"benchmark_hits_{part}" for part in range(parts)]
-    return df.withColumn("benchmark_hits", F.concat(*each)).drop(*each)
+            return lambda texts: [[found_items(words_of(t), *shared.value) for t in texts]]
+
+        df = append_columns(df, [text_col], f"`{column}` array<struct<{HIT}>>", make)
+        if parts > 1:
+            df = staged(df, *([before] if before is not None else []))
+            before = df
+            shared.destroy()
+    hits = F.array_sort(F.concat(*named(columns))) if parts > 1 else F.col(f"`{columns[0]}`")
+    # a column of the result's name that the caller has goes first
+    return df.select(*named([c for c in df.columns if c not in columns and c.lower() != hits_col.lower()]), hits.alias(hits_col))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

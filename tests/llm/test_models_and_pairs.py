@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from msgloom.llm import decontaminate, language_id, license_scan, near_dup, pii, quality
 from msgloom.llm.common import table
@@ -96,7 +97,7 @@ def test_search_finds_all_items_above_the_threshold():
     rng = np.random.default_rng(3)
     vocabulary = np.array([f"v{k}" for k in range(300)])
     texts = [" ".join(rng.choice(vocabulary, rng.integers(6, 40))) for _ in range(90)]
-    (index,) = decontaminate.build(list(enumerate(texts)))
+    (index,), _ = decontaminate.build(list(enumerate(texts)))
     for item in range(0, 90, 7):
         query = set(texts[item].split()) | set(rng.choice(vocabulary, 60))
         terms = sorted(index.words[w] for w in query if w in index.words)
@@ -126,9 +127,23 @@ def test_decontaminate_edges(spark, monkeypatch):
     docs = edge_docs(spark).union(spark.createDataFrame([(9, LONG + "One two three four five. Six seven eight " + LONG, "en", 0.0), (10, "alpha beta gamma delta epsilon zeta", "en", 0.0)], edge_docs(spark).schema))
     got = {r.doc_id: [h.item_id for h in r.benchmark_hits] for r in decontaminate.match(docs, items).collect()}
     assert got[9] == [1, 1] and got[10] == [None] and all(got[k] == [] for k, _ in EDGES)
+    short = spark.createDataFrame([(11, "It was (too, short) for that"), (12, "too shortly"), (13, "Too\nshort")], "doc_id long, text string")
+    hits = {r.doc_id: [tuple(h) for h in r.benchmark_hits] for r in decontaminate.match(short, items).collect()}
+    assert hits == {11: [(2, 1.0, 1.0, 1.0)], 12: [], 13: [(2, 1.0, 1.0, 1.0)]}
     assert decontaminate.match(docs, items.limit(0)).where("size(benchmark_hits) > 0").count() == 0
 
 
+def test_decontaminate_scores_do_not_depend_on_the_parts(spark, sf_dir, monkeypatch):
+    items = table(spark, sf_dir, "benchmark")
+    held = items.limit(40).select((F.col("item_id") + 70_000).alias("doc_id"), F.concat(F.lit("Before it. "), "text", F.lit(" and after")).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(held)
+    found = []
+    for size in (1 << 30, 20_000):
+        monkeypatch.setattr(decontaminate, "PART_BYTES", size)
+        found.append(sorted((r.doc_id, *h) for r in decontaminate.match(docs, items).collect() for h in r.benchmark_hits))
+    assert len(found[0]) >= 40 and found[0] == found[1]
+
+
 # --- language ----------------------------------------------------------------
 def test_forward_pass_sums_all_segmentations():
     pieces = language_id.shared_pieces()
