@@ -100,9 +100,12 @@ def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable, i
     added = StructType.fromDDL(ddl)
     fields = added.fields if into is None else [StructField(into, added)]
     new = {f.name.lower() for f in fields}
-    base = df.select(*named([c for c in df.columns if c.lower() not in new or c in inputs]))
-    keep = [c for c in base.columns if c.lower() not in new]
-    schema = StructType([base.schema[c] for c in keep] + fields)
+    used = [c for c in df.columns if c.lower() not in new or c in inputs]
+    # by place, as a map over batches takes no names with dots
+    base = df.select(*(column.alias(f"c{k}") for k, column in enumerate(named(used))))
+    keep = [k for k, c in enumerate(used) if c.lower() not in new]
+    places = [used.index(c) for c in inputs]
+    schema = StructType([df.schema[used[k]] for k in keep] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -111,10 +114,10 @@ def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable, i
         step = make()
         for batch in batches:
             for part in slices(batch):
-                got = step(*(part.column(c).to_pylist() for c in inputs))
+                got = step(*(part.column(k).to_pylist() for k in places))
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
                 if into is not None:
                     made = [pa.StructArray.from_arrays(made, names=added.names)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + made, names=schema.names)
 
     return base.mapInArrow(run, schema)

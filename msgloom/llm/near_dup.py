@@ -12,12 +12,18 @@
    the others, PIVOT_ROUNDS times, every class meets one pivot of the bucket, drawn anew, and
    the likeliest link of each is confirmed; that connects groups of near copies.
 5. What is left are buckets with classes that seem unlinked. There every two classes of
-   different components are compared, by signature and then on the full sets, inside the
-   join, which gives only the links. So none is lost, and neither the pairs of a group of
-   near copies nor those that fail are ever made into rows.
+   different components are compared inside the join, which gives only the links: by size
+   and signature, in the first bucket only that both are in, and then on the full sets. So
+   none is lost, and neither the pairs of a group of near copies nor those that fail are
+   ever made into rows.
+
+A bucket may hold a third of all classes. Its rows are dealt to cells of about CELL rows; a
+pivot is handed to each cell, and the comparisons of step 5 are dealt by pairs of cells, so
+that no task gets a whole bucket.
 
 Links and components stay in DataFrames throughout; components spread by smallest labels
-with pointer jumping. Each step is written to the shared folder.
+with pointer jumping. Each step is written to the shared folder, and the files of a step
+that a later one replaces are deleted.
 
 With ROWS minima a band and the bands computed from the threshold, a pair at the threshold
 misses all buckets with a probability of at most MISS, and one above it with less.
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.llm.common import slices, staged, table
+from msgloom.llm.common import discard, slices, staged, table
 
 ROWS = 5
 MISS = 1e-6
@@ -43,6 +49,8 @@ BITS = 4
 LANES = 128
 #: Rounds in which the classes of an open bucket meet a pivot.
 PIVOT_ROUNDS = 3
+#: Rows of a bucket that one task gets at least, about.
+CELL = 512
 #: Standard deviations by which an estimate may fall short of the threshold and still be confirmed.
 SLACK = 6
 #: Ids up to which the list of classes whose sets are needed may be broadcast (16 bytes each); else it is joined by a shuffle.
@@ -155,11 +163,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(roots.select(F.col("node").alias("a"), "root"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("near"))
         better = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        better = staged(better)
+        better = staged(better, roots)
         jumped = better.join(better.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-        roots = staged(jumped.select("node", F.least("root", "next").alias("root"), "old"))
+        roots = staged(jumped.select("node", F.least("root", "next").alias("root"), "old"), better)
         if roots.where("root <> old").isEmpty():
-            return roots.select("node", "root")
+            discard(both)
+            return roots
 
 
 def without_ids(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
@@ -181,7 +190,8 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     component_id is the smallest doc_id reachable over links, kept says whether it is the
     row's own. A null or wordless text is linked with nothing. A row without an id takes
     no part: its component_id is null and it is kept. Repeated rows all come back, with the
-    same component. Extra columns are left out; an empty table gives no rows.
+    same component; rows of one id with different texts count as one document that is linked
+    where any of its sets is. Extra columns are left out; an empty table gives no rows.
     """
     minima = bands_for(percent) * ROWS
     level = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / min(LANES, minima)) / (1 - 2.0**-BITS)
@@ -192,9 +202,16 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     signed = classes.select("node", *_SIGNATURE)
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(rows.join(heads.select("bucket", "head"), "bucket"))
+    cells = F.ceil(F.col("n") / CELL).cast("int")
+    shared = staged(rows.join(heads.select("bucket", "head", cells.alias("cells")), "bucket").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")))
+
+    # rows of one id with different sets: their classes belong together
+    twice = usable.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    twice = usable.select("doc_id", "set_key").join(twice, "doc_id", "left_semi").distinct().join(classes.select("set_key", "node"), "set_key")
+    given = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node")
+    given = staged(given.select("a", F.col("node").alias("b")))
 
-    needed = staged(shared.select("node").distinct())
+    needed = staged(shared.select("node").union(given.select("a")).union(given.select("b")).distinct())
     wanted = needed.select(F.col("node").alias(id_col))
     if needed.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -218,42 +235,60 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     first = likely(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    found = components(staged(confirmed(first)))
-    rooted = signed.join(needed, "node", "left_semi").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stars = staged(confirmed(first).union(given), given)
+    found = components(stars)
+    rooted = signed.join(needed, "node", "left_semi").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
 
     def open_rows() -> DataFrame:
-        """bucket, node, root and signature of the buckets that hold several components."""
-        rows = shared.select("bucket", "node").join(rooted, "node")
-        several = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        return staged(rows.join(several, "bucket"))
-
-    def merged(links: DataFrame) -> DataFrame:
-        """``rooted`` after links (a, b) between roots."""
-        links = staged(links.distinct())
+        """bucket, cell, cells, node, root and signature of the buckets that hold several components."""
+        rows = shared.select("bucket", "cell", "cells", "node").join(rooted, "node")
+        ends = rows.groupBy("bucket", "cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.first("cells").alias("cells"))
+        several = ends.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("cells").alias("cells")).where("lo < hi").select("bucket", every_cell)
+        return staged(rows.join(several, ["bucket", "cell"]))
+
+    def merged(links: DataFrame, *done: DataFrame) -> DataFrame:
+        """``rooted`` after links (a, b) between roots; ``done`` are staged frames that only the links read."""
+        links = staged(links.distinct(), *done)
         if links.isEmpty():
+            discard(links)
             return rooted
-        roots = components(links).select(F.col("node").alias("root"), F.col("root").alias("merged"))
-        return staged(rooted.join(roots, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged"))
+        roots = components(links)
+        renames = roots.select(F.col("node").alias("root"), F.col("root").alias("merged"))
+        return staged(rooted.join(renames, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged"), rooted, roots, links)
 
-    rooted = staged(rooted)
+    rooted = staged(rooted, found, stars)
     for turn in range(PIVOT_ROUNDS):
         rows = open_rows()
-        pivots = rows.groupBy("bucket").agg(F.min_by(F.struct("node", "root", *_SIGNATURE), F.xxhash64("node", F.lit(turn))).alias("p"))
-        pivots = pivots.select("bucket", *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("node", "root", *_SIGNATURE)))
-        near = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", *_SIGNATURE))).join(pivots, "bucket")
+        drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root", *_SIGNATURE)
+        in_cells = rows.groupBy("bucket", "cell").agg(F.min(drawn).alias("p"), F.first("cells").alias("cells"))
+        pivots = in_cells.groupBy("bucket").agg(F.min("p").alias("p"), F.first("cells").alias("cells"))
+        pivots = pivots.select("bucket", every_cell, *(F.col(f"p.{c}").alias(f"b_{c}") for c in ("node", "root", *_SIGNATURE)))
+        near = rows.select("bucket", "cell", *(F.col(c).alias(f"a_{c}") for c in ("node", "root", *_SIGNATURE))).join(pivots, ["bucket", "cell"])
         near = near.withColumn("near", estimate(minima)).where((F.col("a_root") != F.col("b_root")) & (F.col("near") >= level))
         best = near.groupBy(F.col("a_node").alias("a")).agg(F.max(F.struct("near", "b_node", "a_root", "b_root")).alias("best"))
         links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"))
-        rooted = merged(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-
-    rows = open_rows().join(sets.select(F.col("doc_id").alias("node"), "items"), "node")
+        rooted = merged(links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), rows)
+
+    # each row goes to every pair of cells that holds its own; a bucket of one cell has one such pair
+    open_now = open_rows()
+    rows = open_now.join(sets.select(F.col("doc_id").alias("node"), "items"), "node").join(classes.select("node", "bands"), "node")
+    pair = lambda k: F.struct(F.least("cell", k).alias("low"), F.greatest("cell", k).alias("high"))
+    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), pair)))
+    rows = rows.select("bucket", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "cell", "node", "root", "bands", "items", *_SIGNATURE)
     left, right = renamed(rows, "a"), renamed(rows, "b")
+    a_size, b_size = F.size("a_items").cast("long"), F.size("b_items").cast("long")
     common = F.size(F.array_intersect("a_items", "b_items")).cast("long")
-    linked = 100 * common >= percent * (F.size("a_items").cast("long") + F.size("b_items") - common)
-    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & (estimate(minima) >= level) & linked
-    rooted = merged(left.join(right, apart).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-
-    named = classes.select("set_key", "node").join(rooted.select("node", "root"), "node", "left")
+    met = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high"))
+    # two rows of one cell meet where both of the pair are that cell
+    once = ((F.col("a_cell") != F.col("b_cell")) | (F.col("a_low") == F.col("a_high"))) & (F.col("a_root") < F.col("b_root"))
+    may = (100 * F.least(a_size, b_size) >= percent * F.greatest(a_size, b_size)) & (estimate(minima) >= level)
+    first_bucket = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_bucket")
+    linked = 100 * common >= percent * (a_size + b_size - common)
+    rooted = merged(left.join(right, met & once & may & first_bucket & linked).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), open_now)
+    discard(shared, needed, sets)
+
+    named = classes.select("set_key", "node").join(rooted.groupBy("node").agg(F.min("root").alias("root")), "node", "left")
     named = named.select("set_key", F.coalesce("root", "node").alias("root"))
     out = each.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce("root", "doc_id")

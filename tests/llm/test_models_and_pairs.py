@@ -78,6 +78,31 @@ def test_near_dup_edges(spark):
     assert near_dup.without_ids(edge_docs(spark), gone, "doc_id").count() == len(EDGES) - 2
 
 
+def test_near_dup_of_one_id_with_two_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(words)), (5, " ".join(reversed(words))), (3, " ".join(words)), (9, " ".join([*reversed(words), "end"])), (8, "other words entirely here")]
+    got = sorted((r.doc_id, r.component_id) for r in near_dup.classes_with_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (8, 8), (9, 3)]
+
+
+def test_near_dup_with_many_cells(spark, monkeypatch):
+    """A bucket dealt to many cells: copies around a common core that are linked in chains only, or not at all."""
+    monkeypatch.setattr(near_dup, "CELL", 4)
+    rng = np.random.default_rng(8)
+    core = [f"c{k}" for k in range(90)]
+    rows = []
+    for k in range(70):
+        own = list(core)
+        for at in rng.integers(0, 90, 1 + k % 4):
+            own[at] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    sets = brute_sets(rows, 3)
+    want = brute_components(sets, 85)
+    assert 5 < len(set(want.values())) < 65
+    got = near_dup.classes_with_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_signature_estimate_is_close():
     rng = np.random.default_rng(2)
     minima = near_dup.Minima(85)

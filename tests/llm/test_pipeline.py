@@ -1,6 +1,8 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from msgloom.llm import bpe, language_id, secret_scan
 from msgloom.llm.common import staged, table
 
@@ -40,6 +42,20 @@ def test_stages(spark, sf_dir):
         docs = out
 
 
+def test_stages_keep_columns_of_clashing_names(spark, sf_dir):
+    """The caller's columns come back as they were, whatever a stage calls its own."""
+    own = {"score": F.col("doc_id") / 7, "lang_pred": F.lit("mine"), "benchmark_hits": F.col("doc_id"), "language": F.lit("l"), "__raw": F.lit("r"), "hits_of_part_0": F.lit(1), "words": F.lit("w"), "bucket": F.lit(2), "kept": F.lit(False), "a.b": F.lit("dotted")}
+    docs = table(spark, sf_dir, "documents").where("doc_id < 120").withColumns(own)
+    want = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, docs, sf_dir))
+        assert out.columns == docs.columns and 0 < out.count()
+        for r in out.collect():
+            assert all(r[c] == want[r.doc_id][c] for c in docs.columns if c not in ("text", "n_chars")), name
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() < table(spark, sf_dir, "documents").count() and language_id.UNKNOWN not in {r.lang for r in out.collect()}
