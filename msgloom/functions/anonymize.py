@@ -1,33 +1,64 @@
-"""Masks and pseudonyms, as row-local Arrow-batched helpers without a shuffle."""
+"""Masks and pseudonyms.
+
+Which names a record holds and where new texts go are Column expressions; one Arrow-batched
+pass gives the pseudonyms and swaps names and personal data in all of a record's texts.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from msgloom.functions import fixed
+from msgloom.functions.text import is_personal_name, plain_sender
 
-_KINDS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in fixed.PERSONAL_DATA))
 _MASKS = {kind: mask for kind, _, mask in fixed.PERSONAL_DATA}
+_DATA = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in fixed.PERSONAL_DATA)
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
-_HANGUL = re.compile("[가-힣]")
-_ORGANISATION = re.compile(fixed.ORGANISATION, re.IGNORECASE)
-_NAMES = (re.compile("[가-힣]{2,4}"), re.compile(r"[A-Za-z]+(?:\s[A-Za-z]+){0,2}"))
+_POOLS = {"hangul": fixed.NAMES_HANGUL, "latin": fixed.NAMES_LATIN}
 
 
-def masked(text: str, protect_dates: bool = False) -> str:
-    """All kinds in one pass from left to right, so no mask is masked again; earlier kinds win."""
-    def swap(m: re.Match) -> str:
-        if protect_dates and m.lastgroup == "account" and _DATE.fullmatch(m.group()):
-            return m.group()
+class Swap:
+    """Replaces names and personal data in texts, in one pass from left to right, so that nothing is replaced twice.
+
+    Of kinds of data that begin at one place the first in order wins, and data wins over a
+    name unless it is one; of names the longest.
+    """
+
+    def __init__(self, given: dict[str, str] | None = None, protect_dates: bool = False) -> None:
+        self.given, self.protect_dates = given or {}, protect_dates
+        names = "|".join(map(re.escape, sorted(self.given, key=len, reverse=True)))
+        self.pattern = compiled(f"{_DATA}|{names}" if names else _DATA)
+
+    def one(self, m: re.Match) -> str:
+        found = m.group()
+        if found in self.given:
+            return self.given[found]
+        if self.protect_dates and m.lastgroup == "account" and _DATE.fullmatch(found):
+            return found
         return _MASKS[m.lastgroup]
 
-    return _KINDS.sub(swap, text)
+    def __call__(self, text: str | None) -> str | None:
+        return text and self.pattern.sub(self.one, text)
+
+
+@cache
+def _data_pattern() -> re.Pattern:
+    return re.compile(_DATA)
+
+
+def compiled(pattern: str) -> re.Pattern:
+    return _data_pattern() if pattern is _DATA else re.compile(pattern)
+
+
+def masked(text: str, protect_dates: bool = False) -> str:
+    return Swap(protect_dates=protect_dates)(text)
 
 
 def mask_personal_data(text: Column, protect_dates: bool = False) -> Column:
@@ -35,31 +66,22 @@ def mask_personal_data(text: Column, protect_dates: bool = False) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: masked(t, protect_dates) if t is not None else None)
+        return texts.map(Swap(protect_dates=protect_dates), na_action="ignore")
 
     return run(text)
 
 
-def plain(name: str) -> str:
-    return name.replace(fixed.WEB_MARK, "").strip()
-
-
-def is_personal(name: str | None) -> bool:
-    n = plain(name or "")
-    if len(n) < 2 or _ORGANISATION.search(n):
-        return False
-    return bool(_NAMES[0].fullmatch(n) or (_NAMES[1].fullmatch(n) and len(n) <= 20))
-
-
 def pseudonyms(names: list[str]) -> dict[str, str]:
-    """A pseudonym for each name of a record: by its hash, the next free one if two meet; longest names first."""
+    """A pseudonym for each name of a record: the pool's at the name's hash or the next that is free, else a numbered one; longest names choose first."""
     given: dict[str, str] = {}
+    taken: set[str] = set()
     for name in sorted(dict.fromkeys(names), key=len, reverse=True):
-        script = "hangul" if _HANGUL.search(name) else "latin"
-        pool = fixed.NAMES_HANGUL if script == "hangul" else fixed.NAMES_LATIN
-        start = int(hashlib.md5(name.encode()).hexdigest(), 16) % len(pool)
-        free = [p for p in pool[start:] + pool[:start] if p not in given.values()]
-        given[name] = free[0] if free else f"{fixed.SPARE_NAMES[script]}{len(set(given.values())) + 1}"
+        script = "hangul" if any("가" <= c <= "힣" for c in name) else "latin"
+        pool = _POOLS[script]
+        at = int.from_bytes(hashlib.md5(name.encode()).digest(), "big") % len(pool)
+        round_trip = (pool[(at + k) % len(pool)] for k in range(len(pool)))
+        given[name] = next((p for p in round_trip if p not in taken), f"{fixed.SPARE_NAMES[script]}{len(taken) + 1}")
+        taken.add(given[name])
     return given
 
 
@@ -76,42 +98,55 @@ def first_pseudonym(name: Column) -> Column:
     return F.when(name.rlike("[가-힣]"), pick(fixed.NAMES_HANGUL)).otherwise(pick(fixed.NAMES_LATIN))
 
 
-def scrubbed(text: str | None, given: dict[str, str]) -> str | None:
-    if not text:
-        return text
-    for name in sorted(given, key=len, reverse=True):
-        text = text.replace(name, given[name])
-    return masked(text)
-
-
-def anonymize_record(sender, message, thread, events):
-    """D26 for one record; dates, times and recurrence are never touched."""
-    thread, events = [dict(t) for t in thread or []], [dict(e) for e in events or []]
-    names = [n for e in events for n in [*(e.get("attendees") if e.get("attendees") is not None else []), e.get("organizer")] if n]
-    people = [w for w in [sender, *(t.get("sender") for t in thread)] if is_personal(w)]
-    given = pseudonyms(names + [plain(w) for w in people])
-    if is_personal(sender):
-        sender = sender.replace(plain(sender), given[plain(sender)])
-    for t in thread:
-        t["message"] = scrubbed(t.get("message"), given)
-        if is_personal(t.get("sender")):
-            t["sender"] = given[plain(t["sender"])]
-    for e in events:
-        for field in ("title", "location", "description"):
-            e[field] = scrubbed(e.get(field), given)
-        e["organizer"] = given.get(e.get("organizer"), e.get("organizer"))
-        if e.get("attendees") is not None:
-            e["attendees"] = [given.get(a, a) for a in e["attendees"]]
-    return sender, scrubbed(message, given), thread, events
+_TEXTS = ArrayType(StringType())
 
 
-def anonymize(df: DataFrame) -> DataFrame:
-    """Records (sender, message, thread_context, events) with the same pseudonym for a name throughout each."""
+@F.pandas_udf(StructType([StructField("given", _TEXTS), StructField("texts", _TEXTS)]))
+def _renamed(names: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    given = [pseudonyms(list(n)) for n in names]
+    swapped = [list(map(Swap(g), t)) for g, t in zip(given, texts, strict=True)]
+    return pd.DataFrame({"given": [[g[n] for n in own] for g, own in zip(given, names, strict=True)], "texts": swapped})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fields = ("sender", "message", "thread_context", "events")
-            got = [anonymize_record(*values) for values in zip(*(batch[f] for f in fields), strict=True)]
-            yield batch.assign(**{f: [row[k] for row in got] for k, f in enumerate(fields)})
 
-    return df.mapInPandas(run, df.schema)
+def anonymize(df: DataFrame) -> DataFrame:
+    """Records (sender, message, thread_context, events) with the same pseudonym for a name throughout each.
+
+    Names are the events' attendees and organisers and those senders that are persons; they
+    are swapped in messages, titles, places and descriptions as well. Dates, times and
+    recurrence are never touched; what is null stays null.
+    """
+    several = lambda values: F.coalesce(values, F.array().cast("array<string>"))
+    guests = F.flatten(F.transform("events", lambda e: F.concat(several(e["attendees"]), F.array(e["organizer"]))))
+    writers = F.concat(F.array("sender"), several(F.transform("thread_context", lambda t: t["sender"])))
+    people = F.transform(F.filter(writers, is_personal_name), plain_sender)
+    names = F.array_distinct(F.filter(F.concat(several(guests), people), lambda n: F.length(n) > 0))
+    turns = several(F.transform("thread_context", lambda t: t["message"]))
+    fields = ("title", "location", "description")
+    said = several(F.flatten(F.transform("events", lambda e: F.array(*(e[f] for f in fields)))))
+    rows = df.withColumns({"_names": names, "_turns": F.size(turns), "_texts": F.concat(F.array("message"), turns, said)})
+    rows = rows.withColumn("_new", _renamed("_names", "_texts")).withColumn("_given", F.map_from_arrays("_names", "_new.given"))
+
+    def known(name: Column) -> Column:
+        return F.coalesce(F.try_element_at("_given", name), name)
+
+    def text(at: Column) -> Column:
+        return F.get("_new.texts", at)
+
+    def turn(t: Column, k: Column) -> Column:
+        sender = F.when(is_personal_name(t["sender"]), known(plain_sender(t["sender"]))).otherwise(t["sender"])
+        return t.withField("message", text(k + 1)).withField("sender", sender)
+
+    def event(e: Column, k: Column) -> Column:
+        e = e.withField("organizer", known(e["organizer"])).withField("attendees", F.transform(e["attendees"], known))
+        for n, f in enumerate(fields):
+            e = e.withField(f, text(F.col("_turns") + 1 + len(fields) * k + n))
+        return e
+
+    person = plain_sender(F.col("sender"))
+    new = {
+        "sender": F.when(is_personal_name(F.col("sender")), F.replace("sender", person, known(person))).otherwise(F.col("sender")),
+        "message": text(F.lit(0)),
+        "thread_context": F.transform("thread_context", turn),
+        "events": F.transform("events", event),
+    }
+    return rows.withColumns(new).select(*df.columns)

@@ -6,6 +6,8 @@ Equal and empty texts are settled in Spark; only the rest reaches the Arrow-batc
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,11 +55,34 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
+    best = best_window(a, b, 0.0)
+    return best_window(b, a, best) if len(a) == len(b) else best
+
+
+def best_window(a: str, b: str, best: float) -> float:
+    """The best ratio of ``a`` with a window of ``b``, or ``best`` if that is higher.
+
+    What two texts have in common is at most the letters they share in any order. That
+    count moves along with the window, so only windows that may win are compared.
+    """
     n = len(a)
-    windows = [b[max(0, k) : k + n] for k in range(1 - n, len(b))]
-    best = max(ratio(a, w) for w in windows)
-    if len(a) == len(b):
-        best = max(best, *(ratio(b, a[max(0, k) : k + n]) for k in range(1 - n, n)))
+    need = Counter(a)
+    spare: Counter[str] = Counter()
+    shared = 0
+    for k in range(1 - n, len(b)):
+        if k + n - 1 < len(b):
+            c = b[k + n - 1]
+            shared += spare[c] < need[c]
+            spare[c] += 1
+        if k > 0:
+            c = b[k - 1]
+            spare[c] -= 1
+            shared -= spare[c] < need[c]
+        size = min(k + n, len(b)) - max(0, k)
+        if 2 * shared > best * (n + size):
+            best = max(best, ratio(a, b[max(0, k) : k + n]))
+            if best == 1.0:
+                break
     return best
 
 

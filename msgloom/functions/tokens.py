@@ -18,7 +18,8 @@ from msgloom.functions import fixed
 
 def number(text: Column, pattern: str, group: int = 1) -> Column:
     """The group as an int; null where the pattern doesn't match."""
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    # a cast that fails costs far more than one of null
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
 
 
 def let(build, **values: Column) -> Column:
@@ -78,7 +79,7 @@ def _resolve_date(received: Column, t: Column) -> Column:
 
     full = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\.?$"
     y, fm, fd = (number(t, full, k) for k in (1, 2, 3))
-    january = F.try_to_date(F.concat(F.regexp_extract(t, full, 1), F.lit("-01-01")), "yyyy-MM-dd")
+    january = F.make_date(y, F.lit(1), F.lit(1))
     absolute = F.when((y >= 1) & fm.between(1, 12) & fd.between(1, 31), day_in_month(F.add_months(january, fm - 1), fd))
 
     found = F.coalesce(

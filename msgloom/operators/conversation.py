@@ -74,8 +74,10 @@ def with_roster(df: DataFrame, conversation: str = "conversation", order: str =
     """Step k of a conversation with the distinct names of steps 1 to k and the last messages before it."""
     so_far = Window.partitionBy(conversation).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(conversation).orderBy(order).rowsBetween(-earlier, -1)
-    names = F.array_distinct(F.collect_list("name").over(so_far))
-    return df.withColumn("attendees", names).withColumn("earlier", F.collect_list("message").over(before))
+    # a name counts where it stands first, so a list never holds more than the distinct names
+    is_first = F.row_number().over(Window.partitionBy(conversation, "name").orderBy(order)) == 1
+    names = F.collect_list(F.when(F.col("_first"), F.col("name"))).over(so_far)
+    return df.withColumn("_first", is_first).withColumn("attendees", names).drop("_first").withColumn("earlier", F.collect_list("message").over(before))
 
 
 def first_seen(df: DataFrame, room: str = "room", signature: tuple[str, ...] = ("from_me", "body"), order: tuple[str, ...] = ("seconds", "seq")) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgloom.functions import fixed
-from msgloom.functions.text import blank, has_surface_cue, normal, said_text, stripped, thread_text
+from msgloom.functions.text import blank, has_surface_cue, normal, said_text, thread_text
 from msgloom.functions.tokens import received_date, resolve_date
+from msgloom.sources.staging import staged
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -141,7 +142,9 @@ def capped_selection(rows: DataFrame, cap: int, negative_share: float, seed: int
     difficulty. All kept rows stay; each class is filled from the pool in order of priority;
     a shortage is filled from what is left; a surplus loses synthetic rows, never real ones.
     Only counts reach the driver; each pick is an ordered limit, merged from each task's best.
+    The rows, which several picks read, are staged first, so they should be narrow.
     """
+    rows = staged(rows)
     keep, pool = rows.where("kind = 'keep'"), rows.where("kind = 'pool'")
     n_keep, n_keep_pos = keep.agg(F.count(F.lit(1)), F.count_if("is_schedule")).first()
     want_neg = int(round(cap * negative_share))
@@ -188,7 +191,3 @@ def cue_shortcut(df: DataFrame) -> DataFrame:
 def grounding_by_choice(df: DataFrame) -> DataFrame:
     """Mean grounding of chosen and cut rows."""
     return df.groupBy("selected").agg(F.avg("grounding").alias("grounding"), F.count(F.lit(1)).alias("rows"))
-
-
-def plain_message(message: Column) -> Column:
-    return stripped(F.coalesce(message, F.lit("")))

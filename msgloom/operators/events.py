@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from msgloom.functions import fixed
 from msgloom.functions.text import blank, compose_title, is_physical, roster, stripped, unless_blank
 from msgloom.functions.tokens import let, resolve_when
+from msgloom.sources.staging import staged
 
 
 def resolved_event(received_at: Column, sender: Column, gold: Column) -> Column:
@@ -114,21 +119,55 @@ def learn_aliases(before: DataFrame, after: DataFrame, known: DataFrame) -> Data
     return known.select("sender", "token").union(old.join(cleared, "id", "left_semi").select("sender", "token")).distinct()
 
 
-def mergeable(events: DataFrame, new: DataFrame) -> DataFrame:
+_DAY = 86_400_000
+_PLACE = ("channel", "start", "room", "base_title", "created_at", "id")
+
+
+def _latest_before(rows: DataFrame, key: str, marks: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name in ``marks``, the latest (created_at, id) of the rows with its key, other than itself, that has the mark and is no younger.
+
+    Rows of a key are dealt by the day they were created, so a key that holds many of them
+    is spread; what an earlier day has reaches the later ones as one row a day.
+    """
+    at = F.struct("created_at", "id")
+    parts = ("channel", "_start", key, "_day")
+    earlier = Window.partitionBy(*parts).orderBy("created_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    together = Window.partitionBy(*parts, "created_at")
+    own_day = {}
+    for name, mark in marks.items():
+        peer = F.max(F.when(mark, F.col("id"))).over(together)
+        own_day[name] = F.when(peer > F.col("id"), F.struct(F.col("created_at"), peer.alias("id"))).otherwise(F.last(F.when(mark, at), ignorenulls=True).over(earlier))
+    days = rows.groupBy(*parts).agg(*(F.max(F.when(mark, at)).alias(f"_day_{name}") for name, mark in marks.items()))
+    before = Window.partitionBy("channel", "_start", key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*parts, *(F.max(f"_day_{name}").over(before).alias(f"_before_{name}") for name in marks))
+    found = rows.withColumns(own_day).join(days, list(parts))
+    return found.withColumns({name: F.coalesce(name, f"_before_{name}") for name in marks}).drop(*(f"_before_{name}" for name in marks))
+
+
+def mergeable(events: DataFrame, new: DataFrame | None = None) -> DataFrame:
     """For each new event the latest stored one it may merge into: new_id and id.
 
     Same channel, same start (null meets null), not dismissed, at most MERGE_DAYS old, and the
-    same room or, with no contradicting room, the same base title.
+    same room or, with no contradicting room, the same base title. Without ``new`` the
+    stored events are asked against each other. Ids are distinct, null channels meet none.
     """
-    kept = events.where("status <> 'DISMISSED'").select(*(F.col(c).alias(f"old_{c}") for c in ("id", "channel", "start", "room", "base_title", "created_at")))
-    span = fixed.MERGE_DAYS * 86_400_000
-    age = (F.col("created_at") >= F.col("old_created_at")) & (F.col("created_at") - F.col("old_created_at") <= span)
-    in_room = ~blank(F.col("room")) & (F.col("room") == F.col("old_room"))
-    rooms_agree = blank(F.col("room")) | blank(F.col("old_room")) | (F.col("room") == F.col("old_room"))
-    titled = ~blank(F.col("base_title")) & (F.col("base_title") == F.col("old_base_title")) & rooms_agree
-    met = new.join(kept, (F.col("channel") == F.col("old_channel")) & F.col("start").eqNullSafe(F.col("old_start")) & age & (in_room | titled) & (F.col("id") != F.col("old_id")))
-    best = F.max_by("old_id", F.struct(in_room, "old_created_at", "old_id"))
-    return met.groupBy(F.col("id").alias("new_id")).agg(best.alias("id"))
+    live = F.coalesce(F.col("status") != "DISMISSED", F.lit(False))
+    if new is None:
+        rows = events.select(*_PLACE, live.alias("_stored"), F.lit(True).alias("_asks"))
+    else:
+        both = new.select(*_PLACE, F.lit(False).alias("_stored"), F.lit(True).alias("_asks")).unionByName(events.select(*_PLACE, live.alias("_stored"), F.lit(False).alias("_asks")))
+        # an event in both frames is one row
+        rows = both.groupBy(*_PLACE).agg(F.max("_stored").alias("_stored"), F.max("_asks").alias("_asks"))
+    # a null start is a value of its own
+    start = F.coalesce(F.concat(F.lit("="), "start"), F.lit("none"))
+    rows = staged(rows.where("channel IS NOT NULL").withColumns({"_start": start, "_day": F.floor(F.col("created_at") / _DAY)}))
+    stored, roomless = F.col("_stored"), blank(F.col("room"))
+    by_room = _latest_before(rows.where(~roomless), "room", {"met": stored}).where("_asks").select("id", F.lit(1).alias("in_room"), "created_at", "met")
+    titled = _latest_before(rows.where(~blank(F.col("base_title"))), "base_title", {"met": stored, "met_roomless": stored & roomless}).where("_asks")
+    # in a room of its own a title meets that of no room; that of the same room is found by the room
+    by_title = titled.select("id", F.lit(0).alias("in_room"), "created_at", F.when(roomless, F.col("met")).otherwise(F.col("met_roomless")).alias("met"))
+    near = by_room.unionByName(by_title).where(F.col("created_at") - F.col("met.created_at") <= fixed.MERGE_DAYS * _DAY)
+    return near.groupBy(F.col("id").alias("new_id")).agg(F.max(F.struct("in_room", "met")).alias("best")).select("new_id", F.col("best.met.id").alias("id"))
 
 
 def better_base(old: str, new: str) -> str:
@@ -140,75 +179,135 @@ def better_base(old: str, new: str) -> str:
     return old
 
 
-def fold_events(rows: list[dict], stored: list[dict]) -> set[str]:
-    """Takes rows of one channel and start, in order of arrival, into the list of stored events; the keys of those made or changed."""
-    span = fixed.MERGE_DAYS * 86_400_000
-    touched: set[str] = set()
-    by_room: dict[str, dict] = {}
-    by_title: dict[str, list[dict]] = {}
-    keys = {r["event_key"] for r in stored}
-
-    def index(row: dict) -> None:
+class Fold:
+    """Stored events of one owner, channel and start, into which later ones are taken in order of arrival.
+
+    Only events that are young enough to match are held; of older ones the keys.
+    """
+
+    def __init__(self, stored: list[dict]) -> None:
+        self.live: deque[dict] = deque()
+        self.keys: set[str] = set()
+        self.by_room: dict[str, dict] = {}
+        self.by_title: dict[str, list[dict]] = {}
+        for row in sorted(stored, key=arrival):
+            self.store(row)
+
+    def store(self, row: dict) -> None:
+        self.keys.add(row["event_key"])
+        self.live.append(row)
         if row["status"] != "DISMISSED":
             if (row["room"] or "").strip():
-                by_room[row["room"]] = row
-            by_title.setdefault(row["base_title"] or "", []).append(row)
-
-    for row in sorted(stored, key=lambda r: (r["created_at"], r["seq"])):
-        index(row)
-    for row in rows:
+                self.by_room[row["room"]] = row
+            self.by_title.setdefault(row["base_title"] or "", []).append(row)
+
+    def aged(self, now: int) -> Iterator[dict]:
+        """Takes out the events that are too old to match anything that arrives from ``now`` on."""
+        while self.live and now - self.live[0]["created_at"] > fixed.MERGE_DAYS * _DAY:
+            row = self.live.popleft()
+            if self.by_room.get(row["room"]) is row:
+                del self.by_room[row["room"]]
+            for title in {row["base_title"] or "", row.get("_first_title", row["base_title"]) or ""}:
+                kept = [r for r in self.by_title.get(title, []) if r is not row]
+                if kept:
+                    self.by_title[title] = kept
+                else:
+                    self.by_title.pop(title, None)
+            row.pop("_first_title", None)
+            yield row
+
+    def newest_titled(self, base: str) -> dict | None:
+        """The newest stored event that has this base title now; those that have changed it never get it again."""
+        rows = self.by_title.get(base, [])
+        while rows and (rows[-1]["base_title"] or "") != base:
+            rows.pop()
+        return rows[-1] if rows else None
+
+    def take(self, row: dict) -> dict | None:
+        """The event that the row made or changed; None if it is one that is stored already."""
         room, base = row["room"] or "", row["base_title"] or ""
-        recent = lambda r, row=row: r is not None and row["created_at"] - r["created_at"] <= span
-        target = by_room.get(room) if room.strip() else None
-        target = target if recent(target) else None
-        if target is None and base.strip():
-            newest = next((r for r in reversed(by_title.get(base, [])) if r["base_title"] == base and recent(r)), None)
-            if newest is not None and (not room.strip() or not (newest["room"] or "").strip() or newest["room"] == room):
-                target = newest
+        recent = lambda r: r is not None and row["created_at"] - r["created_at"] <= fixed.MERGE_DAYS * _DAY
+        target = self.by_room.get(room) if room.strip() else None
+        if not recent(target):
+            target = self.newest_titled(base) if base.strip() else None
+            if not recent(target) or (room.strip() and (target["room"] or "").strip() and target["room"] != room):
+                target = None
         if target is not None:
             target["merged"] += 1
             best = better_base(target["base_title"] or "", base)
             if best != (target["base_title"] or "") and best.strip():
+                target.setdefault("_first_title", target["base_title"])
                 target["base_title"], target["title"] = best, best.strip()
-                by_title.setdefault(best, []).append(target)
-                by_title[best].sort(key=lambda r: (r["created_at"], r["seq"]))
-            touched.add(target["event_key"])
-        elif row["event_key"] not in keys:
-            keys.add(row["event_key"])
-            touched.add(row["event_key"])
-            stored.append(row := {**row, "merged": 0})
-            index(row)
+                insort(self.by_title.setdefault(best, []), target, key=arrival)
+            return target
+        if row["event_key"] in self.keys:
+            return None
+        made = {**row, "merged": 0}
+        self.store(made)
+        return made
+
+
+def arrival(row: dict) -> tuple[int, int]:
+    return row["created_at"], row["seq"]
+
+
+def fold_events(rows: list[dict], stored: list[dict]) -> set[str]:
+    """Takes rows of one owner, channel and start, in order of arrival, into the list of stored events; the keys of those made or changed."""
+    fold, touched = Fold(stored), set()
+    for row in rows:
+        event = fold.take(row)
+        if event is not None:
+            touched.add(event["event_key"])
+    stored[:] = [{k: v for k, v in r.items() if k != "_first_title"} for r in fold.live]
     return touched
 
 
-def merge_events(events: DataFrame) -> DataFrame:
-    """Events (channel, start, room, base_title, sender, title, event_key, status, created_at, seq) after merging.
+EVENT_COLUMNS = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long"
+
+
+def merge_events(events: DataFrame, stored: DataFrame | None = None, owner: tuple[str, ...] = ()) -> DataFrame:
+    """Events (columns of EVENT_COLUMNS) merged into ``stored`` ones: all events that are stored then.
 
     Each event, in order of arrival, joins the newest stored one of its room, else of its base
     title, else is stored unless its key is. Joining changes a title at most, never the time
     it counts from. ``merged`` counts what an event took in; ``attendees``, if given, stay those
-    of the event that was stored.
+    of the event that was stored. ``stored`` has the columns of the result.
 
-    Matches need the same channel and start, so those are the group. As nothing older than
-    MERGE_DAYS matches, a group is cut where it pauses longer than that; without a start it
-    is cut by room or base title as well, as only those could match.
+    Matches need the same channel and start (null is a start like any other) and the same
+    owner: ``owner`` names the columns that say whose store an event belongs to (a device, a
+    user). The rows of one such store, channel and start are read in order as a stream, of
+    which a task holds the events that are young enough to match; it is for the owner to keep
+    that many small. An event without room and title can match none and is stored.
     """
-    from pyspark.sql import Window
-
-    within = F.when(F.col("start").isNull(), F.coalesce(unless_blank(F.col("room")), F.col("base_title")))
     extra = ", attendees array<string>" if "attendees" in events.columns else ""
-    rows = events.withColumn("_within", within)
-    arrival = Window.partitionBy("channel", "start", "_within").orderBy("created_at", "seq")
-    pause = F.col("created_at") - F.lag("created_at").over(arrival) > fixed.MERGE_DAYS * 86_400_000
-    rows = rows.withColumn("_part", F.sum(F.when(pause, 1).otherwise(0)).over(arrival))
-    schema = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long, merged long" + extra
-
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        stored: list[dict] = []
-        fold_events(group.sort_values(["created_at", "seq"]).to_dict("records"), stored)
-        return pd.DataFrame(stored, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.groupBy("channel", "start", "_within", "_part").applyInPandas(fold, schema)
+    kinds = StructType([events.schema[c] for c in owner])
+    schema = StructType(kinds.fields + StructType.fromDDL(f"{EVENT_COLUMNS}, merged long{extra}").fields)
+    names = [*schema.names]
+    rows = events.select(*(c for c in names if c != "merged"), F.lit(0).cast("long").alias("merged"), F.lit(1).alias("_new"))
+    if stored is not None:
+        rows = rows.unionByName(stored.select(*names, F.lit(0).alias("_new")))
+    group = [*owner, "channel", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, now, held = Fold([]), None, []
+        shape = to_arrow_schema(schema)
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in group)
+                if key != now:
+                    held += fold.live
+                    fold, now = Fold([]), key
+                if row.pop("_new"):
+                    held += fold.aged(row["created_at"])
+                    fold.take(row)
+                else:
+                    fold.store(row)
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in held], shape)
+            held = []
+        yield pa.RecordBatch.from_pylist([{c: r[c] for c in names} for r in fold.live], shape)
+
+    in_order = rows.repartition(*group).sortWithinPartitions(*group, "_new", "created_at", "seq")
+    return in_order.mapInArrow(run, schema)
 
 
 def with_roster_title(events: DataFrame) -> DataFrame:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from msgloom.functions import fixed
 from msgloom.functions.text import blank
-from msgloom.functions.tokens import received_date, resolve_date
+from msgloom.functions.tokens import let, received_date, resolve_date
 
 
 def _is(json: Column, opening: str) -> Column:
@@ -17,57 +15,84 @@ def _is(json: Column, opening: str) -> Column:
     return F.regexp_replace(json, r"^\s+", "").startswith(opening)
 
 
+def _defect(condition: Column, code: str, detail: Column | str = "") -> Column:
+    """A struct of code and detail where the condition holds, else null."""
+    return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
+
+
+def _texts(json: Column, *names: str) -> Column:
+    """The named values of a JSON object as texts in one struct: of one parse."""
+    return F.from_json(json, "struct<" + ",".join(f"{n}:string" for n in names) + ">")
+
+
 def issues(raw: Column) -> Column:
     """Defects of a row given as JSON text: an array of structs of code and detail.
 
-    The text is needed since a typed read would hide wrong types. An absent value and a JSON
-    null are alike, but for keys that must be there.
+    The text is needed since a typed read would hide wrong types. Each object is parsed
+    once, into texts. An absent value and a JSON null are alike, but for keys that must be
+    there.
     """
-    value = lambda json, name: F.get_json_object(json, f"$.{name}")
-    bad = lambda condition, code, detail="": F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(code).alias("code"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail")))
-    keys = F.json_object_keys(raw)
-    gold = value(raw, "gold")
-    status, events_json = value(gold, "schedule_status"), value(gold, "events")
-    gold_is_object = gold.isNull() & ~F.array_contains(keys, "gold") | _is(gold, "{")
-    list_ok = events_json.isNull() | _is(events_json, "[")
-    events = F.from_json(events_json, "array<string>")
-    count = F.coalesce(F.size(events), F.lit(0))
-    detected = F.coalesce(status.isin("yes", "pending"), F.lit(False))
-    received = received_date(value(raw, "received_at"))
-
-    def of_event(e: Column) -> Column:
-        own = F.json_object_keys(e)
-        title, date, time, guests = (value(e, n) for n in ("title", "date", "time", "attendees"))
-        missing = F.array_sort(F.array_except(F.array(*map(F.lit, fixed.EVENT_KEYS)), own))
-        hour, marker = value(time, "hour"), value(time, "marker")
-        hour_number = F.when(hour.rlike(r"^-?\d+$"), hour.try_cast("int"))
-        clock = _is(time, "{")
-        whole_day = F.coalesce(value(e, "all_day") == "true", F.lit(False))
-        return F.when(~F.coalesce(_is(e, "{"), F.lit(False)), F.array(bad(F.lit(True), "EVENT_NOT_DICT"))).otherwise(
-            F.array(
-                bad(F.size(missing) > 0, "EVENT_MISSING_KEYS", F.array_join(missing, ",")),
-                bad(blank(title), "EMPTY_TITLE"),
-                bad(~blank(title) & (F.length(title) > fixed.TITLE_LIMIT), "TITLE_TOO_LONG", F.length(title).cast("string")),
-                bad(date.isNotNull() & resolve_date(received, date).isNull(), "DATE_UNRESOLVABLE", date),
-                bad(date.isNull() & time.isNull() & ~whole_day, "UNPLACEABLE_EVENT"),
-                bad(time.isNotNull() & ~clock, "TIME_NOT_DICT", time),
-                bad(clock & ~F.coalesce(hour_number.between(0, 23), F.lit(False)), "TIME_HOUR_RANGE", F.coalesce(hour, F.lit("null"))),
-                bad(clock & marker.isNotNull() & ~marker.isin(*fixed.MARKERS), "BAD_MARKER", marker),
-                bad(clock & (hour_number >= 13) & marker.isin(*fixed.AFTERNOON_MARKERS, *fixed.MORNING_MARKERS), "MARKER_ON_24H", F.concat_ws(" ", hour, marker)),
-                bad(guests.isNotNull() & ~_is(guests, "["), "ATTENDEES_NOT_LIST", guests),
-            )
+    return let(_row_issues, row=_texts(raw, "message", "gold", "received_at", "channel"), keys=F.json_object_keys(raw))
+
+
+def _row_issues(row: Column, keys: Column) -> Column:
+    is_object = row["gold"].isNull() & ~F.array_contains(keys, "gold") | _is(row["gold"], "{")
+    absent = F.array(*(_defect(~F.array_contains(keys, name), "MISSING_FIELD", name) for name in ("message", "gold", "received_at", "channel")), _defect(~is_object, "GOLD_NOT_DICT"))
+    gold = lambda absent, is_object, received, gold: F.array_compact(F.concat(absent, F.when(is_object, let(_gold_issues, gold=gold, received=received)).otherwise(_none())))
+    return let(gold, absent=absent, is_object=is_object, received=received_date(row["received_at"]), gold=_texts(row["gold"], "schedule_status", "events"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<code:string,detail:string>>")
+
+
+def _gold_issues(gold: Column, received: Column) -> Column:
+    status, text = gold["schedule_status"], gold["events"]
+    list_ok = text.isNull() | _is(text, "[")
+
+    def of_gold(events: Column, status: Column, list_ok: Column, received: Column) -> Column:
+        count = F.coalesce(F.size(events), F.lit(0))
+        detected = F.coalesce(status.isin("yes", "pending"), F.lit(False))
+        own = F.array(
+            _defect(~F.coalesce(status.isin("yes", "pending", "no"), F.lit(False)), "HAS_SCHEDULE_BAD", F.coalesce(status, F.lit("null"))),
+            _defect(~list_ok, "EVENTS_NOT_LIST"),
+            _defect(list_ok & (detected != (count > 0)), "HAS_EVENTS_MISMATCH", F.concat_ws(" ", F.coalesce(status, F.lit("null")), count.cast("string"))),
         )
+        return F.concat(own, F.coalesce(F.when(list_ok, F.flatten(F.transform(events, lambda e: _event_issues(e, received)))), _none()))
+
+    return let(of_gold, events=F.from_json(text, "array<string>"), status=status, list_ok=list_ok, received=received)
+
+
+def _event_issues(event: Column, received: Column) -> Column:
+    fields = ("title", "date", "time", "all_day", "attendees")
+    checked = let(_of_event, own=F.json_object_keys(event), e=_texts(event, *fields), received=received)
+    return F.when(~F.coalesce(_is(event, "{"), F.lit(False)), F.array(_defect(F.lit(True), "EVENT_NOT_DICT"))).otherwise(checked)
+
 
-    absent = [bad(~F.array_contains(keys, name), "MISSING_FIELD", name) for name in ("message", "gold", "received_at", "channel")]
-    of_row = F.array(
-        *absent,
-        bad(~gold_is_object, "GOLD_NOT_DICT"),
-        bad(gold_is_object & ~F.coalesce(status.isin("yes", "pending", "no"), F.lit(False)), "HAS_SCHEDULE_BAD", F.coalesce(status, F.lit("null"))),
-        bad(gold_is_object & ~list_ok, "EVENTS_NOT_LIST"),
-        bad(gold_is_object & list_ok & (detected != (count > 0)), "HAS_EVENTS_MISMATCH", F.concat_ws(" ", F.coalesce(status, F.lit("null")), count.cast("string"))),
+def _of_event(own: Column, e: Column, received: Column) -> Column:
+    title, date, time, guests = (e[n] for n in ("title", "date", "time", "attendees"))
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, fixed.EVENT_KEYS)), own))
+    whole_day = F.coalesce(e["all_day"] == "true", F.lit(False))
+    placed = F.array(
+        _defect(F.size(missing) > 0, "EVENT_MISSING_KEYS", F.array_join(missing, ",")),
+        _defect(blank(title), "EMPTY_TITLE"),
+        _defect(~blank(title) & (F.length(title) > fixed.TITLE_LIMIT), "TITLE_TOO_LONG", F.length(title).cast("string")),
+        _defect(date.isNotNull() & resolve_date(received, date).isNull(), "DATE_UNRESOLVABLE", date),
+        _defect(date.isNull() & time.isNull() & ~whole_day, "UNPLACEABLE_EVENT"),
+        _defect(time.isNotNull() & ~_is(time, "{"), "TIME_NOT_DICT", time),
+        _defect(guests.isNotNull() & ~_is(guests, "["), "ATTENDEES_NOT_LIST", guests),
+    )
+    return F.concat(placed, F.when(_is(time, "{"), let(_time_issues, clock=_texts(time, "hour", "marker"))).otherwise(_none()))
+
+
+def _time_issues(clock: Column) -> Column:
+    hour, marker = clock["hour"], clock["marker"]
+    number = F.when(hour.rlike(r"^-?\d+$"), hour.try_cast("int"))
+    return F.array(
+        _defect(~F.coalesce(number.between(0, 23), F.lit(False)), "TIME_HOUR_RANGE", F.coalesce(hour, F.lit("null"))),
+        _defect(marker.isNotNull() & ~marker.isin(*fixed.MARKERS), "BAD_MARKER", marker),
+        _defect((number >= 13) & marker.isin(*fixed.AFTERNOON_MARKERS, *fixed.MORNING_MARKERS), "MARKER_ON_24H", F.concat_ws(" ", hour, marker)),
     )
-    of_events = F.when(gold_is_object & list_ok, F.flatten(F.transform(events, of_event)))
-    return F.array_compact(F.concat(of_row, F.coalesce(of_events, F.array_compact(F.array(bad(F.lit(False), ""))))))
 
 
 def has_abolished_keys(gold: Column) -> Column:
@@ -85,9 +110,11 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def defect_counts(df: DataFrame, found: str = "issues") -> DataFrame:
     """A3: how often each code occurs and in how many rows."""
-    each = df.select(F.monotonically_increasing_id().alias("_row"), F.explode(found).alias("issue")).select("_row", "issue.code")
-    per_row = each.groupBy("code", "_row").agg(F.count(F.lit(1)).alias("n"))
-    return per_row.groupBy("code").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("rows"))
+    codes = F.transform(found, lambda i: i["code"])
+    # the outer form, as the other makes the optimiser compute the issues once more in a filter
+    each = df.select(codes.alias("codes")).select("codes", F.explode_outer(F.array_distinct("codes")).alias("code"))
+    times = F.size(F.filter("codes", lambda c: c == F.col("code")))
+    return each.groupBy("code").agg(F.sum(times).alias("times"), F.count(F.lit(1)).alias("rows")).where("code IS NOT NULL")
 
 
 def flagged(df: DataFrame, found: str = "issues", width: int = 80) -> DataFrame:
@@ -163,7 +190,3 @@ def misaligned(df: DataFrame, text: str = "text", prompt: str = "prompt") -> Dat
     """Training texts that do not begin with their prompt followed by a JSON object."""
     rest = F.ltrim(F.substr(F.col(text), F.length(prompt) + 1, F.length(text)))
     return df.where(~F.coalesce(F.col(text).startswith(F.col(prompt)) & rest.startswith("{"), F.lit(False)))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

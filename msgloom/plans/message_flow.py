@@ -9,8 +9,8 @@ from msgloom import schemas
 from msgloom.functions.keys import event_key
 from msgloom.functions.text import user_block
 from msgloom.operators import conversation, events
-from msgloom.sources.io import normal_gold, prompt_text
 from msgloom.functions.text import json_block
+from msgloom.sources.io import normal_gold, prompt_text
 
 
 def to_prompts(messages: DataFrame, channels: DataFrame, system: str) -> DataFrame:
@@ -22,16 +22,16 @@ def to_prompts(messages: DataFrame, channels: DataFrame, system: str) -> DataFra
     return passed.withColumn("prompt", prompt_text(F.lit(system), block))
 
 
-def to_events(predicted: DataFrame, aliases: DataFrame, today: Column) -> DataFrame:
-    """Stored events of predictions (output, message): parsed, resolved, corrected, routed, with the roster's names, and merged."""
+def to_events(predicted: DataFrame, aliases: DataFrame, today: Column, owner: tuple[str, ...] = (), stored: DataFrame | None = None) -> DataFrame:
+    """Stored events of predictions (output, message): parsed, resolved, corrected, routed, with the roster's names, and merged into ``stored`` ones of the same ``owner``."""
     answer = json_block(F.col("output"))
     gold, given = normal_gold(answer), F.from_json(answer, schemas.ANY_GOLD)
     attendees = F.coalesce(given["attendees"], F.try_element_at(given["events"], F.lit(1))["attendees"])
     rows = predicted.withColumns({"gold": gold, "attendees": attendees}).where("gold.is_schedule")
     rows = rows.withColumn("event", events.resolved_event(F.col("received_at"), F.col("sender"), F.col("gold")))
-    flat = rows.select("channel", "sender", "room", "seq", F.col("seconds").alias("created_at"), "received_at", "message", "attendees", F.coalesce("gold.title", F.lit("")).alias("base_title"), "event.*")
+    flat = rows.select(*owner, "channel", "sender", "room", "seq", F.col("seconds").alias("created_at"), "received_at", "message", "attendees", F.coalesce("gold.title", F.lit("")).alias("base_title"), "event.*")
     flat = events.correct_location(flat, aliases)
     flat = flat.withColumn("event_key", event_key(F.col("channel"), F.col("received_at"), F.col("start"), F.col("title")))
     routed = flat.withColumn("status", events.route(F.lit(True), F.col("title"), F.col("start"), today))
     named = events.with_roster_title(routed)
-    return events.merge_events(named.select("channel", "start", "room", "base_title", "sender", "title", "event_key", "status", "created_at", "seq", "attendees"))
+    return events.merge_events(named, stored, owner)

@@ -419,25 +419,28 @@ def j11_alias_table(spark, sf_dir):
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = routed(spark, sf_dir).where("status IS NOT NULL")
-    return rows.select(F.col("event_id").alias("id"), "channel", "sender", "start", "room", F.coalesce("title", F.lit("")).alias("base_title"), "title", "status", (F.unix_date("recv").cast("long") * 86_400_000 + F.col("recv_minute") * 60_000).alias("created_at"), F.col("event_id").alias("seq"))
+    return rows.select(F.col("event_id").alias("id"), "user_id", "channel", "sender", "start", "room", F.coalesce("title", F.lit("")).alias("base_title"), "title", "status", (F.unix_date("recv").cast("long") * 86_400_000 + F.col("recv_minute") * 60_000).alias("created_at"), F.col("event_id").alias("seq"))
 
 
 @query(
     f"""{ROUTED}, e AS (SELECT event_id AS id, channel, start, room, coalesce(title, '') AS base, status, CAST(epoch_ms(CAST(recv AS TIMESTAMP)) AS BIGINT) + recv_minute * 60000 AS at FROM r WHERE status IS NOT NULL)
     SELECT n.id AS new_id, arg_max(o.id, (CASE WHEN n.room <> '' AND n.room = o.room THEN 1 ELSE 0 END) * 10000000000000000000000::HUGEINT + o.at::HUGEINT * 10000000 + o.id) AS id
     FROM e n JOIN e o ON n.channel = o.channel AND n.start IS NOT DISTINCT FROM o.start AND o.id <> n.id AND o.at <= n.at AND n.at - o.at <= 2592000000 AND o.status <> 'DISMISSED'
-    AND ((n.room <> '' AND n.room = o.room) OR (trim(n.base) <> '' AND n.base = o.base AND (n.room = '' OR o.room = '' OR n.room = o.room))) WHERE n.start IS NOT NULL GROUP BY n.id"""
+    AND ((n.room <> '' AND n.room = o.room) OR (trim(n.base) <> '' AND n.base = o.base AND (n.room = '' OR o.room = '' OR n.room = o.room))) GROUP BY n.id"""
 )
 def j9_mergeable(spark, sf_dir):
-    rows = stored(spark, sf_dir).where("start IS NOT NULL")
-    return events.mergeable(rows, rows)
+    return events.mergeable(stored(spark, sf_dir))
+
+
+def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(spark, sf_dir)
+    return rows.withColumn("event_key", keys.event_key(F.col("channel"), F.col("created_at"), F.col("start"), F.col("title")))
 
 
 @query()
 def w4_merge_events(spark, sf_dir):
-    rows = stored(spark, sf_dir)
-    keyed = rows.withColumn("event_key", keys.event_key(F.col("channel"), F.col("created_at"), F.col("start"), F.col("title")))
-    return events.merge_events(keyed.select("channel", "start", "room", "base_title", "sender", "title", "event_key", "status", "created_at", "seq"))
+    """All events, each user's into a store of their own."""
+    return events.merge_events(keyed_events(spark, sf_dir), owner=("user_id",))
 
 
 @query(f"{M} SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list_filter([sender, CASE WHEN k % 16 = 4 THEN '민수진' END], lambda x: x IS NOT NULL))), ','), '') AS attendees FROM m WHERE k % 16 <> 13 AND k % 16 <> 4")

@@ -35,5 +35,5 @@ def workload_message_flow(spark, sf_dir):
     prompts = to_prompts(messages(spark, sf_dir), channels, "Find the schedule.")
     answer = F.to_json(F.struct("is_schedule", "title", "date", F.when(F.col("has_time"), F.struct("hour", "minute", "marker")).alias("time"), F.col("place").alias("location")))
     aliases = messages(spark, sf_dir).where("event_id % 50 = 0 AND place IS NOT NULL").select("sender", F.col("place").alias("token")).distinct()
-    return to_events(prompts.withColumn("output", answer), aliases, F.lit("2024-01-15").cast("date")).select("channel", "start", "room", "base_title", "event_key", "status", "merged")
+    return to_events(prompts.withColumn("output", answer), aliases, F.lit("2024-01-15").cast("date"), owner=("user_id",)).select("user_id", "channel", "start", "room", "base_title", "event_key", "status", "merged")
 

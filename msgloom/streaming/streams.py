@@ -15,14 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from msgloom.functions import fixed
 from msgloom.operators.conversation import gate
-from msgloom.operators.events import fold_events
+from msgloom.operators.events import EVENT_COLUMNS, fold_events
 from msgloom.sources.io import export_candidates
 
 BUFFERED = "event_id long, conversation string, channel string, sender string, body string, seconds long, seq long, clock string"
-EVENTS = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long, merged long"
+EVENTS = f"{EVENT_COLUMNS}, merged long"
 
 
 def gated(stream: DataFrame, channels: DataFrame) -> DataFrame:
@@ -67,9 +68,14 @@ def insert_or_ignore(stream: DataFrame, time: str, delay: str, key: str = "event
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def merged_events(stream: DataFrame) -> DataFrame:
-    """T4: events made or changed by each batch, columns as in EVENTS; the last row of an event_key holds."""
-    names = [c.split()[0] for c in EVENTS.split(", ")]
+def merged_events(stream: DataFrame, owner: tuple[str, ...] = ()) -> DataFrame:
+    """T4: events made or changed by each batch, columns ``owner`` and EVENTS; the last row of an event_key holds.
+
+    State is kept by owner, channel and start and holds the events young enough to match;
+    a key is remembered as long as its event.
+    """
+    schema = StructType([stream.schema[c] for c in owner] + StructType.fromDDL(EVENTS).fields)
+    names = schema.names
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stored = json.loads(state.get[0]) if state.exists else []
@@ -81,8 +87,8 @@ def merged_events(stream: DataFrame) -> DataFrame:
         state.update((json.dumps(young, ensure_ascii=False),))
         yield pd.DataFrame([r for r in stored if r["event_key"] in touched], columns=names)
 
-    keyed = stream.select(*(n for n in names if n != "merged")).groupBy("channel", "start")
-    return keyed.applyInPandasWithState(step, EVENTS, "stored string", "update", GroupStateTimeout.NoTimeout)
+    keyed = stream.select(*(n for n in names if n != "merged")).groupBy(*owner, "channel", "start")
+    return keyed.applyInPandasWithState(step, schema, "stored string", "update", GroupStateTimeout.NoTimeout)
 
 
 def pull_new(mails: DataFrame, mark: Column, body: str = "body", at: str = "internal_millis") -> DataFrame:
