@@ -48,11 +48,12 @@ def feedback_pairs(df: DataFrame) -> DataFrame:
 
 def feedback_report(df: DataFrame) -> DataFrame:
     """Counts by kind of feedback, by date method and by reason of skipping: section, name, rows."""
-    count = lambda rows, section, name: rows.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(section).alias("section"), "name", "rows")
-    kinds = count(df.where("skip_reason IS NULL"), "feedback", F.col("feedback"))
-    methods = count(df.select(F.explode("methods").alias("method")), "method", F.col("method"))
-    skipped = count(df.where("skip_reason IS NOT NULL"), "skipped", F.col("skip_reason"))
-    return kinds.unionByName(methods).unionByName(skipped)
+    entry = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    kept = F.when(F.col("skip_reason").isNull(), entry("feedback", F.col("feedback"))).otherwise(entry("skipped", F.col("skip_reason")))
+    entries = F.concat(F.array(kept), F.transform("methods", lambda m: entry("method", m)))
+    # the outer form, as the other makes the optimiser compute the methods once more in a filter
+    rows = df.select(entries.alias("entries")).select(F.explode_outer("entries").alias("e")).select("e.*")
+    return rows.groupBy("section", "name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def tokens_from_absolute(df: DataFrame) -> DataFrame:

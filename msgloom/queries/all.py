@@ -1,6 +1,6 @@
 """Every query of the library, in one place."""
 
-from msgloom.queries import curation, messages, workloads  # noqa: F401  they register their queries
+from msgloom.queries import curation, flows, messages, workloads  # noqa: F401  they register their queries
 from msgloom.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgloom import schemas
-from msgloom.functions import fixed, text, tokens
+from msgloom.functions import fixed, tokens
 from msgloom.functions.anonymize import first_pseudonym, mask_personal_data
 from msgloom.functions.similarity import location_score, title_score
 from msgloom.operators import curate, evaluate, feedback, generate, labels, validate
 from msgloom.queries import duck
 from msgloom.queries.frames import MESSAGES, PAIRS, PLAN
-from msgloom.queries.messages import WHEN, M, clock, messages
+from msgloom.queries.messages import NAME, PERSONAL, TOLD_DATES, WHEN, M, clock, messages
 from msgloom.queries.registry import query
 from msgloom.sources import io
 
@@ -105,10 +105,22 @@ def a12_cross_tab(spark, sf_dir):
     return validate.cross_tab(pairs(spark, sf_dir), "channel", "lang", ["en", "de", "fr"])
 
 
-@query(f"{M} SELECT DISTINCT b.item_id, b.item_id AS doc FROM benchmark b WHERE false UNION ALL SELECT doc_id, doc_id FROM documents WHERE lower(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) IN (SELECT lower(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g')) FROM documents WHERE doc_id % 10 = 3)")
+NORMAL = "lower(regexp_replace(text, '[ \\t\\n\\r]+', '', 'g'))"
+
+
+@query(
+    f"""WITH g AS (SELECT {NORMAL} AS t FROM benchmark UNION ALL SELECT {NORMAL} FROM documents WHERE doc_id % 10 = 3),
+    r AS (SELECT 'document' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'quoted', item_id, replace(lower(text), ' ', '  ') FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT 'cited', item_id, text || '.' FROM benchmark)
+    SELECT origin, id FROM r WHERE {NORMAL} IN (SELECT t FROM g)"""
+)
 def j10_leakage(spark, sf_dir):
-    docs = pairs(spark, sf_dir)
-    return curate.leaks(docs, docs.where("doc_id % 10 = 3")).select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("doc"))
+    """Documents, and test items quoted in small letters with wide gaps or with a mark behind, against the test items and held-out documents."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    row = lambda df, origin, key, text: df.select(F.lit(origin).alias("origin"), F.col(key).alias("id"), text.alias("message"))
+    quoted = row(items.where("item_id % 3 = 0"), "quoted", "item_id", F.replace(F.lower("text"), F.lit(" "), F.lit("  ")))
+    train = row(docs, "document", "doc_id", F.col("text")).union(quoted).union(row(items, "cited", "item_id", F.concat("text", F.lit("."))))
+    golden = items.select(F.col("text").alias("message")).union(docs.where("doc_id % 10 = 3").select("text"))
+    return curate.leaks(train, golden).select("origin", "id")
 
 
 @query(f"{P}, b AS (SELECT * FROM p WHERE doc_id % 2 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM p WHERE doc_id % 2 = 1) SELECT doc_id FROM b UNION ALL SELECT doc_id FROM n WHERE rn = 1 AND text NOT IN (SELECT text FROM b)")
@@ -203,16 +215,10 @@ def w8_quota(spark, sf_dir):
     return curate.quota(messages(spark, sf_dir).select("event_id", "channel"), F.col("channel"), {"sms": 70, "gmail": 30}, "event_id")
 
 
-@query(f"{M}, r AS (SELECT event_id, row_number() OVER (ORDER BY md5(event_id || '|7')) AS place FROM m) SELECT event_id, place FROM r WHERE place <= 100")
+@query(f"{M} SELECT event_id, row_number() OVER (ORDER BY md5(event_id || '|7')) AS place FROM m")
 def w13_shuffle(spark, sf_dir):
-    """The rows of its SQL, the first hundred; w13_shuffle_all has all."""
-    return w13_shuffle_all(spark, sf_dir).where("place <= 100").select("event_id", "place")
-
-
-@query()
-def w13_shuffle_all(spark, sf_dir):
-    """All messages in shuffled order, with shuffle key and place."""
-    return curate.shuffled(messages(spark, sf_dir).select("event_id"), F.col("event_id"), 7)
+    """All messages in shuffled order, with their places."""
+    return curate.shuffled(messages(spark, sf_dir).select("event_id"), F.col("event_id"), 7).select("event_id", "place")
 
 
 @query(f"{M} SELECT channel, source_ord, kind, count(*) AS rows FROM (SELECT channel, 0 AS source_ord, 'keep' AS kind FROM m WHERE channel <> 'sms' UNION ALL SELECT channel, 1, 'pool' FROM m WHERE channel = 'sms') GROUP BY ALL")
@@ -306,35 +312,55 @@ def a18_relabel_changes(spark, sf_dir):
 
 
 def gold_and_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Gold from the messages; predictions that differ in one field, do not parse, or are missing, by event_id."""
+    """Gold from the messages; predictions that differ in one field, by five or six minutes, do not parse, or are missing, by event_id."""
     rows = messages(spark, sf_dir).withColumn("scenario_id", F.col("event_id"))
     none = F.lit(None).cast(schemas.TIME)
-    record = lambda title, date, has: F.struct(has.alias("is_schedule"), title.alias("title"), date.alias("date"), clock().alias("time"), none.alias("end_time"), F.col("place").alias("location"), F.lit(None).cast("string").alias("description"))
-    gold = rows.select("scenario_id", "received_at", record(F.col("title"), F.col("date"), F.col("is_schedule")).alias("gold"))
+    record = lambda title, date, has, time: F.struct(has.alias("is_schedule"), title.alias("title"), date.alias("date"), time.alias("time"), none.alias("end_time"), F.col("place").alias("location"), F.lit(None).cast("string").alias("description"))
+    gold = rows.select("scenario_id", "received_at", record(F.col("title"), F.col("date"), F.col("is_schedule"), clock()).alias("gold"))
     k = F.col("event_id") % 10
-    pred = record(F.when(k == 1, F.lit(None).cast("string")).otherwise(F.col("title")), F.when(k == 2, F.lit(None).cast("string")).otherwise(F.col("date")), F.when(k == 3, ~F.col("is_schedule")).otherwise(F.col("is_schedule")))
+    minute = F.col("minute")
+    near, far = F.when(minute >= 5, minute - 5).otherwise(minute + 5), F.when(minute >= 6, minute - 6).otherwise(minute + 6)
+    other = F.when(F.col("has_time"), tokens.time_struct(F.col("hour"), F.when(k == 6, near).when(k == 7, far).otherwise(minute), F.col("marker")))
+    pred = record(F.when(k == 1, F.lit(None).cast("string")).otherwise(F.col("title")), F.when(k == 2, F.lit(None).cast("string")).otherwise(F.col("date")), F.when(k == 3, ~F.col("is_schedule")).otherwise(F.col("is_schedule")), other)
     output = F.when(k == 4, F.lit('{"is_schedule": tr')).otherwise(F.concat(F.lit("```json\n"), F.to_json(pred), F.lit("\n```")))
     return gold, rows.where(k != 5).select("scenario_id", output.alias("output"))
 
 
-PREDICTED = f"""{WHEN}, a AS (SELECT *, event_id % 10 AS v FROM s),
-b AS (SELECT *, CASE WHEN v = 2 THEN CASE WHEN has_time THEN strftime(recv, '%Y-%m-%d') || 'T' || on_time || ':00+09:00' END ELSE start END AS pred_start, v NOT IN (4, 5) AS json_valid, CASE WHEN v = 3 THEN NOT is_schedule ELSE is_schedule END AND v NOT IN (4, 5) AS pred_has,
-  CASE WHEN coalesce(title, '') = '' THEN 1.0 WHEN v = 1 THEN 0.0 WHEN trim(title) = '' THEN 0.0 ELSE 1.0 END AS title_f1 FROM a),
-tt AS (SELECT *, CASE WHEN has_time AND hour >= 24 THEN NULL ELSE start END AS gs, CASE WHEN has_time AND hour >= 24 THEN NULL ELSE pred_start END AS ps FROM b),
-e AS (SELECT *, CASE WHEN gs IS NULL AND ps IS NULL THEN 1.0 WHEN gs IS NULL OR ps IS NULL THEN 0.0 WHEN NOT has_time THEN CASE WHEN gs = ps THEN 1.0 ELSE 0.0 END WHEN gs = ps THEN 1.0 ELSE 0.0 END AS time_f1, json_valid AND pred_has = is_schedule AS status_match FROM tt)"""
-
-
-@query(
-    f"""{PREDICTED}, z AS (SELECT count(*) AS n, count(*) FILTER (json_valid) / count(*) AS json_valid_rate, count(*) FILTER (status_match) / count(*) AS is_schedule_acc, sum(CASE WHEN json_valid THEN title_f1 ELSE 0 END) / count(*) AS title_f1_avg, sum(CASE WHEN json_valid THEN 1.0 ELSE 0 END) / count(*) AS location_f1_avg,
-    count(*) FILTER (is_schedule) AS n_pos, count(*) FILTER (NOT is_schedule) AS n_neg, count(*) FILTER (json_valid AND is_schedule AND pred_has) / greatest(1, count(*) FILTER (is_schedule)) AS recall_pos, count(*) FILTER (json_valid AND NOT is_schedule AND NOT pred_has) / greatest(1, count(*) FILTER (NOT is_schedule)) AS specificity_neg,
-    count(*) FILTER (json_valid AND NOT is_schedule AND pred_has) AS overfire_count, count(*) FILTER (is_schedule AND NOT (json_valid AND pred_has)) AS missed_count, count(*) FILTER (json_valid AND is_schedule AND pred_has AND coalesce(title, '') <> '') AS tp_n FROM e)
-    SELECT n, round(json_valid_rate, 6) AS json_valid_rate, round(is_schedule_acc, 6) AS is_schedule_acc, round(title_f1_avg, 6) AS title_f1_avg, round(location_f1_avg, 6) AS location_f1_avg, n_pos, n_neg, round(recall_pos, 6) AS recall_pos, round(specificity_neg, 6) AS specificity_neg, overfire_count, missed_count, tp_n FROM z"""
-)
+PREDICTED = f"""{WHEN}, a AS (SELECT *, event_id % 10 AS v, CASE WHEN event_id % 10 = 6 THEN CASE WHEN minute >= 5 THEN minute - 5 ELSE minute + 5 END WHEN event_id % 10 = 7 THEN CASE WHEN minute >= 6 THEN minute - 6 ELSE minute + 6 END ELSE minute END AS said_minute FROM s),
+o AS (SELECT *, CASE WHEN v = 2 THEN CASE WHEN has_time THEN recv END ELSE on_day END AS said_day, {duck.resolve_time('hour', 'said_minute', 'marker', 'recv_minute')} AS said_time FROM a),
+b AS (SELECT *, CASE WHEN has_time THEN strftime(said_day, '%Y-%m-%d') || 'T' || said_time || ':00+09:00' ELSE strftime(said_day, '%Y-%m-%d') END AS pred_start, v NOT IN (4, 5) AS json_valid, CASE WHEN v = 3 THEN NOT is_schedule ELSE is_schedule END AND v NOT IN (4, 5) AS pred_has,
+  CASE WHEN coalesce(title, '') = '' THEN 1.0 WHEN v = 1 THEN 0.0 WHEN trim(title) = '' THEN 0.0 ELSE 1.0 END AS title_f1 FROM o),
+tt AS (SELECT *, CASE WHEN has_time AND substr(start, 12, 2) = '24' THEN NULL ELSE start END AS gs, CASE WHEN has_time AND substr(pred_start, 12, 2) = '24' THEN NULL ELSE pred_start END AS ps FROM b),
+e AS (SELECT *, CASE WHEN gs IS NULL AND ps IS NULL THEN 1.0 WHEN gs IS NULL OR ps IS NULL THEN 0.0 WHEN NOT has_time THEN CASE WHEN gs = ps THEN 1.0 ELSE 0.0 END WHEN left(gs, 14) = left(ps, 14) AND abs(CAST(substr(gs, 15, 2) AS INT) - CAST(substr(ps, 15, 2) AS INT)) <= 5 THEN 1.0 ELSE 0.0 END AS time_f1, json_valid AND pred_has = is_schedule AS status_match FROM tt)"""
+
+
+HIT_ROWS = "json_valid AND is_schedule AND pred_has AND coalesce(title, '') <> ''"
+METRICS = {
+    "n": "count(*)",
+    "n_pos": "count(*) FILTER (is_schedule)",
+    "n_neg": "count(*) FILTER (NOT is_schedule)",
+    "overfire_count": "count(*) FILTER (json_valid AND NOT is_schedule AND pred_has)",
+    "missed_count": "count(*) FILTER (is_schedule AND NOT (json_valid AND pred_has))",
+    "tp_n": f"count(*) FILTER ({HIT_ROWS})",
+    "json_valid_rate": "count(*) FILTER (json_valid) / count(*)",
+    "is_schedule_acc": "count(*) FILTER (status_match) / count(*)",
+    "title_f1_avg": "sum(CASE WHEN json_valid THEN title_f1 ELSE 0 END) / count(*)",
+    "time_match_rate": "sum(CASE WHEN json_valid THEN time_f1 ELSE 0 END) / count(*)",
+    "location_f1_avg": "sum(CASE WHEN json_valid THEN 1.0 ELSE 0 END) / count(*)",
+    "recall_pos": "count(*) FILTER (json_valid AND is_schedule AND pred_has) / greatest(1, count(*) FILTER (is_schedule))",
+    "specificity_neg": "count(*) FILTER (json_valid AND NOT is_schedule AND NOT pred_has) / greatest(1, count(*) FILTER (NOT is_schedule))",
+    "tp_title_avg": f"coalesce(sum(title_f1) FILTER ({HIT_ROWS}), 0) / greatest(1, count(*) FILTER ({HIT_ROWS}))",
+    "tp_time_acc": f"coalesce(sum(time_f1) FILTER ({HIT_ROWS}), 0) / greatest(1, count(*) FILTER ({HIT_ROWS}))",
+    "tp_loc_avg": f"count(*) FILTER ({HIT_ROWS}) / greatest(1, count(*) FILTER ({HIT_ROWS}))",
+}
+COUNTS = ("n", "n_pos", "n_neg", "overfire_count", "missed_count", "tp_n")
+FINAL = "0.25 * json_valid_rate + 0.30 * is_schedule_acc + 0.45 * (title_f1_avg + time_match_rate + location_f1_avg) / 3"
+
+
+@query(f"{PREDICTED}, z AS (SELECT {', '.join(f'{e} AS {c}' for c, e in METRICS.items())} FROM e) SELECT {', '.join(c if c in COUNTS else f'round({c}, 6) AS {c}' for c in METRICS)}, round({FINAL}, 6) AS final_score FROM z")
 def a6_a7_a8_metrics(spark, sf_dir):
     out = evaluate.metrics(evaluate.score(*gold_and_predictions(spark, sf_dir)))
-    whole = ("n", "n_pos", "n_neg", "overfire_count", "missed_count", "tp_n")
-    shares = ("json_valid_rate", "is_schedule_acc", "title_f1_avg", "location_f1_avg", "recall_pos", "specificity_neg")
-    return out.select(*whole, *(F.round(c, 6).alias(c) for c in shares))
+    return out.select(*COUNTS, *(F.round(c, 6).alias(c) for c in [*METRICS, "final_score"] if c not in COUNTS))
 
 
 @query(f"{PREDICTED} SELECT event_id AS scenario_id, json_valid, status_match, CASE WHEN json_valid THEN title_f1 END AS title_f1, CASE WHEN json_valid THEN time_f1 END AS time_f1 FROM e")
@@ -393,14 +419,22 @@ def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "message", F.when(F.col("k") % 13 == 0, "bad").otherwise(F.col("received_at")).alias("received_at"), kind.alias("feedback"), F.when(F.col("k") % 11 == 0, "{").otherwise(gold).alias("gold"))
 
 
-@query(f"{M} SELECT event_id, CASE WHEN k % 11 = 0 THEN 'bad_gold' WHEN k % 13 = 0 AND k % 4 = 0 AND is_schedule THEN 'bad_received_at' END AS skip_reason FROM m")
+FED = f"""{TOLD_DATES}, s AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'bad_gold' WHEN k % 13 = 0 AND k % 4 = 0 AND is_schedule THEN 'bad_received_at' END AS skip_reason FROM told),
+b AS (SELECT *, k % 4 = 0 AND is_schedule AND skip_reason IS NULL AS edited FROM s)"""
+
+
+@query(f"{FED} SELECT event_id, skip_reason, CASE WHEN edited THEN method ELSE '' END AS methods, edited AND method IN ('canonical', 'absolute-kept') AS review, CASE WHEN edited THEN token WHEN skip_reason IS NULL THEN strftime(target, '%Y-%m-%d') END AS date, CASE WHEN skip_reason IS NULL THEN title END AS title FROM b")
 def d38_feedback_pairs(spark, sf_dir):
-    return feedback.feedback_pairs(feedback_rows(spark, sf_dir)).select("event_id", "skip_reason")
+    e = F.try_element_at("gold.events", F.lit(1))
+    return feedback.feedback_pairs(feedback_rows(spark, sf_dir)).select("event_id", "skip_reason", F.array_join("methods", ",").alias("methods"), "review", e["date"].alias("date"), e["title"].alias("title"))
 
 
-@query(f"{M}, s AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'bad_gold' WHEN k % 13 = 0 AND k % 4 = 0 AND is_schedule THEN 'bad_received_at' END AS skip FROM m) SELECT CASE WHEN skip IS NULL THEN 'feedback' ELSE 'skipped' END AS section, coalesce(skip, list_extract(['EDITED', 'ADDED', 'DISMISSED', 'AUTO_ADDED'], k % 4 + 1)) AS name, count(*) AS rows FROM s GROUP BY ALL")
+@query(
+    f"""{FED}, r AS (SELECT 'feedback' AS section, list_extract([{duck.quoted(FEEDBACK)}], k % 4 + 1) AS name FROM b WHERE skip_reason IS NULL UNION ALL SELECT 'method', method FROM b WHERE edited UNION ALL SELECT 'skipped', skip_reason FROM b WHERE skip_reason IS NOT NULL)
+    SELECT section, name, count(*) AS rows FROM r GROUP BY ALL"""
+)
 def a13_feedback_report(spark, sf_dir):
-    return feedback.feedback_report(feedback.feedback_pairs(feedback_rows(spark, sf_dir))).where("section <> 'method'")
+    return feedback.feedback_report(feedback.feedback_pairs(feedback_rows(spark, sf_dir)))
 
 
 @query(f"""{M} SELECT event_id, CASE k % 4 WHEN 0 THEN '{{"has_schedule":true}}' WHEN 1 THEN '{{"schedule_status":"no","events":[]}}' WHEN 2 THEN '{{"has_schedule":true,"events":[]}}' END AS gold FROM m""")
@@ -442,48 +476,82 @@ def a14_by_prefix(spark, sf_dir):
     return validate.successes_by_prefix(converted(spark, sf_dir))
 
 
-def as_many(spark: SparkSession, sf_dir: str) -> int:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").count()
-
-
-@query("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS wrong FROM events")
-def g3_weekend_samples(spark, sf_dir):
-    rows = generate.weekend_samples(spark, as_many(spark, sf_dir))
-    return rows.agg(F.count("*").alias("rows"), F.count_if(~tokens.resolve_date(tokens.received_date(F.col("received_at")), F.col("date")).eqNullSafe(F.col("intended"))).alias("wrong"))
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as rows to generate from."""
+    return messages(spark, sf_dir).select(F.col("event_id").alias("i"), "received_at", "channel", "sender")
 
 
 def drawn(n: int, salt: str) -> str:
     return f"CAST(CAST('0x' || substr(md5((event_id) || '|{salt}|0'), 1, 8) AS BIGINT) % {n} AS INT)"
 
 
-@query(f"SELECT CASE WHEN r < 45 THEN 'question' WHEN r < 75 THEN 'cancel' WHEN r < 90 THEN 'past' ELSE 'vague' END AS kind, count(*) AS rows FROM (SELECT {drawn(100, 'kind')} AS r FROM events) GROUP BY kind")
+def listed(values: tuple, salt: str) -> str:
+    return f"list_extract([{duck.quoted(values)}], {drawn(len(values), salt)} + 1)"
+
+
+WEEKDAY = "CAST(isodow({0}) - 1 AS INT)"
+LETTER = f"substr('{fixed.WEEKDAYS}', {{0}} + 1, 1)"
+#: Whom a made row is from: the sender if a person, else a drawn name; and the particle behind the name.
+WHO = f"CASE WHEN {PERSONAL} THEN {NAME} ELSE {listed(generate.PEOPLE, 'who')} END"
+PARTICLE = "CASE WHEN (ord(right(who, 1)) - 44032) % 28 <> 0 THEN '과' ELSE '와' END"
+
+
+@query(
+    f"""{M}, g AS (SELECT *, {listed(tuple(fixed.DAY_WORDS), 'word')} AS tok, {drawn(4, 'word')} AS ahead, {listed(generate.ACTIVITIES, 'what')} AS what, 9 + {drawn(10, 'at')} AS clock_hour FROM m), t AS (SELECT *, recv + ahead AS intended FROM g)
+    SELECT 'weekend_' || event_id AS scenario_id, channel, received_at, tok || ' ' || clock_hour || '시 ' || what AS message, what AS title, tok AS date, clock_hour AS hour, intended,
+    ({WEEKDAY.format('recv')} < 5 AND {WEEKDAY.format('intended')} >= 5) OR {WEEKDAY.format('intended')} < {WEEKDAY.format('recv')} AS crosses_weekend FROM t"""
+)
+def g3_weekend_samples(spark, sf_dir):
+    rows = generate.weekend_samples(seeds(spark, sf_dir))
+    return rows.select("scenario_id", "channel", "received_at", "message", "title", "date", "time.hour", "intended", "crosses_weekend")
+
+
+@query(
+    f"""{M}, g AS (SELECT *, {drawn(100, 'kind')} AS roll FROM m), c AS (SELECT *, CASE WHEN roll < 45 THEN 'question' WHEN roll < 75 THEN 'cancel' WHEN roll < 90 THEN 'past' ELSE 'vague' END AS kind FROM g)
+    SELECT 'negative_' || event_id AS scenario_id, channel, received_at, kind, CASE kind {' '.join(f"WHEN '{k}' THEN {listed(texts, 'text')}" for k, _, texts in generate.NEGATIVES)} END AS message, false AS is_schedule FROM c"""
+)
 def g4_negative_samples(spark, sf_dir):
-    return generate.negative_samples(spark, as_many(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("rows"))
+    return generate.negative_samples(seeds(spark, sf_dir))
 
 
-@query(f"SELECT list_extract(['simple', 'time change', 'place change', 'date change', 'build-up', 'unconfirmed'], {drawn(6, 'shape')} + 1) AS shape, count(*) AS rows, CAST(0 AS BIGINT) AS wrong FROM events GROUP BY shape")
+@query(
+    f"""{M}, g AS (SELECT event_id, recv, received_at, {WHO} AS who, {listed(generate.SHAPES, 'shape')} AS shape, {listed(generate.ACTIVITIES, 'what')} AS what, {listed(generate.NEAR_DATES, 'date')} AS near, {listed(generate.LATER_DATES, 'new date')} AS later, 9 + {drawn(4, 'hour')} AS clock_hour, {listed(generate.MEETING_PLACES, 'place')} AS at_place FROM m),
+    t AS (SELECT *, CASE WHEN shape = 'date change' THEN later ELSE near END AS tok FROM g),
+    d AS (SELECT *, CAST({duck.resolve_date('recv', 'tok')} AS DATE) AS day FROM t)
+    SELECT 'thread_' || event_id AS scenario_id, shape, near || ' ' || clock_hour || '시 ' || at_place || '에서 ' || what || ' 어때요?' AS asked, CASE shape WHEN 'time change' THEN (clock_hour + 2) || '시로 바꿀까요?' WHEN 'place change' THEN '{generate.OTHER_PLACE}에서 볼까요?' WHEN 'date change' THEN later || '로 미룰까요?' WHEN 'build-up' THEN '좋아요, 자료도 가져갈게요.' END AS answered,
+    CASE WHEN shape <> 'unconfirmed' THEN who || {PARTICLE} || ' ' || what END AS title, CASE WHEN shape <> 'unconfirmed' THEN tok END AS date, CASE WHEN shape <> 'unconfirmed' THEN clock_hour + CASE WHEN shape = 'time change' THEN 2 ELSE 0 END END AS hour,
+    CASE WHEN shape = 'place change' THEN '{generate.OTHER_PLACE}' WHEN shape <> 'unconfirmed' THEN at_place END AS location, CASE WHEN shape <> 'unconfirmed' THEN day END AS intended FROM d"""
+)
 def g5_thread_samples(spark, sf_dir):
-    rows = generate.thread_samples(spark, as_many(spark, sf_dir))
-    wrong = F.col("is_schedule") & ~tokens.resolve_date(tokens.received_date(F.col("received_at")), F.col("date")).eqNullSafe(F.col("intended"))
-    return rows.groupBy("shape").agg(F.count("*").alias("rows"), F.count_if(wrong).alias("wrong"))
+    rows = generate.thread_samples(seeds(spark, sf_dir))
+    said = lambda k: F.try_element_at("thread_context", F.lit(k))["message"]
+    return rows.select("scenario_id", "shape", said(1).alias("asked"), said(2).alias("answered"), "title", "date", "time.hour", "location", "intended")
+
+
+CLOCK = "printf('%02d:%02d', CAST((recv_minute + {0} + 1440) % 1440 // 60 AS INT), CAST((recv_minute + {0} + 1440) % 60 AS INT))"
+CONFIRMED = f"""{M}, g AS (SELECT event_id, recv, recv_minute, received_at, {WHO} AS who, {drawn(7, 'weekday')} AS wd, {drawn(2, 'other')} AS other, {listed(generate.ACTIVITIES, 'what')} AS what FROM m),
+    c AS (SELECT *, {LETTER.format('wd')} AS letter, CASE WHEN wd >= {WEEKDAY.format('recv')} THEN '이번주' ELSE '다음주' END || {LETTER.format('wd')} AS date, recv + CAST((wd - {WEEKDAY.format('recv')} + 7) % 7 AS INT) AS intended FROM g)"""
 
 
-@query(f"SELECT {drawn(7, 'weekday')} AS weekday, count(*) AS rows, CAST(0 AS BIGINT) AS wrong FROM events GROUP BY weekday")
+@query(
+    f"""{CONFIRMED} SELECT 'confirm_' || event_id AS scenario_id, received_at, {CLOCK.format(-20)} || ' ' || letter || '요일에 ' || what || ' 괜찮으세요?' AS asked, {CLOCK.format(-5)} || ' ' || who AS answered,
+    CASE WHEN other = 1 THEN month(recv - 20) || '/' || day(recv - 20) || ' 회의록 잘 받았어요. ' ELSE '' END || letter || '요일 좋아요!' AS message, what AS title, date, intended FROM c"""
+)
 def g6_confirm_samples(spark, sf_dir):
-    rows = generate.confirm_samples(spark, as_many(spark, sf_dir)).withColumn("weekday", F.weekday("intended"))
-    wrong = ~tokens.resolve_date(tokens.received_date(F.col("received_at")), F.col("date")).eqNullSafe(F.col("intended"))
-    return rows.groupBy("weekday").agg(F.count("*").alias("rows"), F.count_if(wrong).alias("wrong"))
+    rows = generate.confirm_samples(seeds(spark, sf_dir))
+    turn = lambda k: F.element_at("thread_context", k)
+    return rows.select("scenario_id", "received_at", F.concat_ws(" ", turn(1)["time"], turn(1)["message"]).alias("asked"), F.concat_ws(" ", turn(2)["time"], turn(2)["sender"]).alias("answered"), "message", "title", "date", "intended")
 
 
-@query("SELECT 'ad_' || lpad(event_id::VARCHAR, 3, '0') AS scenario_id, strftime(DATE '2026-06-01' + CAST(event_id % 6 AS INT), '%Y-%m-%d') || printf('T%02d:%02d:00+09:00', CAST(8 + event_id % 12 AS INT), CAST(event_id * 7 % 60 AS INT)) AS received_at FROM events WHERE event_id < 1000")
-def g7_seed_records(spark, sf_dir):
-    """The rows of its SQL, ids of up to three digits; g7_seed_records_all has all."""
-    return seed_records(messages(spark, sf_dir).where("event_id < 1000")).select("scenario_id", "received_at")
+@query(f"{CONFIRMED} SELECT 'confirm_' || event_id AS scenario_id, date, intended FROM c")
+def g9_resolved_samples(spark, sf_dir):
+    """The generated rows behind the gate that lets them through only if every token resolves."""
+    return validate.require_resolved(generate.confirm_samples(seeds(spark, sf_dir))).select("scenario_id", "date", "intended")
 
 
-@query()
-def g7_seed_records_all(spark, sf_dir):
-    return seed_records(messages(spark, sf_dir))
+@query("SELECT 'ad_' || lpad(event_id::VARCHAR, CAST(greatest(3, length(event_id::VARCHAR)) AS INT), '0') AS scenario_id, strftime(DATE '2026-06-01' + CAST(event_id % 6 AS INT), '%Y-%m-%d') || printf('T%02d:%02d:00+09:00', CAST(8 + event_id % 12 AS INT), CAST(event_id * 7 % 60 AS INT)) AS received_at FROM events")
+def g7_seed_records(spark, sf_dir):
+    return seed_records(messages(spark, sf_dir)).select("scenario_id", "received_at")
 
 
 def seed_records(rows: DataFrame) -> DataFrame:
@@ -496,7 +564,3 @@ def g8_generated_rows(spark, sf_dir):
     rows = messages(spark, sf_dir).select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("scenario_id"), text_column.alias("text"))
     out = io.generated_rows(rows)
     return out.groupBy(F.col("message").cast("long").alias("event_id"), "scenario_id").agg(F.count("*").alias("rows"))
-
-
-def body_words(column: str) -> Column:
-    return text.normal(F.col(column))

@@ -46,11 +46,12 @@ w AS (SELECT *, CASE WHEN found IS NULL AND date IS NULL AND has_time THEN recv
 s AS (SELECT *, CASE WHEN has_time THEN strftime(on_day, '%Y-%m-%d') || 'T' || on_time || ':00+09:00' ELSE strftime(on_day, '%Y-%m-%d') END AS start, NOT has_time AS all_day FROM w)"""
 
 
-@query(f"{WHEN} SELECT event_id, start, all_day FROM s")
+@query(f"{WHEN} SELECT event_id, start, CASE WHEN has_time AND k % 2 = 0 THEN strftime(on_day, '%Y-%m-%d') || printf('T18:%02d:00+09:00', minute) END AS \"end\", all_day FROM s")
 def d3_resolve_when(spark, sf_dir):
-    none = F.lit(None).cast("struct<hour:int,minute:int,marker:string>")
-    when = tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), none)
-    return messages(spark, sf_dir).select("event_id", when.alias("w")).select("event_id", "w.start", "w.all_day")
+    """An end at six in the evening for even k."""
+    end = F.when(F.col("k") % 2 == 0, tokens.time_struct(F.lit(6), F.col("minute"), F.lit("저녁")))
+    when = tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), end)
+    return messages(spark, sf_dir).select("event_id", when.alias("w")).select("event_id", "w.start", "w.end", "w.all_day")
 
 
 @query(f"{M} SELECT event_id, received_at || ' (' || substr('{fixed.WEEKDAYS}', CAST(isodow(recv) AS INT), 1) || ')' AS shown FROM m")
@@ -69,30 +70,31 @@ def d5_user_block(spark, sf_dir):
     return threads.select("conv_id", text.user_block(F.lit("chat"), F.lit("2026-06-15T10:00:00+09:00"), F.lit("user"), F.col("first"), F.col("thread")).alias("block"))
 
 
-@query(
-    f"""{M}, t AS (SELECT *, {duck.clean('date')} AS tok FROM m), d AS (SELECT *, CAST({duck.resolve_date('recv', 'tok')} AS DATE) AS target FROM t),
-    c AS (SELECT event_id, recv, target, body, u.p AS p, u.c AS c FROM d, LATERAL (SELECT unnest(range(1, 8)) AS p, unnest([
-      CASE target - recv WHEN 0 THEN '오늘' WHEN 1 THEN '내일' WHEN 2 THEN '모레' WHEN 3 THEN '글피' END, day(target) || '일',
-      '이번주' || substr('{fixed.WEEKDAYS}', CAST(isodow(target) AS INT), 1), '다음주' || substr('{fixed.WEEKDAYS}', CAST(isodow(target) AS INT), 1), '다다음주' || substr('{fixed.WEEKDAYS}', CAST(isodow(target) AS INT), 1), '이번주말', '다음주말']) AS c) u
-      WHERE target IS NOT NULL AND target - recv < 7),
-    v AS (SELECT *, CAST({duck.resolve_date('recv', 'c')} AS DATE) = target AS fits, strpos(replace(body, ' ', ''), c) > 0 AS said FROM c WHERE c IS NOT NULL)
-    SELECT d.event_id, coalesce(arg_min(v.c, v.p) FILTER (v.fits AND v.said), arg_min(v.c, v.p) FILTER (v.fits), CASE WHEN d.target - d.recv >= 1 THEN (d.target - d.recv) || '일후' ELSE strftime(d.target, '%Y-%m-%d') END) AS token
-    FROM d LEFT JOIN v ON d.event_id = v.event_id WHERE d.target IS NOT NULL AND d.target - d.recv < 7 GROUP BY d.event_id, d.target, d.recv"""
-)
-def d6_relativize(spark, sf_dir):
-    """The rows of its SQL: absolute dates less than a week ahead, or past, as tokens; d6_relativize_all has all."""
-    return told_dates(messages(spark, sf_dir)).where(F.datediff("target", "recv") < 7).select("event_id", F.col("told.value").alias("token"))
+def _guess(days: float, unit: str, step: int, least: int) -> str:
+    n = f"CAST(round(ahead / {days}) AS INT) + ({step})"
+    return f"CASE WHEN ahead >= {least} AND {n} >= 1 THEN ({n}) || '{unit}' END"
 
 
-def told_dates(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("target", tokens.resolve_date(F.col("recv"), F.col("date")))
-    return rows.withColumn("told", tokens.relativize_date(F.col("recv"), F.col("target").cast("string"), F.col("body")))
+LETTER = f"substr('{fixed.WEEKDAYS}', CAST(isodow(target) AS INT), 1)"
+GUESSES = [
+    "CASE ahead " + " ".join(f"WHEN {n} THEN '{w}'" for w, n in fixed.DAY_WORDS.items()) + " END", "day(target) || '일'",
+    *(f"'{w}' || {LETTER}" for w in fixed.WEEK_WORDS), *(f"'{w}'" for w in fixed.WEEKEND_WORDS), "CASE WHEN ahead >= 7 AND ahead % 7 = 0 THEN (ahead // 7) || '주후' END",
+    *(_guess(30.0, "개월후", k, 28) for k in (-1, 0, 1)), *(_guess(365.0, "년후", k, 365) for k in (0, 1)), "CASE WHEN ahead >= 1 THEN ahead || '일후' END",
+]
+#: Token and method of every message's date, as ``told``.
+TOLD_DATES = f"""{M}, t AS (SELECT *, {duck.clean('date')} AS tok FROM m), d AS (SELECT *, CAST({duck.resolve_date('recv', 'tok')} AS DATE) AS target, date_diff('day', recv, target) AS ahead FROM t),
+    c AS (SELECT event_id, recv, target, body, u.p AS p, u.c AS c FROM d, LATERAL (SELECT unnest(range(1, {len(GUESSES) + 1})) AS p, unnest([{', '.join(GUESSES)}]) AS c) u WHERE target IS NOT NULL),
+    v AS (SELECT event_id, p, c, strpos(replace(body, ' ', ''), c) > 0 AS said FROM c WHERE c IS NOT NULL AND CAST({duck.resolve_date('recv', 'c')} AS DATE) = target),
+    f AS (SELECT event_id, arg_min(c, p) FILTER (said) AS in_message, arg_min(c, p) AS first_fit FROM v GROUP BY event_id),
+    told AS (SELECT d.*, coalesce(in_message, first_fit, strftime(target, '%Y-%m-%d')) AS token, CASE WHEN target IS NULL THEN 'passthrough' WHEN in_message IS NOT NULL THEN 'message-match' WHEN first_fit IS NOT NULL THEN 'canonical' ELSE 'absolute-kept' END AS method FROM d LEFT JOIN f ON d.event_id = f.event_id)"""
 
 
-@query()
-def d6_relativize_all(spark, sf_dir):
+@query(f"{TOLD_DATES} SELECT event_id, token, method FROM told")
+def d6_relativize(spark, sf_dir):
     """The absolute dates of all messages, however far ahead, as tokens with the way they were found."""
-    return told_dates(messages(spark, sf_dir)).select("event_id", F.col("told.value").alias("token"), F.col("told.method").alias("method"))
+    rows = messages(spark, sf_dir).withColumn("target", tokens.resolve_date(F.col("recv"), F.col("date")))
+    told = tokens.relativize_date(F.col("recv"), F.col("target").cast("string"), F.col("body"))
+    return rows.select("event_id", told.alias("told")).select("event_id", F.col("told.value").alias("token"), F.col("told.method").alias("method"))
 
 
 def _first(pattern: str, build: str) -> str:
@@ -144,27 +146,21 @@ ONLINE = " OR ".join(f"strpos(lower(trim(place)), '{k}') > 0" for k in fixed.ONL
 
 
 @query(
-    f"""{WHEN}, e AS (SELECT *, nullif(trim(place), '') AS at_place, CASE WHEN regexp_matches(start, '^[0-9]{{4}}') THEN start END AS ok FROM s WHERE hour < 24 OR NOT has_time)
-    SELECT event_id, CASE WHEN at_place IS NOT NULL AND NOT ({ONLINE}) THEN place END AS location, CASE WHEN at_place IS NOT NULL THEN '장소: ' || at_place END AS description,
-    CASE WHEN all_day THEN CAST(epoch_ms(CAST(on_day AS TIMESTAMP)) AS BIGINT) ELSE CAST(epoch_ms(CAST(on_day AS TIMESTAMP)) + (CAST(substr(start, 12, 2) AS BIGINT) * 60 + CAST(substr(start, 15, 2) AS BIGINT) - 540) * 60000 AS BIGINT) END AS start_millis
-    FROM e WHERE start IS NOT NULL"""
+    f"""{WHEN}, e AS (SELECT *, nullif(trim(place), '') AS at_place, start IS NOT NULL AND (all_day OR substr(start, 12, 2) <> '24') AS ok, CAST(epoch_ms(CAST(on_day AS TIMESTAMP)) AS BIGINT) AS midnight FROM s),
+    c AS (SELECT *, CASE WHEN all_day THEN midnight WHEN ok THEN CAST(midnight + (CAST(substr(start, 12, 2) AS BIGINT) * 60 + CAST(substr(start, 15, 2) AS BIGINT) - 540) * 60000 AS BIGINT) END AS millis FROM e)
+    SELECT event_id, CASE WHEN ok AND at_place IS NOT NULL AND NOT ({ONLINE}) THEN place END AS location, CASE WHEN ok AND at_place IS NOT NULL THEN '{fixed.PLACE_LINE}' || at_place END AS description,
+    CASE WHEN ok AND all_day AND recurs THEN millis - 32400000 WHEN ok THEN millis END AS start_millis, CASE WHEN ok AND NOT recurs THEN CASE WHEN all_day THEN millis + 86400000 WHEN k % 2 = 0 THEN millis + 3600000 ELSE millis END END AS end_millis,
+    CASE WHEN ok AND recurs THEN 'PT1H' END AS duration, ok AND all_day AND NOT recurs AS all_day FROM (SELECT *, k % 10 = 7 AS recurs FROM c)"""
 )
 def d11_calendar_row(spark, sf_dir):
-    """The rows of its SQL, which has no hour 24; d11_calendar_row_all has all."""
-    return calendar_rows(messages(spark, sf_dir).where(~F.col("has_time") | (F.col("hour") < 24))).where("r IS NOT NULL").select("event_id", "r.location", "r.description", "r.start_millis")
-
-
-@query()
-def d11_calendar_row_all(spark, sf_dir):
-    """All messages; without a readable start, as of a bare hour 24, the fields are null."""
-    return calendar_rows(messages(spark, sf_dir)).select("event_id", "r.location", "r.description", "r.start_millis")
+    """All messages; no end for even k, a recurring event for k that end in 7; without a readable start, as of a bare hour 24, the fields are null."""
+    return calendar_rows(messages(spark, sf_dir)).select("event_id", *(f"r.{c}" for c in ("location", "description", "start_millis", "end_millis", "duration")), F.coalesce("r.all_day", F.lit(False)).alias("all_day"))
 
 
 def calendar_rows(rows: DataFrame) -> DataFrame:
-    when = tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), clock().cast("struct<hour:int,minute:int,marker:string>"))
-    rows = rows.withColumn("w", when)
+    rows = rows.withColumn("w", tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), F.when(F.col("k") % 2 == 1, clock())))
     event = F.struct(F.col("title"), F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.all_day").alias("all_day"), F.col("place").alias("location"), F.lit(None).cast("string").alias("description"))
-    row = events.calendar_row(event, F.array().cast("array<string>"), F.lit(None).cast("string"))
+    row = events.calendar_row(event, F.array().cast("array<string>"), F.when(F.col("k") % 10 == 7, "weekly"))
     return rows.select("event_id", row.alias("r"))
 
 
@@ -202,7 +198,10 @@ def d19_links(spark, sf_dir):
     return messages(spark, sf_dir).select("event_id", F.array_join(F.transform(text.links(F.col("body")), lambda x: F.concat_ws("=", x["label"], x["url"])), " ").alias("links"))
 
 
-@query(f"""{M}, l AS (SELECT event_id, list_filter(list_transform(regexp_extract_all(body, '[0-9]{{1,2}} *[.)] *([가-힣]{{2,5}}|[A-Za-z][A-Za-z ]{{1,14}})', 1), lambda x: trim(x)), lambda x: x NOT IN ({duck.quoted(fixed.ROSTER_STOP)}) AND x <> '') AS names FROM m) SELECT event_id, coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS roster FROM l""")
+ROSTER = f"list_filter(list_transform(regexp_extract_all(body, '[0-9]{{1,2}} *[.)] *([가-힣]{{2,5}}|[A-Za-z][A-Za-z ]{{1,14}})', 1), lambda x: trim(x)), lambda x: x NOT IN ({duck.quoted(fixed.ROSTER_STOP)}) AND x <> '')"
+
+
+@query(f"""{M}, l AS (SELECT event_id, {ROSTER} AS names FROM m) SELECT event_id, coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS roster FROM l""")
 def d20_roster(spark, sf_dir):
     return messages(spark, sf_dir).select("event_id", F.array_join(text.roster(F.col("body")), ",").alias("roster"))
 
@@ -225,9 +224,15 @@ def d22_clean_from(spark, sf_dir):
     return MAIL.spark(spark, sf_dir).select("page_id", text.clean_from(header).alias("shown"))
 
 
-@query(f"{M} SELECT event_id, regexp_full_match({NAME}, '[가-힣]{{2,4}}') AND NOT regexp_matches({NAME}, '(?i){fixed.ORGANISATION}') AS personal FROM m")
+PERSONAL = f"((regexp_full_match({NAME}, '[가-힣]{{2,4}}') OR (regexp_full_match({NAME}, '[A-Za-z]+([ \\t][A-Za-z]+){{0,2}}') AND length({NAME}) BETWEEN 2 AND 20)) AND NOT regexp_matches({NAME}, '(?i){fixed.ORGANISATION}'))"
+
+
+@query(f"{M}, b AS (SELECT event_id, sender FROM m UNION ALL SELECT -1 - event_id, 'Sender ' || event_type FROM m) SELECT event_id, {PERSONAL} AS personal FROM b")
 def d24_personal_name(spark, sf_dir):
-    return messages(spark, sf_dir).select("event_id", text.is_personal_name(F.col("sender")).alias("personal"))
+    """The senders, and names in Latin letters made of the kinds of events."""
+    rows = messages(spark, sf_dir)
+    latin = rows.select((-1 - F.col("event_id")).alias("event_id"), F.concat(F.lit("Sender "), "event_type").alias("sender"))
+    return rows.select("event_id", "sender").union(latin).select("event_id", text.is_personal_name(F.col("sender")).alias("personal"))
 
 
 @query(f"{M}, n AS (SELECT event_id, lower(regexp_replace(coalesce(place, ''), '[ \\t\\n]+', '', 'g')) AS p, lower(regexp_replace(body, '[ \\t\\n]+', '', 'g')) AS b FROM m) SELECT event_id, p AS place, p <> '' AND (strpos(b, p) > 0 OR (({' OR '.join(f"strpos(p, '{k}') > 0 OR strpos('{k}', p) > 0" for k in fixed.ONLINE_TOOLS)}) AND ({' OR '.join(f"strpos(b, '{k}') > 0" for k in fixed.ONLINE_TOOLS)}))) AS grounded FROM n")
@@ -380,14 +385,19 @@ def s7_mail_text(spark, sf_dir):
     return io.mail_text(rows).select("mail_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query(f"{M} SELECT event_id, is_schedule, nullif(title, '') AS title, '참석자: ' || sender AS description FROM m")
+@query(
+    f"""{M} SELECT event_id, is_schedule, nullif(title, '') AS title, CASE WHEN k % 3 = 0 THEN 'd' ELSE nullif(date, '') END AS date, CASE WHEN has_time THEN hour END AS hour, CASE WHEN has_time THEN marker END AS marker, CASE WHEN k % 3 > 0 AND has_time THEN minute END AS end_minute,
+    nullif(place, '') AS location, '{fixed.ATTENDEES_LINE}' || sender || CASE WHEN k % 3 = 1 THEN chr(10) || '{fixed.ORGANIZER_LINE}' || sender ELSE '' END AS description FROM m"""
+)
 def s8_normal_gold(spark, sf_dir):
-    """Gold in its three generations, by k."""
-    e = F.struct(F.col("title"), F.array("sender").alias("attendees"))
+    """Gold in its three generations, by k; the second has an organiser, the older two an end."""
     k = F.col("k") % 3
+    common = (F.col("title"), clock().alias("time"), F.col("place").alias("location"), F.array("sender").alias("attendees"))
+    e = F.struct(*common, F.col("date"), clock().alias("end_time"), F.when(k == 1, F.col("sender")).alias("organizer"))
     status = F.when(F.col("is_schedule"), "yes").otherwise("pending")
-    raw = F.when(k == 0, F.to_json(F.struct(F.col("is_schedule"), F.col("title"), F.lit("d").alias("date"), F.array("sender").alias("attendees")))).when(k == 1, F.to_json(F.struct(status.alias("schedule_status"), F.array(e).alias("events")))).otherwise(F.to_json(F.struct(F.col("is_schedule").alias("has_schedule"), F.array(e).alias("events"))))
-    return messages(spark, sf_dir).select("event_id", io.normal_gold(raw).alias("g")).select("event_id", "g.is_schedule", "g.title", "g.description")
+    raw = F.when(k == 0, F.to_json(F.struct(F.col("is_schedule"), *common, F.lit("d").alias("date")))).when(k == 1, F.to_json(F.struct(status.alias("schedule_status"), F.array(e).alias("events")))).otherwise(F.to_json(F.struct(F.col("is_schedule").alias("has_schedule"), F.array(e).alias("events"))))
+    rows = messages(spark, sf_dir).select("event_id", io.normal_gold(raw).alias("g"))
+    return rows.select("event_id", "g.is_schedule", "g.title", "g.date", "g.time.hour", "g.time.marker", F.col("g.end_time.minute").alias("end_minute"), "g.location", "g.description")
 
 
 @query(f"{M} SELECT event_id, md5('<|im_start|>system' || chr(10) || 'S' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || body || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '{{}}' || '<|im_end|>' || chr(10)) AS text_md5, true AS aligned FROM m")
@@ -443,14 +453,11 @@ def w4_merge_events(spark, sf_dir):
     return events.merge_events(keyed_events(spark, sf_dir), owner=("user_id",))
 
 
-@query(f"{M} SELECT event_id, coalesce(array_to_string(list_sort(list_distinct(list_filter([sender, CASE WHEN k % 16 = 4 THEN '민수진' END], lambda x: x IS NOT NULL))), ','), '') AS attendees FROM m WHERE k % 16 <> 13 AND k % 16 <> 4")
+@query(
+    f"""{M}, l AS (SELECT *, {ROSTER} AS names FROM m), n AS (SELECT *, {TAG} AS tag, {TITLE} AS base FROM l)
+    SELECT event_id, array_to_string(list_sort(list_distinct(list_concat([sender], names))), ',') AS attendees, CASE WHEN len(names) > 0 AND trim(coalesce(title, '')) <> '' THEN {TITLED} ELSE title END AS title FROM n"""
+)
 def u3_attendee_union(spark, sf_dir):
-    rows = messages(spark, sf_dir).where("k % 16 <> 13 AND k % 16 <> 4").withColumns({"attendees": F.array("sender"), "base_title": F.col("title"), "message": F.col("body")})
-    return events.with_roster_title(rows).select("event_id", F.array_join(F.array_sort("attendees"), ",").alias("attendees"))
-
-
-@query()
-def u3_roster_union(spark, sf_dir):
     """The whole of U3 and W4's first step: all messages, those with a roster too, and their titles."""
     rows = messages(spark, sf_dir).withColumns({"attendees": F.array("sender"), "base_title": F.coalesce("title", F.lit("")), "message": F.col("body")})
-    return events.with_roster_title(rows).select("event_id", "attendees", "title")
+    return events.with_roster_title(rows).select("event_id", F.array_join(F.array_sort("attendees"), ",").alias("attendees"), "title")

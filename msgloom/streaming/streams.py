@@ -45,8 +45,12 @@ def buffer_step(rows: list[dict], kept: list[dict], seconds: int = fixed.REPEAT_
     return out
 
 
-def with_context(stream: DataFrame) -> DataFrame:
-    """Messages without repeats, each with its context as JSON; columns as in BUFFERED."""
+def with_context(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Messages without repeats, each with its context as JSON; columns as in BUFFERED.
+
+    Messages later than ``delay`` behind the newest are dropped; a conversation's buffer goes
+    when none of its messages can be context any more.
+    """
     names = [c.split()[0] for c in BUFFERED.split(", ")]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,10 +61,11 @@ def with_context(stream: DataFrame) -> DataFrame:
         rows = pd.concat(batches).sort_values(["seconds", "seq"])
         out = buffer_step(rows[names].to_dict("records"), kept)
         state.update((json.dumps(kept, ensure_ascii=False),))
-        state.setTimeoutDuration(fixed.CONTEXT_MINUTES * 60_000)
+        state.setTimeoutTimestamp(1000 * (kept[-1]["seconds"] + 60 * fixed.CONTEXT_MINUTES) + 1)
         yield pd.DataFrame(out, columns=[*names, "context"])
 
-    return stream.select(*names).groupBy("conversation").applyInPandasWithState(step, f"{BUFFERED}, context string", "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.select(*names, F.timestamp_seconds("seconds").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("conversation").applyInPandasWithState(step, f"{BUFFERED}, context string", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def insert_or_ignore(stream: DataFrame, time: str, delay: str, key: str = "event_key") -> DataFrame:

@@ -126,7 +126,7 @@ def candidates(received, target):
 
 
 def test_all_dates_as_tokens(spark, sf_dir):
-    got = {r.event_id: r for r in QUERIES["d6_relativize_all"](spark, sf_dir).collect()}
+    got = {r.event_id: r for r in QUERIES["d6_relativize"](spark, sf_dir).collect()}
     rows = messages(spark, sf_dir).collect()
     assert set(got) == {r.event_id for r in rows}
     used = set()
@@ -141,7 +141,7 @@ def test_all_dates_as_tokens(spark, sf_dir):
 
 
 def test_calendar_rows_of_every_hour(spark, sf_dir):
-    got = {r.event_id: r.start_millis for r in QUERIES["d11_calendar_row_all"](spark, sf_dir).collect()}
+    got = {r.event_id: r.start_millis for r in QUERIES["d11_calendar_row"](spark, sf_dir).collect()}
     rows = messages(spark, sf_dir).collect()
     assert set(got) == {r.event_id for r in rows}
     late = [r for r in rows if r.has_time and r.hour == 24]
