@@ -17,6 +17,7 @@ __all__ = ["append_columns", "discard", "fresh", "named", "shared_folder", "slic
 SLICE_ROWS = 1024
 SLICE_BYTES = 1 << 20
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,5 +75,8 @@ def append_columns(df: DataFrame, inputs: list[str], ddl: str, make: Callable, i
                 if into is not None:
                     made = [pa.StructArray.from_arrays(made, names=added.names)]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + made, names=schema.names)
+        # the worker goes on to other tasks
+        del step
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)

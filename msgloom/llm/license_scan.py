@@ -4,7 +4,8 @@ A paragraph is a run of non-blank lines. Its features are hashed n-grams of one
 the training notices have them, and a multinomial logistic regression weighs them for each
 licence family and for "unknown". Training paragraphs are varied copies of public notices
 (words dropped, cropped, put inside running text) and, as unknown, lines of a hashed sample
-of about SAMPLE documents and sentences that merely use the same words. A temperature
+(LINES lines at most of about SAMPLE documents, each of LINE_WORDS words at most) and
+sentences that merely use the same words. A temperature
 fitted on a held-out part calibrates the probabilities; a paragraph whose best family stays
 below MIN_PROBABILITY is unknown. A prediction counts only if the paragraph also holds
 enough word pairs of one of the family's notices.
@@ -12,7 +13,7 @@ enough word pairs of one of the family's notices.
 What is classified are the least groups of neighbouring lines of a paragraph, single lines
 among them, that hold enough word pairs of a notice; a prediction counts in no others, so
 none is lost. A group that is one grows by neighbouring lines that go on with the notice,
-and groups of one family that share a line become one. Short notices are too short to share
+and groups of one family that share a line, or that only blank lines part, become one. Short notices are too short to share
 pairs with the long ones, and so are templates of their own; ``Model.scan`` gives licences
 alone, ``Model.notices`` those and short notices.
 
@@ -41,12 +42,27 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    "agpl": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "Licensed under the GNU AGPL version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "bsl": (
+        "Use of this software is governed by the Business Source License 1.1 included in the LICENSE file.",
+        "SPDX-License-Identifier: BUSL-1.1",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
@@ -60,17 +76,36 @@ NOTICES = {
         "Licensed under CC BY-NC-SA 4.0 for non-commercial use only.",
         "Licensed under CC BY-NC-ND 4.0.",
     ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GNU GPL v2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "lgpl": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+        "Licensed under the GNU LGPL version 2.1 or later.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -81,6 +116,7 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain.",
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
     "reserved": (
         "All rights reserved. No part of this publication may be reproduced without written permission of the publisher.",
@@ -104,6 +140,8 @@ LOOKALIKES = (
 SHORT_NOTICES = {"reserved": ("All rights reserved.",)}
 UNKNOWN = "unknown"
 SAMPLE = 400
+LINES = 40
+LINE_WORDS = 300
 VARIANTS = 40
 STEPS = 200
 MIN_PROBABILITY = 0.6
@@ -252,16 +290,25 @@ class Model:
         return sorted(kept, key=lambda h: h[1])
 
     def _scan(self, text: str, having: dict) -> tuple[list[tuple[str, int, int, float]], int]:
-        found, at, paragraphs = [], 0, 0
+        found: list[tuple[str, int, int, float]] = []
+        at, paragraphs = 0, 0
         ends: list[tuple[int, int]] = []
         lines: list[list[str]] = []
+        # the number of the paragraph that the last span ends, if it goes to its last line
+        closes = -1
         for line in [*text.split("\n"), ""]:
             if line and not line.isspace():
                 ends.append((at, at + len(line)))
                 lines.append(words_of(line))
             elif lines:
                 paragraphs += 1
-                found += [(family, ends[i][0], ends[j][1], p) for family, i, j, p in self.paragraph(lines, having)]
+                for family, i, j, p in self.paragraph(lines, having):
+                    start, end = ends[i][0], ends[j][1]
+                    if closes == paragraphs - 1 and i == 0 and found[-1][0] == family:
+                        _, start, _, q = found.pop()
+                        p = max(p, q)
+                    found.append((family, start, end, p))
+                    closes = paragraphs if j == len(lines) - 1 else -1
                 ends, lines = [], []
             at += len(line) + 1
         return found, paragraphs
@@ -338,7 +385,14 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     n = usable.count()
     scale = 1 << 30
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("license"), F.col(id_col)), F.lit(scale)) < int(min(1.0, sample / max(1, n)) * scale))
-    return fit([line for text in sorted(r[0] for r in drawn.select(text_col).collect()) for line in text.split("\n")])
+    lines = append_columns(drawn.select(F.col(text_col).alias("text")), ["text"], "lines array<string>", lambda: lambda texts: [[some_lines(t) for t in texts]])
+    return fit([line for own in sorted(r.lines for r in lines.select("lines").collect()) for line in own])
+
+
+def some_lines(text: str) -> list[str]:
+    """Up to LINES of the text's lines, drawn by their hash, each up to LINE_WORDS words."""
+    lines = sorted({line for line in text.split("\n") if line.strip()}, key=lambda line: xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")))
+    return [" ".join(line.split(None, LINE_WORDS)[:LINE_WORDS]) for line in lines[:LINES]]
 
 
 def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

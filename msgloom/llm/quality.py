@@ -36,8 +36,10 @@ GRADES = 3
 SAMPLE = 12000
 MIN_DOCS = 8
 STEPS = 250
+#: Further steps in which the thresholds alone are fitted, with all rows counting alike.
+CALIBRATION = 80
 PENALTY = 5e-4
-#: Power of a grade's share by which rarer grades count more in the fit.
+#: Power of a grade's share by which rarer grades count more in the fit of the weights.
 BALANCE = 0.5
 #: A document is kept if its tail probability P(grade >= 2) reaches this.
 MIN_TAIL = 0.5
@@ -113,7 +115,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     importance = (np.maximum(share, 1e-9) ** -BALANCE)[grades]
     importance /= importance.sum()
     rate = 0.05
-    for step in range(1, STEPS + 1):
+    for step in range(1, STEPS + CALIBRATION + 1):
+        if step == STEPS + 1:
+            # the weights stay; the thresholds go on with all rows counting alike, so that tails are shares again
+            importance = np.full(n, 1 / n)
+            moments = [np.zeros_like(m_) for m_ in moments]
         thresholds = np.cumsum(np.append(free[0], np.exp(free[1:])))
         score = np.bincount(doc, w[column], n)
         # P(grade >= k) with 1 below and 0 above
@@ -132,8 +138,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         own = np.concatenate([-np.bincount(column, toward[doc], m) + PENALTY * w, [by_threshold.sum()], [by_threshold[k:].sum() * np.exp(free[k]) for k in range(1, GRADES - 1)]])
         moments[0] = 0.9 * moments[0] + 0.1 * own
         moments[1] = 0.999 * moments[1] + 0.001 * own**2
-        change = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
-        w, free = w - change[:m], free - change[m:]
+        turn = step if step <= STEPS else step - STEPS
+        change = rate * (moments[0] / (1 - 0.9**turn)) / (np.sqrt(moments[1] / (1 - 0.999**turn)) + 1e-8)
+        free = free - change[m:]
+        if step <= STEPS:
+            w = w - change[:m]
     return Model(hashes[used], w, np.cumsum(np.append(free[0], np.exp(free[1:]))))
 
 

@@ -12,8 +12,8 @@ exchanges carry is the candidates once and the queries once a group.
 
 Cases: vectors that are null or hold null or non-finite components take no part, as do null
 ids; rows may differ in length (a missing place is 0); ties go to the smaller id; a repeated
-candidate row takes a rank for each copy, a repeated query id is answered once, for its
-smallest vector; fewer candidates than k give fewer rows; empty tables give none. Scores
+candidate row takes a rank for each copy; a query's own rows are all those of its id, so a
+repeated query id is answered once, for its smallest vector, and by other ids only; fewer candidates than k give fewer rows; empty tables give none. Scores
 are exact while they fit in 64 bits. Extra columns are left out.
 """
 
@@ -150,7 +150,8 @@ def topk(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-    meet = left.join(right, "group").select("block", "asked")
+    # dealt by number, so that small blocks of many candidates aren't merged into few tasks
+    meet = left.repartition(groups, "group").join(right.repartition(groups, "group"), "group").select("block", "asked")
     best = meet.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

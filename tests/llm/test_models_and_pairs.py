@@ -270,6 +270,22 @@ def test_quality_orders_grades_on_held_out_rows():
     assert means[0] < 0.4 < 0.7 < means[1] < 1.4 < 1.6 < means[2] and np.all(np.diff(model.thresholds) > 0)
 
 
+def test_quality_query_on_held_out_labels(spark):
+    """Fitted on three quarters of the labels of sf0.1, asked for the rest."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    model = quality.train(docs, labels.where(~held))
+    asked = labels.where(held).select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    rows = quality.predict(docs.join(F.broadcast(asked), "doc_id"), model).select("grade", "expected_grade", "tail_probability").collect()
+    grade = np.array([r.grade for r in rows])
+    expected, tail = np.array([r.expected_grade for r in rows]), np.array([r.tail_probability for r in rows])
+    means = [expected[grade == g].mean() for g in range(3)]
+    assert means[0] + 0.2 < means[1] and means[1] + 0.3 < means[2]
+    good, rest = tail[grade == 2], tail[grade < 2]
+    assert np.mean(good[:, None] > rest[None, :]) > 0.93 and abs(tail.mean() - np.mean(grade == 2)) < 0.03
+
+
 def test_quality_edges(spark):
     docs = edge_docs(spark)
     empty = quality.train(docs, spark.createDataFrame([(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int"))
@@ -391,6 +407,55 @@ def test_licence_short_and_wrapped_notices(spark, licences):
     assert got == {1: (1, [("reserved", "All rights reserved.")]), 2: (3, [("bsd", bsd)]), 3: (1, [("gpl", gpl)]), 4: (2, [])}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+OTHERS = {
+    "agpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify\nit under the terms of the GNU Lesser General Public License as published\nby the Free Software Foundation.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+}
+
+
+def test_licence_whole_headers_are_one_span(licences):
+    for family, notice in {"mit": MIT, "apache": APACHE, **OTHERS}.items():
+        text = f"some words before\n\n{notice}\n\nand some words after"
+        assert [(f, text[s:e]) for f, s, e, _ in licences.scan(text)[0]] == [(family, notice)], family
+
+
+def test_licence_slopes_equal_differences():
+    """The classifier's fit follows the slope of its loss: a step along it lowers the loss as differences say."""
+    model = license_scan.fit(["plain words of a page", "other words here and there"])
+    words = license_scan.words_of(license_scan.NOTICES["mit"][1])
+    at = [model.place[g] for g in license_scan.grams(words) if g in model.place]
+    y = model.families.index("mit")
+
+    def loss(w):
+        score = w[at].sum(0) + model.bias
+        return float(np.log(np.exp(score - score.max()).sum()) + score.max() - score[y])
+
+    score = model.weights[at].sum(0) + model.bias
+    p = np.exp(score - score.max())
+    p /= p.sum()
+    for c in (y, 0, len(model.families) - 1):
+        up, down = model.weights.copy(), model.weights.copy()
+        up[at[0], c] += 1e-5
+        down[at[0], c] -= 1e-5
+        assert np.isclose((loss(up) - loss(down)) / 2e-5, p[c] - (c == y), atol=1e-6)
+    assert model.predict(words)[0] == "mit" and 0.3 <= model.temperature <= 4
+
+
 def test_licence_query_reports_every_reservation(spark, sf_dir, licences):
     for r in license_scan.scan(table(spark, sf_dir, "documents"), licences).collect():
         assert sum(s.family == "reserved" for s in r.licenses) == (r.text or "").split("\n").count("All rights reserved.")
