@@ -1,7 +1,9 @@
 """Messages of a conversation.
 
 W2 and W3 partition by conversation and order by time alike, so one exchange serves both.
-Frames are bounded and folds short, so a giant room streams through its task.
+W3's frames are bounded and W5's lists hold distinct names, so a giant room streams through
+its task. W2 folds the times of a run of equal messages that follow each other within
+seconds; such a run is short unless a sender repeats itself without a pause.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgloom.plans.assembly import assemble
+from msgloom.plans.evaluation import run_evaluation
 from msgloom.plans.message_flow import to_events, to_prompts
-from msgloom.queries.curation import with_events
+from msgloom.queries.curation import PREDICTED, gold_and_predictions, with_events
 from msgloom.queries.messages import messages
 from msgloom.queries.registry import query
 
@@ -37,3 +38,14 @@ def workload_message_flow(spark, sf_dir):
     aliases = messages(spark, sf_dir).where("event_id % 50 = 0 AND place IS NOT NULL").select("sender", F.col("place").alias("token")).distinct()
     return to_events(prompts.withColumn("output", answer), aliases, F.lit("2024-01-15").cast("date"), owner=("user_id",)).select("user_id", "channel", "start", "room", "base_title", "event_key", "status", "merged")
 
+
+@query(
+    f"""{PREDICTED}, f AS (SELECT event_id AS scenario_id, CASE WHEN NOT json_valid THEN 'json_parse_error' ELSE 'score_low' END AS reason FROM e WHERE NOT json_valid OR NOT status_match OR title_f1 < 0.7 OR time_f1 < 1 ORDER BY event_id LIMIT 200)
+    SELECT f.*, round((SELECT count(*) FILTER (status_match) / count(*) FROM e), 6) AS is_schedule_acc FROM f"""
+)
+def workload_evaluation(spark, sf_dir):
+    """The failures for the next plan, beside the accuracy of the round."""
+    metrics, failed = run_evaluation(*gold_and_predictions(spark, sf_dir))
+    accuracy = metrics.select(F.round("is_schedule_acc", 6).alias("is_schedule_acc"))
+    # one row on the right
+    return failed.select("scenario_id", "reason").join(F.broadcast(accuracy))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from msgloom import schemas
 from msgloom.functions import fixed
 from msgloom.functions.keys import iso_of
-from msgloom.functions.text import blank, is_yes, strip_html, stripped, unless_blank, user_block
+from msgloom.functions.text import blank, is_yes, strip_html, stripped, unless_blank
+from msgloom.functions.tokens import let
 
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -91,28 +92,32 @@ def normal_gold(raw: Column) -> Column:
     The label is the first of the three flags that is there; fields are those at the top, or
     of the first event; older fields become lines of the description.
     """
-    g = F.from_json(raw, schemas.ANY_GOLD)
+    return let(_flat_gold, g=F.from_json(raw, schemas.ANY_GOLD), keys=F.json_object_keys(raw))
+
+
+def _flat_gold(g: Column, keys: Column) -> Column:
     label = F.when(g["is_schedule"].isNotNull(), is_yes(g["is_schedule"])).when(g["schedule_status"].isNotNull(), F.lower(stripped(g["schedule_status"])) == "yes").otherwise(is_yes(g["has_schedule"]))
-    keys = F.json_object_keys(raw)
     flat = F.arrays_overlap(keys, F.array(F.lit("title"), F.lit("date"), F.lit("time")))
     event = F.try_element_at(g["events"], F.lit(1))
     use_event = ~F.coalesce(flat, F.lit(False)) & event.isNotNull()
-    field = lambda name: F.when(use_event, event[name]).otherwise(g[name])
-    text = lambda name: F.nullif(field(name), F.lit(""))
-    attendees = F.nullif(F.array_join(field("attendees"), ", "), F.lit(""))
+    fields = ("title", "date", "time", "end_time", "location", "description", "attendees", "organizer", "recurrence")
+    said = F.struct(*(F.when(use_event, event[name]).otherwise(g[name]).alias(name) for name in fields))
+    return F.when(g.isNotNull(), let(_flat_record, label=label, said=said))
+
+
+def _flat_record(label: Column, said: Column) -> Column:
+    text = lambda name: F.nullif(said[name], F.lit(""))
+    attendees = F.nullif(F.array_join(said["attendees"], ", "), F.lit(""))
     line = lambda lead, value: F.when(value.isNotNull(), F.concat(F.lit(lead), value))
     description = F.concat_ws("\n", text("description"), line(fixed.ATTENDEES_LINE, attendees), line(fixed.ORGANIZER_LINE, text("organizer")), line(fixed.RECURRENCE_LINE, text("recurrence")))
-    return F.when(
-        g.isNotNull(),
-        F.struct(
-            label.alias("is_schedule"),
-            text("title").alias("title"),
-            text("date").alias("date"),
-            field("time").alias("time"),
-            field("end_time").alias("end_time"),
-            text("location").alias("location"),
-            F.nullif(description, F.lit("")).alias("description"),
-        ),
+    return F.struct(
+        label.alias("is_schedule"),
+        text("title").alias("title"),
+        text("date").alias("date"),
+        said["time"].alias("time"),
+        said["end_time"].alias("end_time"),
+        text("location").alias("location"),
+        F.nullif(description, F.lit("")).alias("description"),
     )
 
 
@@ -171,7 +176,3 @@ def generated_rows(df: DataFrame, scenario_id: str = "scenario_id", text: str =
     good = lines.where(F.try_parse_json(F.col("line")).isNotNull() & F.col("line").startswith("{"))
     parsed = good.select(F.col(scenario_id).alias("own_id"), "line_no", F.from_json("line", schemas.PAIR).alias("p"))
     return parsed.select("line_no", F.coalesce(unless_blank(F.col("p.scenario_id")), F.col("own_id")).alias("scenario_id"), *(F.col(f"p.{c}") for c in ("received_at", "channel", "sender", "message", "gold")))
-
-
-def user_text(df: DataFrame) -> Column:
-    return user_block(df["channel"], df["received_at"], df["sender"], df["message"], df["thread_context"])
