@@ -14,7 +14,7 @@ from msgloom import schemas
 from msgloom.operators import conversation, curate, events, labels
 from msgloom.queries.curation import JUDGED, P, judged, pairs, with_events
 from msgloom.queries.frames import MAIL
-from msgloom.queries.messages import GATE, REPEATS, ROUTED, M, keyed_events, messages, routed
+from msgloom.queries.messages import GATE, REPEATS, ROUTED, M, detected, keyed_events, messages, routed
 from msgloom.queries.registry import query
 from msgloom.sources import io
 from msgloom.sources.staging import shared_folder
@@ -91,7 +91,7 @@ def s10_split_outputs(spark, sf_dir):
 
 @query(f"{ROUTED} SELECT event_id AS id, status FROM r WHERE status = 'AUTO_ADDED' AND k % 3 > 0")
 def s11_export_candidates(spark, sf_dir):
-    rows = routed(spark, sf_dir).where("status IS NOT NULL").select(F.col("event_id").alias("id"), "status", "k")
+    rows = detected(spark, sf_dir).select(F.col("event_id").alias("id"), "status", "k")
     return io.export_candidates(rows, rows.where("k % 3 = 0")).select("id", "status")
 
 
@@ -173,7 +173,7 @@ def t5_mail_pull(spark, sf_dir):
 @query(f"{ROUTED} SELECT event_id AS id, status, CAST(1 AS BIGINT) AS times FROM r WHERE status = 'AUTO_ADDED'")
 def t6_export_stream(spark, sf_dir):
     """Decided events exported by a stream that sees every event twice."""
-    rows = routed(spark, sf_dir).where("status IS NOT NULL").select(F.col("event_id").alias("id"), "status")
+    rows = detected(spark, sf_dir).select(F.col("event_id").alias("id"), "status")
     inbox, state, ledger, out = (shared_folder(spark) for _ in range(4))
     export = streams.export_batch(spark, ledger, out)
     for _ in range(2):

@@ -296,9 +296,14 @@ TODAY = "2024-01-15"
 ROUTED = f"""{WHEN}, r AS (SELECT *, CASE WHEN is_schedule THEN CASE WHEN trim(coalesce(title, '')) <> '' AND substr(start, 1, 10) >= '{TODAY}' THEN 'AUTO_ADDED' ELSE 'PENDING' END END AS status FROM s)"""
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routed messages that are schedules: those with a status."""
+    return routed(spark, sf_dir, messages(spark, sf_dir).where("is_schedule"))
+
+
+def routed(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     none = F.lit(None).cast("struct<hour:int,minute:int,marker:string>")
-    rows = messages(spark, sf_dir).withColumn("start", tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), none)["start"])
+    rows = (messages(spark, sf_dir) if rows is None else rows).withColumn("start", tokens.resolve_when(F.col("received_at"), F.col("date"), clock(), none)["start"])
     return rows.withColumn("status", events.route(F.col("is_schedule"), F.col("title"), F.col("start"), F.lit(TODAY).cast("date")))
 
 
@@ -309,13 +314,13 @@ def f7_route(spark, sf_dir):
 
 @query(f"{ROUTED} SELECT channel, status, count(*) AS n FROM r WHERE status IS NOT NULL AND NOT (status = 'PENDING' AND coalesce(substr(start, 1, 10) < '{TODAY}', false)) GROUP BY ALL")
 def f11_purge(spark, sf_dir):
-    kept = events.purge_past_pending(routed(spark, sf_dir).where("status IS NOT NULL"), F.lit(TODAY).cast("date"))
+    kept = events.purge_past_pending(detected(spark, sf_dir), F.lit(TODAY).cast("date"))
     return kept.groupBy("channel", "status").agg(F.count("*").alias("n"))
 
 
 @query(f"{ROUTED}, a AS (SELECT user_id AS id, arg_max(k % 4, event_id) AS act, max(event_id) AS acted FROM m GROUP BY user_id) SELECT r.event_id, coalesce(CASE act WHEN 0 THEN 'ADDED' WHEN 1 THEN 'DISMISSED' WHEN 2 THEN 'DISMISSED' WHEN 3 THEN 'PENDING' END, r.status) AS status, CASE WHEN act = 0 THEN acted END AS registered_at FROM r LEFT JOIN a ON r.event_id = a.id WHERE r.status IS NOT NULL")
 def f12_actions(spark, sf_dir):
-    rows = routed(spark, sf_dir).where("status IS NOT NULL").select(F.col("event_id").alias("id"), "status", F.lit(None).cast("long").alias("registered_at"))
+    rows = detected(spark, sf_dir).select(F.col("event_id").alias("id"), "status", F.lit(None).cast("long").alias("registered_at"))
     action = F.element_at(F.array(*map(F.lit, ("ADD", "DISMISS", "UNDO", "UNREGISTER"))), (F.col("k") % 4 + 1).cast("int"))
     log = messages(spark, sf_dir).select(F.col("user_id").alias("id"), action.alias("action"), F.col("event_id").alias("at"))
     return events.apply_actions(rows, log).select(F.col("id").alias("event_id"), "status", "registered_at")
@@ -324,7 +329,7 @@ def f12_actions(spark, sf_dir):
 @query(f"""{ROUTED} SELECT channel, count(*) FILTER (status IN ('AUTO_ADDED') AND recv = DATE '{TODAY}') AS registered, count(*) FILTER (status = 'PENDING' AND (start IS NULL OR substr(start, 1, 10) >= '{TODAY}')) AS open, count(*) FILTER (status = 'AUTO_ADDED' AND k % 2 = 1) AS waiting, count(*) FILTER (status = 'AUTO_ADDED' AND k % 2 = 1) >= 10 AS may_export FROM r WHERE status IS NOT NULL GROUP BY channel""")
 def a16_day_summary(spark, sf_dir):
     at = F.when(F.col("status") == "AUTO_ADDED", F.unix_date("recv").cast("long") * 86_400_000)
-    rows = routed(spark, sf_dir).where("status IS NOT NULL").withColumns({"registered_at": at, "exported": F.col("k") % 2 == 0})
+    rows = detected(spark, sf_dir).withColumns({"registered_at": at, "exported": F.col("k") % 2 == 0})
     return events.day_summary(rows, F.lit(TODAY).cast("date"))
 
 
@@ -428,7 +433,7 @@ def j11_alias_table(spark, sf_dir):
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = routed(spark, sf_dir).where("status IS NOT NULL")
+    rows = detected(spark, sf_dir)
     return rows.select(F.col("event_id").alias("id"), "user_id", "channel", "sender", "start", "room", F.coalesce("title", F.lit("")).alias("base_title"), "title", "status", (F.unix_date("recv").cast("long") * 86_400_000 + F.col("recv_minute") * 60_000).alias("created_at"), F.col("event_id").alias("seq"))
 
 
