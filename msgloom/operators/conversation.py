@@ -79,7 +79,9 @@ def with_roster(df: DataFrame, conversation: str = "conversation", order: str =
     # a name counts where it stands first, so a list never holds more than the distinct names
     is_first = F.row_number().over(Window.partitionBy(conversation, "name").orderBy(order)) == 1
     names = F.collect_list(F.when(F.col("_first"), F.col("name"))).over(so_far)
-    return df.withColumn("_first", is_first).withColumn("attendees", names).drop("_first").withColumn("earlier", F.collect_list("message").over(before))
+    # one exchange serves all three windows
+    rows = df.repartition(conversation).withColumn("_first", is_first)
+    return rows.withColumn("attendees", names).drop("_first").withColumn("earlier", F.collect_list("message").over(before))
 
 
 def first_seen(df: DataFrame, room: str = "room", signature: tuple[str, ...] = ("from_me", "body"), order: tuple[str, ...] = ("seconds", "seq")) -> DataFrame:
