@@ -104,10 +104,24 @@ def round_trip(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids"
     return append_columns(df, [text_col], f"`{ids_col}` array<int>, `{same_col}` boolean", make)
 
 
+def encode_and_decode(df: DataFrame, text_col: str = "text", ids_col: str = "token_ids", bytes_col: str = "decoded", rank_file: str = RANK_FILE) -> DataFrame:
+    """``df`` with the ids of each whole text and the bytes that these ids stand for, in one Python pass."""
+
+    def make():
+        enc = encoding(rank_file)
+
+        def step(texts):
+            ids = [encode_text(t, enc) for t in texts]
+            return [[np.array(i, np.int32) for i in ids], [enc.decode_bytes(i) for i in ids]]
+
+        return step
+
+    return append_columns(df, [text_col], f"`{ids_col}` array<int>, `{bytes_col}` binary", make)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document: the count of ids and digests of the ids and of the decoded bytes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs).drop("text"))
+    coded = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
