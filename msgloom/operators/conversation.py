@@ -1,13 +1,15 @@
 """Messages of a conversation.
 
-W2 and W3 partition by conversation and order by time alike, so one exchange serves both.
 W3's frames are bounded and W5's lists hold distinct names, so a giant room streams through
-its task. W2 folds the times of a run of equal messages that follow each other within
-seconds; such a run is short unless a sender repeats itself without a pause.
+its task. W2 decides most rows by their neighbour; runs of repeats within seconds go through
+a fold that holds one time, whatever their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +40,40 @@ def gate(messages: DataFrame, channels: DataFrame) -> DataFrame:
 def suppress_repeats(df: DataFrame, conversation: str = "conversation", time: str = "seconds", order: str = "seq", same: tuple[str, ...] = ("sender", "body"), seconds: int = fixed.REPEAT_SECONDS) -> DataFrame:
     """Without messages that repeat the last kept one within ``seconds``.
 
-    Runs of equal messages are folded: a repeat is measured against the last *kept* one, so
-    in a chain every kept message is at least ``seconds`` after the one kept before it. The
-    fold walks a run's times in order with a small state, one array a run.
+    A repeat is measured against the last *kept* one, so in a chain every kept message is at
+    least ``seconds`` after the one kept before it. A message that differs from the one before
+    it, or comes ``seconds`` after it, is kept whatever came earlier. Only runs of two or more
+    that this does not decide are folded: their rows are read in order as a stream, of which
+    the time of the last kept one is held, so a sender that repeats itself for days costs no
+    more a row than any other. A message without a time is kept and no later one is measured
+    against it.
     """
     in_order = Window.partitionBy(conversation).orderBy(time, order)
-    differs = F.lit(False)
+    differs = F.lag(F.lit(True)).over(in_order).isNull()
     for c in same:
         differs = differs | ~F.lag(c).over(in_order).eqNullSafe(F.col(c))
-    starts = F.when(F.row_number().over(in_order) == 1, 1).when(differs, 1).otherwise(0)
-    gap = F.col(time) - F.lag(time).over(in_order)
-    # a gap of `seconds` is kept whatever came before, so it starts a new fold too: folds stay short
-    marked = df.withColumns({"_new": starts, "_gap": gap}).withColumn("_run", F.sum(F.when((F.col("_new") == 1) | (F.col("_gap") >= seconds), 1).otherwise(0)).over(in_order))
-    in_run = Window.partitionBy(conversation, "_run").orderBy(time, order).rowsBetween(Window.unboundedPreceding, 0)
-    times = F.collect_list(time).over(in_run)
-    before = F.aggregate(F.slice(times, F.lit(1), F.size(times) - 1), F.lit(None).cast("double"), lambda kept, t: F.when(kept.isNull() | (t - kept >= seconds), t.cast("double")).otherwise(kept))
-    keeps = before.isNull() | (F.col(time) - before >= seconds)
-    return marked.withColumn("_keep", keeps).where("_keep").drop("_new", "_gap", "_run", "_keep")
+    decided = differs | F.coalesce(F.col(time) - F.lag(time).over(in_order) >= seconds, F.lit(False))
+    marked = df.withColumn("_new", F.when(decided, 1).otherwise(0))
+    marked = marked.withColumns({"_run": F.sum("_new").over(in_order), "_next": F.lead("_new", 1, 1).over(in_order)})
+    alone = (F.col("_new") == 1) & (F.col("_next") == 1)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last = None, None
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in (conversation, "_run", time))
+            for room, number, at in zip(*columns, strict=True):
+                if (room, number) != run:
+                    run, last = (room, number), None
+                kept = at is None or last is None or at - last >= seconds
+                keep.append(kept)
+                if kept and at is not None:
+                    last = at
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # the runs of a giant room are dealt to several tasks
+    repeated = marked.where(~alone).repartition(conversation, "_run").sortWithinPartitions(conversation, "_run", time, order)
+    return marked.where(alone).unionByName(repeated.mapInArrow(fold, marked.schema)).drop("_new", "_run", "_next")
 
 
 def with_context(df: DataFrame, conversation: str = "conversation", time: str = "seconds", order: str = "seq", turns: int = fixed.CONTEXT_TURNS, minutes: int = fixed.CONTEXT_MINUTES) -> DataFrame:

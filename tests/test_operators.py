@@ -53,6 +53,28 @@ def test_repeats_compare_with_the_last_kept(spark):
     assert conversation.suppress_repeats(df.limit(0)).count() == 0
 
 
+def test_long_runs_of_repeats_equal_a_replay(spark):
+    draw = random.Random(3)
+    rows, at = [], {"c": 0, "d": 0}
+    for k in range(6000):
+        room = draw.choice("cd")
+        at[room] += draw.choice([0, 1, 1, 2, 3, 12] if k % 50 == 0 else [0, 1, 1, 2])
+        rows.append((room, at[room], k, "bot", "x" if draw.random() < 0.999 else "y"))
+    rows.append(("e", None, 0, "bot", "x"))
+    rows += [("e", k, 1 + k, "bot", "x") for k in range(12)]
+    rows.append((None, 1, 0, None, None))
+    want, last = [], {}
+    for room, time, k, sender, body in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        before = last.get(room)
+        if before is None or before[0] != body or time is None or before[1] is None or time - before[1] >= 10:
+            last[room] = (body, time)
+            want.append((room or "", k))
+    df = spark.createDataFrame(rows, "conversation string, seconds long, seq long, sender string, body string")
+    got = conversation.suppress_repeats(df).collect()
+    assert sorted((r.conversation or "", r.seq) for r in got) == sorted(want)
+    assert len(got) < 2000
+
+
 def test_context_is_bounded_by_turns_and_age(spark):
     rows = [("c", 400 * k, k, "sms", "s", f"b{k}", f"t{k}") for k in range(9)] + [("m", 400 * k, k, "gmail", "s", "b", "t") for k in range(2)]
     df = spark.createDataFrame(rows, "conversation string, seconds long, seq long, channel string, sender string, body string, clock string")
