@@ -6,6 +6,7 @@ from msgloom.llm.decontaminate import op10_decontaminate
 from msgloom.llm.language_id import op9_language_id
 from msgloom.llm.license_scan import op3_license
 from msgloom.llm.near_dup import op7_near_dup
+from msgloom.llm.ngram_join import op12_ngram_join
 from msgloom.llm.pii import op6_pii
 from msgloom.llm.quality import op5_quality
 from msgloom.llm.secret_scan import op4_secrets
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_ans_files": op8_ans_files,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op12_ngram_join": op12_ngram_join,
 }
 
 ORACLES = {"op1_topk_search": OP1_SQL}
