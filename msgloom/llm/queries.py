@@ -9,6 +9,7 @@ from msgloom.llm.near_dup import op7_near_dup
 from msgloom.llm.ngram_join import op12_ngram_join
 from msgloom.llm.pii import op6_pii
 from msgloom.llm.quality import op5_quality
+from msgloom.llm.ranked_search import OP13_SQL, op13_ranked_search
 from msgloom.llm.secret_scan import op4_secrets
 from msgloom.llm.topk_search import OP1_SQL, op1_topk_search
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
     "op12_ngram_join": op12_ngram_join,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLES = {"op1_topk_search": OP1_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op13_ranked_search": OP13_SQL}

@@ -1,10 +1,14 @@
 """Operators 11 to 13 against brute force, and their edge cases."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from test_models_and_pairs import EDGES, brute_components, brute_sets, edge_docs
 
-from msgloom.llm import ngram_join
+from msgloom.llm import ngram_join, ranked_search
 from msgloom.llm.common import table
 
 
@@ -72,3 +76,62 @@ def test_ngram_join_bounds():
             assert abs(ngram_join.band_of(len(x), 85) - ngram_join.band_of(len(y), 85)) <= 1
     for size in range(1, 5000):
         assert ngram_join.band_of(-(-size * 85 // 100), 85) >= ngram_join.band_of(size, 85) - 1
+
+
+# --- ranked search -----------------------------------------------------------
+def brute_search(docs, items, k):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    texts = [(i, Counter(split(t))) for i, t in docs]
+    texts = [(i, c, sum(c.values())) for i, c in texts if c]
+    n, length = len(texts), sum(s for _, _, s in texts)
+    df = Counter(t for _, c, _ in texts for t in c)
+    out = set()
+    for item, text in items:
+        found = []
+        for i, c, size in texts:
+            m = 10 + (90 * size * n) // length
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m)) for t in set(split(text)) if t in c)
+            if score > 0:
+                found.append((-score, i is None, i))
+        out |= {(item, rank + 1, i, -s) for rank, (s, _, i) in enumerate(sorted(found)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("rows, pairs", [(4096, 48), (7, 6), (16, 0)])
+def test_ranked_search_matches_brute_force(spark, sf_dir, monkeypatch, rows, pairs):
+    monkeypatch.setattr(ranked_search, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ranked_search, "PAIR_TERMS", pairs)
+    monkeypatch.setattr(ranked_search, "PART_BYTES", 4 << 20 if rows > 100 else 5000)  # several parts
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    got = {tuple(r) for r in ranked_search.topk(docs, items).select("item_id", "rank", "doc_id", "score").collect()}
+    assert got == brute_search([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.select("item_id", "text").collect()], 10)
+
+
+def test_ranked_search_edges(spark):
+    docs = edge_docs(spark)
+    items = spark.createDataFrame([(1, "plain WORDS"), (2, None), (3, "?!"), (4, "12345 word absent"), (None, "here xyz")], "item_id long, text string")
+    got = {tuple(r) for r in ranked_search.topk(docs, items).collect()}
+    assert got == brute_search(EDGES, [tuple(r) for r in items.collect()], 10)
+    assert ranked_search.topk(docs.limit(0), items).count() == 0
+    assert ranked_search.topk(docs, items.limit(0)).count() == 0
+
+
+def test_ranked_search_bounds_hold_and_skip():
+    rng = np.random.default_rng(4)
+    skipped = 0
+    for _ in range(60):
+        n, terms = 200, 12
+        dense = np.where(rng.random((terms, n)) < rng.random((terms, 1)), rng.integers(1, 1000, (terms, n)), 0)
+        at = np.nonzero(dense.T)
+        block = ranked_search.Block(at[0], at[1], dense.T[at], n)
+        query = [int(t) for t in rng.permutation(terms)[:6]]
+        whole = dense[query].sum(axis=0)
+        least = int(np.sort(whole)[-5])
+        groups = ranked_search.grouped(block, [t for t in query if t in block.lists])
+        for bound, members in groups:
+            assert bound >= dense[list(members)].sum(axis=0).max()
+        rows, scores, completed = ranked_search.search(block, query, least)
+        want = np.flatnonzero(whole >= max(1, least))
+        assert rows.tolist() == want.tolist() and scores.tolist() == whole[want].tolist()
+        skipped += n - completed
+    assert skipped > 0
