@@ -2,6 +2,7 @@
 
 from msgloom.llm.ans_files import op8_ans_files
 from msgloom.llm.bpe import op2_byte_bpe
+from msgloom.llm.collocations import OP11_SQL, op11_collocations
 from msgloom.llm.decontaminate import op10_decontaminate
 from msgloom.llm.language_id import op9_language_id
 from msgloom.llm.license_scan import op3_license
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_ans_files": op8_ans_files,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op12_ngram_join": op12_ngram_join,
     "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLES = {"op1_topk_search": OP1_SQL, "op13_ranked_search": OP13_SQL}
+ORACLES = {"op1_topk_search": OP1_SQL, "op11_collocations": OP11_SQL, "op13_ranked_search": OP13_SQL}

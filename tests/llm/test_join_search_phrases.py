@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_models_and_pairs import EDGES, brute_components, brute_sets, edge_docs
 
-from msgloom.llm import ngram_join, ranked_search
+from msgloom.llm import automata, collocations, ngram_join, ranked_search
 from msgloom.llm.common import table
 
 
@@ -135,3 +135,70 @@ def test_ranked_search_bounds_hold_and_skip():
         assert rows.tolist() == want.tolist() and scores.tolist() == whole[want].tolist()
         skipped += n - completed
     assert skipped > 0
+
+
+# --- collocations ------------------------------------------------------------
+def brute_phrases(rows, least, contained, top):
+    f, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(words)
+            f.update((lang, tuple(words[s : s + n])) for n in range(1, 5) for s in range(len(words) - n + 1))
+    found = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    out = []
+    for (lang, p), a in found.items():
+        inside = any(o == lang and len(q) > len(p) and 100 * b >= contained * a and any(q[k : k + len(p)] == p for k in range(len(q) - len(p) + 1)) for (o, q), b in found.items())
+        if not inside:
+            cuts = [(2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p))]
+            score, k = min(cuts)
+            out.append((lang, -score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    ranked, result = Counter(), set()
+    for lang, score, a, phrase, left, right in sorted(out):
+        ranked[lang] += 1
+        if ranked[lang] <= top:
+            result.add((lang, ranked[lang], phrase.decode(), -a, left, right, total[lang], -score))
+    return result
+
+
+@pytest.mark.parametrize("run_words, range_bytes, range_phrases", [(2_000_000, 8 << 20, 200_000), (3000, 20_000, 50)])
+def test_collocations_match_brute_force(spark, sf_dir, monkeypatch, run_words, range_bytes, range_phrases):
+    for name, value in (("RUN_WORDS", run_words), ("RANGE_BYTES", range_bytes), ("RANGE_PHRASES", range_phrases), ("SALTS", 3)):
+        monkeypatch.setattr(collocations, name, value)
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(None, "x y z w x y z w, x y!"), ("und", "X Y\tz"), ("en", None), ("en", ""), ("en", "Ü ü é a b")]
+    got = {tuple(r) for r in collocations.collocations(spark.createDataFrame(rows, docs.schema), min_count=6, top=40).collect()}
+    assert got == brute_phrases(rows, 6, 80, 40)
+
+
+def test_collocations_edges(spark):
+    assert collocations.collocations(edge_docs(spark).limit(0)).count() == 0
+    got = {tuple(r) for r in collocations.collocations(edge_docs(spark), min_count=2).collect()}
+    assert got == brute_phrases([("en", t) for _, t in EDGES], 2, 80, 2000)
+
+
+def test_automaton_unites_and_composes():
+    rng = np.random.default_rng(8)
+    want = Counter()
+    parts = []
+    for _ in range(5):
+        words = np.unique(rng.integers(1, 60, 25).astype(np.uint64)) * np.uint64(977)
+        rows = rng.integers(1, len(words) + 1, (400, 4))
+        rows[np.arange(4) >= rng.integers(1, 5, 400)[:, None]] = 0
+        sequences, weights = automata.summed(rows, np.ones(400, np.int64))
+        made = automata.Automaton.unpack(automata.Automaton.build(words, sequences, weights).pack())
+        assert len(made.first) - 1 <= 1 + sum(len(np.unique(sequences[:, :d], axis=0)) for d in range(4))
+        back, again = made.sequences(4)
+        assert {(*r, w) for r, w in zip(back.tolist(), again.tolist(), strict=True)} == {(*r, w) for r, w in zip(sequences.tolist(), weights.tolist(), strict=True)}
+        parts.append((made.words, back, again))
+        label = np.append(np.uint64(0), words)
+        for r, w in zip(label[sequences].tolist(), weights.tolist(), strict=True):
+            want[tuple(r)] += w
+    words, rows, weights = automata.union(parts)
+    whole = automata.Automaton.build(words, rows, weights)
+    asked = np.array([*want, (1, 0, 0, 0), (977, 5, 0, 0), (0, 0, 0, 0)], np.uint64)
+    assert whole.compose(asked).tolist() == [*want.values(), 0, 0, 0]
+    same_ends = automata.Automaton.build(np.arange(9, dtype=np.uint64), np.array([[1, 3, 4], [2, 3, 4], [5, 3, 4]]), np.ones(3, np.int64))
+    assert len(same_ends.first) - 1 == 4  # one state each for the end, the last word, the two last, and the start
