@@ -60,6 +60,7 @@ class Automaton:
     target: np.ndarray
     final: np.ndarray
     weights: np.ndarray
+    levels: np.ndarray  # where the states of each depth end, the deepest first
     skip: np.ndarray  # sequences of an arc's state that come before those of the arc
 
     @staticmethod
@@ -71,7 +72,7 @@ class Automaton:
         new[0, 1:] = False
         for d in range(depth):
             new[d + 1, 1:] = new[d, 1:] | (sequences[1:, d] != sequences[:-1, d])
-        arcs_of, labels, targets, finals = [np.zeros(1, np.int64)], [], [], [np.ones(1, bool)]
+        arcs_of, labels, targets, finals, levels = [np.zeros(1, np.int64)], [], [], [np.ones(1, bool)], [1]
         states = 1
         below = np.zeros(int((new[depth] & (lengths == depth)).sum()), np.int64)
         for d in range(depth - 1, -1, -1):
@@ -92,6 +93,11 @@ class Automaton:
             same = np.array_equal(counts, counts[chosen[group]]) and np.array_equal(final, final[chosen[group]])
             if not same or not all(np.array_equal(x, x[np.repeat(kept, counts) + offset]) for x in (label, below)):
                 chosen = group = np.arange(len(starts))  # two marks were equal by chance: this level stays as it is
+            # numbered by first use, so that most targets are the next number
+            by = np.argsort(chosen, kind="stable")
+            place = np.empty_like(by)
+            place[by] = np.arange(len(by))
+            chosen, group = chosen[by], place[group]
             leaf = (counts[chosen] == 0) & final[chosen]
             number = np.where(leaf, 0, states + np.cumsum(~leaf) - 1)
             arcs_of.append(counts[chosen][~leaf])
@@ -101,53 +107,55 @@ class Automaton:
             labels.append(label[place])
             targets.append(below[place])
             states += int((~leaf).sum())
+            levels.append(states)
             below = number[group]
         first = np.append(0, np.cumsum(np.concatenate(arcs_of)))
-        return Automaton.of(words, first, np.concatenate(labels), np.concatenate(targets), np.concatenate(finals), weights)
+        return Automaton.of(words, first, np.concatenate(labels), np.concatenate(targets), np.concatenate(finals), weights, np.array(levels))
 
     @staticmethod
-    def of(words: np.ndarray, first: np.ndarray, label: np.ndarray, target: np.ndarray, final: np.ndarray, weights: np.ndarray) -> Automaton:
-        """With the arcs' counts worked out; targets come before their states."""
-        states = len(first) - 1
-        accepted = np.zeros(states, np.int64)
-        level = np.zeros(states, np.int64)
-        owner = np.repeat(np.arange(states), np.diff(first))
-        for _ in range(8):  # depth of a state, at most the length of a sequence
-            deeper = np.zeros(states, np.int64)
-            np.maximum.at(deeper, owner, level[target] + 1)
-            if np.array_equal(deeper, level):
-                break
-            level = deeper
-        accepted[:] = final
+    def of(words: np.ndarray, first: np.ndarray, label: np.ndarray, target: np.ndarray, final: np.ndarray, weights: np.ndarray, levels: np.ndarray) -> Automaton:
+        """With the arcs' counts worked out, from the deepest level up."""
+        accepted = final.astype(np.int64)
         skip = np.zeros(len(label), np.int64)
-        for d in range(1, int(level.max(initial=0)) + 1):
-            arcs = np.flatnonzero(level[owner] == d)
-            took = accepted[target[arcs]]
-            before = np.cumsum(took) - took
-            starts = np.flatnonzero(np.append(True, owner[arcs][1:] != owner[arcs][:-1]))
-            own = np.repeat(before[starts], np.diff(np.append(starts, len(arcs))))
-            skip[arcs] = before - own + final[owner[arcs]]
-            accepted += np.bincount(owner[arcs], took, states).astype(np.int64)
-        return Automaton(words, first, label, target, final, weights, skip)
-
-    def pack(self) -> bytes:
+        for low, high in zip(levels[:-1], levels[1:], strict=True):
+            arcs = slice(first[low], first[high])
+            took = np.cumsum(accepted[target[arcs]])
+            sums = np.append(0, took)
+            starts = sums[first[low:high] - first[low]]
+            skip[arcs] = sums[:-1] - np.repeat(starts - final[low:high], np.diff(first[low : high + 1]))
+            accepted[low:high] += sums[first[low + 1 : high + 1] - first[low]] - starts
+        return Automaton(words, first, label, target, final, weights, levels, skip)
+
+    def pack(self, known: np.ndarray) -> bytes:
+        """Arrays as narrow as they can be; a target is 0 for the state of no arcs, 1 for the next new state, more for an older one.
+
+        Words that stand in ``known`` (ascending) are written as steps from place to place there.
+        """
+        at = np.searchsorted(known, self.words)
+        there = known[np.minimum(at, len(known) - 1)] == self.words if len(known) else np.zeros(len(at), bool)
+        before = np.maximum.accumulate(np.append(0, self.target))[:-1]
+        code = np.where(self.target == 0, 0, before + 2 - self.target)
         held = io.BytesIO()
-        for x in (self.words, np.diff(self.first), self.label, self.target, self.final, self.weights):
-            np.save(held, x if x is self.words or x.dtype == bool else _narrow(x))
+        for x in (self.words[~there], np.diff(at[there], prepend=0), np.diff(self.first), self.label, code, self.final, self.weights, self.levels):
+            np.save(held, x if x.dtype in (bool, np.uint64) else _narrow(x))
         return zstandard.ZstdCompressor(level=1).compress(held.getvalue())
 
     @staticmethod
-    def unpack(data: bytes) -> Automaton:
+    def unpack(data: bytes, known: np.ndarray) -> Automaton:
         held = io.BytesIO(zstandard.ZstdDecompressor().decompress(data))
-        words, arcs, label, target, final, weights = (np.load(held) for _ in range(6))
+        rare, steps, arcs, label, code, final, weights, levels = (np.load(held) for _ in range(8))
+        words = np.sort(np.concatenate([rare, known[np.cumsum(steps, dtype=np.int64)]]))
         first = np.append(0, np.cumsum(arcs.astype(np.int64)))
-        return Automaton.of(words, first, label.astype(np.int64), target.astype(np.int64), final, weights.astype(np.int64))
+        code = code.astype(np.int64)
+        newest = np.cumsum(code == 1)
+        target = np.where(code == 0, 0, np.where(code == 1, newest, newest + 2 - code))
+        return Automaton.of(words, first, label.astype(np.int32), target, final, weights.astype(np.int64), levels.astype(np.int64))
 
     def sequences(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """All sequences as rows of labels, and their weights."""
         state = np.array([len(self.first) - 2])
         number = np.zeros(1, np.int64)
-        rows = np.zeros((1, depth), np.int64)
+        rows = np.zeros((1, depth), np.int32)
         found, weights = [], []
         for d in range(depth + 1):
             ends = self.final[state]
@@ -193,6 +201,6 @@ def union(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
     words = np.unique(np.concatenate([w for w, _, _ in parts]))
     rows = []
     for own, sequences, _ in parts:
-        number = np.append(0, np.searchsorted(words, own) + 1)
+        number = np.append(0, np.searchsorted(words, own) + 1).astype(np.int32)
         rows.append(number[sequences])
     return words, *summed(np.concatenate(rows), np.concatenate([w for _, _, w in parts]))

@@ -13,8 +13,9 @@
 4. Candidates that lie in a longer one with nearly as many occurrences go; the best of each
    language are ranked in two steps, and only these get their text.
 
-Words travel as 64-bit hashes (two words of one language that collide would be one); counts
-are 64-bit, scores are worked out in unbounded integers.
+Words travel as 64-bit hashes (two words of one language that collide would be one), those
+that are common in a sample of SAMPLE_BYTES as places in a list that is broadcast, of at most
+KNOWN words; the list only makes rows shorter, and no result depends on it. Counts are 64-bit, scores are worked out in unbounded integers.
 
 Cases: null texts are empty; a null language is ``und`` and counts with texts of that
 language; a row is a text whatever its id, so repeated rows count each; empty tables, and
@@ -24,7 +25,7 @@ left out.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -42,9 +43,14 @@ from msgloom.llm.near_dup import mixed
 UNKNOWN = "und"
 #: Words of a phrase at most; words of a run; bytes of text, and phrases, of a range.
 LONGEST = 4
-RUN_WORDS = 2_000_000
+RUN_WORDS = 1_000_000
 RANGE_BYTES = 8 << 20
 RANGE_PHRASES = 200_000
+#: Groups of ranges that a run is dealt to at most.
+FAN = 256
+#: Bytes of text that the list of common words is taken from, and its length.
+SAMPLE_BYTES = 32 << 20
+KNOWN = 1 << 20
 #: Groups in which a language's phrases are ranked first.
 SALTS = 64
 
@@ -59,12 +65,12 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BYTES).replace(b".", b" . ").split()
 
 
-def range_of(words: np.ndarray, ranges: int) -> np.ndarray:
-    """Range of each row of language and words: hash of the language and the first three words."""
-    h = np.zeros(len(words), np.uint64)
-    for column in words[:, :LONGEST].T:
-        h = mixed(h + column.view(np.uint64))
-    return (h % np.uint64(ranges)).astype(np.int64)
+def range_of(hashes: np.ndarray, sequences: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each row of labels: hash of the language and the first three words."""
+    h = np.zeros(len(sequences), np.uint64)
+    for column in sequences.T[:LONGEST]:
+        h = mixed(h + hashes[column])
+    return (h % np.uint64(ranges)).astype(np.int32)
 
 
 class Run:
@@ -85,94 +91,147 @@ class Run:
             self.of.append(np.full(len(own) + 1, self.langs.setdefault(UNKNOWN if lang is None else lang, len(self.langs)), np.int32))
             self.size += len(own)
 
-    def rows(self, ranges: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    def rows(self, ranges: int, groups: int, known: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Range, packed automaton, and the words and languages of its sequences of one word."""
         if not self.size:
             return
+        spelled = [w for w, _ in sorted(self.number.items(), key=lambda x: x[1])][1:]
+        names = list(self.langs)
+        # labels in the order of the hashes of languages and words; 0 is none
+        texts = [x.encode("utf-8", "surrogatepass") for x in names] + spelled
+        found = np.array([xxhash.xxh3_64_intdigest(b"lang " + x) for x in texts[: len(names)]] + [xxhash.xxh3_64_intdigest(x) for x in spelled], np.uint64)
+        hashes, inverse = np.unique(found, return_inverse=True)
+        label = np.append(0, inverse + 1).astype(np.int32)
+        text_of = dict(zip((inverse + 1).tolist(), texts, strict=True))
+        hashes = np.append(np.uint64(0), hashes)
         ids = np.concatenate([*self.ids, np.zeros(LONGEST, np.int32)])
         n = len(ids) - LONGEST
-        spelled = sorted(self.number, key=self.number.__getitem__)[1:]
-        names = list(self.langs)
-        # labels: languages first, then words
-        lang = np.concatenate(self.of).astype(np.int64) + 1
-        grid = np.zeros((n, LONGEST + 1), np.int64)
-        grid[:, 0] = lang
-        going = np.ones(n, bool)
+        starts = np.flatnonzero(ids[:n])
+        grid = np.zeros((len(starts), LONGEST + 1), np.int32)
+        grid[:, 0] = label[np.concatenate(self.of)[starts] + 1]
+        going = np.ones(len(starts), bool)
         for k in range(LONGEST):
-            going = going & (ids[k : n + k] > 0)
-            grid[:, k + 1] = np.where(going, ids[k : n + k] + len(names), 0)
-        grid = grid[grid[:, 1] > 0]
-        ones, twos = grid.copy(), grid[grid[:, 2] > 0]
-        ones[:, 2:] = 0
-        twos[:, 3:] = 0
-        long = grid[grid[:, 3] > 0]
-        # words as hashes; of labels whose hash is equal one stands for all
-        hashes = np.array([0] + [xxhash.xxh3_64_intdigest(b"lang " + x.encode("utf-8", "surrogatepass")) for x in names] + [xxhash.xxh3_64_intdigest(x) for x in spelled], np.uint64)
-        found = [summed(part, np.ones(len(part), np.int64)) for part in (ones, twos, long)]
-        sequences, weights = np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found])
-        place = range_of(hashes[sequences].view(np.int64), ranges)
-        order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(ranges + 1))
-        for k in range(ranges):
-            own = order[cuts[k] : cuts[k + 1]]
-            if not len(own):
-                continue
-            labels = np.unique(sequences[own])
-            labels = labels[labels > 0]
-            words, inverse = np.unique(hashes[labels], return_inverse=True)
-            number = np.zeros(len(hashes), np.int64)
-            number[labels] = inverse + 1
-            # unigrams again in the order of the words, for their texts
-            s, w = summed(number[sequences[own]], weights[own])
-            single = own[sequences[own, 2] == 0]
-            singles = number[sequences[single]]
-            by = np.lexsort((singles[:, 1], singles[:, 0]))
-            text = b" ".join(spelled[x - len(names) - 1] for x in sequences[single, 1][by])
-            which = "\x00".join(names[x - 1] for x in sequences[single, 0][by]).encode("utf-8", "surrogatepass")
-            yield k, Automaton.build(words, s, w).pack(), zstandard.compress(text, 1), zstandard.compress(which, 1)
-
-
-def counted(docs: DataFrame, ranges: int) -> DataFrame:
-    """Packed automata of all runs: bucket, automaton, and the texts of its words and languages."""
+            own = ids[starts + k]
+            going &= own > 0
+            grid[:, k + 1] = np.where(going, label[np.where(own > 0, own + len(names), 0)], 0)
+        parts = []
+        for size in (1, 2, LONGEST):
+            own = grid if size == 1 else grid[grid[:, min(size, 3)] > 0]
+            s, w = summed(own[:, : size + 1], np.ones(len(own), np.int64))
+            parts.append((np.pad(s, ((0, 0), (0, LONGEST - size))), w))
+        del grid
+        sequences, weights = np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts])
+        yield from dealt(hashes, sequences, weights, text_of, ranges, groups, known)
+
+
+def dealt(hashes: np.ndarray, sequences: np.ndarray, weights: np.ndarray, text_of: dict[int, bytes], ranges: int, groups: int, known: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """One row for each of ``groups`` groups of neighbouring ranges that has sequences (of labels in the order of ``hashes``)."""
+    place = range_of(hashes, sequences, ranges).astype(np.int64) * groups // ranges
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(groups + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[k] : cuts[k + 1]]
+        rows = sequences[own]
+        used = np.zeros(len(hashes), bool)
+        used[rows.ravel()] = True
+        used[0] = False
+        labels = np.flatnonzero(used)
+        number = np.cumsum(used, dtype=np.int32)
+        number[0] = 0
+        s, w = summed(number[rows], weights[own])
+        single = s[(s[:, 1] > 0) & (s[:, 2] == 0)]
+        text = b" ".join(text_of[x] for x in labels[single[:, 1] - 1].tolist())
+        which = b"\x00".join(text_of[x] for x in labels[single[:, 0] - 1].tolist())
+        yield k, Automaton.build(hashes[labels], s, w).pack(known), zstandard.compress(text, 1), zstandard.compress(which, 1)
+
+
+def united(rows: pa.Table | pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
+    """Words, sequences, sums of weights, and the texts of words and languages by hash."""
+    parts, texts = [], {}
+    for k in range(rows.num_rows):
+        own = Automaton.unpack(rows.column("automaton")[k].as_py(), known)
+        s, w = own.sequences(LONGEST + 1)
+        parts.append((own.words, s, w))
+        single = s[(s[:, 1] > 0) & (s[:, 2] == 0)]  # in order, as they come from one level
+        h = own.words[single - 1]
+        texts.update(zip(h[:, 1].tolist(), zstandard.decompress(rows.column("spelled")[k].as_py()).split(b" "), strict=False))
+        texts.update(zip(h[:, 0].tolist(), zstandard.decompress(rows.column("names")[k].as_py()).split(b"\x00"), strict=False))
+        if sum(len(x) for _, x, _ in parts) > 4 * RUN_WORDS:
+            parts = [union(parts)]
+    return *union(parts), texts
+
+
+def common_words(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of the words that repeat in a sample of the texts, ascending; at most KNOWN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Run()
+        for batch in batches:
+            for part in slices(batch):
+                found = Counter(w for text in part.column("text").to_pylist() for w in tokens(text or ""))
+                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in found], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+
+    sample = docs.select("text").sample(fraction=min(1.0, SAMPLE_BYTES / max(1, size)), seed=11)
+    found = sample.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(KNOWN)
+    return np.sort(found.select("w").toPandas()["w"].to_numpy(np.int64).view(np.uint64))
+
+
+PACKED = "bucket int, automaton binary, spelled binary, names binary"
 
-        def done() -> pa.RecordBatch:
-            columns = zip(*own.rows(ranges), strict=True) if own.size else ((), (), (), ())
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "automaton", "spelled", "names"])
+
+def packed(rows: Iterator[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "automaton", "spelled", "names"])
+
+
+def counted(docs: DataFrame, ranges: int, known) -> DataFrame:
+    """Packed automata by range: bucket, automaton, and the texts of its words and languages.
+
+    A run is dealt to FAN groups of ranges at most; where there are more ranges, the rows of a
+    group are united in runs again and dealt on, so a run never makes more than FAN rows.
+    """
+    steps = [ranges]
+    while steps[0] > FAN:
+        steps.insert(0, -(-steps[0] // FAN))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Run()
 
         for batch in batches:
             for part in slices(batch):
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
                     own.add(text, lang)
                     if own.size >= RUN_WORDS:
-                        yield done()
+                        yield packed(own.rows(ranges, steps[0], known.value))
                         own = Run()
-        yield done()
+        yield packed(own.rows(ranges, steps[0], known.value))
+
+    rows = docs.mapInArrow(run, PACKED)
+    for before, groups in zip(steps, steps[1:], strict=False):
+
+        def deal_on(batches: Iterator[pa.RecordBatch], groups: int = groups) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:  # as many automata at once as a run has bytes
+                    n, size = 0, 0
+                    while at + n < batch.num_rows and (not n or size < 8 * RUN_WORDS):
+                        size += len(batch.column("automaton")[at + n].as_buffer())
+                        n += 1
+                    words, s, w, texts = united(batch.slice(at, n), known.value)
+                    labels = {k + 1: texts[x] for k, x in enumerate(words.tolist()) if x in texts}
+                    yield packed(dealt(np.append(np.uint64(0), words), s, w, labels, ranges, groups, known.value))
+                    at += n
 
-    return docs.mapInArrow(run, "bucket int, automaton binary, spelled binary, names binary")
+        rows = rows.repartition(before, "bucket").sortWithinPartitions("bucket").mapInArrow(deal_on, PACKED)
+    return rows
 
 
-def frequent(automata: DataFrame, min_count: int) -> DataFrame:
+def frequent(automata: DataFrame, known, min_count: int) -> DataFrame:
     """Phrases of one to LONGEST words with their counts, where frequent; and with size 0 each language's words in this range."""
 
     def unite(group: pa.Table) -> pa.Table:
-        parts, spelled = [], {}
-        for k in range(group.num_rows):
-            own = Automaton.unpack(group.column("automaton")[k].as_py())
-            s, w = own.sequences(LONGEST + 1)
-            parts.append((own.words, s, w))
-            single = s[(s[:, 1] > 0) & (s[:, 2] == 0)]
-            single = single[np.lexsort((single[:, 1], single[:, 0]))]
-            words = zstandard.decompress(group.column("spelled")[k].as_py()).split(b" ") if len(single) else []
-            names = zstandard.decompress(group.column("names")[k].as_py()).decode("utf-8", "surrogatepass").split("\x00")
-            h = own.words[single - 1]
-            spelled.update(zip(zip(h[:, 0].tolist(), h[:, 1].tolist(), strict=True), zip(words, names, strict=False), strict=True))
-            if sum(len(x) for _, x, _ in parts) > 4 * RUN_WORDS:
-                parts = [union(parts)]
-        words, s, w = union(parts)
+        words, s, w, texts = united(group, known.value)
         sizes = (s[:, 1:] > 0).sum(axis=1)
         out, counts, lengths = [], [], []
         for size in (1, 2, LONGEST):
@@ -196,10 +255,8 @@ def frequent(automata: DataFrame, min_count: int) -> DataFrame:
         rows = label[np.concatenate(out)]
         size = np.concatenate(lengths)
         text = [None] * len(rows)
-        name_of = {lang: name for (lang, _), (_, name) in spelled.items()}
         for k in np.flatnonzero(size <= 1).tolist():
-            lang = int(rows[k, 0])
-            text[k] = spelled[lang, int(rows[k, 1])][0].decode("utf-8", "replace") if size[k] else name_of[lang]
+            text[k] = texts[int(rows[k, size[k]])].decode("utf-8", "replace")
         bucket = pa.array(np.full(len(rows), group.column("bucket")[0].as_py() if group.num_rows else 0, np.int32))
         columns = [pa.array(c.view(np.int64)) for c in np.ascontiguousarray(rows.T)]
         return pa.table([bucket, *columns, pa.array(size.astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(text, pa.string())], names=["bucket", "lang", *_WORDS, "size", "f", "word"])
@@ -282,8 +339,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score. The module's text has the method and the cases."""
     docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    automata = counted(docs, max(1, -(-size // RANGE_BYTES)))
-    phrases = staged(frequent(automata, min_count))
+    known = docs.sparkSession.sparkContext.broadcast(common_words(docs, size))
+    automata = counted(docs, max(1, -(-size // RANGE_BYTES)), known)
+    phrases = staged(frequent(automata, known, min_count))
     ranges = max(1, -(-phrases.count() // RANGE_PHRASES))
     totals = phrases.where("size = 0").groupBy("lang").agg(F.sum("f").alias("n"), F.max("word").alias("name"))
     words = phrases.where("size = 1").select("lang", F.col("w1").alias("w"), "word")

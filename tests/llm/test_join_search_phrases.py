@@ -165,7 +165,7 @@ def brute_phrases(rows, least, contained, top):
 
 @pytest.mark.parametrize("run_words, range_bytes, range_phrases", [(2_000_000, 8 << 20, 200_000), (3000, 20_000, 50)])
 def test_collocations_match_brute_force(spark, sf_dir, monkeypatch, run_words, range_bytes, range_phrases):
-    for name, value in (("RUN_WORDS", run_words), ("RANGE_BYTES", range_bytes), ("RANGE_PHRASES", range_phrases), ("SALTS", 3)):
+    for name, value in (("RUN_WORDS", run_words), ("RANGE_BYTES", range_bytes), ("RANGE_PHRASES", range_phrases), ("SALTS", 3), ("FAN", 256 if run_words > 5000 else 4)):
         monkeypatch.setattr(collocations, name, value)
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     rows = [tuple(r) for r in docs.collect()] + [(None, "x y z w x y z w, x y!"), ("und", "X Y\tz"), ("en", None), ("en", ""), ("en", "Ü ü é a b")]
@@ -183,12 +183,13 @@ def test_automaton_unites_and_composes():
     rng = np.random.default_rng(8)
     want = Counter()
     parts = []
+    common = np.arange(0, 60, 3, dtype=np.uint64) * np.uint64(977)
     for _ in range(5):
         words = np.unique(rng.integers(1, 60, 25).astype(np.uint64)) * np.uint64(977)
         rows = rng.integers(1, len(words) + 1, (400, 4))
         rows[np.arange(4) >= rng.integers(1, 5, 400)[:, None]] = 0
         sequences, weights = automata.summed(rows, np.ones(400, np.int64))
-        made = automata.Automaton.unpack(automata.Automaton.build(words, sequences, weights).pack())
+        made = automata.Automaton.unpack(automata.Automaton.build(words, sequences, weights).pack(common), common)
         assert len(made.first) - 1 <= 1 + sum(len(np.unique(sequences[:, :d], axis=0)) for d in range(4))
         back, again = made.sequences(4)
         assert {(*r, w) for r, w in zip(back.tolist(), again.tolist(), strict=True)} == {(*r, w) for r, w in zip(sequences.tolist(), weights.tolist(), strict=True)}
