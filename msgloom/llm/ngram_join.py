@@ -3,9 +3,9 @@
 1. Each whole text becomes its set of word n-grams, as 64-bit hashes; documents with equal
    sets are one class, named by its smallest id. From here on only classes are compared.
 2. A linked pair shares an n-gram among the first ones of both sets in any fixed order
-   (prefix filter), and its sizes lie in one size band or in two neighbouring ones. A tile is
-   an n-gram and a band: a class is a member of the tiles of its own band for each n-gram of
-   its prefix, and a guest in those of the next larger band. Every linked pair thus meets in
+   (prefix filter), and its sizes lie in one size band or in near ones. A tile is an n-gram
+   and a band: a class is a member of the tiles of its own band for each n-gram of its
+   prefix, and a guest in those of the larger bands that its partners may have. Every linked pair thus meets in
    a tile. The order puts n-grams that a count of repeats inside slices of text found to be
    common last, so passages that many documents share make no tiles; the counts only choose
    the order, so results never depend on them. Tiles with the same classes count once.
@@ -46,16 +46,20 @@ from msgloom.llm.near_dup import components, full_sets, shingles
 BITMAP = 8
 #: Rounds in which the classes of a tile meet a drawn one.
 ROUNDS = 3
-#: Bytes of sets in a cell, most rows of one, and parts that a hot tile's rows are dealt to before its size is known.
+#: Bytes of sets in a cell, most rows of one, and parts that rows of a hot tile are dealt to before its size is known.
 CELL_BYTES = 8 << 20
 CELL_ROWS = 4096
-SALTS = 8
+SALTS = 16
 #: Rows of a tile whose pairs are still compared one by one in step 4.
 SMALL = 32
+#: Ids up to which the list of texts to read again may be broadcast (16 bytes each); else it is joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: N-grams held by a task before it counts repeats, repeats that it reports, and n-grams in the list of common ones.
 COUNTED = 2_000_000
 REPEATS = 4
 COMMON = 200_000
+#: log2 of the repeats from which a common n-gram's tiles are dealt to SALTS parts.
+HOT = 10
 
 _BITS = [f"s{k}" for k in range(BITMAP)]
 
@@ -65,9 +69,9 @@ def required(size_a: int | np.ndarray, size_b: int | np.ndarray, percent: int) -
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
-def band_of(size: int, percent: int) -> int:
-    """Linked sets lie in the same band or in neighbouring ones; bands are a little wider than need be, for rounding."""
-    return int(math.log(size) / math.log(100 / (percent - 1))) if percent > 1 else 0
+def bands_of(size: int, percent: int) -> tuple[int, int]:
+    """Band of a set of this size, and of the largest set that it may be linked with; each band doubles the size."""
+    return size.bit_length() - 1, (100 * size // percent).bit_length() - 1
 
 
 def bitmap(items: np.ndarray, words: int) -> np.ndarray:
@@ -106,33 +110,35 @@ def common_grams(df: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def features(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set), band, prefix and bitmap of each row."""
-    schema = "doc_id long, n_shingles long, set_key binary, band int, prefix array<long>, " + ", ".join(f"{s} long" for s in _BITS)
+    """doc_id, n_shingles, set_key (null for the empty set), bands, prefix (common n-grams last, and their number) and bitmap of each row."""
+    schema = "doc_id long, n_shingles long, set_key binary, band int, last int, prefix array<long>, hot int, " + ", ".join(f"{s} long" for s in _BITS)
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks = shared.value
         for batch in batches:
             for part in slices(batch):
-                counts, keys, bands, prefixes, bits = [], [], [], [], []
+                counts, keys, bands, prefixes, hot, bits = [], [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     items = shingles(text, words)
                     n = len(items)
                     counts.append(n)
                     keys.append(xxhash.xxh3_128_digest(items.tobytes()) if n else None)
-                    bands.append(band_of(n, percent) if n else None)
+                    bands.append(bands_of(n, percent) if n else (None, None))
                     first = n - math.ceil(percent * n / 100) + 1 if n else 0
                     if len(grams) and n:
                         at = np.minimum(np.searchsorted(grams, items), len(grams) - 1)
                         rank = np.where(grams[at] == items, ranks[at], 0)
-                        items_in_order = items[np.argsort(rank, kind="stable")]
+                        order = np.argsort(rank, kind="stable")[:first]
+                        hot.append(int((rank[order] >= HOT).sum()))
+                        prefixes.append(items[order].view(np.int64))
                     else:
-                        items_in_order = items
-                    prefixes.append(items_in_order[:first].view(np.int64))
+                        hot.append(0)
+                        prefixes.append(items[:first].view(np.int64))
                     bits.append(bitmap(items, BITMAP).view(np.int64))
-                arrays = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+                arrays = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int32()) for x in zip(*bands, strict=True)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.int32())]
                 arrays += [pa.array(column, pa.int64()) for column in np.array(bits).T]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "band", "prefix", *_BITS])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "band", "last", "prefix", "hot", *_BITS])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -146,23 +152,62 @@ def overlap_bound(percent: int) -> Column:
     return F.when(100 * overlap >= percent * (F.col("a_size") + F.col("b_size") - overlap), overlap)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose sorted sets overlap enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("b_items"))
-    met = pairs.join(left, "a").join(right, "b")
+def shared_tiles(rows: DataFrame) -> DataFrame:
+    """The rows (tile, salt, ..) whose tile has another row; those of dealt tiles, with a salt above 0, all stay.
+
+    Rows come in order of their tiles as a stream, of which a task holds a batch and a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going = None, None  # a row that may be alone in its tile; the tile that has had several
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                held = None
+            tile = batch.column("tile").to_numpy()
+            starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            counts = np.diff(np.append(starts, len(tile)))
+            several = counts > 1
+            several[0] |= going is not None and tile[0] == going
+            keep = np.repeat(several, counts) | (batch.column("salt").to_numpy() > 0)
+            if not several[-1]:
+                held, going = batch.slice(len(tile) - 1), None
+                keep[-1] = False
+            else:
+                going = tile[-1]
+            yield batch.filter(pa.array(keep))
+        if held is not None:
+            yield held.filter(pa.array(held.column("salt").to_numpy() > 0))
+
+    return rows.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(run, rows.schema)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose texts' sorted sets overlap enough; ``docs`` has doc_id and text."""
+    pairs = staged(pairs)
     names = pairs.columns
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if pairs.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.join(ids, "doc_id", "left_semi")
+    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, None
         for batch in batches:
-            a, b = batch.column("a_items"), batch.column("b_items")
-            linked = []
-            for k in range(batch.num_rows):
-                x, y = a[k].values.to_numpy(), b[k].values.to_numpy()
-                linked.append(overlap_of(x, y) >= required(len(x), len(y), percent))
-            yield batch.select(names).filter(pa.array(linked, pa.bool_()))
+            for part in slices(batch):
+                linked = []
+                for b, one, two in zip(part.column("b").to_pylist(), part.column("a_text").to_pylist(), part.column("b_text").to_pylist(), strict=True):
+                    if (b, two) != last:
+                        last, y = (b, two), shingles(two, words)
+                    x = shingles(one, words)
+                    linked.append(bool(len(x)) and overlap_of(x, y) >= required(len(x), len(y), percent))
+                yield part.select(names).filter(pa.array(linked, pa.bool_()))
 
-    return met.select(*names, "a_items", "b_items").mapInArrow(run, pairs.schema)
+    return met.select(*names, "a_text", "b_text").mapInArrow(run, pairs.schema)
 
 
 def overlap_of(x: np.ndarray, y: np.ndarray) -> int:
@@ -235,36 +280,33 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     order = np.argsort(grams)
     each = staged(features(df, id_col, text_col, words, percent, (grams[order], ranks[order])))
     usable = each.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    same = [F.first(c).alias(c) for c in ["n_shingles", "band", "prefix", *_BITS]]
+    same = [F.first(c).alias(c) for c in ["n_shingles", "band", "last", "prefix", "hot", *_BITS]]
     classes = staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *same).withColumnRenamed("n_shingles", "size"))
     signed = classes.select("node", "size", *_BITS)
 
     # members and guests of tiles; tiles with one class or with guests only hold no pair
-    place = F.explode(F.array(F.struct(F.lit(0).alias("guest"), F.col("band").alias("band")), F.struct(F.lit(1).alias("guest"), (F.col("band") + 1).alias("band"))))
+    rows = classes.select("node", "size", "prefix", "hot", "band", F.explode(F.sequence("band", "last")).alias("at"))
     # a guest is the smaller one of its pairs, and needs the shorter prefix of such
     shorter = F.expr(f"cast(size - ceil(2 * {percent} * size / {100 + percent}) + 1 AS int)")
-    rows = classes.select("node", "size", "prefix", place.alias("at"))
-    rows = rows.select("node", "size", F.explode(F.when(F.col("at.guest") == 0, F.col("prefix")).otherwise(F.slice("prefix", F.lit(1), shorter))).alias("gram"), F.col("at.band").alias("band"), F.col("at.guest").alias("guest"))
-    rows = rows.select(F.xxhash64("gram", "band").alias("tile"), "node", "size", "guest", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
-    # two hashes over the rows tell whether two tiles hold the same classes in the same roles
+    salt = F.when(F.col("pos") >= F.size("prefix") - F.col("hot"), 1 + F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("short")
+    rows = rows.select("*", F.posexplode("prefix").alias("pos", "gram")).where((F.col("at") == F.col("band")) | (F.col("pos") < shorter))
+    rows = rows.select(F.xxhash64("gram", "at").alias("tile"), salt.alias("salt"), "node", F.col("size").cast("int").alias("size"), (F.col("at") > F.col("band")).alias("guest"))
+    rows = staged(shared_tiles(rows))
+    # hashes over the rows tell whether two tiles hold the same classes in the same roles
     marks = [F.bit_xor(F.xxhash64("node", "guest", F.lit(k))).alias(f"mark_{k}") for k in range(2)]
-    heads = rows.groupBy("tile").agg(F.count("*").alias("n"), F.min("guest").alias("least"), F.sum("size").alias("total"), *marks).where("n > 1 AND least = 0")
+    heads = rows.groupBy("tile").agg(F.count("*").alias("n"), F.bool_and("guest").alias("idle"), F.sum("size").alias("total"), *marks).where("n > 1 AND NOT idle")
     heads = heads.groupBy("n", "mark_0", "mark_1", "total").agg(F.min("tile").alias("tile"))
     parts = F.greatest(F.ceil(F.col("total") * 8 / CELL_BYTES), F.ceil(F.col("n") / CELL_ROWS)).cast("int")
-    heads = heads.select("tile", parts.alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    shared = rows.join(heads, ["tile", "salt"]).withColumn("cell", F.pmod(F.xxhash64("node", F.lit(9)), F.col("cells")).cast("int"))
-    shared = staged(shared.select("tile", "cell", "cells", "node", "guest"))
+    shared = rows.join(heads.select("tile", parts.alias("cells")), "tile").withColumn("cell", F.pmod(F.xxhash64("node", F.lit(9)), F.col("cells")).cast("int"))
+    shared = staged(shared.select("tile", "cell", "cells", "node"), rows)
 
     # rows of one id with different sets: their classes belong together
     twice = usable.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
     twice = usable.select("doc_id", "set_key").join(twice, "doc_id", "left_semi").distinct().join(classes.select("set_key", "node"), "set_key")
     given = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
 
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     needed = staged(shared.select("node").distinct())
-    texts = df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).join(needed.select(F.col("node").alias(id_col)), id_col, "left_semi")
-    keyed = full_sets(texts, id_col, text_col, words)
-    # of an id with several texts the one whose class the id names
-    sets = staged(keyed.join(classes.select(F.col("node").alias("doc_id"), "size"), "doc_id").where(F.size("items") == F.col("size")).dropDuplicates(["doc_id"]).drop("size"))
     rooted = staged(signed.join(needed, "node", "left_semi").withColumn("root", F.col("node")), needed)
     every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
 
@@ -295,7 +337,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
         near = near.where("a_root <> b_root").withColumn("bound", overlap_bound(percent)).where("bound IS NOT NULL")
         share = F.col("bound") / (F.col("a_size") + F.col("b_size"))
         best = near.groupBy(F.col("a_node").alias("a")).agg(F.max(F.struct(share.alias("share"), "b_node", "a_root", "b_root")).alias("best"))
-        links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"), sets, percent)
+        links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"), docs, words, percent)
         rooted = merged(links.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")), rows)
 
     # small tiles: the pairs that bounds allow, each once
@@ -304,13 +346,14 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     few = rows.join(counts.where(F.col("n") <= SMALL).select("tile"), "tile", "left_semi")
     side = lambda s: few.select("tile", *(F.col(c).alias(f"{s}_{c}") for c in names))
     met = side("a").join(side("b"), "tile").where((F.col("a_root") < F.col("b_root")) & overlap_bound(percent).isNotNull())
-    links = confirmed(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_root", "b_root").distinct(), sets, percent)
+    links = confirmed(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_root", "b_root").distinct(), docs, words, percent)
     links = links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
 
     # others: each row goes to every pair of cells that holds its own; a tile of one cell has one such pair
     pair = lambda k: F.struct(F.least("cell", k).alias("low"), F.greatest("cell", k).alias("high"))
     many = rows.join(counts.where(F.col("n") > SMALL).select("tile"), "tile", "left_semi")
     dealt = many.select("tile", "cell", "node", "root", F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), pair)).alias("pair"))
+    sets = full_sets(docs.join(many.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id", "text", words)
     dealt = dealt.join(sets.select(F.col("doc_id").alias("node"), "items"), "node").select("tile", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "cell", "root", "items")
 
     def run(group: pa.Table) -> pa.Table:
@@ -330,7 +373,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     if not ids.isEmpty():
         last = components(ids).select(F.col("node").alias("root"), F.col("root").alias("merged"))
         own = own.join(last, "root", "left").select("set_key", F.coalesce("merged", "root").alias("root"))
-    discard(shared, sets)
+    discard(shared)
     out = each.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

@@ -44,6 +44,7 @@ def families():
 def test_ngram_join_matches_brute_force(spark, sf_dir, monkeypatch, words, percent, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
     monkeypatch.setattr(ngram_join, "CELL_ROWS", 16)  # tiles of several cells
+    monkeypatch.setattr(ngram_join, "HOT", 3)
     monkeypatch.setattr(ngram_join, "ROUNDS", 3 if small else 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()] + families()
@@ -72,10 +73,10 @@ def test_ngram_join_bounds():
             assert (len(x) + len(y) - differ) // 2 >= common
         linked = 100 * common >= 85 * (len(x) + len(y) - common)
         assert linked == (common >= ngram_join.required(len(x), len(y), 85))
-        if linked:
-            assert abs(ngram_join.band_of(len(x), 85) - ngram_join.band_of(len(y), 85)) <= 1
-    for size in range(1, 5000):
-        assert ngram_join.band_of(-(-size * 85 // 100), 85) >= ngram_join.band_of(size, 85) - 1
+    for percent in (40, 60, 85):
+        for size in range(1, 5000):
+            least = -(-size * percent // 100)
+            assert ngram_join.bands_of(least, percent)[0] <= ngram_join.bands_of(size, percent)[0] <= ngram_join.bands_of(least, percent)[1]
 
 
 # --- ranked search -----------------------------------------------------------
