@@ -45,7 +45,7 @@ from msgloom.llm.near_dup import components, full_sets, shingles
 #: Words of 64 bits of the bitmap that travels with a class.
 BITMAP = 8
 #: Rounds in which the classes of a tile meet a drawn one.
-ROUNDS = 3
+ROUNDS = 2
 #: Bytes of sets in a cell, most rows of one, and parts that rows of a hot tile are dealt to before its size is known.
 CELL_BYTES = 8 << 20
 CELL_ROWS = 4096
@@ -55,9 +55,9 @@ SMALL = 32
 #: Ids up to which the list of texts to read again may be broadcast (16 bytes each); else it is joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: N-grams held by a task before it counts repeats, repeats that it reports, and n-grams in the list of common ones.
-COUNTED = 2_000_000
-REPEATS = 4
-COMMON = 200_000
+COUNTED = 4_000_000
+REPEATS = 2
+COMMON = 1_000_000
 #: log2 of the repeats from which a common n-gram's tiles are dealt to SALTS parts.
 HOT = 10
 
@@ -74,6 +74,11 @@ def bands_of(size: int, percent: int) -> tuple[int, int]:
     return size.bit_length() - 1, (100 * size // percent).bit_length() - 1
 
 
+def width_for(size: int) -> int:
+    """Words of a bitmap with about four bits for each item, a power of two."""
+    return 1 << max(0, math.ceil(math.log2(max(1, size / 16))))
+
+
 def bitmap(items: np.ndarray, words: int) -> np.ndarray:
     """Parity of the number of items that hash to each of 64 * words bits."""
     counts = np.bincount((items % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
@@ -111,14 +116,14 @@ def common_grams(df: DataFrame, text_col: str, words: int) -> DataFrame:
 
 def features(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_shingles, set_key (null for the empty set), bands, prefix (common n-grams last, and their number) and bitmap of each row."""
-    schema = "doc_id long, n_shingles long, set_key binary, band int, last int, prefix array<long>, hot int, " + ", ".join(f"{s} long" for s in _BITS)
+    schema = "doc_id long, n_shingles long, set_key binary, band int, last int, prefix array<long>, hot int, map binary, " + ", ".join(f"{s} long" for s in _BITS)
     shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, ranks = shared.value
         for batch in batches:
             for part in slices(batch):
-                counts, keys, bands, prefixes, hot, bits = [], [], [], [], [], []
+                counts, keys, bands, prefixes, hot, maps, bits = [], [], [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     items = shingles(text, words)
                     n = len(items)
@@ -135,10 +140,11 @@ def features(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
                     else:
                         hot.append(0)
                         prefixes.append(items[:first].view(np.int64))
+                    maps.append(bitmap(items, width_for(n)).tobytes())
                     bits.append(bitmap(items, BITMAP).view(np.int64))
-                arrays = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int32()) for x in zip(*bands, strict=True)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.int32())]
+                arrays = [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(x, pa.int32()) for x in zip(*bands, strict=True)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(maps, pa.binary())]
                 arrays += [pa.array(column, pa.int64()) for column in np.array(bits).T]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "band", "last", "prefix", "hot", *_BITS])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "band", "last", "prefix", "hot", "map", *_BITS])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -184,10 +190,32 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(run, rows.schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose texts' sorted sets overlap enough; ``docs`` has doc_id and text."""
-    pairs = staged(pairs)
-    names = pairs.columns
+def bound_of(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int:
+    """Upper bound of the overlap by two bitmaps, the wider one folded to the other's width."""
+    if len(x) > len(y):
+        x, y = y, x
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return min(size_x, size_y, (size_x + size_y - int(np.bitwise_count(x ^ y).sum())) // 2)
+
+
+def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) that are linked.
+
+    Bit counts of bitmaps as wide as the sets (``maps``: node, size, map) rule most others
+    out; for the rest the sorted sets of the texts (``docs``: doc_id, text) are intersected.
+    """
+    names, schema = pairs.columns, pairs.schema
+    sides = pairs.join(maps.select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("map").alias("a_map")), "a")
+    sides = sides.join(maps.select(F.col("node").alias("b"), F.col("size").alias("b_n"), F.col("map").alias("b_map")), "b")
+
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_map", "b_map")), strict=True):
+                kept.append(bound_of(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), n, m) >= required(n, m, percent))
+            yield batch.select(names).filter(pa.array(kept, pa.bool_()))
+
+    pairs = staged(sides.select(*names, "a_n", "b_n", "a_map", "b_map").mapInArrow(may, schema).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if pairs.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -207,7 +235,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                     linked.append(bool(len(x)) and overlap_of(x, y) >= required(len(x), len(y), percent))
                 yield part.select(names).filter(pa.array(linked, pa.bool_()))
 
-    return met.select(*names, "a_text", "b_text").mapInArrow(run, pairs.schema)
+    return met.select(*names, "a_text", "b_text").mapInArrow(run, schema)
 
 
 def overlap_of(x: np.ndarray, y: np.ndarray) -> int:
@@ -247,7 +275,7 @@ def cell_links(roots: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, wit
     these leave is intersected, unless links found meanwhile have joined the roots.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    width = 1 << max(0, math.ceil(math.log2(max(1, int(sizes.max()) / 16))))
+    width = width_for(int(sizes.max()))
     maps = np.stack([bitmap(s.view(np.uint64), width) for s in sets])
     found = []
     left = np.flatnonzero(sides == 0)
@@ -280,7 +308,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     order = np.argsort(grams)
     each = staged(features(df, id_col, text_col, words, percent, (grams[order], ranks[order])))
     usable = each.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    same = [F.first(c).alias(c) for c in ["n_shingles", "band", "last", "prefix", "hot", *_BITS]]
+    same = [F.first(c).alias(c) for c in ["n_shingles", "band", "last", "prefix", "hot", "map", *_BITS]]
     classes = staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *same).withColumnRenamed("n_shingles", "size"))
     signed = classes.select("node", "size", *_BITS)
 
@@ -307,6 +335,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     needed = staged(shared.select("node").distinct())
+    maps = staged(classes.select("node", "size", "map").join(needed, "node", "left_semi"))
     rooted = staged(signed.join(needed, "node", "left_semi").withColumn("root", F.col("node")), needed)
     every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
 
@@ -337,7 +366,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
         near = near.where("a_root <> b_root").withColumn("bound", overlap_bound(percent)).where("bound IS NOT NULL")
         share = F.col("bound") / (F.col("a_size") + F.col("b_size"))
         best = near.groupBy(F.col("a_node").alias("a")).agg(F.max(F.struct(share.alias("share"), "b_node", "a_root", "b_root")).alias("best"))
-        links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"), docs, words, percent)
+        links = confirmed(best.select("a", F.col("best.b_node").alias("b"), "best.a_root", "best.b_root"), maps, docs, words, percent)
         rooted = merged(links.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")), rows)
 
     # small tiles: the pairs that bounds allow, each once
@@ -346,7 +375,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     few = rows.join(counts.where(F.col("n") <= SMALL).select("tile"), "tile", "left_semi")
     side = lambda s: few.select("tile", *(F.col(c).alias(f"{s}_{c}") for c in names))
     met = side("a").join(side("b"), "tile").where((F.col("a_root") < F.col("b_root")) & overlap_bound(percent).isNotNull())
-    links = confirmed(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_root", "b_root").distinct(), docs, words, percent)
+    links = confirmed(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_root", "b_root").distinct(), maps, docs, words, percent)
     links = links.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
 
     # others: each row goes to every pair of cells that holds its own; a tile of one cell has one such pair
@@ -373,7 +402,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     if not ids.isEmpty():
         last = components(ids).select(F.col("node").alias("root"), F.col("root").alias("merged"))
         own = own.join(last, "root", "left").select("set_key", F.coalesce("merged", "root").alias("root"))
-    discard(shared)
+    discard(shared, maps)
     out = each.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

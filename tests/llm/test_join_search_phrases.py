@@ -71,6 +71,8 @@ def test_ngram_join_bounds():
         for width in (1, 8):
             differ = int(np.bitwise_count(ngram_join.bitmap(x, width) ^ ngram_join.bitmap(y, width)).sum())
             assert (len(x) + len(y) - differ) // 2 >= common
+        for wide, narrow in ((8, 8), (32, 4), (1, 16)):
+            assert ngram_join.bound_of(ngram_join.bitmap(x, wide), ngram_join.bitmap(y, narrow), len(x), len(y)) >= common
         linked = 100 * common >= 85 * (len(x) + len(y) - common)
         assert linked == (common >= ngram_join.required(len(x), len(y), 85))
     for percent in (40, 60, 85):
