@@ -1,7 +1,7 @@
 """Similarity of titles and places, by published definitions of ratio.
 
 ratio(a, b) = 2 * LCS / (|a| + |b|), with the longest common subsequence found bit-parallel.
-Equal and empty texts are settled in Spark; only the rest reaches the Arrow-batched helper.
+Equal and empty texts are settled in Spark; the Arrow-batched helper gets nulls for them.
 """
 
 from __future__ import annotations
@@ -88,7 +88,10 @@ def best_window(a: str, b: str, best: float) -> float:
 
 def _scored(a: Column, b: Column, helper) -> Column:
     empty_a, empty_b = F.coalesce(a, F.lit("")) == "", F.coalesce(b, F.lit("")) == ""
-    return F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).when(a == b, F.when(a.rlike(r"\S"), 1.0).otherwise(helper(a, b))).otherwise(helper(a, b))
+    same = (a == b) & a.rlike(r"\S")
+    # Spark runs the helper on all rows, so it gets nulls where the score is settled
+    open_ = ~(empty_a | empty_b | same)
+    return F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).when(same, 1.0).otherwise(helper(F.when(open_, a), F.when(open_, b)))
 
 
 @F.pandas_udf(DoubleType())

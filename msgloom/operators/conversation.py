@@ -14,18 +14,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgloom.functions import fixed
-from msgloom.functions.text import blank, has_cue, is_completed, is_payment_at
+from msgloom.functions.text import blank, has_cue, is_completed, is_payment
+from msgloom.functions.tokens import let, received_date
 
 
 def ingest_gate(message: Column, received_at: Column, enabled: Column) -> Column:
     """text there, channel on, a cue, no completed or payment notice."""
-    return F.coalesce(enabled, F.lit(False)) & ~blank(message) & has_cue(message) & ~is_completed(message) & ~is_payment_at(message, received_at)
+    # bound once, since a filter below a projection takes the whole expressions of its columns in
+    return F.coalesce(enabled, F.lit(False)) & let(lambda m, d: ~blank(m) & has_cue(m) & ~is_completed(m) & ~is_payment(m, d), m=message, d=received_date(received_at))
 
 
 def two_way_gate(message: Column, received_at: Column, enabled: Column, thread: Column) -> Column:
     """as F4, but the cue may stand in any turn of the thread."""
-    cue = has_cue(message) | F.coalesce(F.exists(thread, lambda t: has_cue(t["message"])), F.lit(False))
-    return F.coalesce(enabled, F.lit(False)) & ~blank(message) & cue & ~is_completed(message) & ~is_payment_at(message, received_at)
+    in_thread = F.coalesce(F.exists(thread, lambda t: has_cue(t["message"])), F.lit(False))
+    said = let(lambda m, d, t: ~blank(m) & (has_cue(m) | t) & ~is_completed(m) & ~is_payment(m, d), m=message, d=received_date(received_at), t=in_thread)
+    return F.coalesce(enabled, F.lit(False)) & said
 
 
 def gate(messages: DataFrame, channels: DataFrame) -> DataFrame:
@@ -37,6 +40,12 @@ def gate(messages: DataFrame, channels: DataFrame) -> DataFrame:
     return kept.drop("enabled")
 
 
+def two_way(messages: DataFrame, channels: DataFrame) -> DataFrame:
+    """F5 over a frame whose messages bring their ``thread_context``."""
+    rows = messages.join(channels, "channel", "left")
+    return rows.where(two_way_gate(F.col("message"), F.col("received_at"), F.col("enabled"), F.col("thread_context"))).drop("enabled")
+
+
 def suppress_repeats(df: DataFrame, conversation: str = "conversation", time: str = "seconds", order: str = "seq", same: tuple[str, ...] = ("sender", "body"), seconds: int = fixed.REPEAT_SECONDS) -> DataFrame:
     """Without messages that repeat the last kept one within ``seconds``.
 

@@ -262,6 +262,8 @@ def fold_events(rows: list[dict], stored: list[dict]) -> set[str]:
     return touched
 
 
+#: Columns that an event may have besides, as it was stored first.
+CARRIED = {"attendees": "array<string>", "end": "string", "all_day": "boolean", "location": "string", "description": "string"}
 EVENT_COLUMNS = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long"
 
 
@@ -270,8 +272,8 @@ def merge_events(events: DataFrame, stored: DataFrame | None = None, owner: tupl
 
     Each event, in order of arrival, joins the newest stored one of its room, else of its base
     title, else is stored unless its key is. Joining changes a title at most, never the time
-    it counts from. ``merged`` counts what an event took in; ``attendees``, if given, stay those
-    of the event that was stored. ``stored`` has the columns of the result.
+    it counts from. ``merged`` counts what an event took in; the columns of CARRIED that are given stay
+    those of the event that was stored. ``stored`` has the columns of the result.
 
     Matches need the same channel and start (null is a start like any other) and the same
     owner: ``owner`` names the columns that say whose store an event belongs to (a device, a
@@ -279,7 +281,7 @@ def merge_events(events: DataFrame, stored: DataFrame | None = None, owner: tupl
     which a task holds the events that are young enough to match; it is for the owner to keep
     that many small. An event without room and title can match none and is stored.
     """
-    extra = ", attendees array<string>" if "attendees" in events.columns else ""
+    extra = "".join(f", `{c}` {kind}" for c, kind in CARRIED.items() if c in events.columns)
     kinds = StructType([events.schema[c] for c in owner])
     schema = StructType(kinds.fields + StructType.fromDDL(f"{EVENT_COLUMNS}, merged long{extra}").fields)
     names = [*schema.names]
@@ -310,11 +312,11 @@ def merge_events(events: DataFrame, stored: DataFrame | None = None, owner: tupl
     return in_order.mapInArrow(run, schema)
 
 
-def with_roster_title(events: DataFrame) -> DataFrame:
-    """W4's first step: attendees with the message's numbered names, and the title composed anew where there are any."""
+def with_roster_title(events: DataFrame, author: str = "sender") -> DataFrame:
+    """W4's first step: attendees with the message's numbered names, and the title composed anew where there are any; ``author`` is whom titles name."""
     names = roster(F.coalesce("message", F.lit("")))
     everyone = F.array_distinct(F.filter(F.concat(F.coalesce("attendees", F.array().cast("array<string>")), names), lambda a: ~blank(a)))
-    retitled = F.when((F.size(names) > 0) & ~blank(F.col("base_title")), compose_title(F.col("base_title"), F.col("sender"))).otherwise(F.col("title"))
+    retitled = F.when((F.size(names) > 0) & ~blank(F.col("base_title")), compose_title(F.col("base_title"), F.col(author))).otherwise(F.col("title"))
     return events.withColumn("title", retitled).withColumn("attendees", everyone)
 
 

@@ -390,6 +390,22 @@ def s7_mail_text(spark, sf_dir):
     return io.mail_text(rows).select("mail_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
+@query("SELECT page_id AS mail_id, md5(url || chr(10) || CASE page_id % 3 WHEN 0 THEN '회의 ' || chr(65533) ELSE trim(url) END) AS body_md5 FROM pages")
+def s7_nested_mail(spark, sf_dir):
+    """Nested payloads: the text lies two levels down, behind an attachment and before HTML; every third is in EUC-KR, with a byte that is none."""
+    coded = F.translate(F.base64(F.col("url").cast("binary")), "+/", "-_")
+    head = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    leaf = lambda mime, data, charset: F.to_json(F.struct(F.lit(mime).alias("mimeType"), F.array(head("Content-Type", F.concat(F.lit(f"{mime}; charset="), charset))).alias("headers"), F.struct(data.alias("data")).alias("body")))
+    korean = F.col("page_id") % 3 == 0
+    plain = leaf("text/plain", F.when(korean, F.lit("yLjAxyD_")).otherwise(coded), F.when(korean, F.lit('"EUC-KR"')).otherwise(F.lit("utf-8")))
+    html = leaf("text/html", F.base64(F.col("html").cast("binary")), F.lit("utf-8"))
+    branch = lambda kind, *parts: F.concat(F.lit(f'{{"mimeType":"{kind}","parts":['), F.concat_ws(",", *parts), F.lit("]}"))
+    whole = branch("multipart/related", F.lit('{"mimeType":"image/png","body":{"data":"AAAA"}}'), branch("multipart/alternative", leaf("text/plain", F.lit("ICA="), F.lit("utf-8")), plain, html), html)
+    payload = F.concat(F.lit('{"headers":'), F.to_json(F.array(head("Subject", F.col("url")))), F.lit(","), F.substring(whole, F.lit(2), F.length(whole)))
+    mails = MAIL.spark(spark, sf_dir).select(F.col("page_id").alias("mail_id"), payload.alias("payload"))
+    return io.mail_text(io.mail_parts(mails)).select("mail_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 @query(
     f"""{M} SELECT event_id, is_schedule, nullif(title, '') AS title, CASE WHEN k % 3 = 0 THEN 'd' ELSE nullif(date, '') END AS date, CASE WHEN has_time THEN hour END AS hour, CASE WHEN has_time THEN marker END AS marker, CASE WHEN k % 3 > 0 AND has_time THEN minute END AS end_minute,
     nullif(place, '') AS location, '{fixed.ATTENDEES_LINE}' || sender || CASE WHEN k % 3 = 1 THEN chr(10) || '{fixed.ORGANIZER_LINE}' || sender ELSE '' END AS description FROM m"""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from msgloom.plans.assembly import assemble
 from msgloom.plans.evaluation import run_evaluation
-from msgloom.plans.message_flow import to_events, to_prompts
+from msgloom.plans.message_flow import to_calendar, to_events, to_prompts
 from msgloom.queries.curation import PREDICTED, gold_and_predictions, with_events
 from msgloom.queries.messages import messages
 from msgloom.queries.registry import query
@@ -29,14 +29,28 @@ def workload_assembly(spark, sf_dir):
     return final.select("event_id", "channel", "sender", "is_schedule", "message", "grounding", "difficulty")
 
 
+def stored_events(said: DataFrame) -> DataFrame:
+    """Messages to events, with a stand-in for the model that writes the labelled gold; every eleventh message comes off a screen, after the user's message before."""
+    channels = said.sparkSession.sql("SELECT * FROM VALUES ('sms', true), ('kakaotalk', true), ('gmail', true) AS c(channel, enabled)")
+    before = Window.partitionBy("user_id").orderBy("seconds", "seq")
+    turn = F.struct(F.lag("clock").over(before).alias("time"), F.lag("sender").over(before).alias("sender"), F.lag("body").over(before).alias("message"))
+    both = said.withColumn("thread_context", F.array(turn)).withColumns({"from_me": F.col("event_id") % 2 == 0, "counterpart": F.lit("박서준")})
+    prompts = to_prompts(said.where("event_id % 11 > 0"), channels, "Find the schedule.", both.where("event_id % 11 = 0"))
+    answer = F.to_json(F.struct("is_schedule", "title", "date", F.when(F.col("has_time"), F.struct("hour", "minute", "marker")).alias("time"), F.col("place").alias("location")))
+    aliases = said.where("event_id % 50 = 0 AND place IS NOT NULL").select("sender", F.col("place").alias("token")).distinct()
+    return to_events(prompts.withColumn("output", answer), aliases, F.lit("2024-01-15").cast("date"), owner=("user_id",))
+
+
 @query()
 def workload_message_flow(spark, sf_dir):
-    """All messages to events, with a stand-in for the model that writes the labelled gold."""
-    channels = spark.sql("SELECT * FROM VALUES ('sms', true), ('kakaotalk', true), ('gmail', true) AS c(channel, enabled)")
-    prompts = to_prompts(messages(spark, sf_dir), channels, "Find the schedule.")
-    answer = F.to_json(F.struct("is_schedule", "title", "date", F.when(F.col("has_time"), F.struct("hour", "minute", "marker")).alias("time"), F.col("place").alias("location")))
-    aliases = messages(spark, sf_dir).where("event_id % 50 = 0 AND place IS NOT NULL").select("sender", F.col("place").alias("token")).distinct()
-    return to_events(prompts.withColumn("output", answer), aliases, F.lit("2024-01-15").cast("date"), owner=("user_id",)).select("user_id", "channel", "start", "room", "base_title", "event_key", "status", "merged")
+    """All messages to stored events. A test replays the whole flow."""
+    return stored_events(messages(spark, sf_dir)).select("user_id", "channel", "start", "room", "base_title", "event_key", "status", "merged")
+
+
+@query()
+def workload_calendar_rows(spark, sf_dir):
+    """The calendar rows at the end of the flow. A test replays them."""
+    return to_calendar(stored_events(messages(spark, sf_dir))).select("user_id", "event_key", "row.*")
 
 
 @query(

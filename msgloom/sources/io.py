@@ -5,14 +5,17 @@ Time stamps stay text on reading: inferring them would lose the local offset.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from msgloom import schemas
 from msgloom.functions import fixed
 from msgloom.functions.keys import iso_of
 from msgloom.functions.text import blank, is_yes, strip_html, stripped, unless_blank
 from msgloom.functions.tokens import let
+from msgloom.sources.staging import staged
 
 
 def read_pairs(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -67,19 +70,68 @@ def chat_pairs(df: DataFrame) -> DataFrame:
     return df.withColumn("thread_context", F.when(F.size("thread_context") > 0, F.col("thread_context"))).withColumn("channel", F.lit("kakaotalk"))
 
 
-def decode_part(data: Column) -> Column:
-    """Base64url as UTF-8 text; empty if it cannot be decoded."""
+@F.pandas_udf(StringType())
+def _in_charset(data: pd.Series, charset: pd.Series) -> pd.Series:
+    def text(raw: bytes | None, name: str) -> str | None:
+        if raw is None:
+            return None
+        try:
+            return raw.decode(name, "replace")
+        except LookupError:  # a charset that does not exist
+            return raw.decode("utf-8", "replace")
+
+    return pd.Series([text(raw, name) for raw, name in zip(data, charset, strict=True)])
+
+
+def decode_part(data: Column, charset: Column | None = None) -> Column:
+    """Base64url as text of its charset (UTF-8 if null or unknown); empty if it is no base64, bad bytes become U+FFFD."""
     binary = F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64"))
-    return F.coalesce(F.decode(binary, "UTF-8"), F.lit(""))
+    plain = F.make_valid_utf8(binary.cast("string"))
+    if charset is None:
+        return F.coalesce(plain, F.lit(""))
+    other = ~F.lower(charset).isin("utf-8", "utf8", "us-ascii")
+    return F.coalesce(F.when(F.coalesce(other, F.lit(False)), _in_charset(F.when(other, binary), F.when(other, charset))).otherwise(plain), F.lit(""))
+
+
+#: What the walk needs of a node of a payload; children stay text until their level.
+NODE = "mimeType string, headers array<struct<name:string,value:string>>, body struct<data:string>, parts array<string>"
+
+
+def mail_parts(mails: DataFrame) -> DataFrame:
+    """Parts (mail_id, part_ord, mime, charset, data, subject) of nested mail payloads (mail_id, payload as JSON).
+
+    The tree is walked level by level; ``part_ord`` is the path to a part, and paths sort in
+    depth-first order. HTML comes after the parts below it, plain text ends its branch. A
+    payload that is no JSON, or has no part with data, gives one part without any.
+    """
+    header = lambda name: F.get(F.filter("node.headers", lambda h: F.lower(h["name"]) == name), F.lit(0))["value"]
+    level = mails.select("mail_id", F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("subject"), F.from_json("payload", NODE).alias("node"))
+    level = level.withColumn("subject", header("subject"))
+    found, waiting = None, True
+    while waiting:
+        level = staged(level)
+        mime = F.col("node.mimeType")
+        charset = F.regexp_extract(header("content-type"), r"(?i)charset=[\"']?([A-Za-z0-9_.:-]+)", 1)
+        own = F.when(mime == "text/html", F.concat("path", F.array(F.lit(2_147_483_647)))).otherwise(F.col("path"))
+        here = level.select("mail_id", own.alias("part_ord"), mime.alias("mime"), F.nullif(charset, F.lit("")).alias("charset"), F.col("node.body.data").alias("data"), "subject")
+        found = here if found is None else found.unionByName(here)
+        ends = (mime == "text/plain") & (F.coalesce(F.col("node.body.data"), F.lit("")) != "")
+        below = level.where(~F.coalesce(ends, F.lit(False))).select("mail_id", "path", "subject", F.posexplode("node.parts").alias("at", "text"))
+        level = below.select("mail_id", F.concat("path", F.array("at")).alias("path"), "subject", F.from_json("text", NODE).alias("node"))
+        waiting = not below.isEmpty()
+    return found
 
 
 def mail_text(parts: DataFrame) -> DataFrame:
-    """Parts (mail_id, part_ord, mime, data, subject) as one body a mail.
+    """Parts (mail_id, part_ord, mime, data, subject, and charset if known) as one body a mail.
 
     The first part in order with text counts: plain text as it is, HTML without its tags.
+    ``part_ord`` is a number or a path of ``mail_parts``.
     """
-    text = F.when(F.col("mime") == "text/plain", decode_part(F.col("data"))).when(F.col("mime") == "text/html", strip_html(decode_part(F.col("data"))))
-    rows = parts.select("mail_id", "part_ord", "subject", text.alias("text"))
+    said = decode_part(F.col("data"), F.col("charset") if "charset" in parts.columns else None)
+    said = parts.withColumn("said", said)
+    text = F.when(F.col("mime") == "text/plain", F.col("said")).when(F.col("mime") == "text/html", strip_html(F.col("said")))
+    rows = said.select("mail_id", "part_ord", "subject", text.alias("text"))
     first = F.min_by("text", F.when(~blank(F.col("text")), F.col("part_ord")))
     mails = rows.groupBy("mail_id").agg(F.max("subject").alias("subject"), first.alias("text"))
     body = F.concat(F.when(~blank(F.col("subject")), F.concat("subject", F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit("")))

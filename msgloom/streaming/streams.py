@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from msgloom.functions import fixed
+from msgloom.functions.text import blank
 from msgloom.operators.conversation import gate
 from msgloom.operators.events import EVENT_COLUMNS, fold_events
 from msgloom.sources.io import export_candidates
@@ -45,9 +46,11 @@ def buffer_step(rows: list[dict], kept: list[dict], seconds: int = fixed.REPEAT_
     return out
 
 
-def with_context(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+def with_context(stream: DataFrame, delay: str = "1 day", channels: DataFrame | None = None) -> DataFrame:
     """Messages without repeats, each with its context as JSON; columns as in BUFFERED.
 
+    Blank messages never enter the buffer, nor do those of channels that the static frame
+    ``channels`` (channel, enabled) does not have on, if it is given.
     Messages later than ``delay`` behind the newest are dropped; a conversation's buffer goes
     when none of its messages can be context any more.
     """
@@ -64,6 +67,9 @@ def with_context(stream: DataFrame, delay: str = "1 day") -> DataFrame:
         state.setTimeoutTimestamp(1000 * (kept[-1]["seconds"] + 60 * fixed.CONTEXT_MINUTES) + 1)
         yield pd.DataFrame(out, columns=[*names, "context"])
 
+    stream = stream.where(~blank(F.col("body")))
+    if channels is not None:
+        stream = stream.join(channels.where("enabled").select("channel"), "channel", "left_semi")
     timed = stream.select(*names, F.timestamp_seconds("seconds").alias("at")).withWatermark("at", delay)
     return timed.groupBy("conversation").applyInPandasWithState(step, f"{BUFFERED}, context string", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 

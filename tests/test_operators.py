@@ -9,12 +9,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from msgloom.functions import anonymize, fixed, similarity, text
+from msgloom.functions import anonymize, fixed, keys, similarity, text
 from msgloom.operators import conversation, events, generate, labels
+from msgloom.plans import message_flow
 from msgloom.plans.message_flow import to_events
 from msgloom.queries.all import QUERIES
 from msgloom.queries.messages import keyed_events, messages
-from msgloom.queries.workloads import labelled
+from msgloom.queries.workloads import labelled, stored_events
 from msgloom.sources import io
 
 
@@ -238,16 +239,61 @@ def test_assembly_query_keeps_its_promises(spark, sf_dir):
     assert worst[False] >= 0 and all(0 <= r.grounding <= 1 for r in got)
 
 
-def test_message_flow_query_equals_its_steps(spark, sf_dir):
-    """Every event comes from a message that passes the gate and is a schedule; merged counts add up to the rest."""
-    gated = {r.event_id for r in QUERIES["f4_ingest_gate"](spark, sf_dir).collect()} | {r.event_id for r in messages(spark, sf_dir).where("channel = 'gmail'").collect()}
-    kept = {r.event_id for r in QUERIES["w2_repeat_suppress"](spark, sf_dir).collect()}
-    got = QUERIES["workload_message_flow"](spark, sf_dir).collect()
-    shown = {r.event_id: r for r in messages(spark, sf_dir).collect() if r.is_schedule and r.event_id in gated & kept}
-    starts = {r.event_id: r.start for r in QUERIES["d10_event_build"](spark, sf_dir).collect()}
-    seen_starts = {starts[k] for k in shown}
-    assert 0 < len(got) and sum(1 + r.merged for r in got) <= len(shown) and {r.start for r in got} <= seen_starts
-    assert len({(r.user_id, r.event_key) for r in got}) == len(got)
+def flow_replayed(said):
+    """The whole flow row by row: buffer, gates of both ways, store. Row-wise values come from the library's own columns."""
+    b = F.col("body")
+    author = F.when((F.col("event_id") % 11 == 0) & (F.col("event_id") % 2 == 0), F.lit("박서준")).otherwise(F.col("sender"))
+    gold = F.struct(F.nullif("title", F.lit("")).alias("title"), "date", F.when(F.col("has_time"), F.struct("hour", "minute", "marker")).alias("time"), F.lit(None).cast("struct<hour:int,minute:int,marker:string>").alias("end_time"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("description"))
+    rows = said.withColumn("event", events.resolved_event(F.col("received_at"), author, gold))
+    rows = rows.withColumns({"cue": text.has_cue(b), "done": text.is_completed(b), "paid": text.is_payment(b, F.col("recv")), "start": F.col("event.start"), "made": F.col("event.title")})
+    rows = rows.withColumns({"event_key": keys.event_key(F.col("channel"), F.col("received_at"), F.col("start"), F.col("made")), "status": events.route(F.lit(True), F.col("made"), F.col("start"), F.lit("2024-01-15").cast("date"))})
+    rows = sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["seconds"], r["seq"]))
+    kept, before, passed = {}, {}, []
+    for r in rows:
+        blank = not (r["body"] or "").strip()
+        cue, earlier = r["cue"], before.get(r["user_id"], False)
+        before[r["user_id"]] = r["cue"]
+        if r["event_id"] % 11 == 0:
+            cue = cue or earlier
+        elif not blank:
+            last = kept.get(r["conversation"])
+            if last and (last["sender"], last["body"]) == (r["sender"], r["body"]) and r["seconds"] - last["seconds"] < 10:
+                continue
+            kept[r["conversation"]] = r
+        if not blank and cue and not r["done"] and not r["paid"] and r["is_schedule"]:
+            passed.append({**r, "created_at": 1000 * r["seconds"], "base_title": r["title"] or "", "title": r["made"]})
+    return passed
+
+
+def test_message_flow_equals_a_replay(spark, sf_dir):
+    said = messages(spark, sf_dir)
+    for spread in (1, 400_000):  # as it is, and with messages of one start months apart
+        rows = said.withColumn("seconds", F.col("seconds") * spread).cache()
+        passed = flow_replayed(rows)
+        want = replayed(passed)
+        got = stored_events(rows).withColumn("title", F.lit("")).collect()
+        assert sorted((r.user_id, r.channel, r.start or "", r.event_key, r.created_at, r.base_title, r.merged) for r in got) == [(*e[:6], e[7]) for e in want]
+        status = {(r["user_id"], r["event_key"]): r["status"] for r in reversed(passed)}
+        assert all(r.status == status[r.user_id, r.event_key] for r in got)
+        assert sum(e[7] for e in want) > 0 and any(r["event_id"] % 11 == 0 and not r["cue"] for r in passed)
+    in_calendar = QUERIES["workload_calendar_rows"](spark, sf_dir).collect()
+    stored = [r for r in QUERIES["workload_message_flow"](spark, sf_dir).collect() if r.status == "AUTO_ADDED"]
+    assert sorted((r.user_id, r.event_key) for r in in_calendar) == sorted((r.user_id, r.event_key) for r in stored)
+    assert all(r.end_millis - r.start_millis in (3_600_000, 86_400_000) for r in in_calendar)
+
+
+def test_blank_and_switched_off_messages_stay_out_of_the_context(spark):
+    columns = "channel string, conversation string, sender string, room string, seq long, seconds long, clock string, received_at string, body string"
+    rows = [("sms", "c", "a", "", k, 60 * k, f"10:0{k}", "2026-06-15T10:00:00+09:00", t) for k, t in enumerate(["내일 3시 회의", " ", None, "내일 5시 회의"])]
+    rows += [("gmail", "c", "a", "", 9, 100, "10:01", "2026-06-15T10:00:00+09:00", "내일 7시 회의")]
+    channels = spark.createDataFrame([("sms", True), ("gmail", False)], "channel string, enabled boolean")
+    both = [("sms", "c", "나", "", 5, 400, "10:06", "2026-06-15T10:06:00+09:00", "네", [("10:05", "a", t)], True, " ") for t in ("내일 3시 회의", "안녕")]
+    scraped = spark.createDataFrame(both, f"{columns}, thread_context array<struct<time:string,sender:string,message:string>>, from_me boolean, counterpart string")
+    got = message_flow.to_prompts(spark.createDataFrame(rows, columns), channels, "s", scraped).collect()
+    assert sorted((r.seq, r.body, [t.message for t in r.thread_context], r.from_me) for r in got) == [(0, "내일 3시 회의", [], False), (3, "내일 5시 회의", ["내일 3시 회의"], False), (5, "네", ["내일 3시 회의"], True)]
+    said = message_flow.to_prompts(spark.createDataFrame(rows, columns), channels, "s", scraped).withColumn("output", F.lit('{"is_schedule": true, "title": "회식", "date": "내일"}'))
+    made = {r.seq: r for r in to_events(said, spark.createDataFrame([], "sender string, token string"), F.lit("2026-01-01").cast("date")).collect()}
+    assert made[0].merged == 2 and made[0].title == "회식 [a]" and made[0].created_at == 0  # all three are one event
 
 
 def test_roster_reaches_every_message(spark, sf_dir):
