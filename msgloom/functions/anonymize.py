@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
@@ -19,7 +20,11 @@ from msgloom.functions import fixed
 from msgloom.functions.text import is_personal_name, plain_sender
 
 _MASKS = {kind: mask for kind, _, mask in fixed.PERSONAL_DATA}
-_DATA = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in fixed.PERSONAL_DATA)
+_KINDS = {kind: pattern for kind, pattern, _ in fixed.PERSONAL_DATA}
+#: All kinds but e-mail, whose pattern read from left to right is quadratic on long runs of letters.
+_DATA = "|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _KINDS.items() if kind != "email")
+_BEFORE_EMAIL = [*_KINDS][: [*_KINDS].index("email")]
+_LOCAL, _DOMAIN = (re.compile(p) for p in (_KINDS["email"].split("@")[0], "@" + _KINDS["email"].split("@")[1]))
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}")
 _POOLS = {"hangul": fixed.NAMES_HANGUL, "latin": fixed.NAMES_LATIN}
 
@@ -45,7 +50,34 @@ class Swap:
         return _MASKS[m.lastgroup]
 
     def __call__(self, text: str | None) -> str | None:
-        return text and self.pattern.sub(self.one, text)
+        if not text:
+            return text
+        out, at = [], 0
+        emails = addresses(text) if "@" in text else iter(())
+        mail, other = next(emails, None), self.pattern.search(text)
+        while True:
+            while mail and mail[1] <= at:  # nothing is left before its @
+                mail = next(emails, None)
+            if other and other.start() < at:
+                other = self.pattern.search(text, at)
+            start = max(mail[0], at) if mail else len(text)
+            if other and (other.start() < start or other.start() == start and other.lastgroup in _BEFORE_EMAIL):
+                out += [text[at : other.start()], self.one(other)]
+                at = other.end()
+            elif mail:
+                found = text[start : mail[2]]
+                out += [text[at:start], self.given.get(found, _MASKS["email"])]
+                at = mail[2]
+            else:
+                return "".join([*out, text[at:]])
+
+
+def addresses(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, place of the @ and end of each e-mail address; it may begin anywhere before its @."""
+    for run in _LOCAL.finditer(text):
+        domain = _DOMAIN.match(text, run.end())
+        if domain:
+            yield run.start(), run.end(), domain.end()
 
 
 @cache

@@ -158,7 +158,9 @@ def t4_merge_stream(spark, sf_dir):
     names = [c.split()[0] for c in streams.EVENTS.split(", ") if not c.startswith("merged")]
     stream = streams.merged_events(arriving(spark, keyed_events(spark, sf_dir).select(*owner, *names), "created_at", "seq"), owner)
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with streams.rocksdb(spark):
+        query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
     seen = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(path)
     last = F.max_by(F.struct(*stream.columns), "batch").alias("row")
     return seen.groupBy(*owner, "channel", "start", "event_key", "created_at", "seq").agg(last).select("row.*")

@@ -2,7 +2,7 @@
 
 The gates are the batch functions. State is small and bounded: the last CONTEXT_TURNS + 1
 messages of a conversation, which time out with the context's age, and the events of a
-(channel, start) that are young enough to merge. Rows of a batch are put in order of time;
+(channel, start) that are young enough to merge, each of which a timer ends. Rows of a batch are put in order of time;
 rows later than a watermark are up to the caller's watermark.
 """
 
@@ -10,21 +10,25 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from msgloom.functions import fixed
 from msgloom.functions.text import blank
 from msgloom.operators.conversation import gate
-from msgloom.operators.events import EVENT_COLUMNS, fold_events
+from msgloom.operators.events import EVENT_COLUMNS, arrival, fold_events
 from msgloom.sources.io import export_candidates
 
 BUFFERED = "event_id long, conversation string, channel string, sender string, body string, seconds long, seq long, clock string"
 EVENTS = f"{EVENT_COLUMNS}, merged long"
+#: Milliseconds after which an event can match none.
+LIFETIME = fixed.MERGE_DAYS * 86_400_000 + 1
 
 
 def gated(stream: DataFrame, channels: DataFrame) -> DataFrame:
@@ -79,27 +83,80 @@ def insert_or_ignore(stream: DataFrame, time: str, delay: str, key: str = "event
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def merged_events(stream: DataFrame, owner: tuple[str, ...] = ()) -> DataFrame:
-    """T4: events made or changed by each batch, columns ``owner`` and EVENTS; the last row of an event_key holds.
+class Merging(StatefulProcessor):
+    """The events of one owner, channel and start that are young enough to match, one entry of a map each; a timer ends every entry."""
 
-    State is kept by owner, channel and start and holds the events young enough to match;
-    a key is remembered as long as its event.
-    """
-    schema = StructType([stream.schema[c] for c in owner] + StructType.fromDDL(EVENTS).fields)
-    names = schema.names
+    def __init__(self, names: list[str], values: StructType) -> None:
+        self.names, self.values = names, values
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(["created_at", "seq"])
-        records = json.loads(rows[[n for n in names if n != "merged"]].to_json(orient="records"))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getMapState("events", "event_key string", self.values)
+
+    def stored(self) -> list[dict]:
+        rows = [dict(zip(self.values.names, value, strict=True)) | {"event_key": key[0]} for key, value in self.events.iterator()]
+        return sorted(rows, key=arrival)
+
+    def keep(self, row: dict, is_new: bool) -> None:
+        self.events.updateValue((row["event_key"],), tuple(row[c] for c in self.values.names))
+        if is_new:
+            self.handle.registerTimer(row["created_at"] + LIFETIME)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        for row in json.loads(initialState.to_json(orient="records")):
+            self.keep(row, is_new=True)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        stored = self.stored()
+        before = {r["event_key"] for r in stored}
+        arrived = pd.concat(rows).sort_values(["created_at", "seq"])
+        records = json.loads(arrived[[n for n in self.names if n != "merged"]].to_json(orient="records"))
         touched = fold_events(records, stored)
-        newest = max(r["created_at"] for r in records)
-        young = [r for r in stored if newest - r["created_at"] <= fixed.MERGE_DAYS * 86_400_000]
-        state.update((json.dumps(young, ensure_ascii=False),))
-        yield pd.DataFrame([r for r in stored if r["event_key"] in touched], columns=names)
+        changed = [r for r in stored if r["event_key"] in touched]
+        for row in changed:
+            self.keep(row, row["event_key"] not in before)
+        yield pd.DataFrame(changed, columns=self.names)
 
-    keyed = stream.select(*(n for n in names if n != "merged")).groupBy(*owner, "channel", "start")
-    return keyed.applyInPandasWithState(step, schema, "stored string", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for row in self.stored():
+            if row["created_at"] + LIFETIME <= now:
+                self.events.removeKey((row["event_key"],))
+        yield pd.DataFrame(columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def merged_events(stream: DataFrame, owner: tuple[str, ...] = (), delay: str = "0 seconds", stored: DataFrame | None = None) -> DataFrame:
+    """T4: events made or changed by each batch, columns ``owner`` and EVENTS; the last row of an event_key holds.
+
+    State is a map of typed rows for each owner, channel and start, of which a batch writes
+    only the entries that it makes or changes. An event leaves the state when the watermark,
+    ``delay`` behind the newest ``created_at``, is more than MERGE_DAYS past it, as nothing
+    that may still arrive can match it; rows later than the watermark are dropped. A key holds
+    the time its message came, so a key that is forgotten with its event doesn't come again.
+    ``stored``, a table of the result's columns, is the state that a first run begins with.
+    Needs the RocksDB state store (``rocksdb``).
+    """
+    schema = StructType([stream.schema[c] for c in owner] + StructType.fromDDL(EVENTS).fields)
+    values = StructType([f for f in schema.fields if f.name != "event_key"])
+    group = [*owner, "channel", "start"]
+    timed = stream.select(*(n for n in schema.names if n != "merged"), F.timestamp_millis("created_at").alias("arrived")).withWatermark("arrived", delay)
+    first = stored.select(*schema.names).groupBy(*group) if stored is not None else None
+    return timed.groupBy(*group).transformWithStateInPandas(Merging(schema.names, values), schema, "Update", "EventTime", first)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, whose store alone holds maps and timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def pull_new(mails: DataFrame, mark: Column, body: str = "body", at: str = "internal_millis") -> DataFrame:

@@ -46,12 +46,13 @@ def test_gate_and_buffer(spark, sf_dir, tmp_path):
 
 def test_insert_or_ignore_and_merge(spark, tmp_path):
     day = 86_400_000
-    rows = [("k", f"d{k % 4}", f"r{k % 3}", ("회의", "점심", "면접")[k % 3], "s", "t", f"key{k % 20}", "PENDING", k * day // 2, k) for k in range(60)]
+    rows = [("k", f"d{k % 4}", f"r{k % 3}", ("회의", "점심", "면접")[k % 3], "s", "t", f"key{k % 20}", "PENDING", day + k * day // 2, k) for k in range(60)]  # the epoch itself counts as late
     df = spark.createDataFrame(rows, "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long")
     want = {(r.event_key, r.base_title, r.merged) for r in events.merge_events(df).collect()}
     latest = {}
-    for _, r in streamed(spark, df, tmp_path / "merge", streams.merged_events, mode="update"):
-        latest[r.channel, r.start, r.event_key, r.created_at] = (r.event_key, r.base_title, r.merged)
+    with streams.rocksdb(spark):
+        for _, r in streamed(spark, df, tmp_path / "merge", streams.merged_events, mode="update"):
+            latest[r.channel, r.start, r.event_key, r.created_at] = (r.event_key, r.base_title, r.merged)
     assert set(latest.values()) == want
 
     timed = df.withColumn("at", F.timestamp_millis("created_at"))
@@ -71,3 +72,39 @@ def test_pull_and_export(spark, tmp_path):
     run(batch, 1)
     assert spark.read.json(f"{tmp_path}/out/batch=0").count() == 1
     assert {r.id for r in spark.read.parquet(f"{tmp_path}/ledger").collect()} == {1}
+
+
+def test_merge_state_ends_and_begins_with_a_stored_table(spark, tmp_path):
+    """40 events in ten batches, a day apart in each, 20 days between batches: no more than two batches' events are ever kept."""
+    day = 86_400_000
+    columns = "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long"
+    rows = [("k", f"d{k % 4}", "", f"t{k // 8}", "s", "t", f"key{k}", "PENDING", (1 + 20 * (k // 4) + k % 4) * day, k) for k in range(40)]
+    df = spark.createDataFrame(rows, columns)
+    want = {(r.event_key, r.base_title, r.merged) for r in events.merge_events(df).collect()}
+    kept, latest = [], {}
+
+    def run(frame, path, stored=None, parts=10):
+        bounds = [r[0] for r in frame.select("seq").orderBy("seq").collect()]
+        step = -(-len(bounds) // parts)
+        for k in range(parts):
+            frame.where(F.col("seq").between(bounds[k * step], bounds[min(len(bounds), (k + 1) * step) - 1])).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        with streams.rocksdb(spark):
+            made = streams.merged_events(stream, stored=stored)
+            query = made.writeStream.outputMode("update").foreachBatch(lambda batch, n: latest.update({r.event_key: (r.event_key, r.base_title, r.merged) for r in batch.collect()})).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert query.exception() is None
+        kept.extend(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators)
+
+    run(df, tmp_path / "all")
+    assert set(latest.values()) == want
+    most = max(kept)
+    assert kept[-1] < most and kept[-1] <= 4 * 5  # events, timers and their index of what the last batches hold
+    cut = 20
+    latest.clear()
+    stored = events.merge_events(df.where(F.col("seq") < cut))
+    latest.update({r.event_key: (r.event_key, r.base_title, r.merged) for r in stored.collect()})
+    run(df.where(F.col("seq") >= cut), tmp_path / "rest", stored, parts=2)
+    assert set(latest.values()) == want
