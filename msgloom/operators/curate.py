@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from msgloom.functions import fixed
 from msgloom.functions.text import blank, has_surface_cue, normal, said_text, thread_text
 from msgloom.functions.tokens import received_date, resolve_date
 from msgloom.sources.staging import staged
 
+#: Bytes of golden texts in one automaton, and groups in which a stratum is ranked first.
+PART_BYTES = 4 << 20
+SALTS = 64
+
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key in the given order; the exchange carries the key's hash."""
@@ -38,6 +46,43 @@ def leaks(train: DataFrame, golden: DataFrame, train_text: str = "message", gold
     return rows.join(marks, ["_hash", "_text"], "left_semi").drop("_hash", "_text")
 
 
+def occurrences(train: DataFrame, golden: DataFrame, train_text: str = "message", golden_text: str = "message", least: int = 8) -> DataFrame:
+    """Training rows in whose normalised text one of the golden set's occurs anywhere.
+
+    Golden texts of fewer than ``least`` characters, which stand in other texts by chance,
+    count where they are the whole text. The others are searched all at once by an automaton
+    over them; of more than PART_BYTES there are several, each of bounded size, which all run
+    in one pass over the training rows. Null and blank golden texts occur nowhere.
+    """
+    marks = golden.select(normal(F.col(golden_text)).alias("_text")).where("_text <> ''").distinct()
+    long = marks.where(F.char_length("_text") >= least)
+    parts = max(1, -(-(long.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // PART_BYTES))
+    long = long.withColumn("_part", F.pmod(F.xxhash64("_text"), F.lit(parts)))
+    found = F.lit(False)
+    for part in range(parts):
+        texts = [r[0] for r in long.where(F.col("_part") == part).select("_text").collect()]
+        if texts:
+            found = found | holds_any(train.sparkSession.sparkContext.broadcast(texts))(normal(F.col(train_text)))
+    rows = train.withColumn("_found", F.coalesce(found, F.lit(False)))
+    whole = leaks(rows.where("NOT _found"), marks.where(F.char_length("_text") < least), train_text, "_text")
+    return rows.where("_found").unionByName(whole).drop("_found")
+
+
+def holds_any(texts):
+    """A function of a text column: whether one of the broadcast texts occurs in it."""
+
+    @F.pandas_udf(BooleanType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for t in texts.value:
+            search.add_word(t)
+        search.make_automaton()
+        for said in batches:
+            yield said.map(lambda t: t is not None and next(search.iter(t), None) is not None).astype(bool)
+
+    return run
+
+
 def agreed_negatives(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """Generated negatives that an independent label confirms and no flag marks."""
     return rows.join(labels.select(key, "label", "flag"), key).where((F.col("label") == F.lit("no")) & F.col("flag").isNull()).drop("label", "flag")
@@ -163,9 +208,20 @@ def capped_selection(rows: DataFrame, cap: int, negative_share: float, seed: int
 
 
 def quota(df: DataFrame, stratum: Column, quotas: dict[str, int], *order: str | Column) -> DataFrame:
-    """The first rows of each stratum, up to its quota; a stratum without one gives none."""
-    picked = [df.where(stratum == name).orderBy(*order).limit(n) for name, n in quotas.items()]
-    return reduce(DataFrame.unionByName, picked)
+    """The first rows of each stratum, up to its quota; a stratum without one gives none.
+
+    One scan serves all strata: rows are ranked in SALTS groups of each first, so a large
+    stratum is sorted by many tasks, and what is left of these by one.
+    """
+    if not quotas:
+        return df.limit(0)
+    most = F.element_at(F.create_map(*(F.lit(x) for item in quotas.items() for x in item)), F.col("_stratum"))
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    rows = df.withColumn("_stratum", stratum).where(F.col("_stratum").isin(*quotas))
+    rows = rows.withColumns({"_most": most, "_salt": F.pmod(F.spark_partition_id(), F.lit(SALTS))})
+    for group in (("_stratum", "_salt"), ("_stratum",)):
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*by))).where(F.col("_place") <= F.col("_most"))
+    return rows.drop("_stratum", "_most", "_salt", "_place")
 
 
 def breakdown(df: DataFrame) -> DataFrame:

@@ -123,6 +123,21 @@ def j10_leakage(spark, sf_dir):
     return curate.leaks(train, golden).select("origin", "id")
 
 
+@query(
+    f"""WITH g AS (SELECT {NORMAL} AS t FROM benchmark UNION SELECT {NORMAL} FROM documents WHERE doc_id % 10 = 3),
+    r AS (SELECT 'document' AS origin, doc_id AS id, {NORMAL} AS t FROM documents UNION ALL SELECT 'embedded', item_id, lower(replace('Before ' || text || ' and after', ' ', '')) FROM (SELECT item_id, regexp_replace(text, '[ \t\n\r]+', '', 'g') AS text FROM benchmark) UNION ALL SELECT 'torn', item_id, replace({NORMAL}, 'th', 't-h') FROM benchmark)
+    SELECT origin, id FROM r WHERE EXISTS (SELECT 1 FROM g WHERE g.t <> '' AND (r.t = g.t OR length(g.t) >= 8 AND contains(r.t, g.t)))"""
+)
+def j10_occurrence(spark, sf_dir):
+    """Documents, and test items inside a longer text or torn, against the test items and held-out documents."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "benchmark"))
+    row = lambda df, origin, key, text: df.select(F.lit(origin).alias("origin"), F.col(key).alias("id"), text.alias("message"))
+    embedded = row(items, "embedded", "item_id", F.concat(F.lit("Before "), "text", F.lit(" and after")))
+    torn = row(items, "torn", "item_id", F.replace(curate.normal(F.col("text")), F.lit("th"), F.lit("t-h")))
+    golden = items.select(F.col("text").alias("message")).union(docs.where("doc_id % 10 = 3").select("text"))
+    return curate.occurrences(row(docs, "document", "doc_id", F.col("text")).union(embedded).union(torn), golden).select("origin", "id")
+
+
 @query(f"{P}, b AS (SELECT * FROM p WHERE doc_id % 2 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM p WHERE doc_id % 2 = 1) SELECT doc_id FROM b UNION ALL SELECT doc_id FROM n WHERE rn = 1 AND text NOT IN (SELECT text FROM b)")
 def j6_append_missing(spark, sf_dir):
     rows = pairs(spark, sf_dir).select("doc_id", "message")

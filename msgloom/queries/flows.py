@@ -19,6 +19,7 @@ from msgloom.queries.registry import query
 from msgloom.sources import io
 from msgloom.sources.staging import shared_folder
 from msgloom.streaming import streams
+from msgloom.streaming.mail import SCHEMA, MailSource
 
 
 def scenario(name: str = "event_id") -> Column:
@@ -176,6 +177,23 @@ def t5_mail_pull(spark, sf_dir):
     return pulled.select("mail_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.lit(mark).cast("long").alias("next_mark"))
 
 
+@query("SELECT page_id AS mail_id, md5(url) AS body_md5 FROM pages WHERE page_id > 20 AND page_id % 5 > 0")
+def t5_mail_stream(spark, sf_dir):
+    """The same mails by a source whose offset is the mark: they come in three runs of one stream, and each is taken once."""
+    spark.dataSource.register(MailSource)
+    inbox, state, out = (shared_folder(spark) for _ in range(3))
+    body = F.when(F.col("page_id") % 5 > 0, F.col("url")).otherwise("  ")
+    mails = MAIL.spark(spark, sf_dir).select(F.col("page_id").alias("mail_id"), (F.col("page_id") * 1000).alias("internal_millis"), body.alias("body"))
+    low, high = mails.agg(F.min("internal_millis"), F.max("internal_millis")).first()
+    cuts = [(low or 0) - 1, *(((low or 0) * (3 - k) + (high or 0) * k) // 3 for k in (1, 2)), high or 0]
+    for after, until in zip(cuts, cuts[1:], strict=False):
+        mails.where((F.col("internal_millis") > after) & (F.col("internal_millis") <= until)).write.mode("append").parquet(inbox)
+        query = spark.readStream.format("mail").option("path", inbox).option("since", 20_000).load().writeStream.format("parquet").option("path", out).option("checkpointLocation", state).start()
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.schema(SCHEMA).parquet(out).select("mail_id", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 @query(f"{ROUTED} SELECT event_id AS id, status, CAST(1 AS BIGINT) AS times FROM r WHERE status = 'AUTO_ADDED'")
 def t6_export_stream(spark, sf_dir):
     """Decided events exported by a stream that sees every event twice."""

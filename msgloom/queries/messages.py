@@ -11,6 +11,8 @@ from msgloom.queries import duck
 from msgloom.queries.frames import MAIL, MESSAGES, TURNS
 from msgloom.queries.registry import query
 from msgloom.sources import io
+from msgloom.sources.staging import shared_folder
+from msgloom.sources.store import merge_into_store, read_store
 
 M = f"WITH m AS ({MESSAGES.sql})"
 
@@ -468,6 +470,17 @@ def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("event_key", keys.event_key(F.col("channel"), F.col("created_at"), F.col("start"), F.col("title")))
 
 
+@query()
+def w4_event_store(spark, sf_dir):
+    """All events in two runs into a store on disk, older ones first. Tests compare it with a plain replay."""
+    rows, path = keyed_events(spark, sf_dir), shared_folder(spark)
+    cut = F.lit(rows.agg(F.percentile_approx("created_at", 0.5)).first()[0])
+    for day in (rows.where(F.col("created_at") <= cut), rows.where(F.col("created_at") > cut)):
+        merge_into_store(day, path, ("user_id",), 16)
+    stored = read_store(spark, path)
+    return stored if stored is not None else events.merge_events(rows, owner=("user_id",))
+
+
 @query()
 def w4_merge_events(spark, sf_dir):
     """All events, each user's into a store of their own."""

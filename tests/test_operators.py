@@ -10,13 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from msgloom.functions import anonymize, fixed, keys, similarity, text
-from msgloom.operators import conversation, events, generate, labels
+from msgloom.operators import conversation, curate, events, generate, labels
 from msgloom.plans import message_flow
 from msgloom.plans.message_flow import to_events
 from msgloom.queries.all import QUERIES
 from msgloom.queries.messages import keyed_events, messages
 from msgloom.queries.workloads import labelled, stored_events
-from msgloom.sources import io
+from msgloom.sources import io, store
 
 
 def lcs(a, b):
@@ -139,6 +139,7 @@ def test_merging_equals_a_replay_in_batch_and_stream(spark, sf_dir):
     assert sum(e[-1] for e in want) > 5 and any(e[-1] and not e[2] for e in want)
     assert seen(QUERIES["w4_merge_events"](spark, sf_dir)) == want
     assert seen(QUERIES["t4_merge_stream"](spark, sf_dir)) == want
+    assert seen(QUERIES["w4_event_store"](spark, sf_dir)) == want
     one = keyed_events(spark, sf_dir).withColumn("user_id", F.lit(1).cast("long"))
     assert seen(events.merge_events(one, owner=("user_id",))) == replayed([r | {"user_id": 1} for r in rows])
 
@@ -151,6 +152,42 @@ def test_merging_into_stored_events(spark, sf_dir):
     assert seen(both) == replayed([r.asDict() for r in rows.collect()])
 
 
+def test_store_rewrites_only_touched_buckets(spark, sf_dir, tmp_path):
+    rows = keyed_events(spark, sf_dir)
+    path, some = f"file://{tmp_path}/store", rows.where("user_id % 10 = 0")
+    cut = rows.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    first, second = rows.where(F.col("created_at") <= cut), some.where(F.col("created_at") > cut)
+    assert store.merge_into_store(first, path, ("user_id",), 32) == 1
+    # a run that died after writing data has left no version
+    second.write.parquet(f"{path}/data/version=2/bucket=99")
+    assert store.versions(spark, path) == [1] and seen(store.read_store(spark, path)) == replayed([r.asDict() for r in first.collect()])
+    assert store.merge_into_store(second, path, ("user_id",), 32) == 2
+    assert store.merge_into_store(second.limit(0), path, ("user_id",), 32) == 2
+    assert seen(store.read_store(spark, path)) == replayed([r.asDict() for r in first.union(second).collect()])
+    held = store.manifest(spark, path, 2)
+    assert set(held.values()) == {1, 2} and sum(v == 2 for v in held.values()) <= second.select("user_id").distinct().count()
+    store.vacuum(spark, path, keep=1)
+    assert store.versions(spark, path) == [2] and seen(store.read_store(spark, path)) == replayed([r.asDict() for r in first.union(second).collect()])
+    # buckets that only version 1 read are gone
+    left = {p.name for p in (tmp_path / "store/data/version=1").iterdir() if p.name.startswith("bucket=")}
+    assert left == {f"bucket={b}" for b, v in held.items() if v == 1}
+
+
+def test_occurrences_of_golden_texts(spark):
+    train = spark.createDataFrame([(1, "see: Meeting at\n5pm  tomorrow!"), (2, "meeting at 6pm"), (3, "Yes"), (4, "yes, yes"), (5, None), (6, "")], "id long, message string")
+    golden = spark.createDataFrame([("meeting AT 5pm",), ("yes",), (None,), (" ",)], "message string")
+    assert sorted(r.id for r in curate.occurrences(train, golden).collect()) == [1, 3]
+    assert curate.occurrences(train, golden.limit(0)).count() == 0
+    assert sorted(curate.occurrences(train, golden).columns) == ["id", "message"]
+
+
+def test_quota_in_one_pass(spark):
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 < 8 THEN 'a' WHEN id % 10 = 8 THEN 'b' END AS s")
+    got = curate.quota(rows.repartition(7), F.col("s"), {"a": 30, "c": 5}, F.desc("id")).collect()
+    assert sorted(r.id for r in got) == [r.id for r in rows.where("s = 'a'").orderBy("id").tail(30)]
+    assert curate.quota(rows, F.col("s"), {}, "id").count() == 0
+
+
 def test_merging_without_a_start(spark):
     rows = [("k", None, "r1", "면접", "s", "면접", "a", "PENDING", 0, 0), ("k", None, "", "면접", "s", "면접", "b", "PENDING", 1, 1), ("k", None, "", "", "s", "일정", "c", "PENDING", 2, 2)]
     got = {r.event_key: r.merged for r in events.merge_events(event_rows(spark, rows)).collect()}

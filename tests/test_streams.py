@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from msgloom.operators import conversation, events
 from msgloom.queries.messages import messages
 from msgloom.streaming import streams
+from msgloom.streaming.mail import MailSource
 
 
 def streamed(spark, df, path, make, mode="append", parts=2, order="seq"):
@@ -108,3 +109,26 @@ def test_merge_state_ends_and_begins_with_a_stored_table(spark, tmp_path):
     latest.update({r.event_key: (r.event_key, r.base_title, r.merged) for r in stored.collect()})
     run(df.where(F.col("seq") >= cut), tmp_path / "rest", stored, parts=2)
     assert set(latest.values()) == want
+
+
+def test_mail_source_takes_each_mail_once(spark, tmp_path):
+    """Three runs with one checkpoint; blank mails neither come nor move the mark."""
+    spark.dataSource.register(MailSource)
+    inbox = f"file://{tmp_path}/inbox"
+    kinds = "mail_id long, internal_millis long, body string"
+
+    def run(*mails):
+        if mails:
+            spark.createDataFrame(list(mails), kinds).write.mode("append").parquet(inbox)
+        stream = spark.readStream.format("mail").option("path", inbox).option("since", 5).load()
+        taken = []
+        query = stream.writeStream.foreachBatch(lambda batch, number: taken.extend(r.mail_id for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/state").start()
+        query.processAllAvailable()
+        query.stop()
+        assert query.exception() is None
+        return sorted(taken)
+
+    assert run((1, 5, "at the mark"), (2, 10, "a"), (3, 90, "  "), (4, 20, "b")) == [2, 4]
+    assert run((5, 30, "c"), (6, 15, "came too late"), (7, 80, None)) == [5]
+    assert run() == []
+    assert run((8, 31, "d")) == [8]
