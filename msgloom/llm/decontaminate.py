@@ -4,8 +4,9 @@ The test items are indexed: for each word the items that have it and their BM25
 a share of the score that the item gets from its own words, so that one threshold serves
 all items. Items stand in blocks, and the largest impact of a word in each block is kept.
 
-Every passage of every text is a query: windows of twice the longest item's length that
-overlap by half, so that each copy of an item lies whole in one of them. Two bounds on what
+Every passage of every text is a query: windows of twice the length that bounds an item's
+class (64, 256, 1024, ... words), overlapping by half, so that each copy of an item lies whole
+in one of them and an item's hits depend on no other item. Two bounds on what
 a window can score, by the words' largest impacts and by those of each block, are computed
 for all windows of a text at once; the windows that stay above the threshold run block-max
 WAND, which finds every item above it. A found item counts if enough word shingles of its
@@ -109,7 +110,7 @@ class Phrases:
 
 @dataclass
 class Index:
-    """Items of one length class. Word number 0 stands for all words outside the index."""
+    """Items of one length class, which have ``longest`` words at most. Word number 0 stands for all words outside the index."""
 
     longest: int
     ids: list[int | None] = field(default_factory=list)
@@ -241,9 +242,9 @@ def build(rows: list[tuple[int | None, str | None]], known: Statistics | None =
         elif words:
             phrases.add(words, item_id)
     made = []
-    for _, group in sorted(classes.items()):
-        longest = max(len(words_of(text)) for _, text in group)
-        made.append(Index(longest, [k for k, _ in group]).finish([text for _, text in group], known))
+    for size, group in sorted(classes.items()):
+        # passages follow from the class and not from its items, so an item's hits don't depend on the others
+        made.append(Index(size, [k for k, _ in group]).finish([text for _, text in group], known))
     return made, phrases
 
 

@@ -57,7 +57,7 @@ BROADCAST_IDS = 500_000
 #: N-grams held by a task before it counts repeats, repeats that it reports, and n-grams in the list of common ones.
 COUNTED = 4_000_000
 REPEATS = 2
-COMMON = 1_000_000
+COMMON = 500_000
 #: log2 of the repeats from which a common n-gram's tiles are dealt to SALTS parts.
 HOT = 10
 
@@ -85,8 +85,8 @@ def bitmap(items: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def common_grams(df: DataFrame, text_col: str, words: int) -> DataFrame:
-    """gram and rank (log2 of its repeats) of up to COMMON n-grams that repeat within the texts of a task."""
+def common_grams(df: DataFrame, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to COMMON n-grams that repeat within the texts of a task, ascending, and the log2 of the repeats of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -111,7 +111,16 @@ def common_grams(df: DataFrame, text_col: str, words: int) -> DataFrame:
 
     found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long")
     # a bounded list: what it lacks is ordered as rare
-    return found.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON).select("gram", F.floor(F.log2("n")).cast("byte").alias("rank"))
+    listed = found.groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(COMMON).select("gram", F.floor(F.log2("n")).cast("byte").alias("rank"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c in ("gram", "rank")], names=["gram", "rank"])
+
+    rows = listed.mapInArrow(pack, "gram binary, rank binary").collect()
+    grams, ranks = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind) for c, kind in (("gram", np.uint64), ("rank", np.int8)))
+    order = np.argsort(grams)
+    return grams[order], ranks[order]
 
 
 def features(df: DataFrame, id_col: str, text_col: str, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -303,10 +312,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     n-grams; component_id is the smallest doc_id reachable over links. The module's text has
     the cases.
     """
-    common = common_grams(df, text_col, words).toPandas()
-    grams, ranks = common["gram"].to_numpy(np.int64).view(np.uint64), common["rank"].to_numpy(np.int8)
-    order = np.argsort(grams)
-    each = staged(features(df, id_col, text_col, words, percent, (grams[order], ranks[order])))
+    each = staged(features(df, id_col, text_col, words, percent, common_grams(df, text_col, words)))
     usable = each.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     same = [F.first(c).alias(c) for c in ["n_shingles", "band", "last", "prefix", "hot", "map", *_BITS]]
     classes = staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *same).withColumnRenamed("n_shingles", "size"))

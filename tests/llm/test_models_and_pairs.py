@@ -161,12 +161,29 @@ def test_decontaminate_edges(spark, monkeypatch):
 def test_decontaminate_scores_do_not_depend_on_the_parts(spark, sf_dir, monkeypatch):
     items = table(spark, sf_dir, "benchmark")
     held = items.limit(40).select((F.col("item_id") + 70_000).alias("doc_id"), F.concat(F.lit("Before it. "), "text", F.lit(" and after")).alias("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(held)
+    # torn: other words between the question and the answer
+    gap = " ".join(f"gap{k}" for k in range(45))
+    last = F.regexp_extract("text", r"(?s)^(.*[.?!])\s+(\S.*)$", 2)
+    torn = items.where(F.length(last) > 0).select((F.col("item_id") + 80_000).alias("doc_id"), F.concat(F.regexp_extract("text", r"(?s)^(.*[.?!])\s+(\S.*)$", 1), F.lit(f" {gap} "), last).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").union(held).union(torn)
     found = []
-    for size in (1 << 30, 20_000):
+    for size in (1 << 30, 20_000, 700):
         monkeypatch.setattr(decontaminate, "PART_BYTES", size)
         found.append(sorted((r.doc_id, *h) for r in decontaminate.match(docs, items).collect() for h in r.benchmark_hits))
-    assert len(found[0]) >= 40 and found[0] == found[1]
+    assert len(found[0]) >= 40 and found[0] == found[1] == found[2]
+    assert sum(h[0] >= 80_000 for h in found[0]) > 5
+
+
+def test_decontaminate_hits_of_an_item_alone_and_beside_longer_ones():
+    question = "which of the seven old lighthouses on the northern coast still burns whale oil today?"
+    answer = "The one at Skarra harbour burns it."
+    item = f"{question} {answer}"
+    said = decontaminate.words_of(f"{question} " + " ".join(f"gap{k}" for k in range(50)) + f" {answer}")
+    longer = " ".join(f"long{k}" for k in range(60))
+    known = decontaminate.statistics([item, longer])
+    alone = decontaminate.found_items(said, *decontaminate.build([(1, item)], known))
+    beside = decontaminate.found_items(said, *decontaminate.build([(1, item), (2, longer)], known))
+    assert alone == beside and [h["item_id"] for h in alone] == [1]
 
 
 # --- language ----------------------------------------------------------------
