@@ -207,6 +207,12 @@ def bound_of(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int:
     return min(size_x, size_y, (size_x + size_y - int(np.bitwise_count(x ^ y).sum())) // 2)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of the ids, without a shuffle of the texts while the list of ids is bounded."""
+    ids = staged(ids.distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b, ...) that are linked.
 
@@ -225,10 +231,7 @@ def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, pe
             yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
     pairs = staged(sides.select(*names, "a_n", "b_n", "a_map", "b_map").mapInArrow(may, schema).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if pairs.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
 
@@ -388,7 +391,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     pair = lambda k: F.struct(F.least("cell", k).alias("low"), F.greatest("cell", k).alias("high"))
     many = rows.join(counts.where(F.col("n") > SMALL).select("tile"), "tile", "left_semi")
     dealt = many.select("tile", "cell", "node", "root", F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), pair)).alias("pair"))
-    sets = full_sets(docs.join(many.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id", "text", words)
+    sets = full_sets(texts_of(docs, many.select(F.col("node").alias("doc_id"))), "doc_id", "text", words)
     dealt = dealt.join(sets.select(F.col("doc_id").alias("node"), "items"), "node").select("tile", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "cell", "root", "items")
 
     def run(group: pa.Table) -> pa.Table:
