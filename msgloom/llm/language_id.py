@@ -7,16 +7,17 @@ forward pass finds; that of a text is the product over its words. Short words go
 it side by side; longer ones by a pass that rescales as it goes and holds a bounded stretch.
 The probabilities are fitted by expectation maximisation (forward and backward passes) on
 word counts of a sample of labelled rows: about SAMPLE documents of each language, drawn by
-a hash of the id. There alone, runs of over FIT_CHARS letters count as parts of that
-length. Word counting for the sample runs in Spark; what reaches the driver is bounded by
-the sample. The model holds one probability a piece and language.
+a hash of the id. Words are never cut there either. Word counting for the sample runs in
+Spark; what reaches the driver is bounded by the sample. The model holds one probability a
+piece and language.
 
 Predicting looks at every letter run of the whole text and uses no other column.
 
 Cases: a null text, or one without a letter, gets ``und`` and score 0; a language without
 sampled text is not learned; with nothing learned all get ``und``; equal scores go to the
 language that sorts first; repeated rows count as often as they occur; rows with a null id
-are never trained on; an empty table gives no rows; extra columns stay.
+are never trained on; an empty table gives no rows; extra columns stay,
+but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -38,10 +39,10 @@ SAMPLE = 800
 ROUNDS = 2
 MEMO_WORDS = 150_000
 UNKNOWN = "und"
-#: Letters of a word that needs no rescaling, stretch of a longer one held at once, letters of a part of a run in the fit.
+#: Letters of a word that needs no rescaling, of one fitted side by side with others, stretch of a longer one held at once.
 SHORT = 30
+BESIDE = 256
 STRETCH = 4096
-FIT_CHARS = 120
 #: Languages up to which their sampling rates may be broadcast (some bytes each); else they are joined by a shuffle.
 BROADCAST_LANGUAGES = 100_000
 #: Probability of a character outside all pieces.
@@ -58,11 +59,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def parts_of(words: list[str]) -> list[str]:
-    """Words for the fit: those of over FIT_CHARS letters in parts of that length."""
-    return [w[k : k + FIT_CHARS] for w in words for k in range(0, len(w), FIT_CHARS)]
-
-
 def has_letter(words: list[str]) -> bool:
     return any(c.isalpha() for w in words for c in w)
 
@@ -224,6 +220,75 @@ def log_lattice(arcs: np.ndarray, log_p: np.ndarray, ends: np.ndarray) -> tuple[
     return alpha, beta
 
 
+def sums_in_stretch(before: list[float], arcs: list[list[tuple[int, float]]]) -> tuple[list[float], list[float]]:
+    """Logarithms of the sums at each place of a stretch, and what it carries on.
+
+    ``before`` holds the logarithms at the next places that earlier pieces reach, ``arcs``
+    for each place the lengths and probabilities of the pieces that begin there.
+    """
+    ahead = len(before)
+    out: list[float] = []
+    scale = max(before)
+    window = [math.exp(x - scale) for x in before]
+    for found in arcs:
+        here = window[0]
+        out.append(math.log(here) + scale)
+        window = [*window[1:], 0.0]
+        window[0] += FLOOR * here
+        for length, weight in found:
+            window[length - 1] += weight * here
+        if len(out) % 8 == 0:
+            top = max(window)
+            scale += math.log(top)
+            window = [x / top for x in window]
+    return out, [math.log(x) + scale if x > 0 else -math.inf for x in window[:ahead]]
+
+
+def counts_in_stretches(word: str, p: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """How often each piece is expected in one word of any length: a stretch of its pieces is held at a time, and two sums a place."""
+    total, n, ahead = np.zeros(len(p)), 1 + len(word), pieces.longest
+    starts = range(0, n, STRETCH)
+
+    def found(start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        size = min(STRETCH, n - start)
+        arcs = pieces.arcs([word], start, size)[0]
+        at, length = np.nonzero(arcs >= 0)
+        return start + at, length + 1, arcs[at, length], size
+
+    def by_place(places: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first: int, size: int) -> list[list[tuple[int, float]]]:
+        out: list[list[tuple[int, float]]] = [[] for _ in range(size)]
+        for place, length, weight in zip((places - first).tolist(), lengths.tolist(), p[ids].tolist(), strict=True):
+            out[place].append((length, weight))
+        return out
+
+    alpha = np.full(n + ahead + 1, -np.inf)
+    carried = [0.0] + [-math.inf] * ahead
+    for start in starts:
+        places, lengths, ids, size = found(start)
+        alpha[start : start + size], carried = sums_in_stretch(carried, by_place(places, lengths, ids, start, size))
+    alpha[n] = carried[0]
+    beta = np.full(n + ahead + 1, -np.inf)
+    beta[n] = 0.0
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    for start in reversed(starts):
+        places, lengths, ids, size = found(start)
+        grouped = by_place(places, lengths, ids, start, size)
+        window = beta[start + size : start + size + ahead].tolist()
+        scale = max(window)
+        near = [math.exp(x - scale) for x in window]
+        for k in range(size - 1, -1, -1):
+            here = FLOOR * near[0] + sum(weight * near[length - 1] for length, weight in grouped[k])
+            beta[start + k] = math.log(here) + scale
+            near = [here, *near[:-1]]
+            if k % 8 == 0:
+                top = max(near)
+                scale += math.log(top)
+                near = [x / top for x in near]
+        total += np.bincount(ids, np.exp(alpha[places] + log_p[ids] + beta[places + lengths] - alpha[n]), len(p))
+    return total
+
+
 def expected_counts(words: list[str], counts: np.ndarray, p: np.ndarray, pieces: Pieces) -> np.ndarray:
     """How often each piece is expected in the words under the probabilities ``p`` of one language."""
     total = np.zeros(len(p))
@@ -232,7 +297,9 @@ def expected_counts(words: list[str], counts: np.ndarray, p: np.ndarray, pieces:
     sizes = np.array([len(w) for w in words])
     order = np.argsort(sizes, kind="stable")
     short = order[sizes[order] <= SHORT]
-    long = order[len(short) :]
+    long = order[(sizes[order] > SHORT) & (sizes[order] <= BESIDE)]
+    for row in order[sizes[order] > BESIDE]:
+        total += counts[row] * counts_in_stretches(words[row], p, pieces)
     for rows in [*np.array_split(short, 1 + len(short) // 2048), *np.array_split(long, 1 + len(long) // 256)]:
         if not len(rows):
             continue
@@ -291,7 +358,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     if rates.count() <= BROADCAST_LANGUAGES:
         rates = F.broadcast(rates)
     drawn = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.col(text_col).alias("text")).join(rates, "lang").where("draw < rate")
-    one = append_columns(drawn.select("lang", "text"), ["text"], "words array<string>", lambda: lambda texts: [[parts_of(words_of(t)) for t in texts]])
+    one = append_columns(drawn.select("lang", "text"), ["text"], "words array<string>", lambda: lambda texts: [[words_of(t) for t in texts]])
     counts = one.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
     counted: dict[str, dict[str, int]] = {}
     for lang, word, n in counts.collect():

@@ -4,22 +4,25 @@ A paragraph is a run of non-blank lines. Its features are hashed n-grams of one
 the training notices have them, and a multinomial logistic regression weighs them for each
 licence family and for "unknown". Training paragraphs are varied copies of public notices
 (words dropped, cropped, put inside running text) and, as unknown, lines of a hashed sample
-(LINES lines at most of about SAMPLE documents, each of LINE_WORDS words at most) and
-sentences that merely use the same words. A temperature
+(of about SAMPLE documents LINES parts of lines each, drawn by their hash; lines are cut
+into parts of LINE_WORDS words) and sentences that merely use the same words. A temperature
 fitted on a held-out part calibrates the probabilities; a paragraph whose best family stays
-below MIN_PROBABILITY is unknown. A prediction counts only if the paragraph also holds
-enough word pairs of one of the family's notices.
+below MIN_PROBABILITY is unknown. A prediction counts only if the paragraph also holds a
+stretch that aligns with one of the family's notices, word after word.
 
 What is classified are the least groups of neighbouring lines of a paragraph, single lines
 among them, that hold enough word pairs of a notice; a prediction counts in no others, so
-none is lost. A group that is one grows by neighbouring lines that go on with the notice,
+none is lost. In a group, grown as below, a stretch of at most twice the notice's words that holds enough
+of its pairs must align with it in order: what the best local alignment (a point a word,
+half a point less for each word left out or put in) scores must be above MIN_SHARE of the
+notice's words. A group that is one grows by neighbouring lines that go on with the notice,
 and groups of one family that share a line, or that only blank lines part, become one. Short notices are too short to share
 pairs with the long ones, and so are templates of their own; ``Model.scan`` gives licences
 alone, ``Model.notices`` those and short notices.
 
 Cases: null and empty texts have no paragraphs; repeated rows are scanned each; sample
-lines that hold a notice are not used as unknown; extra columns stay; an empty table gives
-no rows.
+lines that hold a notice are not used as unknown; extra columns stay, but those named like a
+result are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,17 +52,24 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU AGPL version 3.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Released under the BSD 2-Clause License.",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
+    ),
     "bsl": (
         "Use of this software is governed by the Business Source License 1.1 included in the LICENSE file.",
         "SPDX-License-Identifier: BUSL-1.1",
@@ -85,6 +95,11 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GNU GPL v2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "Licensed under GPLv3.",
+        "Licensed under GPLv2.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program.",
     ),
@@ -97,12 +112,16 @@ NOTICES = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "Licensed under the GNU LGPL version 2.1 or later.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
     ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Licensed under the MIT license.",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
@@ -116,6 +135,7 @@ NOTICES = {
         "This is free and unencumbered software released into the public domain.",
         "This work has been dedicated to the public domain under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
+        "SPDX-License-Identifier: Unlicense",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
     "reserved": (
@@ -180,6 +200,9 @@ def by_pair(*tables: dict[str, list[set]]) -> dict[tuple[str, ...], list[tuple[s
     return having
 
 
+#: The words of each notice, by its pairs.
+ORDER = {frozenset(pairs(words_of(n))): words_of(n) for table_ in (NOTICES, SHORT_NOTICES) for notices in table_.values() for n in notices}
+
 LICENCES = by_pair(TEMPLATES)
 ALL_NOTICES = by_pair(TEMPLATES, SHORT_TEMPLATES)
 
@@ -223,6 +246,39 @@ def least_groups(lines: list[list[str]], having: dict) -> list[tuple[int, int, s
     return groups
 
 
+def alignment(words: list[str], notice: list[str]) -> float:
+    """Score of the best local alignment: a point a word that agrees, half a point less for each left out of or put into the notice."""
+    best, above = 0.0, [0.0] * (len(notice) + 1)
+    for word in words:
+        row = [0.0]
+        for k, wanted in enumerate(notice):
+            score = max(0.0, above[k + 1] - 0.5, row[k] - 0.5)
+            row.append(max(score, above[k] + 1) if word == wanted else score)
+        best, above = max(best, *row), row
+    return best
+
+
+def in_order(words: list[str], template: frozenset) -> bool:
+    """True if a stretch of at most twice the notice's words holds MIN_SHARE of its pairs and aligns with it."""
+    notice = ORDER[template]
+    if len(notice) < 2:
+        return notice[0] in words
+    found = [(k, pair) for k, pair in enumerate(zip(words, words[1:], strict=False)) if pair in template]
+    count: dict[tuple[str, ...], int] = {}
+    left = 0
+    for k, pair in found:
+        count[pair] = count.get(pair, 0) + 1
+        while k - found[left][0] >= 2 * len(notice) or count[found[left][1]] > 1:
+            gone = found[left][1]
+            count[gone] -= 1
+            if not count[gone]:
+                del count[gone]
+            left += 1
+        if len(count) / len(template) >= MIN_SHARE and alignment(words[found[left][0] : k + 2], notice) > MIN_SHARE * len(notice):
+            return True
+    return False
+
+
 def grown(lines: list[list[str]], i: int, j: int, template: frozenset) -> tuple[int, int]:
     """The group with neighbouring lines at least half of whose pairs are the template's, one of them new."""
     words = [w for line in lines[i : j + 1] for w in line]
@@ -263,7 +319,7 @@ class Model:
         """Family and calibrated probability; UNKNOWN below the threshold or without a template that agrees."""
         words = words_of(line)
         family, p, unknown = self.predict(words)
-        if family == UNKNOWN or p < MIN_PROBABILITY or template_share(words, [family]) < MIN_SHARE:
+        if family == UNKNOWN or p < MIN_PROBABILITY or not any(in_order(words, frozenset(t)) for t in TEMPLATES[family]):
             return UNKNOWN, unknown
         return family, p
 
@@ -276,7 +332,9 @@ class Model:
                 seen[i, j] = self.predict([w for line in lines[i : j + 1] for w in line])
             best, p, _ = seen[i, j]
             if best == family and p >= MIN_PROBABILITY:
-                hits.append((family, *grown(lines, i, j, template), p))
+                first, last = grown(lines, i, j, template)
+                if in_order([w for line in lines[first : last + 1] for w in line], template):
+                    hits.append((family, first, last, p))
         joined: list[tuple[str, int, int, float]] = []
         for family, i, j, p in sorted(hits):
             if joined and joined[-1][0] == family and i <= joined[-1][2]:
@@ -390,9 +448,12 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 
 def some_lines(text: str) -> list[str]:
-    """Up to LINES of the text's lines, drawn by their hash, each up to LINE_WORDS words."""
-    lines = sorted({line for line in text.split("\n") if line.strip()}, key=lambda line: xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")))
-    return [" ".join(line.split(None, LINE_WORDS)[:LINE_WORDS]) for line in lines[:LINES]]
+    """Up to LINES of the text's lines, in parts of LINE_WORDS words, drawn by their hash."""
+    parts = set()
+    for line in text.split("\n"):
+        words = line.split()
+        parts.update(" ".join(words[k : k + LINE_WORDS]) for k in range(0, len(words), LINE_WORDS))
+    return sorted(parts, key=lambda part: xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass")))[:LINES]
 
 
 def scan(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -2,26 +2,36 @@
 
 Four plain patterns give the base spans. A random field then labels the document's
 candidate tokens (runs without white space that hold a digit or an at sign; all other
-tokens are outside by definition): tokens side by side share a potential, and so do each
-candidate and its next similar one, however far away (equal letters and digits, or equal
-digits, seven or more). Loopy message passing spreads what is known of one mention to the
-others, so that a number is labelled alike wherever the document repeats it. Tokens that
-the field is sure of, outside the base spans, are added.
+tokens are outside by definition): tokens side by side share a potential, and so do the
+tokens of each mention, of the similar one before it and of the first similar one that a
+base span covers (else the first at all), however far away. A mention is a candidate or up to MENTION neighbours of digits and marks; similar are
+those of equal letters and digits, or equal digits, seven or more. Loopy message passing
+spreads what is known of one mention to the others until the messages settle, so that a
+number is labelled alike wherever the document repeats it.
+
+Base spans are evidence: their tokens keep their labels. As the patterns passed over all
+other tokens, features make no kind likelier than outside for them; but for a token that is
+similar to another, no kind less likely by more than DOUBT (in logarithms) either. Tokens that the field is sure of,
+outside the base spans, are added.
 
-Without evidence against it, similar tokens are expected to agree.
 Potentials are fitted by pseudo-likelihood on a sample of about SAMPLE documents that have
 candidates, NODES of them at most, drawn by a hash of the id, with the base spans as labels.
+Tokens with similar ones count a second time with their features hidden, so the potentials
+between similar tokens are learned from what these tell alone; before that, and without
+evidence against it, similar tokens are expected to agree (AGREE). Their potential has one
+weight for agreement, whatever the label, so a repeated token is no evidence by itself.
 
 Cases: null text counts as empty; texts without candidates give no spans; repeated rows
 are scanned each; rows with a null id are not trained on; with nothing to train on only
-base spans are given; extra columns stay; an empty table gives no rows.
+base spans are given; extra columns stay, but those named like a result are replaced; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,14 +43,23 @@ from msgloom.llm.common import append_columns, table
 KINDS = ("email", "ip", "card", "phone")
 RANK = {kind: k for k, kind in enumerate(KINDS)}
 LABELS = ("outside", *KINDS)
-#: Documents fitted on, about; steps of the fit; rounds of message passing; share of belief needed to add a span.
+#: Documents fitted on, about; steps of the fit; share of belief needed to add a span.
 SAMPLE = 1500
 #: Candidates up to which a document may be in the sample, which bounds what reaches the driver.
 NODES = 4000
 STEPS = 150
-ROUNDS = 10
+#: Messages count as settled when none changes by more than SETTLED; rounds up to which loops that never settle go on.
+SETTLED = 1e-6
+ROUNDS = 200
 SURE = 0.95
 WIDTH = 1 << 12
+#: The feature of a token whose own features are hidden.
+HIDDEN = WIDTH
+MENTION = 5
+DOUBT = 2.0
+AGREE = 6.0
+#: Edges whose messages are computed at once.
+BLOCK = 1 << 16
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -53,6 +72,7 @@ _HOLDS = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _KEY = re.compile(r"[^0-9A-Za-z]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_NUMBER = re.compile(r"[^\w@]*[0-9](?:[0-9]|[^\w@])*")
 _EDGE = ".,;:!?|\"'()[]{}<>#$%&*"
 
 Span = tuple[str, int, int]
@@ -121,12 +141,35 @@ def token_features(token: str) -> list[str]:
     ]
 
 
-def graph(text: str) -> Graph | None:
-    """None for a text without candidates."""
+def links(one: range, other: range) -> Iterator[tuple[int, int]]:
+    """Pairs of the tokens of two mentions by place, the last of the shorter with all that is left; none if the mentions overlap."""
+    if one.stop <= other.start:
+        for k in range(max(len(one), len(other))):
+            yield one[min(k, len(one) - 1)], other[min(k, len(other) - 1)]
+
+
+def wide(text: str, found: Iterable[Span]) -> list[tuple[int, int]]:
+    """Stretches of the base spans that hold white space, in order; those that overlap are one."""
+    out: list[tuple[int, int]] = []
+    for _, start, end in sorted(found, key=lambda s: s[1]):
+        if re.search(r"\s", text[start:end]):
+            if out and start < out[-1][1]:
+                start, end = out[-1][0], max(end, out.pop()[1])
+            out.append((start, end))
+    return out
+
+
+def graph(text: str, found: Iterable[Span] = ()) -> Graph | None:
+    """None for a text without candidates. A base span of several tokens is one mention: its parts are similar to nothing."""
     if not _HOLDS.search(text):
         return None
-    spans, rows, chain, skip = [], [], [], []
-    last: dict[str, int] = {}
+    spans, rows, chain = [], [], []
+    skip: set[tuple[int, int]] = set()
+    met: dict[str, list[range]] = {}
+    # digits of the run of neighbours without letters that ends here
+    run: list[str] = []
+    stretches = wide(text, found)
+    at, first = 0, -1
     before, number = -2, 0
     for number, m in enumerate(_TOKEN.finditer(text)):
         token = m.group()
@@ -137,16 +180,37 @@ def graph(text: str) -> Graph | None:
         rows.append([zlib.crc32(f.encode()) % WIDTH for f in token_features(token)])
         if before == number - 1:
             chain.append((node - 1, node))
+        else:
+            run = []
         before = number
-        near = set()
-        for key in {_KEY.sub("", token).lower(), _NOT_DIGIT.sub("", token)}:
+        digits = _NOT_DIGIT.sub("", token)
+        run = [*run[1 - MENTION :], digits] if _NUMBER.fullmatch(token) else []
+        keys = {_KEY.sub("", token).lower(): 1, digits: 1}
+        while at < len(stretches) and stretches[at][1] <= m.start():
+            at, first = at + 1, -1
+        if at < len(stretches) and stretches[at][0] < m.end():
+            first = node if first < 0 else first
+            whole = _NOT_DIGIT.sub("", text[slice(*stretches[at])])
+            keys, run = {whole: node + 1 - first} if m.end() >= stretches[at][1] else {}, []
+        for size in range(2, len(run) + 1):
+            keys.setdefault("".join(run[-size:]), size)
+        for key, size in keys.items():
             if len(key) >= 7:
-                if key in last:
-                    near.add(last[key])
-                last[key] = node
-        skip += [(other, node) for other in sorted(near)]
+                mention = range(node + 1 - size, node + 1)
+                others = met.setdefault(key, [])
+                if not others or others[-1].stop <= mention.start:
+                    others.append(mention)
+    known = node_labels(Graph(spans, *[np.empty(0)] * 3), list(found))
+    for mentions in met.values():
+        if len(mentions) > 1:
+            hub = next((m for m in mentions if known[m.start]), mentions[0])
+            for one, other in zip(mentions, mentions[1:], strict=False):
+                skip.update(links(one, other))
+                skip.update(links(min(hub, other, key=lambda m: m.start), max(hub, other, key=lambda m: m.start)))
+            if hub.start > mentions[0].start:
+                skip.update(links(mentions[0], hub))
     pairs = lambda edges: np.array(edges, np.int64).reshape(-1, 2)
-    return Graph(spans, np.array(rows, np.int64), pairs(chain), pairs(skip))
+    return Graph(spans, np.array(rows, np.int64), pairs(chain), pairs(sorted(skip)))
 
 
 def node_labels(g: Graph, found: list[Span]) -> np.ndarray:
@@ -167,32 +231,50 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def beliefs(self, g: Graph) -> np.ndarray:
-        """Marginals of the nodes' labels by loopy sum-product message passing."""
+    def evidence(self, g: Graph, known: np.ndarray) -> np.ndarray:
+        """Scores of the nodes' labels where those above 0 in ``known`` are given."""
         own = self.unary[g.features].sum(1)
-        n, k = own.shape
+        own[:, 1:] = np.minimum(own[:, 1:], own[:, :1])
+        similar = np.unique(g.skip)
+        own[similar, 1:] = np.maximum(own[similar, 1:], own[similar, :1] - DOUBT)
+        given = np.flatnonzero(known)
+        own[given] = -np.inf
+        own[given, known[given]] = 0.0
+        return own
+
+    def beliefs(self, g: Graph, known: np.ndarray | None = None) -> np.ndarray:
+        """Marginals of the nodes' labels by loopy sum-product message passing, with labels given as evidence if any."""
+        own = self.unary[g.features].sum(1) if known is None else self.evidence(g, known)
         edges = np.concatenate([g.chain, g.skip])
         if len(edges):
-            tables = np.concatenate([np.repeat(self.chain[None], len(g.chain), 0), np.repeat(self.skip[None], len(g.skip), 0)])
             source = np.concatenate([edges[:, 0], edges[:, 1]])
             target = np.concatenate([edges[:, 1], edges[:, 0]])
-            tables = np.concatenate([tables, tables.transpose(0, 2, 1)])
-            messages = np.zeros((len(source), k))
-            back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
+            c, n = len(g.chain), len(edges)
+            kinds = ((0, c, self.chain), (c, n, self.skip), (n, n + c, self.chain.T), (n + c, 2 * n, self.skip.T))
+            back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
+            messages = np.zeros((2 * n, own.shape[1]))
             for _ in range(ROUNDS):
                 gathered = own.copy()
                 np.add.at(gathered, target, messages)
-                sent = (gathered[source] - messages[back])[:, :, None] + tables
-                top = sent.max(1, keepdims=True)
-                new = np.log(np.exp(sent - top).sum(1)) + top[:, 0]
-                messages = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+                sent = gathered[source] - messages[back]
+                new = np.empty_like(messages)
+                for first, last, potential in kinds:
+                    for at in range(first, last, BLOCK):
+                        part = sent[at : min(last, at + BLOCK), :, None] + potential
+                        top = part.max(1, keepdims=True)
+                        new[at : at + len(part)] = np.log(np.exp(part - top).sum(1)) + top[:, 0]
+                new = 0.5 * messages + 0.5 * (new - new.max(1, keepdims=True))
+                change = np.abs(new - messages).max()
+                messages = new
+                if change < SETTLED:
+                    break
             np.add.at(own, target, messages)
         own = np.exp(own - own.max(1, keepdims=True))
         return own / own.sum(1, keepdims=True)
 
 
 def fit(samples: list[tuple[Graph, np.ndarray]]) -> Field | None:
-    """Pseudo-likelihood: each node's label given its features and its neighbours' labels."""
+    """Pseudo-likelihood: each node's label given its features and its neighbours' labels, and for nodes with similar ones given the latter alone."""
     if not samples:
         return None
     k = len(LABELS)
@@ -201,29 +283,37 @@ def fit(samples: list[tuple[Graph, np.ndarray]]) -> Field | None:
     y = np.concatenate([labels for _, labels in samples])
     chain = np.concatenate([g.chain + o for (g, _), o in zip(samples, offsets, strict=False)])
     skip = np.concatenate([g.skip + o for (g, _), o in zip(samples, offsets, strict=False)])
-    field = Field(np.zeros((WIDTH, k)), np.zeros((k, k)), np.eye(k))
+    field = Field(np.zeros((WIDTH + 1, k)), np.zeros((k, k)), AGREE * np.eye(k))
     parts = [field.unary, field.chain, field.skip]
-    priors = [np.zeros_like(field.unary), np.zeros_like(field.chain), np.eye(k)]
+    priors = [np.zeros_like(field.unary), np.zeros_like(field.chain), AGREE * np.eye(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
-    rows = np.arange(len(y))
+    similar = np.unique(skip)
+    rows = np.concatenate([np.arange(len(y)), similar])
+    features = np.concatenate([features, np.full((len(similar), features.shape[1]), HIDDEN)])
     for step in range(1, STEPS + 1):
-        score = field.unary[features].sum(1)
-        np.add.at(score, chain[:, 1], field.chain[y[chain[:, 0]]])
-        np.add.at(score, chain[:, 0], field.chain.T[y[chain[:, 1]]])
-        np.add.at(score, skip[:, 1], field.skip[y[skip[:, 0]]])
-        np.add.at(score, skip[:, 0], field.skip[y[skip[:, 1]]])
+        near = np.zeros((len(y), k))
+        np.add.at(near, chain[:, 1], field.chain[y[chain[:, 0]]])
+        np.add.at(near, chain[:, 0], field.chain.T[y[chain[:, 1]]])
+        np.add.at(near, skip[:, 1], field.skip[y[skip[:, 0]]])
+        np.add.at(near, skip[:, 0], field.skip[y[skip[:, 1]]])
+        score = field.unary[features].sum(1) + near[rows]
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         error = p
-        error[rows, y] -= 1
-        error /= len(y)
+        error[np.arange(len(rows)), y[rows]] -= 1
+        error /= len(rows)
         by_unary, by_chain, by_skip = np.zeros_like(field.unary), np.zeros((k, k)), np.zeros((k, k))
         np.add.at(by_unary, features.ravel(), np.repeat(error, features.shape[1], 0))
+        # hidden features tell of no kind more than of another
+        by_unary[HIDDEN, 1:] = by_unary[HIDDEN, 1:].mean()
+        np.add.at(error, similar, error[len(y) :])
         np.add.at(by_chain, y[chain[:, 0]], error[chain[:, 1]])
         np.add.at(by_chain.T, y[chain[:, 1]], error[chain[:, 0]])
         np.add.at(by_skip, y[skip[:, 0]], error[skip[:, 1]])
         np.add.at(by_skip, y[skip[:, 1]], error[skip[:, 0]])
-        by_skip = (by_skip + by_skip.T) / 2
+        # one weight for labels that agree and one for others, so that similar tokens alone make no label likelier
+        agree = np.trace(by_skip) / k
+        by_skip = np.where(np.eye(k) > 0, agree, (by_skip.sum() - k * agree) / (k * k - k))
         for part, slope, prior, (first, second) in zip(parts, (by_unary, by_chain, by_skip), priors, moments, strict=True):
             slope = slope + 1e-5 * (part - prior)
             first *= 0.9
@@ -236,12 +326,13 @@ def fit(samples: list[tuple[Graph, np.ndarray]]) -> Field | None:
 
 def added_spans(text: str, found: list[Span], field: Field | None) -> list[Span]:
     """Spans of tokens outside the base spans that the field is sure of; neighbours of one label make one span."""
-    g = graph(text) if field is not None else None
+    g = graph(text, found) if field is not None else None
     if g is None:
         return []
-    beliefs = field.beliefs(g)
+    known = node_labels(g, found)
+    beliefs = field.beliefs(g, known)
     labels = np.where(beliefs[:, 1:].max(1) >= SURE, 1 + beliefs[:, 1:].argmax(1), 0)
-    labels[node_labels(g, found) > 0] = 0
+    labels[known > 0] = 0
     side = {int(b) for _, b in g.chain}
     out: list[Span] = []
     for node in np.flatnonzero(labels):
@@ -257,6 +348,21 @@ def added_spans(text: str, found: list[Span], field: Field | None) -> list[Span]
     return out
 
 
+def recovery(samples: list[tuple[Graph, np.ndarray]], field: Field, most: int = 4) -> tuple[int, int, int]:
+    """Held-out labels: of up to ``most`` known mentions a text whose label and features are hidden in turn, how many there are, and how many the field restores with and without its potentials between similar tokens."""
+    hidden = restored = alone = 0
+    plain = Field(field.unary, field.chain, np.zeros_like(field.skip))
+    for g, labels in samples:
+        for node in [n for n in np.unique(g.skip) if labels[n]][:most]:
+            features, known = g.features.copy(), labels.copy()
+            features[node], known[node] = HIDDEN, 0
+            masked = Graph(g.spans, features, g.chain, g.skip)
+            hidden += 1
+            restored += field.beliefs(masked, known)[node, labels[node]] >= SURE
+            alone += plain.beliefs(masked, known)[node, labels[node]] >= SURE
+    return hidden, int(restored), int(alone)
+
+
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field | None:
     """A field from about ``sample`` documents; of each, its graph's numbers and labels reach the driver, not its text."""
     usable = df.where(F.col(id_col).isNotNull() & F.col(text_col).rlike("[0-9@]"))
@@ -265,7 +371,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("pii"), F.col(id_col)), F.lit(scale)) < int(min(1.0, sample / max(1, n)) * scale))
 
     def step(texts):
-        made = [(graph(t), t) for t in texts]
+        made = [(graph(t, base_spans(t)), t) for t in texts]
         keep = [(g, t) if g is not None and len(g.spans) <= NODES else None for g, t in made]
         columns = [[None if k is None else getattr(k[0], name).astype("<i4").tobytes() for k in keep] for name in ("features", "chain", "skip")]
         return [*columns, [None if k is None else node_labels(k[0], base_spans(k[1])).astype("<i4").tobytes() for k in keep]]

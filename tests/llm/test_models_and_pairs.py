@@ -250,6 +250,17 @@ def test_expected_counts_are_slopes_of_the_score():
         assert np.isclose((total(up) - total(down)) / 2e-4, got[piece], rtol=1e-4, atol=1e-8)
 
 
+def test_fit_counts_of_long_words_are_those_of_the_whole_word(monkeypatch):
+    pieces = language_id.shared_pieces()
+    p = np.append(np.random.default_rng(4).random(pieces.n) / 5000, 0)
+    words, counts = ["theoryofcomputation" * 11, "q" * 200, "言語" * 90 + "das", "haus"], np.array([1.0, 2.0, 3.0, 1.0])
+    want = language_id.expected_counts(words, counts, p, pieces)
+    monkeypatch.setattr(language_id, "BESIDE", 40)
+    for stretch in (70, 4096):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        assert np.allclose(language_id.expected_counts(words, counts, p, pieces), want, atol=1e-12)
+
+
 def test_language_query_held_out_accuracy(spark, sf_dir):
     docs = {r.doc_id: r for r in table(spark, sf_dir, "documents").collect()}
     rows = language_id.op9_language_id(spark, sf_dir).collect()
@@ -355,6 +366,46 @@ def test_skip_edges_carry_a_label_across_the_document():
     assert not np.allclose(one.beliefs(g), beliefs)
 
 
+@pytest.fixture(scope="module")
+def pii_field(spark, sf_dir):
+    return pii.train(table(spark, sf_dir, "documents"))
+
+
+def test_mentions_are_labelled_alike(pii_field):
+    def added(text):
+        return [(k, text[s:e]) for k, s, e in pii.added_spans(text, pii.base_spans(text), pii_field)]
+
+    assert added("4915112345678 was called; see +4915112345678, +4915112345678 and +4915112345678") == [("phone", "4915112345678")]
+    assert added("Call +1 415 555 0132 today. Later 14155550132 rang, and 1 415 555 0132 too.") == [("phone", "14155550132"), ("phone", "1 415 555 0132")]
+    assert added("far 4929348385146306 " + "word " * 5000 + "4929-3483.8514-6306") == [("card", "4929-3483.8514-6306")]
+    assert added("4915112345678 and " * 40 + "at last +4915112345678") == [("phone", "4915112345678")] * 40
+    # a part of a longer span is no mention, and what no base span resembles stays
+    assert added("card 4929 3483 8514 6306, order 34838514 and 20240115, 20240115") == []
+    assert added("order 1234567 of 1234567, see 1234567") == []
+
+
+def test_field_restores_hidden_labels_by_its_skip_edges(pii_field):
+    rng = random.Random(8)
+    samples = []
+    for _ in range(60):
+        number, mail = f"+{rng.randrange(10**11, 10**12)}", f"u{rng.randrange(10**6, 10**7)}@corp.example"
+        text = " then ".join(rng.choice([number, mail, f"item {rng.randrange(99)}"]) for _ in range(8))
+        found = pii.base_spans(text)
+        g = pii.graph(text, found)
+        if g is not None:
+            samples.append((g, pii.node_labels(g, found)))
+    hidden, restored, alone = pii.recovery(samples, pii_field)
+    print(f"hidden {hidden}, restored {restored}, by the chain alone {alone}")
+    assert hidden > 100 and restored > 0.9 * hidden and alone < 0.2 * hidden
+
+
+def test_many_equal_candidates_take_bounded_time(pii_field):
+    start = time.monotonic()
+    text = "see +4915112345678; " + "or 4915112345678 " * 30_000
+    assert len(pii.added_spans(text, pii.base_spans(text), pii_field)) == 30_000
+    assert time.monotonic() - start < 60
+
+
 def test_pii_edges(spark):
     got = pii.scan(edge_docs(spark), pii.train(edge_docs(spark))).collect()
     assert len(got) == len(EDGES) and all(r.pii_spans == [] for r in got)
@@ -497,3 +548,19 @@ def test_licence_edges(spark, licences):
     got = license_scan.scan(edge_docs(spark), licences).collect()
     assert len(got) == len(EDGES) and all(r.licenses == [] for r in got)
     assert {r.doc_id: r.n_paragraphs for r in got}[6] == 1 and license_scan.scan(edge_docs(spark).limit(0), licences).count() == 0
+
+
+def test_notices_are_confirmed_in_order(licences):
+    torn = "The MIT Museum released the film under a new title. Software was released under the table."
+    assert licences.scan(torn)[0] == []
+    for text, family in (("SPDX-License-Identifier: BSD-2-Clause", "bsd"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("Licensed under GPLv3", "gpl"), ("License: MIT", "mit"), ("Distributed under the Boost Software License, Version 1.0.", "boost")):
+        assert [h[0] for h in licences.scan(text)[0]] == [family], text
+    notice = license_scan.words_of(license_scan.NOTICES["mit"][1])
+    assert license_scan.alignment(notice, notice) == len(notice)
+    assert license_scan.alignment(notice[:5] + ["x"] + notice[5:], notice) == len(notice) - 0.5
+    assert not license_scan.in_order(notice[::-1], frozenset(license_scan.pairs(notice)))
+
+
+def test_background_is_drawn_from_whole_lines():
+    long = " ".join(f"w{k}" for k in range(1000))
+    assert sum(len(p.split()) for p in license_scan.some_lines(long)) == 1000
