@@ -1,8 +1,9 @@
 """Messages of a conversation.
 
-W3's frames are bounded and W5's lists hold distinct names, so a giant room streams through
-its task. W2 decides most rows by their neighbour; runs of repeats within seconds go through
-a fold that holds one time, whatever their length.
+W3 deals a room to tasks by time slices that overlap by the age of a context. W5's lists hold
+distinct names, so a giant room streams through its task. W2 decides most rows by their
+neighbour; runs of repeats within seconds go through a fold that holds one time, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from msgloom.functions import fixed
 from msgloom.functions.text import blank, has_cue, is_completed, is_payment
 from msgloom.functions.tokens import let, received_date
 
+#: Length of the slices by which a room is dealt.
+SLICE_HOURS = 6
+
 
 def ingest_gate(message: Column, received_at: Column, enabled: Column) -> Column:
     """text there, channel on, a cue, no completed or payment notice."""
@@ -85,16 +89,26 @@ def suppress_repeats(df: DataFrame, conversation: str = "conversation", time: st
     return marked.where(alone).unionByName(repeated.mapInArrow(fold, marked.schema)).drop("_new", "_run", "_next")
 
 
-def with_context(df: DataFrame, conversation: str = "conversation", time: str = "seconds", order: str = "seq", turns: int = fixed.CONTEXT_TURNS, minutes: int = fixed.CONTEXT_MINUTES) -> DataFrame:
+def with_context(df: DataFrame, conversation: str = "conversation", time: str = "seconds", order: str = "seq", turns: int = fixed.CONTEXT_TURNS, minutes: int = fixed.CONTEXT_MINUTES, hours: int = SLICE_HOURS) -> DataFrame:
     """The turns before each message, ``turns`` at most and ``minutes`` old at most, oldest first; mail has none.
 
-    ``clock`` (HH:mm), sender and body of each are given. The frame of rows is bounded, so a
-    giant room needs no more memory than a small one.
+    ``clock`` (HH:mm), sender and body of each are given. A room is dealt to tasks by slices of
+    ``hours``. The messages of a slice's last ``minutes`` go to the next slice as well, where
+    they are context only, so a message finds all that may be its context. A message without a
+    time has no context and is none; those of a room form a slice.
     """
-    before = Window.partitionBy(conversation).orderBy(time, order).rowsBetween(-turns, -1)
+    span, reach = max(3600 * hours, 60 * minutes), 60 * minutes
+    at = F.floor(F.col(time) / span)
+    place = lambda number, own: F.struct(number.alias("slice"), F.lit(own).alias("own"))
+    late = F.col(time) - at * span >= span - reach
+    places = F.when(late, F.array(place(at, True), place(at + 1, False))).otherwise(F.array(place(at, True)))
+    rows = df.withColumn("_place", F.explode(places))
+    before = Window.partitionBy(conversation, "_place.slice").orderBy(time, order).rowsBetween(-turns, -1)
     seen = F.collect_list(F.struct(F.col(time).alias("at"), F.col("clock").alias("time"), F.col("sender"), F.col("body").alias("message"))).over(before)
-    recent = F.filter(seen, lambda t: t["at"] >= F.col(time) - 60 * minutes)
-    return df.withColumn("context", F.when(F.col("channel") == "gmail", F.array().cast(THREAD)).otherwise(F.transform(recent, lambda t: F.struct(t["time"].alias("time"), t["sender"].alias("sender"), t["message"].alias("message")))))
+    rows = rows.withColumn("_seen", seen).where("_place.own")
+    recent = F.filter("_seen", lambda t: t["at"] >= F.col(time) - reach)
+    context = F.when(F.col("channel") == "gmail", F.array().cast(THREAD)).otherwise(F.transform(recent, lambda t: F.struct(t["time"].alias("time"), t["sender"].alias("sender"), t["message"].alias("message"))))
+    return rows.withColumn("context", context).drop("_place", "_seen")
 
 
 THREAD = "array<struct<time:string,sender:string,message:string>>"

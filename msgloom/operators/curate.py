@@ -155,10 +155,10 @@ def difficulty(is_schedule: Column, events: Column, message: Column, thread: Col
     return F.when(F.coalesce(is_schedule, F.lit(False)), positive).otherwise(F.when(has_surface_cue(message, thread), 1.0).otherwise(0.0))
 
 
-def priority(seed: int, key: str = "pair_key") -> tuple[list[Column], list[Column]]:
-    """Order of positives and of negatives; ties by a hash of key and seed."""
-    tie = hash_order(F.col(key), seed)
-    return [F.desc(F.col("grounding") >= 0.6), F.desc("difficulty"), F.desc("grounding"), tie], [F.desc("difficulty"), tie]
+def priority(seed: int, key: str = "pair_key") -> list[Column]:
+    """Order within positives (grounded ones, difficulty, grounding) and negatives (difficulty); ties by a hash of key and seed."""
+    positive = lambda c: F.desc(F.when(F.col("is_schedule"), c))
+    return [positive(F.col("grounding") >= 0.6), F.desc("difficulty"), positive(F.col("grounding")), hash_order(F.col(key), seed)]
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -180,29 +180,63 @@ def shuffled(df: DataFrame, key: Column, seed: int) -> DataFrame:
     return numbered.join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_number")).drop("_range", "_number", "_before")
 
 
+def first_of_classes(rows: DataFrame, need: dict[bool, int], label: str, *order: Column) -> tuple[DataFrame, int]:
+    """The first ``need`` rows of each class in this order, and how many they are.
+
+    Rows are dealt to tasks by ranges of the order, whose bounds Spark takes from a sample, and
+    staged. Their counts by range and class, a few numbers a task, reach the driver. Ranges
+    before a class's border are taken whole, only the border's own range is numbered: no task
+    holds more than a range, however many rows are asked for.
+    """
+    dealt = staged(rows.repartitionByRange(F.col(label), *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(label, "_range").count().collect()
+    whole, numbered, taken = F.lit(False), F.lit(False), 0
+    number, most = F.col("_number"), F.lit(0)
+    for value, wanted in need.items():
+        left, border = wanted, None
+        for part, rows_there in sorted((r["_range"], r["count"]) for r in counts if r[label] == value):
+            if rows_there > left:
+                border = part
+                break
+            left -= rows_there
+        mine = F.col(label) == value
+        taken += wanted if border is not None else wanted - left
+        whole = whole | (mine if border is None else mine & (F.col("_range") < border))
+        if border is not None and left:
+            numbered = numbered | (mine & (F.col("_range") == border))
+            most = F.when(mine, left).otherwise(most)
+    in_range = Window.partitionBy(label, "_range").orderBy(*order)
+    border_rows = dealt.where(numbered).withColumn("_number", F.row_number().over(in_range)).where(number <= most).drop("_number")
+    return dealt.where(whole).unionByName(border_rows).drop("_range"), taken
+
+
+def first_rows(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows in this order, none of whose steps is a single task's."""
+    return first_of_classes(rows.withColumn("_all", F.lit(True)), {True: n}, "_all", *order)[0].drop("_all")
+
+
 def capped_selection(rows: DataFrame, cap: int, negative_share: float, seed: int = 0) -> DataFrame:
     """About ``cap`` rows with this share of negatives.
 
     ``rows`` are keyed (pair_key) with kind (keep or pool), real, is_schedule, grounding and
     difficulty. All kept rows stay; each class is filled from the pool in order of priority;
     a shortage is filled from what is left; a surplus loses synthetic rows, never real ones.
-    Only counts reach the driver; each pick is an ordered limit, merged from each task's best.
-    The rows, which several picks read, are staged first, so they should be narrow.
+    Only counts reach the driver, and picks go by ranges of their order, so the cap may be of
+    any size. The rows, which several picks read, are staged first, so they should be narrow.
     """
     rows = staged(rows)
     keep, pool = rows.where("kind = 'keep'"), rows.where("kind = 'pool'")
     n_keep, n_keep_pos = keep.agg(F.count(F.lit(1)), F.count_if("is_schedule")).first()
     want_neg = int(round(cap * negative_share))
     need = {True: max(0, cap - want_neg - n_keep_pos), False: max(0, want_neg - (n_keep - n_keep_pos))}
-    by_class = dict(zip((True, False), priority(seed), strict=True))
-    picked = [pool.where(F.col("is_schedule") == c).orderBy(*by_class[c]).limit(need[c]) for c in (True, False)]
-    chosen = keep.unionByName(picked[0]).unionByName(picked[1])
-    total = chosen.count()
+    picked, n_picked = first_of_classes(pool, need, "is_schedule", *priority(seed))
+    chosen, total = keep.unionByName(picked), n_keep + n_picked
+    by_hash = hash_order(F.col("pair_key"), seed)
     if total < cap:
         left = pool.join(chosen.select("pair_key"), "pair_key", "left_anti")
-        chosen = chosen.unionByName(left.orderBy(hash_order(F.col("pair_key"), seed)).limit(cap - total))
+        chosen = chosen.unionByName(first_rows(left, cap - total, by_hash))
     elif total > cap:
-        spare = chosen.where(~F.col("real")).orderBy(hash_order(F.col("pair_key"), seed)).limit(total - cap)
+        spare = first_rows(chosen.where(~F.col("real")), total - cap, by_hash)
         chosen = chosen.join(spare.select("pair_key"), "pair_key", "left_anti")
     return chosen
 

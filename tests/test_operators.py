@@ -83,6 +83,56 @@ def test_context_is_bounded_by_turns_and_age(spark):
     assert out["c", 8] == ["b4", "b5", "b6", "b7"] and out["c", 0] == [] and out["m", 1] == []
 
 
+def test_context_of_a_hot_room_comes_from_its_slices(spark):
+    draw, at, rows = random.Random(5), 3_000_000, []
+    for k in range(3000):
+        at += draw.choice([0, 0, 5, 60, 500, 1799, 1800, 1801, 9000, 30000] if k % 7 == 0 else [0, 5, 200])
+        rows.append(("hot", None if k % 211 == 0 else at, k, "gmail" if k % 97 == 0 else "sms", f"s{k % 3}", f"b{k}", f"t{k}"))
+    rows += [(None, 10, 0, "sms", None, None, None), (None, 20, 1, None, "s", "b", "t"), ("cold", -5, 0, "sms", "s", "x", "t"), ("cold", 5, 1, "sms", "s", "y", "t")]
+    want = {}
+    for room in ("hot", None, "cold"):
+        told = sorted((r for r in rows if r[0] == room), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for k, (_, now, seq, channel, *_rest) in enumerate(told):
+            seen = [r for r in told[max(0, k - 5) : k] if now is not None and r[1] is not None and r[1] >= now - 1800]
+            want[room, seq] = [] if channel == "gmail" else [(r[6], r[4], r[5]) for r in seen]
+    df = spark.createDataFrame(rows, "conversation string, seconds long, seq long, channel string, sender string, body string, clock string")
+    for hours in (0, 1, 6):
+        out = conversation.with_context(df, hours=hours)
+        assert out.columns == [*df.columns, "context"]
+        got = out.collect()
+        assert len(got) == len(rows) and {(r.conversation, r.seq): [tuple(t) for t in r.context] for r in got} == want
+        assert re.search(r"hashpartitioning\(conversation#\d+, _place#\d+\.slice|hashpartitioning\(conversation#\d+, _w\d+#", out._jdf.queryExecution().toString())
+    assert conversation.with_context(df.limit(0)).count() == 0
+
+
+def test_capped_selection_equals_its_rules(spark):
+    draw = random.Random(3)
+    rows = [(f"k{k}", "keep" if draw.random() < 0.05 else "pool", draw.random() < 0.5, draw.random() < 0.3, draw.choice([0.2, 0.5, 0.6, 1.0]), draw.choice([0.0, 1.5, 3.0])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "pair_key string, kind string, real boolean, is_schedule boolean, grounding double, difficulty double").repartition(5)
+    digest = lambda key: hashlib.md5(f"{key}|0".encode()).hexdigest()
+    by_class = {True: lambda r: (r[4] < 0.6, -r[5], -r[4], digest(r[0])), False: lambda r: (-r[5], digest(r[0]))}
+
+    def plain(cap, share):
+        keep, pool = [r for r in rows if r[1] == "keep"], [r for r in rows if r[1] == "pool"]
+        negatives = int(round(cap * share))
+        chosen = list(keep)
+        for label, goal in ((True, cap - negatives), (False, negatives)):
+            most = max(0, goal - sum(r[3] == label for r in keep))
+            chosen += sorted((r for r in pool if r[3] == label), key=by_class[label])[:most]
+        if len(chosen) < cap:
+            names = {r[0] for r in chosen}
+            chosen += sorted((r for r in pool if r[0] not in names), key=lambda r: digest(r[0]))[: cap - len(chosen)]
+        gone = {r[0] for r in sorted((r for r in chosen if not r[2]), key=lambda r: digest(r[0]))[: max(0, len(chosen) - cap)]}
+        return sorted(r[0] for r in chosen if r[0] not in gone)
+
+    # both classes cut, one class short, the pool short, more kept than wanted, all, nothing
+    for cap, share in ((1000, 0.5), (2500, 0.1), (3990, 0.5), (100, 0.5), (5000, 0.5), (0, 0.5)):
+        assert sorted(r.pair_key for r in curate.capped_selection(df, cap, share).select("pair_key").collect()) == plain(cap, share), (cap, share)
+    plan = curate.first_rows(df, 3000, F.col("pair_key"))
+    assert plan.count() == 3000 and "TakeOrdered" not in plan._jdf.queryExecution().toString()
+    assert curate.capped_selection(df.limit(0), 10, 0.5).count() == 0
+
+
 def event_rows(spark, rows):
     return spark.createDataFrame(rows, "channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long")
 
