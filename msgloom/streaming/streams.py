@@ -50,11 +50,10 @@ def buffer_step(rows: list[dict], kept: list[dict], seconds: int = fixed.REPEAT_
     return out
 
 
-def with_context(stream: DataFrame, delay: str = "1 day", channels: DataFrame | None = None) -> DataFrame:
+def buffered(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     """Messages without repeats, each with its context as JSON; columns as in BUFFERED.
 
-    Blank messages never enter the buffer, nor do those of channels that the static frame
-    ``channels`` (channel, enabled) does not have on, if it is given.
+    Every message enters the buffer, blank ones too.
     Messages later than ``delay`` behind the newest are dropped; a conversation's buffer goes
     when none of its messages can be context any more.
     """
@@ -71,11 +70,20 @@ def with_context(stream: DataFrame, delay: str = "1 day", channels: DataFrame |
         state.setTimeoutTimestamp(1000 * (kept[-1]["seconds"] + 60 * fixed.CONTEXT_MINUTES) + 1)
         yield pd.DataFrame(out, columns=[*names, "context"])
 
+    timed = stream.select(*names, F.timestamp_seconds("seconds").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("conversation").applyInPandasWithState(step, f"{BUFFERED}, context string", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_context(stream: DataFrame, delay: str = "1 day", channels: DataFrame | None = None) -> DataFrame:
+    """The message flow's way into the buffer (``buffered``): blank messages never enter it.
+
+    Nor do those of channels that the static frame ``channels`` (channel, enabled) does not
+    have on, if it is given.
+    """
     stream = stream.where(~blank(F.col("body")))
     if channels is not None:
         stream = stream.join(channels.where("enabled").select("channel"), "channel", "left_semi")
-    timed = stream.select(*names, F.timestamp_seconds("seconds").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("conversation").applyInPandasWithState(step, f"{BUFFERED}, context string", "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return buffered(stream, delay)
 
 
 def insert_or_ignore(stream: DataFrame, time: str, delay: str, key: str = "event_key") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from msgloom.operators import conversation, events
+from msgloom.queries import flows
 from msgloom.queries.messages import messages
 from msgloom.streaming import streams
 from msgloom.streaming.mail import MailSource
@@ -45,6 +46,16 @@ def test_gate_and_buffer(spark, sf_dir, tmp_path):
     assert got == want
 
 
+def test_buffer_takes_every_message(spark, sf_dir, tmp_path):
+    rows = sample(spark, sf_dir)
+    assert rows.where("trim(body) = ''").count()
+    batch = conversation.with_context(conversation.suppress_repeats(rows))
+    want = {r.event_id: [[t.time, t.sender, t.message] for t in r.context] for r in batch.collect()}
+    got = {r.event_id: json.loads(r.context) for _, r in streamed(spark, rows, tmp_path / "buffer", streams.buffered, order="order_id")}
+    assert got == want
+    assert len(flows.t2_buffer_stream(spark, sf_dir).collect()) == conversation.suppress_repeats(messages(spark, sf_dir)).count()
+
+
 def test_insert_or_ignore_and_merge(spark, tmp_path):
     day = 86_400_000
     rows = [("k", f"d{k % 4}", f"r{k % 3}", ("회의", "점심", "면접")[k % 3], "s", "t", f"key{k % 20}", "PENDING", day + k * day // 2, k) for k in range(60)]  # the epoch itself counts as late
