@@ -26,23 +26,26 @@ def summed(sequences: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(sequences):
         return sequences, weights
     base = int(sequences.max()) + 1
-    keys: list[np.ndarray] = []  # columns, packed as many to a 64-bit key as fit
+    keys: list[np.ndarray] = []  # columns, packed as many to a 64-bit key as fit; no other copy of the rows is made
     room = 0
-    for column in sequences.T.astype(np.int64):
+    for column in sequences.T:
         if keys and room * base < 1 << 62:
-            keys[-1] = keys[-1] * base + column
+            keys[-1] *= base
+            keys[-1] += column
             room *= base
         else:
-            keys.append(column)
+            keys.append(column.astype(np.int64))
             room = base
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     new = np.zeros(len(order), bool)
     new[0] = True
-    for key in keys:
-        key = key[order]
+    while keys:
+        key = keys.pop()[order]
         new[1:] |= key[1:] != key[:-1]
+    del key
     starts = np.flatnonzero(new)
-    return sequences[order[starts]], np.add.reduceat(weights[order], starts)
+    sums = np.add.reduceat(weights[order], starts)
+    return sequences[order[starts]], sums
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -197,10 +200,15 @@ class Automaton:
 
 
 def union(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, sequences and summed weights of several (words, sequences, weights)."""
+    """Words, sequences and summed weights of several (words, sequences, weights); ``parts`` is emptied, so that no row is held twice."""
     words = np.unique(np.concatenate([w for w, _, _ in parts]))
-    rows = []
-    for own, sequences, _ in parts:
+    weights = np.concatenate([w for _, _, w in parts])
+    rows = np.empty((len(weights), parts[0][1].shape[1]), np.int32)
+    end = len(weights)
+    while parts:
+        own, sequences, _ = parts.pop()
         number = np.append(0, np.searchsorted(words, own) + 1).astype(np.int32)
-        rows.append(number[sequences])
-    return words, *summed(np.concatenate(rows), np.concatenate([w for _, _, w in parts]))
+        for k, column in enumerate(sequences.T):
+            rows[end - len(sequences) : end, k] = number[column]
+        end -= len(sequences)
+    return words, *summed(rows, weights)

@@ -69,7 +69,8 @@ def range_of(hashes: np.ndarray, sequences: np.ndarray, ranges: int) -> np.ndarr
     """Range of each row of labels: hash of the language and the first three words."""
     h = np.zeros(len(sequences), np.uint64)
     for column in sequences.T[:LONGEST]:
-        h = mixed(h + hashes[column])
+        h += hashes[column]
+        h = mixed(h)
     return (h % np.uint64(ranges)).astype(np.int32)
 
 
@@ -77,6 +78,9 @@ class Run:
     """Words of many texts, as numbers in order of appearance; 0 ends a piece."""
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict(count(1).__next__)
         self.number[b"."] = 0
         self.langs: dict[str, int] = {}
@@ -93,8 +97,11 @@ class Run:
 
     def rows(self, ranges: int, groups: int, known: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Range, packed automaton, and the words and languages of its sequences of one word."""
-        if not self.size:
-            return
+        if self.size:
+            yield from dealt(*self.sequences(), ranges, groups, known)
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
+        """Hashes by label, distinct sequences of labels with their counts, and the texts of labels; the run is empty then."""
         spelled = [w for w, _ in sorted(self.number.items(), key=lambda x: x[1])][1:]
         names = list(self.langs)
         # labels in the order of the hashes of languages and words; 0 is none
@@ -109,19 +116,20 @@ class Run:
         starts = np.flatnonzero(ids[:n])
         grid = np.zeros((len(starts), LONGEST + 1), np.int32)
         grid[:, 0] = label[np.concatenate(self.of)[starts] + 1]
+        self.clear()
         going = np.ones(len(starts), bool)
         for k in range(LONGEST):
             own = ids[starts + k]
             going &= own > 0
             grid[:, k + 1] = np.where(going, label[np.where(own > 0, own + len(names), 0)], 0)
+        del ids, starts, going, spelled
         parts = []
         for size in (1, 2, LONGEST):
             own = grid if size == 1 else grid[grid[:, min(size, 3)] > 0]
             s, w = summed(own[:, : size + 1], np.ones(len(own), np.int64))
             parts.append((np.pad(s, ((0, 0), (0, LONGEST - size))), w))
-        del grid
-        sequences, weights = np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts])
-        yield from dealt(hashes, sequences, weights, text_of, ranges, groups, known)
+        del grid, own, s
+        return hashes, np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]), text_of
 
 
 def dealt(hashes: np.ndarray, sequences: np.ndarray, weights: np.ndarray, text_of: dict[int, bytes], ranges: int, groups: int, known: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -147,7 +155,7 @@ def dealt(hashes: np.ndarray, sequences: np.ndarray, weights: np.ndarray, text_o
 
 def united(rows: pa.Table | pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
     """Words, sequences, sums of weights, and the texts of words and languages by hash."""
-    parts, texts = [], {}
+    parts, texts = [], {}  # as ``union`` empties parts, a row is held once
     for k in range(rows.num_rows):
         own = Automaton.unpack(rows.column("automaton")[k].as_py(), known)
         s, w = own.sequences(LONGEST + 1)
@@ -204,8 +212,9 @@ def counted(docs: DataFrame, ranges: int, known) -> DataFrame:
                     own.add(text, lang)
                     if own.size >= RUN_WORDS:
                         yield packed(own.rows(ranges, steps[0], known.value))
-                        own = Run()
         yield packed(own.rows(ranges, steps[0], known.value))
+        # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     rows = docs.mapInArrow(run, PACKED)
     for before, groups in zip(steps, steps[1:], strict=False):
@@ -240,7 +249,7 @@ def frequent(automata: DataFrame, known, min_count: int) -> DataFrame:
             counts.append(w[keep])
             lengths.append(np.full(int(keep.sum()), size))
         # threes are the sums of the windows that begin with them
-        threes = s[sizes >= 3].copy()
+        threes = s[sizes >= 3]
         threes[:, LONGEST:] = 0
         t, v = summed(threes, w[sizes >= 3])
         out.append(t[v >= min_count])

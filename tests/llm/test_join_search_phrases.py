@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -206,3 +207,23 @@ def test_automaton_unites_and_composes():
     assert whole.compose(asked).tolist() == [*want.values(), 0, 0, 0]
     same_ends = automata.Automaton.build(np.arange(9, dtype=np.uint64), np.array([[1, 3, 4], [2, 3, 4], [5, 3, 4]]), np.ones(3, np.int64))
     assert len(same_ends.first) - 1 == 4  # one state each for the end, the last word, the two last, and the start
+
+
+def test_automata_hold_rows_once():
+    """The most that uniting and gathering hold, in bytes a row and a word."""
+    rng = np.random.default_rng(9)
+    rows, n = 40_000, 8
+    tracemalloc.start()
+    parts = [(np.arange(k, 50_000 + k, dtype=np.uint64), rng.integers(1, 50_000, (rows, 5)).astype(np.int32), np.ones(rows, np.int64)) for k in range(n)]
+    tracemalloc.reset_peak()
+    words, united, weights = automata.union(parts)
+    assert weights.sum() == rows * n and tracemalloc.get_traced_memory()[1] < 105 * rows * n
+    del parts, words, united, weights
+    run = collocations.Run()
+    for k in range(100):
+        run.add(" ".join(f"w{x}" for x in rng.integers(0, 3000, 2000)), "en")
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    made = list(run.rows(21, 21, np.zeros(0, np.uint64)))
+    assert {r[0] for r in made} == set(range(21)) and tracemalloc.get_traced_memory()[1] - held < 175 * 200_000
+    tracemalloc.stop()
