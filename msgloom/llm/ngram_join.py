@@ -54,6 +54,8 @@ SALTS = 16
 SMALL = 32
 #: Ids up to which the list of texts to read again may be broadcast (16 bytes each); else it is joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: log2 of the bits of a list of marks at most, which is broadcast (8 MB); ids beyond a sixteenth of them share bits.
+MARKS = 26
 #: N-grams held by a task before it counts repeats, repeats that it reports, and n-grams in the list of common ones.
 COUNTED = 4_000_000
 REPEATS = 2
@@ -213,6 +215,22 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
+def marked(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in ``ids`` (one column), so that fewer rows go into a shuffled join, which decides.
+
+    A bit for the hash of each id is broadcast, so the list is bounded whatever their number.
+    """
+    bits = 1 << min(MARKS, max(15, (16 * ids.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("long")
+    # buckets from 1, positions from 0 in each, as the bitmap functions count
+    own = ids.select(place(F.col(ids.columns[0])).alias("h"))
+    marks = own.groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    found = rows.withColumn("_h", place(F.col(column))).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h")})
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_at div 8 + 1 AS int)"), F.lit(1))), 16, 10).cast("int")
+    met = found.join(F.broadcast(marks), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 AS int))")) != 0)
+    return met.select(*rows.columns)
+
+
 def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows of ``pairs`` (a, b, ...) that are linked.
 
@@ -220,7 +238,9 @@ def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, pe
     out; for the rest the sorted sets of the texts (``docs``: doc_id, text) are intersected.
     """
     names, schema = pairs.columns, pairs.schema
-    sides = pairs.join(maps.select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("map").alias("a_map")), "a")
+    given = staged(pairs)
+    maps = marked(maps, "node", given.select(F.explode(F.array("a", "b"))))
+    sides = given.join(maps.select(F.col("node").alias("a"), F.col("size").alias("a_n"), F.col("map").alias("a_map")), "a")
     sides = sides.join(maps.select(F.col("node").alias("b"), F.col("size").alias("b_n"), F.col("map").alias("b_map")), "b")
 
     def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +250,7 @@ def confirmed(pairs: DataFrame, maps: DataFrame, docs: DataFrame, words: int, pe
                 kept.append(bound_of(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), n, m) >= required(n, m, percent))
             yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
-    pairs = staged(sides.select(*names, "a_n", "b_n", "a_map", "b_map").mapInArrow(may, schema).distinct())
+    pairs = staged(sides.select(*names, "a_n", "b_n", "a_map", "b_map").mapInArrow(may, schema).distinct(), given)
     texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     met = met.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
@@ -344,8 +364,8 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     needed = staged(shared.select("node").distinct())
-    maps = staged(classes.select("node", "size", "map").join(needed, "node", "left_semi"))
-    rooted = staged(signed.join(needed, "node", "left_semi").withColumn("root", F.col("node")), needed)
+    maps = staged(marked(classes.select("node", "size", "map"), "node", needed).join(needed, "node", "left_semi"))
+    rooted = staged(marked(signed, "node", needed).join(needed, "node", "left_semi").withColumn("root", F.col("node")), needed)
     every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
 
     def merged(links: DataFrame, *done: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_models_and_pairs import EDGES, brute_components, brute_sets, edge_docs
 
 from msgloom.llm import automata, collocations, ngram_join, ranked_search
@@ -141,6 +142,18 @@ def test_ranked_search_bounds_hold_and_skip():
     assert skipped > 0
 
 
+@pytest.mark.parametrize("marks", [26, 4])
+def test_marked_rows_hold_all_asked(spark, monkeypatch, marks):
+    """Every row asked for stays, negative ids too, and with room for the bits hardly another."""
+    monkeypatch.setattr(ngram_join, "MARKS", marks)
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("node"), (F.col("id") * 7).alias("map"))
+    asked = spark.range(-20_000, 20_000, 41).toDF("x")
+    got = {r.node: r.map for r in ngram_join.marked(rows, "node", asked).collect()}
+    assert set(got) >= set(range(-20_000, 20_000, 41)) and all(v == 7 * k for k, v in got.items())
+    assert len(got) < (5_000 if marks == 26 else 40_001)
+    assert ngram_join.marked(rows, "node", asked.limit(0)).count() == 0
+
+
 # --- collocations ------------------------------------------------------------
 def brute_phrases(rows, least, contained, top):
     f, total = Counter(), Counter()
