@@ -8,7 +8,10 @@
    prefix, and a guest in those of the larger bands that its partners may have. Every linked pair thus meets in
    a tile. The order puts n-grams that a count of repeats inside slices of text found to be
    common last, so passages that many documents share make no tiles; the counts only choose
-   the order, so results never depend on them. Tiles with the same classes count once.
+   the order, so results never depend on them. The places of the first n-gram that two sets
+   share bound their overlap, so a row tells its place, and of a tile with few rows those
+   stay that are within the bounds of another. That leaves most n-grams shared by chance
+   without a tile. Tiles with the same classes count once.
 3. ROUNDS times, each class of a tile meets one class drawn from it. Sizes and the bit counts
    of hashed bitmaps bound the overlap from above; the best of what they leave is confirmed
    by intersecting the sorted sets. Tiles that hold one component are done; that settles
@@ -50,6 +53,10 @@ ROUNDS = 2
 CELL_BYTES = 8 << 20
 CELL_ROWS = 4096
 SALTS = 16
+#: Rows of a tile that are held against each other by size and place when tiles are made; larger tiles stay whole.
+FEW = 32
+#: Parts of a prefix by which a row tells its n-gram's place there.
+PARTS = 127
 #: Rows of a tile whose pairs are still compared one by one in step 4.
 SMALL = 32
 #: Ids up to which the list of texts to read again may be broadcast (16 bytes each); else it is joined by a shuffle.
@@ -141,7 +148,7 @@ def features(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
                     counts.append(n)
                     keys.append(xxhash.xxh3_128_digest(items.tobytes()) if n else None)
                     bands.append(bands_of(n, percent) if n else (None, None))
-                    first = n - math.ceil(percent * n / 100) + 1 if n else 0
+                    first = prefix_of(n, percent) if n else 0
                     if len(grams) and n:
                         at = np.minimum(np.searchsorted(grams, items), len(grams) - 1)
                         rank = np.where(grams[at] == items, ranks[at], 0)
@@ -169,14 +176,62 @@ def overlap_bound(percent: int) -> Column:
     return F.when(100 * overlap >= percent * (F.col("a_size") + F.col("b_size") - overlap), overlap)
 
 
-def shared_tiles(rows: DataFrame) -> DataFrame:
-    """The rows (tile, salt, ..) whose tile has another row; those of dealt tiles, with a salt above 0, all stay.
+def prefix_of(size: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """N-grams of a set of this size of which a linked set has one at least."""
+    return size + (-percent * size // 100) + 1
 
-    Rows come in order of their tiles as a stream, of which a task holds a batch and a row.
+
+def largest_partner(size: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """Size of the largest set that may be linked with one of this size, if the first n-gram of both is in this part of its prefix.
+
+    What comes before that place is not shared, so the overlap is at most size - place.
     """
+    place = -(-part * prefix_of(size, percent) // PARTS)
+    return (100 + percent) * (size - place) // percent - size
+
+
+def packed(size: Column, place: Column, prefix: Column, guest: Column) -> Column:
+    """What a row of a tile tells of its class, in one long: the part of the prefix (7 bits), the size (31 bits) and guest."""
+    part = F.floor(place.cast("long") * PARTS / prefix).cast("long")
+    return F.shiftleft(part, 56).bitwiseOR(F.shiftleft(size.cast("long"), 1)).bitwiseOR(guest.cast("long"))
+
+
+def within_bounds(tile: np.ndarray, size: np.ndarray, most: np.ndarray, guest: np.ndarray, going: int | None) -> np.ndarray:
+    """Which rows, in order of their tiles, may be linked with another of their tile.
+
+    Two rows may be if neither is larger than the other's ``most`` and one is no guest. Rows
+    of tiles with more than FEW rows, and of the tile ``going`` of which others came before, all may.
+    """
+    starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    counts = np.diff(np.append(starts, len(tile)))
+    keep = np.repeat(counts > FEW, counts)
+    for n in np.unique(counts[(counts > 1) & (counts <= FEW)]):
+        at = starts[counts == n][:, None] + np.arange(n)
+        fits = size[at][:, None, :] <= most[at][:, :, None]
+        met = fits & fits.transpose(0, 2, 1) & ~(guest[at][:, None, :] & guest[at][:, :, None]) & ~np.eye(n, dtype=bool)
+        keep[at] = met.any(axis=2)
+    if going is not None and tile[0] == going:
+        keep[: counts[0]] = True
+    return keep
+
+
+def shared_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """tile, node, size, guest of the rows (tile, salt, node, packed) that may be linked with another of their tile.
+
+    Rows of dealt tiles, with a salt above 0, all stay. Rows come in order of their tiles as
+    a stream, of which a task holds a batch and up to FEW rows.
+    """
+
+    def kept(batch: pa.RecordBatch, going: int | None) -> pa.RecordBatch:
+        told = batch.column("packed").to_numpy()
+        size, guest = (told >> 1) & 0x7FFFFFFF, (told & 1).astype(bool)
+        most = largest_partner(size, told >> 56, percent)
+        keep = within_bounds(batch.column("tile").to_numpy(), size, most, guest, going) | (batch.column("salt").to_numpy() > 0)
+        arrays = [batch.column("tile"), batch.column("node"), pa.array(size.astype(np.int32)), pa.array(guest)]
+        return pa.RecordBatch.from_arrays(arrays, names=["tile", "node", "size", "guest"]).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, going = None, None  # a row that may be alone in its tile; the tile that has had several
+        held, going = None, None  # rows of a tile that may go on in the next batch; a tile of which rows have left
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -184,21 +239,18 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
                 held = None
             tile = batch.column("tile").to_numpy()
-            starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-            counts = np.diff(np.append(starts, len(tile)))
-            several = counts > 1
-            several[0] |= going is not None and tile[0] == going
-            keep = np.repeat(several, counts) | (batch.column("salt").to_numpy() > 0)
-            if not several[-1]:
-                held, going = batch.slice(len(tile) - 1), None
-                keep[-1] = False
-            else:
-                going = tile[-1]
-            yield batch.filter(pa.array(keep))
+            last = len(tile) - int(np.argmax(np.append(tile[::-1] != tile[-1], True)))
+            if tile[-1] != going and len(tile) - last <= FEW:
+                held, batch = batch.slice(last), batch.slice(0, last)
+            if batch.num_rows:
+                yield kept(batch, going)
+            going = None if held is not None else tile[-1]
         if held is not None:
-            yield held.filter(pa.array(held.column("salt").to_numpy() > 0))
+            yield kept(held, None)
 
-    return rows.repartition("tile", "salt").sortWithinPartitions("tile", "salt").mapInArrow(run, rows.schema)
+    # in this order the bytes that differ between rows of a class lie together, which compresses best
+    ordered = rows.select("salt", "node", "packed", "tile").repartition("tile", "salt").sortWithinPartitions("tile", "salt")
+    return ordered.mapInArrow(run, "tile long, node long, size int, guest boolean")
 
 
 def bound_of(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int:
@@ -339,16 +391,20 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     usable = each.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     same = [F.first(c).alias(c) for c in ["n_shingles", "band", "last", "prefix", "hot", "map", *_BITS]]
     classes = staged(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), *same).withColumnRenamed("n_shingles", "size"))
+    # prefixes and bitmaps are read from the classes only
+    each = staged(each.select("doc_id", "n_shingles", "set_key"), each)
+    usable = each.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     signed = classes.select("node", "size", *_BITS)
 
     # members and guests of tiles; tiles with one class or with guests only hold no pair
     rows = classes.select("node", "size", "prefix", "hot", "band", F.explode(F.sequence("band", "last")).alias("at"))
-    # a guest is the smaller one of its pairs, and needs the shorter prefix of such
-    shorter = F.expr(f"cast(size - ceil(2 * {percent} * size / {100 + percent}) + 1 AS int)")
     salt = F.when(F.col("pos") >= F.size("prefix") - F.col("hot"), 1 + F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0).cast("short")
-    rows = rows.select("*", F.posexplode("prefix").alias("pos", "gram")).where((F.col("at") == F.col("band")) | (F.col("pos") < shorter))
-    rows = rows.select(F.xxhash64("gram", "at").alias("tile"), salt.alias("salt"), "node", F.col("size").cast("int").alias("size"), (F.col("at") > F.col("band")).alias("guest"))
-    rows = staged(shared_tiles(rows))
+    guest = F.col("at") > F.col("band")
+    # a guest's partners are of the tile's band, so a smaller part of its prefix is enough
+    enough = F.expr(f"{100 + percent} * (size - pos) >= {percent} * (size + shiftleft(1L, at))")
+    rows = rows.select("*", F.posexplode("prefix").alias("pos", "gram")).where(~guest | enough)
+    rows = rows.select(F.xxhash64("gram", "at").alias("tile"), salt.alias("salt"), "node", packed(F.col("size"), F.col("pos"), F.size("prefix"), guest).alias("packed"))
+    rows = staged(shared_tiles(rows, percent))
     # hashes over the rows tell whether two tiles hold the same classes in the same roles
     marks = [F.bit_xor(F.xxhash64("node", "guest", F.lit(k))).alias(f"mark_{k}") for k in range(2)]
     heads = rows.groupBy("tile").agg(F.count("*").alias("n"), F.bool_and("guest").alias("idle"), F.sum("size").alias("total"), *marks).where("n > 1 AND NOT idle")
@@ -363,9 +419,10 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     given = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    maps = classes.select("node", "size", "map")
+    # marks may let others through, which are in no tile and so keep their own root
     needed = staged(shared.select("node").distinct())
-    maps = staged(marked(classes.select("node", "size", "map"), "node", needed).join(needed, "node", "left_semi"))
-    rooted = staged(marked(signed, "node", needed).join(needed, "node", "left_semi").withColumn("root", F.col("node")), needed)
+    rooted = staged(marked(signed, "node", needed).withColumn("root", F.col("node")), needed)
     every_cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
 
     def merged(links: DataFrame, *done: DataFrame) -> DataFrame:
@@ -431,7 +488,7 @@ def classes_with_components(df: DataFrame, id_col: str = "doc_id", text_col: str
     if not ids.isEmpty():
         last = components(ids).select(F.col("node").alias("root"), F.col("root").alias("merged"))
         own = own.join(last, "root", "left").select("set_key", F.coalesce("merged", "root").alias("root"))
-    discard(shared, maps)
+    discard(shared)
     out = each.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

@@ -53,6 +53,47 @@ def test_ngram_join_matches_brute_force(spark, sf_dir, monkeypatch, words, perce
     assert join_rows(spark.createDataFrame(rows, docs.schema), words=words, percent=percent) == expected(rows, words, percent)
 
 
+def test_ngram_join_tiles_only_of_rows_that_bounds_allow(spark):
+    """Pairs whose first shared n-gram stands too late, or whose sizes differ too much, get no tile; all others do."""
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for tile in range(3000):
+        n = int(rng.integers(1, 6))
+        sizes, guests = rng.integers(64, 128, n), rng.random(n) < 0.3
+        places = [int(rng.integers(0, ngram_join.prefix_of(int(size), 85))) for size in sizes]
+        fits = lambda j, k: min(sizes[j] - places[j], sizes[k] - places[k]) >= ngram_join.required(sizes[j], sizes[k], 85)  # noqa: E731, B023
+        want |= {(tile, j) for j in range(n) for k in range(n) if j != k and not (guests[j] and guests[k]) and fits(j, k)}
+        rows += [(tile, 0, j, int(sizes[j]), places[j], bool(guests[j])) for j in range(n)]
+    rows += [(9000, 0, k, 100, 15, False) for k in range(ngram_join.FEW + 1)] + [(9001, 1, 0, 100, 15, True)]
+    want |= {(9000, k) for k in range(ngram_join.FEW + 1)} | {(9001, 0)}
+    given = spark.createDataFrame(rows, "tile long, salt short, node long, size long, pos int, guest boolean")
+    prefix = F.col("size") - F.ceil(F.lit(85) * F.col("size") / 100) + 1
+    told = ngram_join.packed(F.col("size"), F.col("pos"), prefix, F.col("guest")).alias("packed")
+    for batch in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = ngram_join.shared_tiles(given.select("tile", "salt", "node", told), 85).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(r.tile, r.node) for r in got} == want and len(got) == len(want)
+        assert {(r.tile, r.node, r.size, r.guest) for r in got} <= {(t, j, size, guest) for t, _, j, size, _, guest in rows}
+    assert len(want) < len(rows) / 2
+
+
+def test_ngram_join_partner_bound():
+    """The bound from a part of a prefix is never below that from the place itself, and is the same for short prefixes."""
+    for percent in (60, 85, 100):
+        for size in (1, 2, 7, 100, 900, 5000):
+            prefix = ngram_join.prefix_of(size, percent)
+            assert prefix == size - math.ceil(percent * size / 100) + 1
+            places = np.arange(prefix)
+            most = ngram_join.largest_partner(np.full(prefix, size), places * ngram_join.PARTS // prefix, percent)
+            exact = np.array([max([0, *(m for m in range(2 * size + 1) if ngram_join.required(size, m, percent) <= size - p)]) for p in places[:: max(1, prefix // 50)]])
+            assert (most[:: max(1, prefix // 50)] >= exact).all()
+            if prefix <= ngram_join.PARTS:
+                assert (most[:: max(1, prefix // 50)] == exact).all()
+
+
 def test_ngram_join_edges(spark):
     got = ngram_join.classes_with_components(edge_docs(spark)).collect()
     assert len(got) == len(EDGES)
