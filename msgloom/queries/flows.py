@@ -17,7 +17,7 @@ from msgloom.queries.frames import MAIL
 from msgloom.queries.messages import GATE, REPEATS, ROUTED, M, detected, keyed_events, messages, routed
 from msgloom.queries.registry import query
 from msgloom.sources import io
-from msgloom.sources.staging import shared_folder
+from msgloom.sources.staging import discard, shared_folder, staged
 from msgloom.streaming import streams
 from msgloom.streaming.mail import SCHEMA, MailSource
 
@@ -153,7 +153,9 @@ def t4_merge_stream(spark, sf_dir):
     """Events merged as they arrive: the last state of each. Tests compare it with the batch form and a plain replay."""
     path, state, owner = shared_folder(spark), shared_folder(spark), ("user_id",)
     names = [c.split()[0] for c in streams.EVENTS.split(", ") if not c.startswith("merged")]
-    stream = streams.merged_events(arriving(spark, keyed_events(spark, sf_dir).select(*owner, *names), "created_at", "seq"), owner)
+    rows = staged(keyed_events(spark, sf_dir).select(*owner, *names))  # ranges are found in one pass, files written in another
+    stream = streams.merged_events(arriving(spark, rows, "created_at", "seq"), owner)
+    discard(rows)
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
     with streams.rocksdb(spark):
         query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -2,7 +2,7 @@
 
 The gates are the batch functions. State is small and bounded: the last CONTEXT_TURNS + 1
 messages of a conversation, which time out with the context's age, and the events of a
-(channel, start) that are young enough to merge, each of which a timer ends. Rows of a batch are put in order of time;
+(channel, start) that are young enough to merge, which a timer ends by periods. Rows of a batch are put in order of time;
 rows later than a watermark are up to the caller's watermark.
 """
 
@@ -11,13 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from msgloom.functions import fixed
 from msgloom.functions.text import blank
@@ -28,7 +29,11 @@ from msgloom.sources.io import export_candidates
 BUFFERED = "event_id long, conversation string, channel string, sender string, body string, seconds long, seq long, clock string"
 EVENTS = f"{EVENT_COLUMNS}, merged long"
 #: Milliseconds after which an event can match none.
-LIFETIME = fixed.MERGE_DAYS * 86_400_000 + 1
+PERIOD = fixed.MERGE_DAYS * 86_400_000
+LIFETIME = PERIOD + 1
+#: Keys of the merging state, and slots of each: a key's rows of a batch are one task's at once, a slot is read whole.
+BUCKETS = 1024
+SLOTS = 16
 
 
 def gated(stream: DataFrame, channels: DataFrame) -> DataFrame:
@@ -92,67 +97,101 @@ def insert_or_ignore(stream: DataFrame, time: str, delay: str, key: str = "event
 
 
 class Merging(StatefulProcessor):
-    """The events of one owner, channel and start that are young enough to match, one entry of a map each; a timer ends every entry."""
+    """Events young enough to match: a key is a bucket of slots, an entry of its map the events of one slot and period, which a timer ends.
 
-    def __init__(self, names: list[str], values: StructType) -> None:
-        self.names, self.values = names, values
+    A call to the state costs far more than an event, so there is one for each entry that rows
+    touch, and none for single events or starts.
+    """
+
+    def __init__(self, names: list[str], group: list[str], values: StructType) -> None:
+        self.names, self.group, self.values = names, group, values
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getMapState("events", "event_key string", self.values)
-
-    def stored(self) -> list[dict]:
-        rows = [dict(zip(self.values.names, value, strict=True)) | {"event_key": key[0]} for key, value in self.events.iterator()]
-        return sorted(rows, key=arrival)
-
-    def keep(self, row: dict, is_new: bool) -> None:
-        self.events.updateValue((row["event_key"],), tuple(row[c] for c in self.values.names))
-        if is_new:
-            self.handle.registerTimer(row["created_at"] + LIFETIME)
-
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        for row in json.loads(initialState.to_json(orient="records")):
-            self.keep(row, is_new=True)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        stored = self.stored()
-        before = {r["event_key"] for r in stored}
-        arrived = pd.concat(rows).sort_values(["created_at", "seq"])
-        records = json.loads(arrived[[n for n in self.names if n != "merged"]].to_json(orient="records"))
-        touched = fold_events(records, stored)
-        changed = [r for r in stored if r["event_key"] in touched]
-        for row in changed:
-            self.keep(row, row["event_key"] not in before)
-        yield pd.DataFrame(changed, columns=self.names)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for row in self.stored():
-            if row["created_at"] + LIFETIME <= now:
-                self.events.removeKey((row["event_key"],))
-        yield pd.DataFrame(columns=self.names)
+        self.events = handle.getMapState("events", "slot int, period int", self.values)
+
+    def keep(self, slot: int, rows: list[dict], periods: set[int]) -> None:
+        """Writes a slot's events of the given periods."""
+        own: dict[int, list[tuple]] = {period: [] for period in periods}
+        for row in rows:
+            if period_of(row) in periods:
+                own[period_of(row)].append(tuple(row[c] for c in self.names))
+        for period, events in own.items():
+            self.events.updateValue((slot, period), (events,))
+
+    def end(self, periods: set[int]) -> None:
+        for period in periods:
+            self.handle.registerTimer((period + 1) * PERIOD + LIFETIME)
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        periods = {period_of(row) for row in initialState.rows}
+        self.keep(initialState.slot, initialState.rows, periods)
+        self.end(periods)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held: dict[int, list[dict]] = {}
+        for row in rows:
+            held.setdefault(row.slot, []).append(row.row)
+        stored: dict[int, list[dict]] = {slot: [] for slot in held}
+        before = list(self.events.keys())  # in one call
+        for at in before:
+            if at[0] in held:
+                stored[at[0]] += (dict(zip(self.names, event, strict=True)) for event in self.events.getValue(at)[0])
+        place, made, new = itemgetter(*self.group), Row(*self.names), set()
+        for slot, arrived in held.items():
+            groups: dict[tuple, tuple[list[dict], list[dict]]] = {}
+            for kind, own in enumerate((stored[slot], arrived)):
+                for row in sorted(own, key=arrival):
+                    groups.setdefault(place(row), ([], []))[kind].append(row)
+            periods = set()
+            for events, own in groups.values():
+                touched = fold_events(own, events) if own else ()
+                changed = [row for row in events if row["event_key"] in touched]
+                periods |= {period_of(row) for row in changed}
+                yield from (made(*(row[c] for c in self.names)) for row in changed)
+            self.keep(slot, [row for events, _ in groups.values() for row in events], periods)
+            new |= periods
+        self.end(new - {period for _, period in before})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        for at in list(self.events.keys()):
+            if (at[1] + 1) * PERIOD + LIFETIME <= expiredTimerInfo.getExpiryTimeInMs():
+                self.events.removeKey(at)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def merged_events(stream: DataFrame, owner: tuple[str, ...] = (), delay: str = "0 seconds", stored: DataFrame | None = None) -> DataFrame:
+def period_of(row: dict) -> int:
+    return row["created_at"] // PERIOD
+
+
+def merged_events(stream: DataFrame, owner: tuple[str, ...] = (), delay: str = "0 seconds", stored: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
     """T4: events made or changed by each batch, columns ``owner`` and EVENTS; the last row of an event_key holds.
 
-    State is a map of typed rows for each owner, channel and start, of which a batch writes
-    only the entries that it makes or changes. An event leaves the state when the watermark,
-    ``delay`` behind the newest ``created_at``, is more than MERGE_DAYS past it, as nothing
-    that may still arrive can match it; rows later than the watermark are dropped. A key holds
-    the time its message came, so a key that is forgotten with its event doesn't come again.
+    Owners, channels and starts are dealt by hash to ``buckets`` times SLOTS slots. State is a
+    map of typed events by slot and period of MERGE_DAYS; a batch reads the slots that its rows
+    touch and writes the periods that it changes there, so no owner's size matters and calls to
+    the state don't grow with the starts. A slot should hold some hundred events: more buckets
+    suit a larger state. A period leaves the state when the watermark, ``delay`` behind the
+    newest ``created_at``, is more than MERGE_DAYS past its end, as nothing that may still
+    arrive can match its events; rows later than the watermark are dropped. A key holds the
+    time its message came, so a key that is forgotten with its event doesn't come again.
     ``stored``, a table of the result's columns, is the state that a first run begins with.
     Needs the RocksDB state store (``rocksdb``).
     """
     schema = StructType([stream.schema[c] for c in owner] + StructType.fromDDL(EVENTS).fields)
-    values = StructType([f for f in schema.fields if f.name != "event_key"])
+    values = StructType([StructField("events", ArrayType(schema))])
     group = [*owner, "channel", "start"]
-    timed = stream.select(*(n for n in schema.names if n != "merged"), F.timestamp_millis("created_at").alias("arrived")).withWatermark("arrived", delay)
-    first = stored.select(*schema.names).groupBy(*group) if stored is not None else None
-    return timed.groupBy(*group).transformWithStateInPandas(Merging(schema.names, values), schema, "Update", "EventTime", first)
+    place = F.pmod(F.xxhash64(*group), F.lit(buckets * SLOTS)).cast("int")
+    dealt = [(place / SLOTS).cast("int").alias("bucket"), (place % SLOTS).alias("slot")]
+    cast = lambda df, *but: df.select(*(F.col(f.name).cast(f.dataType) for f in schema.fields if f.name not in but))
+    new = cast(stream, "merged").select(*dealt, F.struct("*").alias("row"), F.timestamp_millis("created_at").alias("arrived"))
+    first = None
+    if stored is not None:
+        first = cast(stored).select(*dealt, F.struct("*").alias("row")).groupBy("bucket", "slot").agg(F.collect_list("row").alias("rows")).groupBy("bucket")
+    return new.withWatermark("arrived", delay).groupBy("bucket").transformWithState(Merging(schema.names, group, values), schema, "Update", "EventTime", first)
 
 
 @contextmanager

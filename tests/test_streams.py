@@ -122,6 +122,24 @@ def test_merge_state_ends_and_begins_with_a_stored_table(spark, tmp_path):
     assert set(latest.values()) == want
 
 
+def test_merge_state_does_not_grow_with_starts(spark, tmp_path):
+    """900 starts, some null, of owners that are few, large or null: no more entries than slots, and rows of later batches find those of earlier ones."""
+    day = 86_400_000
+    columns = "user_id long, channel string, start string, room string, base_title string, sender string, title string, event_key string, status string, created_at long, seq long"
+    rows = [(None if k % 7 == 0 else k % 3, "k", f"d{k % 900}" if k % 11 else None, "", "점심", "s", "t", f"key{k}", "PENDING", day + k * 100_000, k) for k in range(1800)]
+    df = spark.createDataFrame(rows, columns)
+    state = lambda r: (r.user_id, r.channel, r.start, r.event_key, r.merged)
+    want = {state(r) for r in events.merge_events(df, owner=("user_id",)).collect()}
+    assert len(want) < 1800
+    latest = {}
+    with streams.rocksdb(spark):
+        for _, r in streamed(spark, df, tmp_path / "merge", lambda s: streams.merged_events(s, ("user_id",), buckets=2), mode="update"):
+            latest[r.event_key] = state(r)
+    assert set(latest.values()) == want
+    kept = spark.read.format("statestore").option("path", f"file://{tmp_path}/merge/state").option("stateVarName", "events").load()
+    assert kept.count() <= 2 * streams.SLOTS
+
+
 def test_mail_source_takes_each_mail_once(spark, tmp_path):
     """Three runs with one checkpoint; blank mails neither come nor move the mark."""
     spark.dataSource.register(MailSource)
