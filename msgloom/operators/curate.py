@@ -5,19 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from msgloom.functions import fixed
+from msgloom.functions import fixed, substrings
 from msgloom.functions.text import blank, has_surface_cue, normal, said_text, thread_text
 from msgloom.functions.tokens import received_date, resolve_date
-from msgloom.sources.staging import staged
+from msgloom.sources.staging import discard, staged
 
-#: Bytes of golden texts in one automaton, and groups in which a stratum is ranked first.
-PART_BYTES = 4 << 20
+#: Golden texts that are searched in one pass, and groups in which a stratum is ranked first.
+PART_TEXTS = 1 << 20
 SALTS = 64
 
 
@@ -50,35 +50,39 @@ def occurrences(train: DataFrame, golden: DataFrame, train_text: str = "message"
     """Training rows in whose normalised text one of the golden set's occurs anywhere.
 
     Golden texts of fewer than ``least`` characters, which stand in other texts by chance,
-    count where they are the whole text. The others are searched all at once by an automaton
-    over them; of more than PART_BYTES there are several, each of bounded size, which all run
-    in one pass over the training rows. Null and blank golden texts occur nowhere.
+    count where they are the whole text. The others are searched all at once by hashes of
+    their blocks (``functions.substrings``), of which a task holds about 60 bytes a golden
+    text; more than PART_TEXTS are dealt to parts, each in a pass over the training rows that
+    are left. Null and blank golden texts occur nowhere.
     """
-    marks = golden.select(normal(F.col(golden_text)).alias("_text")).where("_text <> ''").distinct()
-    long = marks.where(F.char_length("_text") >= least)
-    parts = max(1, -(-(long.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // PART_BYTES))
-    long = long.withColumn("_part", F.pmod(F.xxhash64("_text"), F.lit(parts)))
-    found = F.lit(False)
-    for part in range(parts):
-        texts = [r[0] for r in long.where(F.col("_part") == part).select("_text").collect()]
-        if texts:
-            found = found | holds_any(train.sparkSession.sparkContext.broadcast(texts))(normal(F.col(train_text)))
-    rows = train.withColumn("_found", F.coalesce(found, F.lit(False)))
-    whole = leaks(rows.where("NOT _found"), marks.where(F.char_length("_text") < least), train_text, "_text")
-    return rows.where("_found").unionByName(whole).drop("_found")
-
-
-def holds_any(texts):
-    """A function of a text column: whether one of the broadcast texts occurs in it."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield substrings.digests(batch.column(0).to_pylist(), least)
+
+    marks = golden.select(normal(F.col(golden_text)).alias("_text")).where("_text <> ''").mapInArrow(marked, substrings.DIGESTS)
+    marks = staged(marks.distinct())
+    parts = max(1, -(-marks.count() // PART_TEXTS))
+    part = F.pmod(F.xxhash64("short", "high"), F.lit(parts))
+    rows = train.withColumn("_found", F.lit(False))
+    for k in range(parts):
+        held = train.sparkSession.sparkContext.broadcast(marks.where(part == k).toArrow())
+        before, found = rows, F.col("_found")
+        rows = before.withColumn("_found", found | F.coalesce(holds_any(held)(F.when(~found, normal(F.col(train_text)))), F.lit(False)))
+        if k + 1 < parts:
+            rows = staged(rows, before)
+    discard(marks)
+    return rows.where("_found").drop("_found")
+
+
+def holds_any(marks):
+    """A function of a text column: whether one of the broadcast texts (rows of ``substrings.DIGESTS``) occurs in it."""
 
     @F.pandas_udf(BooleanType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for t in texts.value:
-            search.add_word(t)
-        search.make_automaton()
+        search = substrings.Search(marks.value)
         for said in batches:
-            yield said.map(lambda t: t is not None and next(search.iter(t), None) is not None).astype(bool)
+            yield pd.Series(search([(t or "").encode() for t in said]))
 
     return run
 

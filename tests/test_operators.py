@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from msgloom.functions import anonymize, fixed, keys, similarity, text
+from msgloom.functions import anonymize, fixed, keys, similarity, substrings, text
 from msgloom.operators import conversation, curate, events, generate, labels
 from msgloom.plans import message_flow
 from msgloom.plans.message_flow import to_events
@@ -231,6 +231,20 @@ def test_occurrences_of_golden_texts(spark):
     assert sorted(curate.occurrences(train, golden).columns) == ["id", "message"]
 
 
+def test_occurrences_equal_brute_force_in_parts(spark, monkeypatch):
+    """Texts of many lengths, periodic ones too, in three parts; what a task holds of them does not grow with their lengths."""
+    monkeypatch.setattr(curate, "PART_TEXTS", 40)
+    draw = random.Random(3)
+    drawn = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    golden = [drawn(letters, n) for letters in ("ab", "회의a") for n in (1, 3, 7, 8, 9, 15, 16, 17, 31, 64, 65, 130, 300) for _ in range(4)]
+    train = [drawn("ab", draw.randrange(200)) for _ in range(60)] + [drawn("b", 9) + draw.choice(golden).upper() + drawn("회a ", 9) for _ in range(60)] + ["a" * 500, *golden[:9]]
+    want = [k for k, t in enumerate(said.lower().replace(" ", "") for said in train) if any(g == t or len(g) >= 8 and g in t for g in golden)]
+    rows, marks = spark.createDataFrame(list(enumerate(train)), "id long, message string"), spark.createDataFrame([(g,) for g in golden], "message string")
+    assert sorted(r.id for r in curate.occurrences(rows, marks).collect()) == want
+    assert 0 < len(want) < len(train)
+    assert substrings.digests(["a" * 1_000_000], 8).nbytes < 100
+
+
 def test_quota_in_one_pass(spark):
     rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 < 8 THEN 'a' WHEN id % 10 = 8 THEN 'b' END AS s")
     got = curate.quota(rows.repartition(7), F.col("s"), {"a": 30, "c": 5}, F.desc("id")).collect()
