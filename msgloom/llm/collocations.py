@@ -44,10 +44,10 @@ UNKNOWN = "und"
 #: Words of a phrase at most; words of a run; bytes of text, and phrases, of a range.
 LONGEST = 4
 RUN_WORDS = 1_000_000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 RANGE_PHRASES = 200_000
 #: Groups of ranges that a run is dealt to at most.
-FAN = 256
+FAN = 1024
 #: Bytes of text that the list of common words is taken from, and its length.
 SAMPLE_BYTES = 32 << 20
 KNOWN = 1 << 20
@@ -128,29 +128,42 @@ class Run:
             own = grid if size == 1 else grid[grid[:, min(size, 3)] > 0]
             s, w = summed(own[:, : size + 1], np.ones(len(own), np.int64))
             parts.append((np.pad(s, ((0, 0), (0, LONGEST - size))), w))
-        del grid, own, s
-        return hashes, np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts]), text_of
+        del grid, own, s, w
+        rows, weights = np.concatenate([s for s, _ in parts]), np.concatenate([w for _, w in parts])
+        del parts
+        order = in_order(rows, len(hashes))
+        return hashes, rows[order], weights[order], text_of
+
+
+def in_order(rows: np.ndarray, base: int) -> np.ndarray:
+    """Order of distinct rows of labels below ``base`` that come as sorted words, pairs and longer windows behind each other."""
+    if base > 1 << 20:
+        return np.lexsort(rows.T[::-1])
+    key = (rows[:, 0].astype(np.int64) * base + rows[:, 1]) * base + rows[:, 2]
+    return np.argsort(key, kind="stable")  # merges the sorted parts; a pair stands before its windows
 
 
 def dealt(hashes: np.ndarray, sequences: np.ndarray, weights: np.ndarray, text_of: dict[int, bytes], ranges: int, groups: int, known: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """One row for each of ``groups`` groups of neighbouring ranges that has sequences (of labels in the order of ``hashes``)."""
+    """One row for each of ``groups`` groups of neighbouring ranges that has sequences: distinct ones in order, of labels in the order of ``hashes``."""
     place = range_of(hashes, sequences, ranges).astype(np.int64) * groups // ranges
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place.astype(np.uint16) if groups <= 1 << 16 else place, kind="stable")
     cuts = np.searchsorted(place[order], np.arange(groups + 1))
+    del place
+    # kept for all groups, so that a group costs what it holds; numbers rise with labels, so rows stay in order
+    used, number = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int32)
     for k in np.flatnonzero(np.diff(cuts)).tolist():
         own = order[cuts[k] : cuts[k + 1]]
-        rows = sequences[own]
-        used = np.zeros(len(hashes), bool)
-        used[rows.ravel()] = True
+        s = sequences[own]
+        used[s] = True
         used[0] = False
         labels = np.flatnonzero(used)
-        number = np.cumsum(used, dtype=np.int32)
-        number[0] = 0
-        s, w = summed(number[rows], weights[own])
+        used[labels] = False
+        number[labels] = np.arange(1, len(labels) + 1)
+        s = number[s]
         single = s[(s[:, 1] > 0) & (s[:, 2] == 0)]
-        text = b" ".join(text_of[x] for x in labels[single[:, 1] - 1].tolist())
-        which = b"\x00".join(text_of[x] for x in labels[single[:, 0] - 1].tolist())
-        yield k, Automaton.build(hashes[labels], s, w).pack(known), zstandard.compress(text, 1), zstandard.compress(which, 1)
+        text = b" ".join([text_of[x] for x in labels[single[:, 1] - 1].tolist()])
+        which = b"\x00".join([text_of[x] for x in labels[single[:, 0] - 1].tolist()])
+        yield k, Automaton.build(hashes[labels], s, weights[own]).pack(known), zstandard.compress(text, 1), zstandard.compress(which, 1)
 
 
 def united(rows: pa.Table | pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
@@ -193,15 +206,21 @@ def packed(rows: Iterator[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "automaton", "spelled", "names"])
 
 
+def fans(ranges: int) -> list[int]:
+    """Groups of ranges after each exchange, each by about the same factor of at most FAN: the first are as many as the last of a group, so all of them keep many tasks busy."""
+    levels = 1
+    while FAN**levels < ranges:
+        levels += 1
+    return [-(-ranges // round(ranges ** ((levels - k) / levels))) for k in range(1, levels)] + [ranges]
+
+
 def counted(docs: DataFrame, ranges: int, known) -> DataFrame:
     """Packed automata by range: bucket, automaton, and the texts of its words and languages.
 
     A run is dealt to FAN groups of ranges at most; where there are more ranges, the rows of a
-    group are united in runs again and dealt on, so a run never makes more than FAN rows.
+    group are united in runs again and dealt on, so a run never makes many more than FAN rows.
     """
-    steps = [ranges]
-    while steps[0] > FAN:
-        steps.insert(0, -(-steps[0] // FAN))
+    steps = fans(ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Run()

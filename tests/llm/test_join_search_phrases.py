@@ -237,6 +237,14 @@ def test_collocations_edges(spark):
     assert got == brute_phrases([("en", t) for _, t in EDGES], 2, 80, 2000)
 
 
+def test_collocations_exchanges_keep_tasks_busy():
+    """However many ranges there are, the first exchange has some dozen groups, and no group is dealt to many more than FAN."""
+    for ranges in (1, 64, 257, 375, 750, 1024, 1025, 4000, 60_000):
+        steps = collocations.fans(ranges)
+        assert steps[-1] == ranges and (ranges < 33 or steps[0] >= 32)
+        assert all(b <= a * (collocations.FAN + 1) for a, b in zip([1, *steps], steps, strict=False))
+
+
 def test_automaton_unites_and_composes():
     rng = np.random.default_rng(8)
     want = Counter()
